@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from edgeloom.cluster import written
-from edgeloom.llm import decontaminate, queries, simhash
+from edgeloom.llm import decontaminate, langid, line_dedup, queries, simhash
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go."""
+    return langid.drop_unidentified(docs, langid.fit(docs))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go; all documents stay."""
+    return line_dedup.drop_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +33,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.packed(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminated), ("best_fit_packing", pack)]
+STAGES = [("language_id", identified), ("line_dedup", without_repeated_lines), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminated), ("best_fit_packing", pack)]
 
 #: Stages learn models and read tokenizers, which SQL can't; tests hold the stages against brute force.
 ORACLE_SQL = None
