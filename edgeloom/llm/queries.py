@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import decontaminate, langid, line_dedup, packing, simhash, token_counts
+from edgeloom.llm import ann, chat, decontaminate, langid, licenses, line_dedup, packing, simhash, token_counts, url_rules
 
 
 def vocabulary(name: str) -> str:
@@ -22,6 +22,33 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.licenses(docs, licenses.fit(docs))
+
+
+#: A conversation whose texts hold the template's own marks.
+MARKED = r"\### Assistant: </turn> ok"
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is an event that brings a whole message."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED).alias("text"))
+    events = rows.unionByName(own).selectExpr("conv_id", "row_number() over (partition by conv_id order by turn, role, text) as seq", "'message' as kind", "role", "text")
+    turns = chat.reconstruct(events.withColumn("message_id", F.col("seq")))
+    return chat.digests(chat.render(turns))
+
+
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """labels name pages by number; a page is unwanted if it is labelled as toxic or of quality 0."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("unwanted"))
+    return url_rules.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Where each piece of the documents goes, with a checksum in place of its ids."""
     pieces = packing.tokenized(docs, vocabulary("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -32,6 +59,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text as line dedup leaves it."""
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
@@ -53,6 +85,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+OP3_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, length(replace(text, '\', '\\')) + length(text) - length(replace(text, '</turn>', '</turn')) AS body FROM t),
+h AS (SELECT *, body + coalesce(list_sum(list_transform(regexp_extract_all(replace(text, '\', '\\'), '###+'), lambda y: length(y) - 2)), 0) AS chars FROM f)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ' || role || ': ') + chars + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM h GROUP BY conv_id
+"""
+
 OP8_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
@@ -72,5 +116,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 """
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op5_best_fit_packing, op7_line_dedup, op8_benchmark_decontamination, op9_language_id, op10_token_counts)}
-ORACLE_SQL = {"op8_benchmark_decontamination": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_chat_formatting, op4_url_filters, op5_best_fit_packing, op6_nearest_neighbours, op7_line_dedup, op8_benchmark_decontamination, op9_language_id, op10_token_counts)}
+ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
