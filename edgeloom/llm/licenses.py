@@ -77,6 +77,12 @@ UNKNOWN_NOTICES = [
     "See the LICENSE file for the license terms.", "The license of this work is given below.", "This project is licensed under the Example License, version 1.",
     "Licensed under the Sample License.", "Use is subject to the license agreement.", "Released under the Example Community License.",
 ]
+# and such notices with names that no family has, each another, so that the model can't go by them
+UNKNOWN_NOTICES += [
+    f"{how} under the N{i}{k}X License{version}{'' if k % 2 else ' N' + str(i * k) + 'Y'}."
+    for i, (how, version) in enumerate((h, v) for h in ("Licensed", "Released", "Distributed", "This work is licensed", "This file is distributed") for v in ("", ", version 2", ", version 5", " 4.0"))
+    for k in range(1, 9)
+]
 NONE, UNKNOWN = "none", "unknown"
 CLASSES = [*TEMPLATES, UNKNOWN, NONE]
 #: A word is a run of these; punctuation parts words.
@@ -85,12 +91,18 @@ ORDER = 3
 #: Paragraphs of the corpus, without any of these stems, that stand for class none; rows of the smallest hashes.
 NEGATIVES = 2000
 STEMS = "licen[cs]|copyright|copyleft|redistribut|spdx|all rights reserved|public domain|warrant"
+#: Orders in which the templates' words stand for class none too, so that it is wording that tells and not its words.
+SCRAMBLED = 8
+#: Weight of class none beside any other class in the fit.
+NONE_WEIGHT = 3.0
 #: n-grams of the model at most, and the share of the negatives beyond which an n-gram is too common to tell anything.
 GRAMS = 20_000
 COMMON = 0.05
 PENALTY = 1e-3
 #: Share of the shorter one's n-grams that paragraph and template must have in common.
 OVERLAP = 0.5
+#: The same, from which a family that isn't sure is worth telling as UNKNOWN.
+TRACE = 0.25
 #: Precision that the threshold for a named family is set for, on rows kept from the fit.
 PRECISION = 0.98
 
@@ -121,34 +133,39 @@ class Model:
 
 
 def training_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(label, w array<string>): stretches of the templates and notices by class, and NEGATIVES paragraphs of docs."""
+    """(label, corpus boolean, w array<string>): stretches of the templates and notices by class; for class none their words in
+    SCRAMBLED other orders, and NEGATIVES paragraphs of docs."""
     spark = docs.sparkSession
-    said = [{"f": f, "t": t} for f, texts in TEMPLATES.items() for t in texts] + [{"f": UNKNOWN, "t": t} for t in UNKNOWN_NOTICES]
+    said = [{"f": f, "t": t} for f, texts in TEMPLATES.items() for t in texts] + [{"f": UNKNOWN, "t": t} for t in dict.fromkeys(UNKNOWN_NOTICES)]
     base = _rows(spark, said, "f string, t string").select("f", words(F.col("t")).alias("w"))
     # the whole text, and stretches of it long enough to tell
     spans = base.select("f", "w", F.explode(F.expr("concat(array(size(w)), filter(array(6, 10, 16, 24), n -> n < size(w) and size(w) > 8))")).alias("n"))
     spans = spans.select("f", "w", "n", F.explode(F.expr("sequence(1, size(w) - n + 1, greatest(1, n div 4))")).alias("i")).select("f", F.expr("slice(w, i, n)").alias("w"))
     named = _rows(spark, [{"f": f, "label": float(i)} for i, f in enumerate(CLASSES)], "f string, label double")
-    positive = spans.join(F.broadcast(named), "f").select("label", "w")
+    positive = spans.join(F.broadcast(named), "f").select("label", F.lit(False).alias("corpus"), "w")
+    mixed = base.select("w", F.explode(F.sequence(F.lit(1), F.lit(SCRAMBLED))).alias("s")).select(
+        F.lit(float(len(CLASSES) - 1)).alias("label"), F.lit(False).alias("corpus"), F.expr("slice(transform(array_sort(transform(w, x -> struct(xxhash64(x, s) as h, x as x))), y -> y.x), 1, 14)").alias("w")
+    )
     lines = docs.select(F.explode(F.split(text_col, "\n")).alias("t")).where(F.length("t") > 20).where(~F.lower("t").rlike(STEMS))
-    negative = lines.orderBy(F.xxhash64("t"), "t").limit(NEGATIVES).select(F.lit(float(len(CLASSES) - 1)).alias("label"), words(F.col("t")).alias("w"))
-    return positive.unionByName(negative).where("size(w) > 0")
+    negative = lines.orderBy(F.xxhash64("t"), "t").limit(NEGATIVES).select(F.lit(float(len(CLASSES) - 1)).alias("label"), F.lit(True).alias("corpus"), words(F.col("t")).alias("w"))
+    return positive.unionByName(mixed).unionByName(negative).where("size(w) > 0")
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """The model from templates and a bounded sample of docs. A fifth of the rows is kept from the fit, and sets the
     temperature of the probabilities and the threshold below which a family counts as UNKNOWN."""
-    rows = written(training_rows(docs, text_col).select("label", "w", grams("w").alias("g"), (F.pmod(F.xxhash64("w"), F.lit(5)) == 0).alias("out")), "training")
+    rows = written(training_rows(docs, text_col).select("label", "corpus", "w", grams("w").alias("g"), (F.pmod(F.xxhash64("w"), F.lit(5)) == 0).alias("out")), "training")
     none = float(len(CLASSES) - 1)
-    negatives = max(1, rows.where(F.col("label") == none).count())
-    each = rows.select("label", F.explode("g").alias("g")).groupBy("g").agg(F.count_if(F.col("label") == none).alias("no"), F.count_if(F.col("label") != none).alias("yes"))
+    negatives = max(1, rows.where("corpus").count())
+    each = rows.select("label", "corpus", F.explode("g").alias("g")).groupBy("g").agg(F.count_if("corpus").alias("no"), F.count_if(F.col("label") != none).alias("yes"))
     telling = F.broadcast(each.where((F.col("yes") > 0) & (F.col("no") <= COMMON * negatives)).orderBy(F.desc("yes"), "g").limit(GRAMS).select("g"))
     used = rows.withColumn("row", F.monotonically_increasing_id())
     sparse = used.select("row", F.explode("g").alias("g")).join(telling, "g").groupBy("row").agg(F.collect_list("g").alias("items"))
     used = written(used.join(sparse, "row", "left").select("label", "out", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")), "features")
     count = CountVectorizer(inputCol="items", outputCol="features", binary=True, vocabSize=GRAMS, minDF=1.0).fit(used)
-    x = count.transform(used)
-    lr = LogisticRegression(regParam=PENALTY, elasticNetParam=0.9, maxIter=60, family="multinomial").fit(x.where(~F.col("out")))
+    per_class = F.broadcast(used.where("not out").groupBy("label").agg((1 / F.count("*")).alias("weight")))
+    x = count.transform(used).join(per_class, "label", "left").withColumn("weight", 500 * F.coalesce("weight", F.lit(0.0)) * F.when(F.col("label") == none, NONE_WEIGHT).otherwise(1.0))
+    lr = LogisticRegression(weightCol="weight", regParam=PENALTY, elasticNetParam=0.9, maxIter=100, family="multinomial").fit(x.where(~F.col("out")))
     kept = lr.transform(x.where("out")).select("label", vector_to_array("rawPrediction").alias("m")).collect()  # a fifth of a bounded sample
     k = lr.coefficientMatrix.toArray()
     temperature, threshold = calibrate(np.array([r["label"] for r in kept], int), np.array([[*r["m"], *[-50.0] * (len(CLASSES) - len(r["m"]))] for r in kept]).reshape(-1, len(CLASSES)))
@@ -180,7 +197,8 @@ def calibrate(label: np.ndarray, margins: np.ndarray) -> tuple[float, float]:
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, n_paragraphs, found array<struct<paragraph, family, probability, overlap>>): for every row of docs the
     paragraphs (lines, from 0) that carry a licence: the family named with the threshold's confidence and confirmed by
-    one of its templates, or UNKNOWN where a licence shows but no family is sure.
+    one of its templates, or UNKNOWN where a licence shows but no family is sure (the model says so, or templates of the
+    family it names have a trace in common with the paragraph).
 
     Every word of every text is looked up: n-grams meet the model's in a broadcast join whose size has a bound
     (GRAMS), and only those that the model knows are shuffled, with one row for each document. Null and empty texts
@@ -216,7 +234,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     share = F.array(*[F.when(F.col("best") == owner[t], F.least(F.lit(1.0), F.col(f"t{t}") / F.greatest(F.lit(1), F.least(F.lit(n_grams[t]), 2 * F.col("n") - 3)))).otherwise(0.0) for t in range(len(sketches))])
     found = found.withColumn("overlap", F.array_max(share))
     sure = (F.col("best") < len(TEMPLATES)) & (F.col("p") >= model.threshold) & (F.col("overlap") >= OVERLAP)
-    family = F.when(sure, F.element_at(F.array(*map(F.lit, CLASSES)), (F.col("best") + 1).cast("int"))).when(F.col("best") < k - 1, UNKNOWN)
+    family = F.when(sure, F.element_at(F.array(*map(F.lit, CLASSES)), (F.col("best") + 1).cast("int"))).when(F.col("best") == k - 2, UNKNOWN).when((F.col("best") < k - 2) & (F.col("overlap") >= TRACE), UNKNOWN)
     one = F.when((F.col("at") >= 0) & family.isNotNull(), F.struct(F.col("at").alias("paragraph"), family.alias("family"), F.col("p").alias("probability"), "overlap"))
     return found.select("row", "id", "n_paragraphs", one.alias("one")).groupBy("row", "id", "n_paragraphs").agg(F.array_sort(F.collect_list("one")).alias("found"))
 
