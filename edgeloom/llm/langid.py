@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeloom.cluster import ship
+from edgeloom.cluster import ship, slices
 
 #: Labelled rows of each language that the regression is fitted on, and those of them that serve as landmarks.
 TRAIN_ROWS = 300
@@ -115,12 +115,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     place of their texts. Without such rows the model knows no language."""
     ship(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    ranked = known.distinct().selectExpr("*", "row_number() over (partition by lang order by xxhash64(id), id) as n").where(F.col("n") <= TRAIN_ROWS)
+    # in two steps, so that a language of most rows isn't ranked in one task
+    some = known.distinct().selectExpr("*", "xxhash64(id) as h").selectExpr("*", "row_number() over (partition by lang, pmod(h, 64) order by h, id) as part").where(F.col("part") <= TRAIN_ROWS)
+    ranked = some.selectExpr("id", "lang", "row_number() over (partition by lang order by h, id) as n").where(F.col("n") <= TRAIN_ROWS)
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     some = texts.join(F.broadcast(ranked), ["id", "lang"]).select("lang", "n", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [np.unique(grams(x, order)).astype("<i8").tobytes() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["lang", "n", "grams"])
 
@@ -169,7 +171,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*send.value)
-        for b in batches:
+        for b in slices(batches, BLOCK):
             lang, score = own.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(rows_at[x]) for x in out), pa.array(lang, pa.string()), pa.array(score)], names=names)
 
