@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeloom.cluster import ship, written
+from edgeloom.cluster import ship, slices, written
 
 CAPACITY = 2048
 #: Pieces that one bucket is meant to hold while pieces of one length are numbered.
@@ -30,7 +30,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "
 
         to_ids = word_ids(vocabulary).ids
         step = 4 * capacity
-        for b in batches:
+        for b in slices(batches):
             row, piece, ids = [], [], []
             held = 0
             for i, text in enumerate(b.column(1).to_pylist()):

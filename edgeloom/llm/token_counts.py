@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeloom.cluster import ship, written
+from edgeloom.cluster import ship, slices, written
 
 #: Pre-tokens of a byte-level vocabulary.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -22,7 +22,7 @@ PLAIN = re.compile("[^\t-\r -~\x85\xa0-˿]")
 FREQUENT = 100_000
 FREQUENT_CHARS = 40
 #: Distinct pre-tokens that a task holds before it passes their counts on.
-HELD = 400_000
+HELD = 100_000
 
 
 def pre_tokens(text: str, special: re.Pattern | None) -> list[str]:
@@ -57,7 +57,7 @@ def distinct_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([seen[k] for k in some], pa.int64())], names=["token", "freq"])
             seen.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 if text:
                     seen.update(pre_tokens(text, special))
@@ -67,10 +67,8 @@ def distinct_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text") ->
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(vocabulary)[0]
-        for b in batches:
-            n = []
-            for i in range(0, b.num_rows, 2000):
-                n += [len(x.ids) for x in tokenizer.encode_batch_fast(b.column(0).slice(i, 2000).to_pylist(), add_special_tokens=False)]
+        for b in slices(batches, 2000):
+            n = [len(x.ids) for x in tokenizer.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=["token", "freq", "pieces"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -94,7 +92,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special, frequent = load(vocabulary)[1], send.value
-        for b in batches:
+        for b in slices(batches):
             size, total, keys, freqs, lens = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 n, rest = 0, 0
