@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; beyond it the join is left to the shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Rows of a batch that goes to Python.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,8 +57,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once for each Spark context."""
+    """Sends this package to the executors' Python, once for each Spark context. Where the session leaves Spark's batch
+    size for Python as it is, it becomes BATCH_ROWS, since rows here are often whole texts."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_edgeloom_shipped", False):
         return
     root = Path(__file__).parent
