@@ -48,18 +48,17 @@ def k_hop_nodes(pairs: DataFrame, edges: DataFrame, hops: int, max_per_hop: int
 
 def _inside(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges (pair_id, u, v) between a pair's nodes, without the link between its ends."""
-    n = nodes.select("pair_id", "node_id")
-    out = n.withColumnRenamed("node_id", "u").join(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "u")
-    both = out.join(n.withColumnRenamed("node_id", "v"), ["pair_id", "v"])
-    link = pairs.select("pair_id", "src", "dst")
+    first = nodes.select("pair_id", F.col("node_id").alias("u")).join(pairs.select("pair_id", "src", "dst"), "pair_id")
     target = ((F.col("u") == F.col("src")) & (F.col("v") == F.col("dst"))) | ((F.col("u") == F.col("dst")) & (F.col("v") == F.col("src")))
-    return both.join(link, "pair_id").where(~target).select("pair_id", "u", "v")
+    out = first.join(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "u").where(~target).select("pair_id", "u", "v")
+    return out.join(nodes.select("pair_id", F.col("node_id").alias("v")), ["pair_id", "v"]).select("pair_id", "u", "v")
 
 
 def induced_pairwise(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(pair_id, u, v, w): edges between different nodes of each pair's subgraph, both ways, each once with w = 1,
     whichever way and however often they are stored."""
-    e = _inside(pairs, nodes, edges).where("u <> v").select("pair_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    once = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    e = _inside(pairs, nodes, once)
     return e.unionByName(e.select("pair_id", F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("w", F.lit(1))
 
 
@@ -112,7 +111,7 @@ def labels(pairs: DataFrame, nodes: DataFrame, sub_edges: DataFrame, kind: str)
     ship(nodes.sparkSession)
     removed, label = DISTANCE_LABELS[kind]
     lists = nodes.groupBy("pair_id").agg(F.array_sort(F.collect_set("node_id")).alias("ids"))
-    links = sub_edges.groupBy("pair_id").agg(F.collect_list(F.struct("u", "v")).alias("links"))
+    links = sub_edges.groupBy("pair_id").agg(F.collect_list(F.shiftleft(F.col("u").cast("long"), 32) + F.col("v")).alias("links"))
     rows = pairs.select("pair_id", "src", "dst").join(lists, "pair_id").join(links, "pair_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,14 +119,15 @@ def labels(pairs: DataFrame, nodes: DataFrame, sub_edges: DataFrame, kind: str)
             pair, node, z = [], [], []
             for r in b.itertuples(index=False):
                 near: dict[int, list[int]] = {}
-                for x in r.links if r.links is not None else ():
-                    near.setdefault(x["u"], []).append(x["v"])
-                    near.setdefault(x["v"], []).append(x["u"])
+                for x in r.links.tolist() if r.links is not None else ():
+                    u, v = x >> 32, x & 0xFFFFFFFF
+                    near.setdefault(u, []).append(v)
+                    near.setdefault(v, []).append(u)
                 s = _distances(near, r.src, r.dst if removed else None)
                 t = _distances(near, r.dst, r.src if removed else None)
                 if removed:
                     s[r.dst] = t[r.src] = 0
-                for i in r.ids:
+                for i in r.ids.tolist():
                     pair.append(r.pair_id)
                     node.append(i)
                     z.append([1] if kind == "drnl" and i in (r.src, r.dst) else label(s.get(i), t.get(i)))
