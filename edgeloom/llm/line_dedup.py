@@ -116,8 +116,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col).alias("id"), F.posexplode(F.transform(F.split(text_col, "\n"), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("h"), F.hash(F.trim(x)).alias("g"), F.length(F.trim(x)).alias("n")))).alias("pos", "x")
     ).select("id", "pos", "x.h", "x.g", "x.n").where("n > 0")
     shared = lines.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("c")).where("first < last").select("h", "g", "first", "c")
-    # only lines that two documents share can be aligned
-    held = written(lines.join(shared, ["h", "g"]), "lines")
+    # only lines that two documents share can be aligned; both sides are shuffled, so that a frequent line can be split
+    held = written(lines.join(written(shared, "shared"), ["h", "g"]), "lines")
     rare = held.where((F.col("c") <= RARE) & (F.col("n") >= line_chars)).selectExpr("id", "lag(id) over (partition by h, g order by id) as other")
     pairs = held.where(F.col("n") >= line_chars).select("id", F.col("first").alias("other")).union(rare).where("id > other").distinct()
     seqs = written(held.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "h", "n"))).alias("lines")), "sequences")
