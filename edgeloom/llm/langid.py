@@ -116,7 +116,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ship(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     # in two steps, so that a language of most rows isn't ranked in one task
-    some = known.distinct().selectExpr("*", "xxhash64(id) as h").selectExpr("*", "row_number() over (partition by lang, pmod(h, 64) order by h, id) as part").where(F.col("part") <= TRAIN_ROWS)
+    some = known.distinct().selectExpr("*", "xxhash64(id) as h").selectExpr("*", "row_number() over (partition by lang, pmod(h, 16) order by h, id) as part").where(F.col("part") <= TRAIN_ROWS)
     ranked = some.selectExpr("id", "lang", "row_number() over (partition by lang order by h, id) as n").where(F.col("n") <= TRAIN_ROWS)
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     some = texts.join(F.broadcast(ranked), ["id", "lang"]).select("lang", "n", "text")
@@ -180,7 +180,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def drop_unidentified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose language can't be told (UNKNOWN); columns as they are."""
+    """docs without the rows whose language can't be told (UNKNOWN); columns as they are. A model that knows no language
+    rejects only texts that are null or without a letter."""
+    if not model.languages:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     clash = {x: f"__{i}" for i, x in enumerate(docs.columns) if x in ("lang_pred", "score")}
     safe = docs.withColumnsRenamed(clash)
     found = identify(safe, model, text_col=text_col, keep=True)
