@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; beyond it the join is left to the shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 #: Rows of a batch that goes to Python.
 BATCH_ROWS = 2000
 
