@@ -165,7 +165,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     count = CountVectorizer(inputCol="items", outputCol="features", binary=True, vocabSize=GRAMS, minDF=1.0).fit(used)
     per_class = F.broadcast(used.where("not out").groupBy("label").agg((1 / F.count("*")).alias("weight")))
     x = count.transform(used).join(per_class, "label", "left").withColumn("weight", 500 * F.coalesce("weight", F.lit(0.0)) * F.when(F.col("label") == none, NONE_WEIGHT).otherwise(1.0))
-    lr = LogisticRegression(weightCol="weight", regParam=PENALTY, elasticNetParam=0.9, maxIter=100, family="multinomial").fit(x.where(~F.col("out")))
+    x = x.coalesce(1)  # a bounded sample, which many short rounds go over
+    lr = LogisticRegression(weightCol="weight", regParam=PENALTY, elasticNetParam=0.9, maxIter=50, family="multinomial").fit(x.where(~F.col("out")))
     kept = lr.transform(x.where("out")).select("label", vector_to_array("rawPrediction").alias("m")).collect()  # a fifth of a bounded sample
     k = lr.coefficientMatrix.toArray()
     temperature, threshold = calibrate(np.array([r["label"] for r in kept], int), np.array([[*r["m"], *[-50.0] * (len(CLASSES) - len(r["m"]))] for r in kept]).reshape(-1, len(CLASSES)))
