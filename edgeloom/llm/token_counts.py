@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,11 +19,11 @@ from edgeloom.cluster import ship, slices, written
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters on whose class every library agrees; a text with another one counts as one pre-token.
 PLAIN = re.compile("[^\t-\r -~\x85\xa0-˿]")
-#: The most frequent pre-tokens that each task gets whole, and their greatest length: a broadcast of bounded size.
-FREQUENT = 100_000
+#: Frequent pre-tokens at most that each task gets whole, and their greatest length: a broadcast of bounded size.
+FREQUENT = 50_000
 FREQUENT_CHARS = 40
 #: Distinct pre-tokens that a task holds before it passes their counts on.
-HELD = 100_000
+HELD = 50_000
 
 
 def pre_tokens(text: str, special: re.Pattern | None) -> list[str]:
@@ -33,21 +34,28 @@ def pre_tokens(text: str, special: re.Pattern | None) -> list[str]:
     return PRE_TOKEN.findall(text)
 
 
+@functools.cache
 def load(path: str):
+    """The tokenizer, once for each Python worker."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    added = [re.escape(x.content) for x in t.get_added_tokens_decoder().values()]
-    return t, re.compile("|".join(added)) if added else None
+    return Tokenizer.from_file(path)
+
+
+def special_strings(path: str) -> re.Pattern | None:
+    """The strings of a vocabulary's special tokens. Found on the driver, so that tasks which don't encode need no
+    tokenizer."""
+    added = [re.escape(x.content) for x in load(path).get_added_tokens_decoder().values()]
+    return re.compile("|".join(added)) if added else None
 
 
 def distinct_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
     """(token, freq, pieces): each distinct pre-token of all texts, how often it occurs, and of how many pieces it
     consists. Tasks add up what they hold before the shuffle."""
     ship(docs.sparkSession)
+    special = special_strings(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special = load(vocabulary)[1]
         seen: Counter[str] = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -66,7 +74,7 @@ def distinct_pieces(docs: DataFrame, vocabulary: str, text_col: str = "text") ->
         yield from out()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(vocabulary)[0]
+        tokenizer = load(vocabulary)
         for b in slices(batches, 2000):
             n = [len(x.ids) for x in tokenizer.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=["token", "freq", "pieces"])
@@ -80,18 +88,19 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """(id, n_bytes, n_tokens) for every row: UTF-8 bytes of its whole text, and tokens as the vocabulary's library
     counts them, without begin or end. Null texts count as empty: 0 and 0.
 
-    Pieces are counted once for each distinct pre-token and written down. The FREQUENT most frequent ones go to every
-    task and join a document's frequencies there; the frequencies of all others are joined by a shuffle, in which no
+    Pieces are counted once for each distinct pre-token and written down. The most frequent ones, FREQUENT at most, go
+    to every task and join a document's frequencies there; the frequencies of all others are joined by a shuffle, in which no
     key is hot since the hot ones are the frequent ones. Repeated rows and ids stay separate rows; other columns are
     ignored.
     """
-    spark = docs.sparkSession
+    spark, special = docs.sparkSession, special_strings(vocabulary)
     known = written(distinct_pieces(docs, vocabulary, text_col), "pieces")
-    top = known.where(F.length("token") <= FREQUENT_CHARS).orderBy(F.desc("freq"), "token").limit(FREQUENT)
-    send = spark.sparkContext.broadcast({r[0]: r[1] for r in top.select("token", "pieces").toLocalIterator()})
+    short = known.where(F.length("token") <= FREQUENT_CHARS).withColumn("band", F.floor(8 * F.log2("freq")).cast("int"))
+    least = _least_band([(r[0], r[1]) for r in short.groupBy("band").count().collect()])  # 8 bands for each power of two
+    send = spark.sparkContext.broadcast({r[0]: r[1] for r in short.where(F.col("band") >= least).select("token", "pieces").toLocalIterator()})
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special, frequent = load(vocabulary)[1], send.value
+        frequent = send.value
         for b in slices(batches):
             size, total, keys, freqs, lens = [], [], [], [], []
             for text in b.column(1).to_pylist():
@@ -113,11 +122,23 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     kinds = T.StructType([rows.schema["id"], *T.StructType.fromDDL("row long, n_bytes long, n long, rest array<struct<token string, freq long>>").fields])
     part = written(rows.mapInArrow(join, kinds), "parts")
+    send.unpersist()
     rest = part.select("row", F.explode("rest").alias("x")).select("row", "x.token", "x.freq").join(known.select("token", "pieces"), "token")
     rest = rest.groupBy("row").agg(F.sum(F.col("freq") * F.col("pieces")).alias("more"))
     return part.select("row", "id", "n_bytes", "n").join(rest, "row", "left").select(F.col("id").alias(id_col), "n_bytes", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
 
 
+def _least_band(bands: list[tuple[int, int]]) -> int:
+    """The band of frequency from which on there are FREQUENT pre-tokens at most."""
+    n, least = 0, max((b for b, _ in bands), default=0) + 1
+    for band, count in sorted(bands, reverse=True):
+        n += count
+        if n > FREQUENT:
+            break
+        least = band
+    return least
+
+
 def _sums(lens: list[int]) -> Iterator[int]:
     n = 0
     for x in lens:

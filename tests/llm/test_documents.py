@@ -199,7 +199,7 @@ def test_plan_is_gapless_and_tight(seed):
 def test_token_counts_match_the_library(spark, docs, monkeypatch):
     monkeypatch.setattr(token_counts, "FREQUENT", 500)
     vocabulary = queries.vocabulary("byte_bpe_50k.json")
-    tokenizer = token_counts.load(vocabulary)[0]
+    tokenizer = token_counts.load(vocabulary)
     given = docs.select("doc_id", "text").union(odd(spark).select("doc_id", "text"))
     got = sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(given, vocabulary).collect())
     assert got == sorted((r.doc_id, len((r.text or "").encode()), len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in given.collect())
