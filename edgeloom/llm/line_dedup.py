@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -83,13 +84,47 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def stretches(lines: list[dict], block_chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """The shortest stretches (from, to) of block_chars or more that start or end at each line; lines are given as
+    {pos, h, n} by rising pos, and a stretch has lines that follow each other. The stretches inside a block cover all
+    of it."""
+    low = i = chars = 0
+    for j, x in enumerate(lines):
+        if j and x["pos"] != lines[j - 1]["pos"] + 1:
+            low, i, chars = j, j, 0
+        chars += x["n"]
+        was = i
+        while chars >= block_chars:
+            chars -= lines[i]["n"]
+            i += 1
+        # the lines before i are those that reach block_chars by j; those from was on do so here first
+        for k in range(min(was, i - 1), i) if i > low else ():
+            yield k, j + 1
+
+
+def digests(lines: list[dict], block_chars: int = BLOCK_CHARS) -> set[bytes]:
+    """Of the stretches of two or more lines, those of one being known by their line."""
+    return {xxhash.xxh3_128_digest(b"".join(x["h"].to_bytes(8, "little", signed=True) for x in lines[k:m])) for k, m in stretches(lines, block_chars) if m > k + 1}
+
+
 def common_blocks(later: list[dict], earlier: list[dict], block_chars: int = BLOCK_CHARS) -> list[int]:
     """Indexes into later of the lines that stand in an aligned block of block_chars or more; lines are given as
-    {pos, h, n}, and a block has lines that follow each other on both sides."""
+    {pos, h, n}, and a block has lines that follow each other on both sides. Only lines of stretches that both hold are
+    aligned, so that no line that can't be in such a block comes in the way of one that can."""
+    both = {x["h"] for x in later} & {x["h"] for x in earlier}
+    sides, spans = [], []
+    for side in (later, earlier):
+        at = [i for i, x in enumerate(side) if x["h"] in both]
+        lines = [side[i] for i in at]
+        sides.append((at, lines))
+        spans.append([(tuple(x["h"] for x in lines[k:m]), k, m) for k, m in stretches(lines, block_chars)])
+    held = {x[0] for x in spans[0]} & {x[0] for x in spans[1]}
+    a, b = ([at[i] for i in sorted({i for key, k, m in span if key in held for i in range(k, m)})] for (at, _), span in zip(sides, spans, strict=True))
     out: list[int] = []
     block: list[int] = []
     chars, last = 0, (-2, -2)
-    for i, j in align([x["h"] for x in later], [x["h"] for x in earlier]):
+    for i, j in align([later[i]["h"] for i in a], [earlier[j]["h"] for j in b]):
+        i, j = a[i], b[j]
         at = (later[i]["pos"], earlier[j]["pos"])
         if at != (last[0] + 1, last[1] + 1):
             if chars >= block_chars:
@@ -106,10 +141,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Lines are split at line feeds and compared without outer blanks, by two hashes. A document is aligned with the
     first document (smallest id) that holds one of its lines, for every line of line_chars or more that an earlier
-    document holds too, and with its predecessor in each rare line. So pairs grow with the occurrences of lines, never
-    with the square of a line's frequency, and no repeated line goes without a partner. A line is only lost to an equal
-    line of an earlier document, so the first document that holds it keeps it. Documents that lose nothing, null texts
-    and null ids have no row; repeated rows with one id count as one document.
+    document holds too, with the first one that holds one of its stretches of two or more lines, however short the lines and
+    frequent the stretch, and with its predecessor in each rare line or stretch. So pairs grow with the occurrences of
+    lines, never with the square of a line's frequency, and no repeated line or block goes without a partner. A line is
+    only lost to an equal line of an earlier document, so the first document that holds it keeps it. Documents that lose
+    nothing, null texts and null ids have no row; repeated rows with one id count as one document.
     """
     ship(docs.sparkSession)
     lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -119,8 +155,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # only lines that two documents share can be aligned; both sides are shuffled, so that a frequent line can be split
     held = written(lines.join(written(shared, "shared"), ["h", "g"]), "lines")
     rare = held.where((F.col("c") <= RARE) & (F.col("n") >= line_chars)).selectExpr("id", "lag(id) over (partition by h, g order by id) as other")
-    pairs = held.where(F.col("n") >= line_chars).select("id", F.col("first").alias("other")).union(rare).where("id > other").distinct()
     seqs = written(held.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "h", "n"))).alias("lines")), "sequences")
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [digests(x.as_py(), block_chars) for x in b.column(1)]
+            row = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([w for x in found for w in x], pa.binary())], names=["id", "w"])
+
+    blocks = written(seqs.select("id", "lines").mapInArrow(cover, T.StructType([seqs.schema["id"], T.StructField("w", T.BinaryType())])), "stretches")
+    common = blocks.groupBy("w").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("c")).where("first < last").select("w", "first", "c")
+    alike = written(blocks.join(common, "w"), "alike")
+    few = alike.where(F.col("c") <= RARE).selectExpr("id", "lag(id) over (partition by w order by id) as other")
+    firsts = held.where(F.col("n") >= line_chars).select("id", F.col("first").alias("other")).union(alike.select("id", F.col("first").alias("other")))
+    pairs = firsts.union(rare).union(few).where("id > other").distinct()
     met = pairs.join(seqs, "id").join(seqs.select(F.col("id").alias("other"), F.col("lines").alias("others")), "other").select("id", "lines", "others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

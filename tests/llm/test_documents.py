@@ -253,6 +253,40 @@ def test_line_dedup(spark):
     assert line_dedup.drop_repeated_lines(d.limit(0)).count() == 0
 
 
+def test_line_dedup_meets_the_first_holder_of_every_block(spark):
+    a, b = "a frequent line of thirty-odd characters", "another frequent line, held by very many"
+    texts = {i: f"{(a, b)[i % 2]}\nown words {i}" for i in range(60)}
+    texts |= {60: f"{a}\n{b}", 61: f"start\n{a}\n{b}\nend", 62: f"{b}\n{a}"}
+    texts |= {i: texts[i % 2] for i in range(64, 100)}  # the block's holders and their neighbours in each line lie apart
+    short = "\n".join(f"step {i}" for i in range(12))
+    texts |= {100: f"{a}\n{b}\nx", 101: short, 102: f"a title\n{short}\nthe end"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(d).collect()}
+    assert got[61] == "start\nend" and got[100] == "x" and got[102] == "a title\nthe end"
+    assert all(got[i] == texts[i] for i in (*range(61), 62, 101))
+
+
+def test_short_lines_do_not_keep_a_block_from_its_like():
+    def lines(*x):
+        return [{"pos": i, "h": h, "n": n} for i, (h, n) in enumerate(x)]
+
+    assert line_dedup.common_blocks(lines((1, 80), (2, 9), (3, 9)), lines((2, 9), (3, 9), (4, 20), (1, 80))) == [0]
+    assert line_dedup.common_blocks(lines((1, 40), (2, 30), (3, 5)), lines((1, 40), (2, 30), (3, 5))) == [0, 1, 2]
+    assert line_dedup.common_blocks(lines((1, 40), (2, 19)), lines((1, 40), (2, 19))) == []
+
+
+def test_stretches_cover_every_long_run():
+    rng = random.Random(4)
+    for _ in range(300):
+        side = [{"pos": i, "h": i, "n": rng.randint(1, 30)} for i in range(40) if rng.random() < 0.8]
+        got = list(line_dedup.stretches(side))
+        assert len(got) == len(set(got))
+        runs = {(k, m) for k, m in itertools.combinations(range(len(side) + 1), 2) if side[m - 1]["pos"] - side[k]["pos"] == m - 1 - k and sum(x["n"] for x in side[k:m]) >= 60}
+        assert set(got) <= runs
+        for k, m in runs:
+            assert {i for x, y in got if k <= x and y <= m for i in range(x, y)} == set(range(k, m))
+
+
 def test_line_dedup_on_the_table(spark, docs):
     before = {r.doc_id: r.text for r in docs.collect()}
     after = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()}
