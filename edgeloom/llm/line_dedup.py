@@ -1,4 +1,4 @@
-"""Line dedup: documents that share lines are aligned pair by pair, and the later one loses the common blocks."""
+"""Line dedup: documents that share runs of lines are aligned pair by pair, and the later one loses the common blocks."""
 
 from __future__ import annotations
 
@@ -14,14 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeloom.cluster import ship, written
+from edgeloom.cluster import ship, slices, written
 
-#: Characters of a line that can bring two documents together.
-LINE_CHARS = 15
 #: Characters of an aligned block that is worth deleting.
 BLOCK_CHARS = 60
-#: A line of so many occurrences at most is rare, and also brings neighbours in the order of ids together.
-RARE = 20
+#: Rows of runs that go to Spark at a time.
+RUN_ROWS = 50_000
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -84,124 +82,137 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def stretches(lines: list[dict], block_chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """The shortest stretches (from, to) of block_chars or more that start or end at each line; lines are given as
-    {pos, h, n} by rising pos, and a stretch has lines that follow each other. The stretches inside a block cover all
-    of it."""
-    low = i = chars = 0
-    for j, x in enumerate(lines):
-        if j and x["pos"] != lines[j - 1]["pos"] + 1:
-            low, i, chars = j, j, 0
-        chars += x["n"]
+def numbered(text: str) -> tuple[list[int], list[str]]:
+    """Where the lines that aren't blank stand, and those lines without outer blanks. Lines end at line feeds."""
+    at, lines = [], []
+    for i, x in enumerate(text.split("\n")):
+        if x := x.strip(" "):
+            at.append(i)
+            lines.append(x)
+    return at, lines
+
+
+def runs(sizes: list[int], block_chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """The shortest runs (from, to) of lines that have block_chars or more and start, or end, at some line, each once
+    and by rising end. The runs inside any stretch of block_chars or more cover all of it."""
+    i = chars = 0
+    for j, n in enumerate(sizes):
+        chars += n
         was = i
         while chars >= block_chars:
-            chars -= lines[i]["n"]
+            chars -= sizes[i]
             i += 1
-        # the lines before i are those that reach block_chars by j; those from was on do so here first
-        for k in range(min(was, i - 1), i) if i > low else ():
+        # the lines before i reach block_chars by j; those from was on do so here first
+        for k in range(min(was, i - 1), i) if i else ():
             yield k, j + 1
 
 
-def digests(lines: list[dict], block_chars: int = BLOCK_CHARS) -> set[bytes]:
-    """Of the stretches of two or more lines, those of one being known by their line."""
-    return {xxhash.xxh3_128_digest(b"".join(x["h"].to_bytes(8, "little", signed=True) for x in lines[k:m])) for k, m in stretches(lines, block_chars) if m > k + 1}
-
-
-def common_blocks(later: list[dict], earlier: list[dict], block_chars: int = BLOCK_CHARS) -> list[int]:
-    """Indexes into later of the lines that stand in an aligned block of block_chars or more; lines are given as
-    {pos, h, n}, and a block has lines that follow each other on both sides. Only lines of stretches that both hold are
-    aligned, so that no line that can't be in such a block comes in the way of one that can."""
-    both = {x["h"] for x in later} & {x["h"] for x in earlier}
-    sides, spans = [], []
-    for side in (later, earlier):
-        at = [i for i, x in enumerate(side) if x["h"] in both]
-        lines = [side[i] for i in at]
-        sides.append((at, lines))
-        spans.append([(tuple(x["h"] for x in lines[k:m]), k, m) for k, m in stretches(lines, block_chars)])
-    held = {x[0] for x in spans[0]} & {x[0] for x in spans[1]}
-    a, b = ([at[i] for i in sorted({i for key, k, m in span if key in held for i in range(k, m)})] for (at, _), span in zip(sides, spans, strict=True))
-    out: list[int] = []
-    block: list[int] = []
-    chars, last = 0, (-2, -2)
-    for i, j in align([later[i]["h"] for i in a], [earlier[j]["h"] for j in b]):
-        i, j = a[i], b[j]
-        at = (later[i]["pos"], earlier[j]["pos"])
-        if at != (last[0] + 1, last[1] + 1):
-            if chars >= block_chars:
-                out += block
-            block, chars = [], 0
-        block.append(i)
-        chars += later[i]["n"]
-        last = at
-    return out + block if chars >= block_chars else out
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_chars: int = LINE_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(id, cuts array<struct<pos, h>>): the lines, by position and hash, that each document loses.
-
-    Lines are split at line feeds and compared without outer blanks, by two hashes. A document is aligned with the
-    first document (smallest id) that holds one of its lines, for every line of line_chars or more that an earlier
-    document holds too, with the first one that holds one of its stretches of two or more lines, however short the lines and
-    frequent the stretch, and with its predecessor in each rare line or stretch. So pairs grow with the occurrences of
-    lines, never with the square of a line's frequency, and no repeated line or block goes without a partner. A line is
-    only lost to an equal line of an earlier document, so the first document that holds it keeps it. Documents that lose
-    nothing, null texts and null ids have no row; repeated rows with one id count as one document.
-    """
+def aligned_lines(pos: list[int], size: list[int], at: list[int], run: list[int]) -> list[int]:
+    """The lines that a document loses to an earlier one, from the runs that both hold: the run with key run[k] starts
+    at line pos[k] here, at line at[k] there, and has size[k] lines.
+
+    Both sides' runs are aligned by patience diff, and the lines of aligned runs go. What was moved or repeated can't
+    be in one rising alignment: its runs are aligned once more among themselves, and those that still cross others
+    each on its own."""
+    cut: set[int] = set()
+    left = sorted(range(len(pos)), key=lambda k: (pos[k], size[k]))
+    for _ in range(2):
+        there = sorted({(at[k], size[k], run[k]) for k in left})
+        met = {i for i, _ in align([run[k] for k in left], [x[2] for x in there])}
+        for i in met:
+            cut.update(range(pos[left[i]], pos[left[i]] + size[left[i]]))
+        left = [k for i, k in enumerate(left) if i not in met]
+    for k in left:
+        cut.update(range(pos[k], pos[k] + size[k]))
+    return sorted(cut)
+
+
+def held_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(id, t, run binary, pos, size): the runs of every different text t of an id, by digest; see runs."""
     ship(docs.sparkSession)
-    lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.posexplode(F.transform(F.split(text_col, "\n"), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("h"), F.hash(F.trim(x)).alias("g"), F.length(F.trim(x)).alias("n")))).alias("pos", "x")
-    ).select("id", "pos", "x.h", "x.g", "x.n").where("n > 0")
-    shared = lines.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("c")).where("first < last").select("h", "g", "first", "c")
-    # only lines that two documents share can be aligned; both sides are shuffled, so that a frequent line can be split
-    held = written(lines.join(written(shared, "shared"), ["h", "g"]), "lines")
-    rare = held.where((F.col("c") <= RARE) & (F.col("n") >= line_chars)).selectExpr("id", "lag(id) over (partition by h, g order by id) as other")
-    seqs = written(held.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "h", "n"))).alias("lines")), "sequences")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [digests(x.as_py(), block_chars) for x in b.column(1)]
-            row = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([w for x in found for w in x], pa.binary())], names=["id", "w"])
-
-    blocks = written(seqs.select("id", "lines").mapInArrow(cover, T.StructType([seqs.schema["id"], T.StructField("w", T.BinaryType())])), "stretches")
-    common = blocks.groupBy("w").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("c")).where("first < last").select("w", "first", "c")
-    alike = written(blocks.join(common, "w"), "alike")
-    few = alike.where(F.col("c") <= RARE).selectExpr("id", "lag(id) over (partition by w order by id) as other")
-    firsts = held.where(F.col("n") >= line_chars).select("id", F.col("first").alias("other")).union(alike.select("id", F.col("first").alias("other")))
-    pairs = firsts.union(rare).union(few).where("id > other").distinct()
-    met = pairs.join(seqs, "id").join(seqs.select(F.col("id").alias("other"), F.col("lines").alias("others")), "other").select("id", "lines", "others")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, pos, h = [], [], []
-            for k in range(b.num_rows):
-                mine = b.column(1)[k].as_py()
-                for i in common_blocks(mine, b.column(2)[k].as_py(), block_chars):
+        for b in slices(batches, 64):
+            row, key, pos, size = [], [], [], []
+            for k, text in enumerate(b.column(2).to_pylist()):
+                plain = numbered(text)[1]
+                lines = [x.encode() for x in plain]
+                for i, j in runs([len(x) for x in plain], block_chars):
                     row.append(k)
-                    pos.append(mine[i]["pos"])
-                    h.append(mine[i]["h"])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(pos, pa.int32()), pa.array(h, pa.int64())], names=["id", "pos", "h"])
+                    key.append(xxhash.xxh3_128_digest(b"\n".join(lines[i:j])))
+                    pos.append(i)
+                    size.append(j - i)
+                if len(row) >= RUN_ROWS:
+                    yield _run_rows(b, row, key, pos, size)
+                    row, key, pos, size = [], [], [], []
+            yield _run_rows(b, row, key, pos, size)
+
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(cover, T.StructType([*texts.schema.fields[:2], *T.StructType.fromDDL("run binary, pos int, size int").fields]))
 
-    cut = met.mapInArrow(run, T.StructType([met.schema["id"], T.StructField("pos", T.IntegerType()), T.StructField("h", T.LongType())]))
-    return cut.groupBy("id").agg(F.collect_set(F.struct("pos", "h")).alias("cuts")).withColumnRenamed("id", id_col)
 
+def _run_rows(b: pa.RecordBatch, row: list[int], key: list[bytes], pos: list[int], size: list[int]) -> pa.RecordBatch:
+    at = pa.array(row, pa.int64())
+    return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(key, pa.binary()), pa.array(pos, pa.int32()), pa.array(size, pa.int32())], names=["id", "t", "run", "pos", "size"])
 
-def without(text: str, pos: list[int], h: list[int]) -> str:
-    """text without the lines at pos, each only if it has the hash it is to have."""
-    cut = dict(zip(pos, h, strict=True))
-    kept = [x for i, x in enumerate(text.split("\n")) if i not in cut or xxhash.xxh64_intdigest(x.strip(" ").encode(), 42) != cut[i] % (1 << 64)]
-    return "\n".join(kept)
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(id, t, cuts array<int>): the lines, by number among those that aren't blank, that each document's text t loses.
+
+    Lines are split at line feeds and compared without outer blanks; blank ones count for nothing. A short line is
+    frequent and says little, so a line counts by its runs: the shortest runs of lines around it that reach
+    block_chars, the least that can be deleted (a long line is a run of its own). A document is aligned with the first
+    document (smallest id) that holds one of its runs, for each of its runs that an earlier document holds. Whichever
+    earlier document is met, an aligned run goes, and the first holder has them all: so the result is the same as from
+    aligning every two documents, for short, frequent and rare lines alike, while pairs grow with the occurrences of runs.
+    Of a pair only the shared runs are shuffled, as digest and place, never the documents.
+
+    Documents that lose nothing, null texts and null ids have no row. Different texts of one id are cut each for
+    itself, and none to another of that id.
+    """
+    every = written(held_runs(docs, id_col, text_col, block_chars), "runs")
+    shared = every.groupBy("run").agg(F.min(F.struct("id", "t", "pos")).alias("first"), F.max("id").alias("last")).where("first.id < last").select("run", "first")
+    # both sides are shuffled, so that a frequent run can be split
+    met = every.join(written(shared, "shared"), "run").where("id > first.id")
+    pairs = met.groupBy("id", "t", F.col("first.id").alias("oid"), F.col("first.t").alias("ot")).agg(F.collect_list(F.struct("pos", "size", F.col("first.pos").alias("at"), "run")).alias("x"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            cuts = []
+            for k in range(b.num_rows):
+                x = b.column(2)[k].values
+                number: dict[bytes, int] = {}
+                run = [number.setdefault(w, len(number)) for w in x.field(3).to_pylist()]
+                cuts.append(aligned_lines(x.field(0).to_pylist(), x.field(1).to_pylist(), x.field(2).to_pylist(), run))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cuts, pa.list_(pa.int32()))], names=["id", "t", "cuts"])
+
+    rows = pairs.select("id", "t", "x")
+    cut = rows.mapInArrow(meet, T.StructType([*rows.schema.fields[:2], T.StructField("cuts", T.ArrayType(T.IntegerType()))]))
+    return cut.groupBy("id", "t").agg(F.flatten(F.collect_list("cuts")).alias("cuts")).withColumnRenamed("id", id_col)
+
+
+def without(text: str, cuts: np.ndarray) -> str:
+    """text without the lines of these numbers, and without the blank ones between two of them."""
+    lines = text.split("\n")
+    at, _ = numbered(text)
+    gone = sorted(set(map(int, cuts)))
+    keep = np.ones(len(lines), bool)
+    for i, k in enumerate(gone):
+        keep[at[k]] = False
+        if i and gone[i - 1] == k - 1:
+            keep[at[k - 1] : at[k]] = False
+    return "\n".join(x for x, stays in zip(lines, keep.tolist(), strict=True) if stays)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with their repeated lines cut from text_col (see repeated_lines); all rows and columns stay. A text that
-    loses every line becomes empty. Only texts that lose lines pass through Python."""
-    cuts = repeated_lines(docs, id_col, text_col, **how).select(F.col(id_col).alias("__id"), F.col("cuts.pos").alias("__pos"), F.col("cuts.h").alias("__h"))
+    loses every line becomes empty. Only texts that lose lines pass through Python. An empty table stays empty."""
+    cuts = repeated_lines(docs, id_col, text_col, **how).select(F.col(id_col).alias("__id"), F.col("t").alias("__t"), F.col("cuts").alias("__cuts"))
 
     @F.pandas_udf("string")
-    def rewrite(text: pd.Series, pos: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else without(x, [int(k) for k in p], [int(k) for k in q]) for x, p, q in zip(text, pos, h, strict=True)], dtype=object)
+    def rewrite(text: pd.Series, cuts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else without(x, c) for x, c in zip(text, cuts, strict=True)], dtype=object)
 
-    both = docs.join(cuts, F.col(id_col) == F.col("__id"), "left")
-    new = rewrite(F.when(F.col("__pos").isNotNull(), F.col(text_col)), F.col("__pos"), F.col("__h"))
+    both = docs.join(cuts, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__t")), "left")
+    new = rewrite(F.when(F.col("__cuts").isNotNull(), F.col(text_col)), F.col("__cuts"))
     return both.withColumn(text_col, F.coalesce(new, F.col(text_col))).select(docs.columns)

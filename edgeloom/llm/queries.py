@@ -97,6 +97,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM h GROUP BY conv_id
 """
 
+#: A line goes if it lies in a run of lines, of 60 characters or more, that an earlier document holds too; the shortest
+#: runs that start or end at a line cover all others. All columns stay.
+OP7_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents WHERE doc_id IS NOT NULL),
+x AS (SELECT doc_id, p, trim(line) AS x, length(trim(line)) AS n, row_number() OVER w AS i, sum(length(trim(line))) OVER w AS z
+      FROM l WHERE trim(line) <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT a.doc_id, a.i AS i, b.i AS j FROM x a ASOF JOIN x b ON a.doc_id = b.doc_id AND a.z - a.n + 60 <= b.z
+         UNION SELECT b.doc_id, a.i, b.i FROM x b ASOF JOIN x a ON b.doc_id = a.doc_id AND b.z - 60 >= a.z - a.n),
+whole AS (SELECT doc_id, list(x ORDER BY i) AS xs FROM x GROUP BY doc_id),
+keyed AS (SELECT doc_id, i, j, array_to_string(list_slice(xs, i, j), chr(10)) AS k FROM runs JOIN whole USING (doc_id)),
+cut AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM keyed JOIN (SELECT k, min(doc_id) AS first FROM keyed GROUP BY k) USING (k) WHERE doc_id > first),
+gone AS (SELECT doc_id, p FROM cut JOIN x USING (doc_id, i)
+         UNION SELECT a.doc_id, l.p FROM (SELECT doc_id, x.i, x.p FROM cut JOIN x USING (doc_id, i)) a
+         JOIN (SELECT doc_id, x.i, x.p FROM cut JOIN x USING (doc_id, i)) b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN l ON l.doc_id = a.doc_id AND l.p > a.p AND l.p < b.p),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT documents.* REPLACE (CASE WHEN documents.text IS NULL OR documents.doc_id IS NULL THEN documents.text ELSE coalesce(kept.text, '') END AS text)
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
 OP8_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
@@ -117,4 +136,4 @@ FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 """
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_chat_formatting, op4_url_filters, op5_best_fit_packing, op6_nearest_neighbours, op7_line_dedup, op8_benchmark_decontamination, op9_language_id, op10_token_counts)}
-ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
+ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op7_line_dedup": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}

@@ -233,6 +233,32 @@ def test_align_finds_rising_pairs():
     assert line_dedup.align([1, 2, 3, 9], [7, 1, 2, 8, 3]) == [(0, 1), (1, 2), (2, 4)]
 
 
+def slow_line_dedup(rows, block=60):
+    """Every document against every earlier one: lines of any run of block characters or more that both hold go."""
+    def runs(lines):
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(map(len, lines[i:j])) >= block:
+                    yield i, j, tuple(lines[i:j])
+
+    sides = [(i, t, [(k, x.strip(" ")) for k, x in enumerate((t or "").split("\n")) if x.strip(" ")]) for i, t in rows]
+    held = [(i, {r for _, _, r in runs([x for _, x in lines])}) for i, _, lines in sides]
+    out = []
+    for i, t, lines in sides:
+        earlier = set().union(*(h for j, h in held if i is not None and j is not None and j < i))
+        cut = {k for a, z, r in runs([x for _, x in lines]) if r in earlier for k in range(a, z)}
+        gone = {lines[k][0] for k in cut} | {m for k in cut if k + 1 in cut for m in range(lines[k][0], lines[k + 1][0])}
+        out.append((i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
+    return out
+
+
+def line_dedup_of(spark, rows):
+    d = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, h int, run string")
+    out = line_dedup.drop_repeated_lines(d)
+    assert out.columns == d.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+
 def test_line_dedup(spark):
     line = [f"this is line number {i} of the shared passage, which goes on for a while" for i in range(6)]
     texts = {
@@ -240,50 +266,57 @@ def test_line_dedup(spark):
         2: "\n".join(["own start two", *line, "own end two"]),
         3: "\n".join([line[2], "clean text here", "ok", line[2]]),
         4: "a clean document\nok\nwith lines of its own that nobody shares at all, ever",
-        5: None, 6: "", 7: "\n".join(line), 8: "\n".join(reversed(line)),
+        5: None, 6: "", 7: "\n".join(line), 8: "\n".join(reversed(line)), 9: " \n\n".join(["own start nine", *line, "the end", ""]),
     }
-    d = spark.createDataFrame([(i, t, 9) for i, t in texts.items()] + [(7, texts[7], 9)], "doc_id long, text string, h int")
-    got = [(r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(d).orderBy("doc_id").collect()]
-    assert len(got) == 9 and line_dedup.drop_repeated_lines(d).columns == d.columns
+    rows = [*texts.items(), (7, texts[7]), (None, texts[7]), (10, "x" * 2_000_000 + "\n" + line[3])]
+    got = line_dedup_of(spark, rows)
+    assert got == sorted(slow_line_dedup(rows), key=repr)
     got = dict(got)
-    assert got[1] == texts[1] and got[4] == texts[4] and got[5] is None and got[6] == ""
-    assert got[2] == "own start two\nown end two" and got[7] == ""
-    assert got[3] == "\n".join(["clean text here", "ok", line[2]])
-    assert len(got[8].split("\n")) == 5  # one of the reversed lines can be aligned
-    assert line_dedup.drop_repeated_lines(d.limit(0)).count() == 0
+    assert got[1] == texts[1] and got[4] == texts[4] and got[5] is None and got[6] == "" and got[None] == texts[7]
+    assert got[2] == "own start two\nown end two" and got[7] == "" and got[10] == "x" * 2_000_000
+    assert got[3] == "clean text here\nok" and got[8] == "" and got[9] == "own start nine \n\n\nthe end \n\n"
+    assert line_dedup.drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_line_dedup_meets_the_first_holder_of_every_block(spark):
+def test_line_dedup_finds_blocks_whatever_the_holders_of_their_lines(spark):
     a, b = "a frequent line of thirty-odd characters", "another frequent line, held by very many"
-    texts = {i: f"{(a, b)[i % 2]}\nown words {i}" for i in range(60)}
-    texts |= {60: f"{a}\n{b}", 61: f"start\n{a}\n{b}\nend", 62: f"{b}\n{a}"}
-    texts |= {i: texts[i % 2] for i in range(64, 100)}  # the block's holders and their neighbours in each line lie apart
+    rows = [(i, f"{(a, b)[i % 2]}\nown words {i}") for i in range(60)]
+    rows += [(60, f"{a}\n{b}"), (61, f"start\n{a}\n{b}\nend"), (62, f"{b}\n{a}")] + [(i, rows[i % 2][1]) for i in range(64, 100)]
     short = "\n".join(f"step {i}" for i in range(12))
-    texts |= {100: f"{a}\n{b}\nx", 101: short, 102: f"a title\n{short}\nthe end"}
-    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(d).collect()}
-    assert got[61] == "start\nend" and got[100] == "x" and got[102] == "a title\nthe end"
-    assert all(got[i] == texts[i] for i in (*range(61), 62, 101))
-
+    rows += [(100, f"{a}\n{b}\nx"), (101, short), (102, f"a title\n{short}\nthe end")]
+    got = dict(line_dedup_of(spark, rows))
+    assert got == dict(slow_line_dedup(rows))
+    assert got[61] == "start\nend" and got[100] == "x" and got[102] == "a title\nthe end" and got[101] == short
+    x, y, z = (f"{w} a line of over thirty characters" for w in "xyz")
+    rows = [*enumerate((x, y, z, f"{x}\n{y}\n{z}"), 1), *enumerate((x, y, z, f"{x}\n{y}\n{z}"), 5)]
+    assert dict(line_dedup_of(spark, rows))[8] == ""
+    eight = "\n".join(f"line {i:02d}." for i in range(30))
+    assert dict(line_dedup_of(spark, [(1, f"one\n{eight}"), (2, f"{eight}\ntwo")]))[2] == "two"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = ["", " ", "a", "bb " * 4, "a line of thirty characters or so", "x" * 59, "y" * 60, "another line, of more characters than one block has to have at all"]
+    texts = ["\n".join(rng.choice(words) + rng.choice(["", "", "", "1", "2"]) for _ in range(rng.randint(0, 14))) for _ in range(120)]
+    rows = [(i // 2 if i < 10 else i, rng.choice([t, rng.choice(texts)])) for i, t in enumerate(texts)]
+    assert line_dedup_of(spark, rows) == sorted(slow_line_dedup(rows), key=repr)
 
-def test_short_lines_do_not_keep_a_block_from_its_like():
-    def lines(*x):
-        return [{"pos": i, "h": h, "n": n} for i, (h, n) in enumerate(x)]
 
-    assert line_dedup.common_blocks(lines((1, 80), (2, 9), (3, 9)), lines((2, 9), (3, 9), (4, 20), (1, 80))) == [0]
-    assert line_dedup.common_blocks(lines((1, 40), (2, 30), (3, 5)), lines((1, 40), (2, 30), (3, 5))) == [0, 1, 2]
-    assert line_dedup.common_blocks(lines((1, 40), (2, 19)), lines((1, 40), (2, 19))) == []
+def test_aligned_lines_follow_moved_and_repeated_runs():
+    assert line_dedup.aligned_lines([0, 1, 2], [1, 1, 1], [0, 1, 2], [0, 1, 2]) == [0, 1, 2]
+    assert line_dedup.aligned_lines([0, 1, 2, 7], [1, 1, 3, 1], [9, 5, 0, 9], [0, 1, 2, 0]) == [0, 1, 2, 3, 4, 7]
 
 
-def test_stretches_cover_every_long_run():
+def test_runs_cover_every_long_stretch():
     rng = random.Random(4)
     for _ in range(300):
-        side = [{"pos": i, "h": i, "n": rng.randint(1, 30)} for i in range(40) if rng.random() < 0.8]
-        got = list(line_dedup.stretches(side))
+        sizes = [rng.randint(1, 70) for _ in range(rng.randint(0, 30))]
+        got = list(line_dedup.runs(sizes))
         assert len(got) == len(set(got))
-        runs = {(k, m) for k, m in itertools.combinations(range(len(side) + 1), 2) if side[m - 1]["pos"] - side[k]["pos"] == m - 1 - k and sum(x["n"] for x in side[k:m]) >= 60}
-        assert set(got) <= runs
-        for k, m in runs:
+        long = {(k, m) for k, m in itertools.combinations(range(len(sizes) + 1), 2) if sum(sizes[k:m]) >= 60}
+        assert set(got) <= long
+        for k, m in long:
             assert {i for x, y in got if k <= x and y <= m for i in range(x, y)} == set(range(k, m))
 
 
