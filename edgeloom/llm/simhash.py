@@ -18,8 +18,10 @@ from edgeloom.llm.components import connected_components
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Parts into which the 64 bits are cut. Two differing bits touch two parts at most, so some choice of PARTS - RADIUS parts agrees.
-PARTS = 5
+#: The 64 bits are cut into radius + SPARE parts. So many differing bits touch as many parts at most, and some choice of SPARE parts agrees.
+SPARE = 3
+#: Beyond it blocks would share too few bits to be worth comparing; near_dedup has another way to find its blocks.
+MOST_RADIUS = 8
 #: Fingerprints of one tile; a block with more of them is compared tile by tile.
 TILE = 1024
 #: 64-lane words that one step of the bit-sliced comparison holds.
@@ -56,13 +58,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of positions whose fingerprints differ in radius or fewer bits (radius 0 to 2), both in the same
-    block; blocks lie one after the other, of the given sizes.
+    """Pairs (i < j) of positions whose fingerprints differ in radius or fewer bits, both in the same block; blocks lie
+    one after the other, of the given sizes. fps: one uint64, or a row of them, for each fingerprint.
 
-    Every block's fingerprints stand in 64 bit planes, 64 of them to a word. Each fingerprint meets the words of its
-    block: plane after plane, the differing lanes go through a carry-save counter of two bits that saturates at three,
-    and a word leaves once all its lanes exceed the radius.
+    Every block's fingerprints stand in bit planes, 64 of them to a word. Each fingerprint meets the words of its
+    block: plane after plane, the differing lanes are added to a bit-sliced counter by carries, and a word leaves once
+    all its lanes exceed the radius.
     """
+    if radius < 0:
+        raise ValueError("the radius is a number of bits, from 0 on")
+    fps = fps.reshape(len(fps), -1) if len(fps) else np.zeros((0, 1), np.uint64)
     sizes = np.asarray(sizes, np.int64)
     words = (sizes + 63) // 64
     first, first_word = np.cumsum(sizes) - sizes, np.cumsum(words) - words
@@ -70,33 +75,34 @@ def near_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tupl
     lane = np.arange(len(fps)) - first[block]
     at_word, at_lane = first_word[block] + lane // 64, (lane % 64).astype(np.uint64)
     one = np.uint64(1)
-    planes = np.zeros((64, int(words.sum())), np.uint64)
-    there = np.zeros(int(words.sum()), np.uint64)
-    np.bitwise_or.at(there, at_word, one << at_lane)
-    for b in range(64):
-        np.bitwise_or.at(planes[b], at_word, ((fps >> np.uint64(b)) & one) << at_lane)
+
+    def plane(bits: np.ndarray | int) -> np.ndarray:
+        out = np.zeros(int(words.sum()) * 64, np.uint8)
+        out[first_word[block] * 64 + lane] = bits
+        return np.packbits(out, bitorder="little").view(np.uint64)
+
     # what meets what: each fingerprint and each word of its block from its own word on
     n = words[block] - lane // 64
     q = np.repeat(np.arange(len(fps)), n)
     w = at_word[q] + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
-    far = ~there[w]
+    far = ~plane(1)[w]
     own = w == at_word[q]
     far[own] |= (np.uint64(2) << at_lane[q[own]]) - one  # itself and those before it; lane 63 wraps to all
-    ones, twos = np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint64)
-    for b in range(64):
+    count = [np.zeros(len(q), np.uint64) for _ in range(max(1, radius.bit_length()))]
+    for b in range(64 * fps.shape[1]):
         if b % 8 == 0 and len(q):
+            far |= _over(count, radius)
             live = far != np.uint64(0xFFFFFFFFFFFFFFFF)
             if not live.all():
-                q, w, far, ones, twos = q[live], w[live], far[live], ones[live], twos[live]
+                q, w, far, count = q[live], w[live], far[live], [c[live] for c in count]
         if not len(q):
             break
-        differ = planes[b][w] ^ (np.uint64(0) - ((fps[q] >> np.uint64(b)) & one))
-        carry = ones & differ
-        ones ^= differ
-        far |= twos & carry  # a fourth
-        twos |= carry
-        far |= (twos & ones) if radius == 2 else twos if radius == 1 else twos | ones
-    near = ~far
+        bits = (fps[:, b // 64] >> np.uint64(b % 64)) & one
+        carry = plane(bits)[w] ^ (np.uint64(0) - bits[q])
+        for k in range(min(len(count), (b + 1).bit_length())):
+            count[k], carry = count[k] ^ carry, count[k] & carry
+        far |= carry if (b + 1).bit_length() > len(count) else np.uint64(0)  # more than the counter holds
+    near = ~(far | _over(count, radius)) if len(q) else far
     hit = np.flatnonzero(near)
     bits = np.unpackbits(near[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     row, col = np.nonzero(bits)
@@ -105,6 +111,18 @@ def near_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tupl
     return left, right
 
 
+def _over(count: list[np.ndarray], radius: int) -> np.ndarray:
+    """The lanes whose counter, lowest plane first, is above the radius."""
+    over, same = np.zeros_like(count[0]), ~np.zeros_like(count[0])
+    for k in reversed(range(len(count))):
+        if radius >> k & 1:
+            same &= count[k]
+        else:
+            over |= same & count[k]
+            same &= ~count[k]
+    return over
+
+
 def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """The smallest position linked to each of n positions."""
     label = np.arange(n)
@@ -141,16 +159,19 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 
 
 def near_links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between the reps of fingerprints that differ in radius or fewer bits: for every block of
-    fingerprints that share PARTS - radius of PARTS bit ranges, a spanning forest rather than all pairs.
+    """Links (a, b) between the reps of fingerprints that differ in radius or fewer bits (0 to MOST_RADIUS): for every
+    block of fingerprints that share SPARE of radius + SPARE bit ranges, a spanning forest rather than all pairs.
 
     unique: (fp long, rep), each fp once. A block with over TILE members is dealt into tiles by hash, and every two
     tiles meet in a row of their own: no task gets a whole large block, and no pair is left out.
     """
+    if not 0 <= radius <= MOST_RADIUS:
+        raise ValueError(f"the radius must lie between 0 and {MOST_RADIUS}")
     ship(unique.sparkSession)
-    ends = [round(i * 64 / PARTS) for i in range(PARTS + 1)]
-    spans = [((1 << ends[i + 1]) - (1 << ends[i])) for i in range(PARTS)]
-    masks = [sum(x) for x in itertools.combinations(spans, PARTS - radius)]
+    parts = radius + SPARE
+    ends = [round(i * 64 / parts) for i in range(parts + 1)]
+    spans = [((1 << ends[i + 1]) - (1 << ends[i])) for i in range(parts)]
+    masks = [sum(x) for x in itertools.combinations(spans, SPARE)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = unique.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("t", "k"))
     count = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
@@ -179,11 +200,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(near_links(unique.where("rep is not null"), radius), "a", "b")
     named = unique.join(parts, unique["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without all but one document (the smallest id) of each group of near-duplicates; all columns stay. Of
-    repeated rows with that id one stays; rows without an id stay, since nothing names their group."""
-    found = near_duplicates(docs, id_col, text_col, **how).where(F.col(id_col).isNull() | (F.col(id_col) == F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    kept = docs.join(found, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

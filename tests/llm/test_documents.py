@@ -34,7 +34,7 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def slow_components(fps):
+def slow_components(fps, radius=2):
     root = {i: i for i in fps}
 
     def find(x):
@@ -43,7 +43,7 @@ def slow_components(fps):
         return x
 
     for a, b in itertools.combinations(sorted(fps), 2):
-        if (fps[a] ^ fps[b]).bit_count() <= 2:
+        if (fps[a] ^ fps[b]).bit_count() <= radius:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: find(i) for i in fps}
@@ -63,11 +63,12 @@ def test_simhash_odd_rows(spark):
     zero = [r for r in rows if r.fingerprint == "0" * 16]
     assert {r.doc_id for r in zero} == {0, 1, 2} and {r.component_id for r in zero} == {0}
     assert simhash.near_duplicates(odd(spark).limit(0)).count() == 0
-    kept = simhash.drop_near_duplicates(odd(spark))
-    assert kept.columns == odd(spark).columns and kept.count() == len({r.component_id for r in rows})
+    for radius in (-1, simhash.MOST_RADIUS + 1):
+        with pytest.raises(ValueError, match="radius"):
+            simhash.near_duplicates(odd(spark), radius=radius)
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5, 8])
 def test_near_pairs(radius):
     rng = random.Random(radius)
     sizes = [1, 2, 63, 64, 65, 130]
@@ -76,7 +77,7 @@ def test_near_pairs(radius):
         base = [rng.getrandbits(64) for _ in range(max(1, n // 8))]
         for _ in range(n):
             x = rng.choice(base)
-            for b in rng.sample(range(64), rng.randint(0, 3)):
+            for b in rng.sample(range(64), rng.randint(0, 1 + radius)):
                 x ^= 1 << b
             fps.append(x)
     i, j = simhash.near_pairs(np.array(fps, np.uint64), np.array(sizes), radius)
@@ -88,6 +89,29 @@ def test_near_pairs(radius):
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
 
 
+def test_near_pairs_of_wide_fingerprints():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 64, (200, 4), np.uint64)
+    for k in range(100, 200):
+        flip = np.zeros(256, np.uint8)
+        flip[rng.choice(256, rng.integers(0, 90), replace=False)] = 1
+        fps[k] = fps[k - 100] ^ np.packbits(flip).view(np.uint64)
+    i, j = simhash.near_pairs(fps, np.array([200]), 56)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    want = {(a, b) for a, b in itertools.combinations(range(200), 2) if apart[a, b] <= 56}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(want) > 40
+
+
+@pytest.mark.parametrize("radius", [0, 3, 4])
+def test_near_links_of_other_radii(spark, radius):
+    rng = random.Random(radius)
+    base = [rng.getrandbits(63) for _ in range(20)]
+    fps = sorted({rng.choice(base) ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, radius + 2))) for _ in range(150)})
+    unique = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long")
+    parts = {r.node: r.component for r in simhash.connected_components(simhash.near_links(unique, radius), "a", "b").collect()}
+    assert {i: parts.get(i, i) for i in range(len(fps))} == slow_components(dict(enumerate(fps)), radius)
+
+
 def test_near_links_across_tiles(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 8)
     rng = random.Random(5)

@@ -8,14 +8,17 @@ from edgeloom.cluster import written
 from edgeloom.llm import queries
 from edgeloom.llm.tokenizing import WordIds
 from tests.conftest import SF
-from tests.llm.test_documents import ODD, check_sequences, slow_components, slow_contamination, slow_fingerprint
+from tests.llm.test_documents import ODD, check_sequences, slow_contamination, slow_line_dedup
+from tests.llm.test_near_dedup import slow_groups
 
 
 @pytest.fixture(scope="module")
 def steps(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     passage = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
-    more = [(10**6, None, None, "s", 0), (10**6 + 1, "... 123 !", "en", "s", 9), (10**6 + 2, passage, "en", "s", 1), (10**6 + 3, passage + " x", "en", "s", 1)]
+    words = [f"w{i * i % 997}" for i in range(80)]
+    near = [(10**6 + 10 + i, " ".join([*words[: 20 * i], f"new{i}", *words[20 * i + 1 :]]), "en", "s", 1) for i in range(4)]
+    more = [*near, (10**6, None, None, "s", 0), (10**6 + 1, "... 123 !", "en", "s", 9), (10**6 + 2, passage, "en", "s", 1), (10**6 + 3, passage + " x", "en", "s", 1)]
     out = [written(docs.unionByName(spark.createDataFrame(more, docs.schema)), "input")]
     for name, stage in corpus_pipeline.STAGES:
         out.append(written(stage(spark, out[-1], SF), name))
@@ -38,22 +41,14 @@ def test_language_stage(steps):
 
 def test_line_stage(steps):
     before, after = texts(steps[1]), texts(steps[2])
-    assert before.keys() == after.keys() and any(before[i] != after[i] for i in before)
-    held = {}
-    for i in sorted(before):
-        for x in before[i].split("\n"):
-            held.setdefault(x.strip(" "), i)
-    for i in before:
-        rest = before[i].split("\n")
-        for x in after[i].split("\n") if after[i] else []:
-            rest.remove(x)
-        assert all(held[x.strip(" ")] < i for x in rest)
+    assert after == dict(slow_line_dedup(list(before.items()))) and any(before[i] != after[i] for i in before)
 
 
 def test_near_stage(steps):
     before, after = texts(steps[2]), texts(steps[3])
-    parts = slow_components({i: slow_fingerprint(t) for i, t in before.items()})
+    parts = slow_groups(before)
     assert after == {i: t for i, t in before.items() if parts[i] == i} and len(after) < len(before)
+    assert 10**6 + 10 in after and not {10**6 + 11, 10**6 + 12, 10**6 + 13} & after.keys()
 
 
 def test_contamination_stage(spark, steps):
