@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from edgeloom.cluster import written
-from edgeloom.llm import decontaminate, langid, line_dedup, queries, simhash
+from edgeloom.llm import decontaminate, langid, line_dedup, near_dedup, queries
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +18,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return line_dedup.drop_repeated_lines(docs)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, a similarity of 0.8) stays, that of the smallest id."""
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.packed(docs)
 
 
-STAGES = [("language_id", identified), ("line_dedup", without_repeated_lines), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminated), ("best_fit_packing", pack)]
+STAGES = [("language_id", identified), ("line_dedup", without_repeated_lines), ("simhash_near_dedup", without_near_copies), ("benchmark_decontamination", decontaminated), ("best_fit_packing", pack)]
 
 #: Stages learn models and read tokenizers, which SQL can't; tests hold the stages against brute force.
 ORACLE_SQL = None
