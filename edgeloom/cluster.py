@@ -11,44 +11,67 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; beyond it the join is left to the shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes that a side of rows of any size may have to be broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Rows of a batch that goes to Python.
 BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = getattr(spark.sparkContext, "_edgeloom_dir", None)
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only where driver and executors
+    are one process, on one machine, may it be unset: then it is a temporary folder of that machine."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_edgeloom_dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="edgeloom-")
-        spark.sparkContext._edgeloom_dir = named
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = sc._edgeloom_dir = "file://" + tempfile.mkdtemp(prefix="edgeloom-")
     return named.rstrip("/")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: later steps don't repeat what made it, and it
-    outlives lost executors. The files go when the session's JVM ends."""
+    outlives lost executors. The files go when the session's JVM ends, or before by discard."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/edgeloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    at, fs = _place(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._edgeloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing to come will read; other DataFrames are left alone."""
+    for t in tables:
+        if path := t.__dict__.get("_edgeloom_path"):
+            at, fs = _place(t.sparkSession, path)
+            fs.delete(at, True)
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else df itself (a shuffle join then)."""
+    """df with a broadcast hint if it has at most so many rows, else df itself (a shuffle join then). Only for rows of a
+    bounded size; see small for others."""
     few = df.limit(rows + 1).count() <= rows
     return F.broadcast(df) if few else df
 
 
+def small(df: DataFrame, size: Column | str, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows' sizes, in bytes, add up to no more than limit."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows, so that few texts at a time become Python objects."""
     for b in batches:
@@ -57,11 +80,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once for each Spark context. Where the session leaves Spark's batch
-    size for Python as it is, it becomes BATCH_ROWS, since rows here are often whole texts."""
+    """Sends this package to the executors' Python, once for each Spark context. Where nobody has set the session's
+    batch size for Python, to whatever value, this sets it to BATCH_ROWS, since rows here are often whole texts."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(size):
+        spark.conf.set(size, str(BATCH_ROWS))
     if getattr(sc, "_edgeloom_shipped", False):
         return
     root = Path(__file__).parent
