@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import written
+from edgeloom.cluster import discard, written
 
 
 def _state(e: DataFrame) -> tuple:
@@ -31,7 +31,9 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
         new = written(small.distinct(), "links")
-        was, state, e = state, _state(new), new
+        was, state = state, _state(new)
+        discard(e)
+        e = new
         if was == state:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

@@ -12,15 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeloom.cluster import ship, slices
+from edgeloom.cluster import ship, slices, written
 
-#: Labelled rows of each language that the regression is fitted on, and those of them that serve as landmarks.
+#: Languages that are learnt: the most frequent ones.
+LANGUAGES = 100
+#: Labelled rows of each language that the regression is fitted on, and those of them that serve as landmarks; landmarks altogether.
 TRAIN_ROWS = 300
 LANDMARKS = 48
+ALL_LANDMARKS = 768
 #: Longest n-grams (characters) of the kernel.
 ORDER = 3
-#: n-grams of the feature space: those in most landmarks, ties to the smaller code.
-GRAMS = 6000
+#: Places of the feature space: every n-gram has one by hash, so that the whole spectrum of any text counts.
+PLACES = 1 << 15
 RIDGE = 1e-2
 #: Steepness of the softmax that turns margins into scores.
 SHARPNESS = 8.0
@@ -30,59 +33,37 @@ UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
 
-def grams(text: str, order: int = ORDER) -> np.ndarray:
-    """Codes of all n-grams, 1 to order characters, of the lower-cased text, with repeats."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64) + 1
-    parts, code = [c], c
-    for n in range(1, order):
-        if len(c) <= n:
-            break
-        code = (code[:-1] << 21) | c[n:]
-        parts.append(code)
-    return np.concatenate(parts)
+def presence(text: str, row: np.ndarray, order: int = ORDER) -> None:
+    """Sets row, of PLACES elements, to 1 at the places of all n-grams, 1 to order characters, of the lower-cased text."""
+    step = 1 << 18  # code points at a time, overlapping, so that memory stays small; all of the text counts
+    text = text.lower()
+    for i in range(0, max(1, len(text)), step):
+        c = np.frombuffer(text[i : i + step + order - 1].encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+        code = c
+        for n in range(order):
+            if n:
+                if len(c) <= n:
+                    break
+                code = (code[:-1] << np.uint64(21)) | c[n:]
+            x = code * np.uint64(0x9E3779B97F4A7C15)
+            row[(x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 15)] = 1
+
+
+def kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Presence kernel of rows of x with landmarks, over both norms; landmarks are over theirs already."""
+    return x @ landmarks.T / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
 
 
 @dataclass
 class Model:
-    """languages; codes: the feature space, sorted; landmarks: their presence vectors over their norm; weights: from
-    kernel values with the landmarks, and one, to a margin for each language."""
+    """languages; landmarks: their presence vectors over their norm; weights: from kernel values with the landmarks, and
+    one, to a margin for each language."""
 
     languages: list[str]
-    codes: np.ndarray
     landmarks: np.ndarray
     weights: np.ndarray
     order: int = ORDER
 
-    def __post_init__(self) -> None:
-        # codes are looked up in a table by hash; a code that meets another in its place is found in the next round
-        self.bits = 18
-        self.tables = []
-        rest = np.arange(len(self.codes))
-        while len(rest):
-            table = np.full(1 << self.bits, -1, np.int32)
-            table[self._place(self.codes[rest])] = rest
-            self.tables.append(table)
-            rest = np.setdiff1d(rest, table)
-
-    def _place(self, codes: np.ndarray) -> np.ndarray:
-        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def presence(self, text: str, row: np.ndarray) -> None:
-        """Sets row to 1 where the text has the n-gram."""
-        step = 1 << 20  # code points at a time, overlapping, so that memory stays small; all of the text counts
-        for i in range(0, max(1, len(text)), step):
-            code = grams(text[i : i + step + self.order - 1], self.order)
-            place = self._place(code)
-            for table in self.tables:
-                found = table[place]
-                there = found >= 0
-                found = found[there]
-                row[found[self.codes[found] == code[there]]] = 1
-
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        k = x @ self.landmarks.T / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
-        return k @ self.weights[:-1] + self.weights[-1]
-
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language and a score from 0 to 1 of each text; UNKNOWN and 0 where there is no letter to go by."""
         lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -92,10 +73,10 @@ class Model:
             some = [i for i in range(at, min(at + BLOCK, len(texts))) if texts[i] and LETTER.search(texts[i])]
             if not some:
                 continue
-            x = np.zeros((len(some), len(self.codes)), np.float32)
+            x = np.zeros((len(some), PLACES), np.float32)
             for row, i in zip(x, some, strict=True):
-                self.presence(texts[i], row)
-            m = self.margins(x)
+                presence(texts[i], row, self.order)
+            m = kernel(x, self.landmarks) @ self.weights[:-1] + self.weights[-1]
             e = np.exp(SHARPNESS * (m - m.max(axis=1, keepdims=True)))
             best = m.argmax(axis=1)
             score[some] = (e / e.sum(axis=1, keepdims=True))[np.arange(len(some)), best]
@@ -109,61 +90,78 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, n, text): of each of the LANGUAGES most frequent languages TRAIN_ROWS different labelled rows at most, none
+    of them held out, n from 1.
+
+    Rows are taken by a hash of id and text, so that repeated rows count once. A first pass counts each language's
+    hashes; a second one lets only hashes below a threshold through, twice TRAIN_ROWS of a language as expected, and
+    only those are ranked: neither a language with most rows nor a row with many copies gathers anywhere."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("c")).orderBy(F.desc("c"), "lang").limit(LANGUAGES)
+    share = F.least(F.lit(1.0), F.lit(2.0 * TRAIN_ROWS) / F.col("c"))
+    counts = F.broadcast(written(counts.select(F.col("lang"), share.alias("share")), "languages"))
+    place = (F.col("h") / F.lit(2.0**64)) + F.lit(0.5)  # from 0 to 1
+    some = known.join(counts, "lang").where(place <= F.col("share")).dropDuplicates(["lang", "h"])
+    return some.selectExpr("lang", "row_number() over (partition by lang order by h) as n", "text").where(F.col("n") <= TRAIN_ROWS)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> Model:
-    """The model of the languages in lang_col, from rows that have one and aren't held out: for each language the
-    TRAIN_ROWS of the smallest id hashes, a bounded sample. Executors send the n-grams of those rows, each once, in
-    place of their texts. Without such rows the model knows no language."""
+    """The model of the languages in lang_col, from training_rows. Executors send a bit for each of PLACES in place of a
+    text, so LANGUAGES * TRAIN_ROWS * PLACES / 8 bytes at most, however long the texts. Without labelled rows the model
+    knows no language."""
     ship(docs.sparkSession)
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    # in two steps, so that a language of most rows isn't ranked in one task
-    some = known.distinct().selectExpr("*", "xxhash64(id) as h").selectExpr("*", "row_number() over (partition by lang, pmod(h, 16) order by h, id) as part").where(F.col("part") <= TRAIN_ROWS)
-    ranked = some.selectExpr("id", "lang", "row_number() over (partition by lang order by h, id) as n").where(F.col("n") <= TRAIN_ROWS)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    some = texts.join(F.broadcast(ranked), ["id", "lang"]).select("lang", "n", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = [np.unique(grams(x, order)).astype("<i8").tobytes() for x in b.column(2).to_pylist()]
+            sets = []
+            for text in b.column(2).to_pylist():
+                row = np.zeros(PLACES, np.uint8)
+                presence(text, row, order)
+                sets.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["lang", "n", "grams"])
 
+    some = training_rows(docs, id_col, text_col, lang_col)
     rows = some.mapInArrow(run, T.StructType([some.schema["lang"], some.schema["n"], T.StructField("grams", T.BinaryType())])).collect()
-    return train([(r["lang"], r["n"], np.frombuffer(r["grams"], "<i8")) for r in rows], order)
+    return train([(r["lang"], r["n"], r["grams"]) for r in rows], order)
 
 
-def train(rows: list[tuple[str, int, np.ndarray]], order: int = ORDER) -> Model:
-    """The model from (language, number within it, distinct n-gram codes)."""
-    rows = sorted((r for r in rows if len(r[2])), key=lambda r: (r[0], r[1], len(r[2])))
+def train(rows: list[tuple[str, int, bytes]], order: int = ORDER) -> Model:
+    """The model from (language, number within it, packed presence): kernel ridge regression on Nyström features, each
+    language against the rest, with the same weight for every language."""
+    rows = sorted((r for r in rows if any(r[2])), key=lambda r: (r[0], r[1]))
     languages = sorted({r[0] for r in rows})
     if not rows:
-        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((1, 0)), order)
-    marks = [i for x in languages for i in [j for j, r in enumerate(rows) if r[0] == x][:LANDMARKS]]
-    codes, n = np.unique(np.concatenate([rows[i][2] for i in marks]), return_counts=True)
-    codes = np.sort(codes[np.lexsort((codes, -n))[:GRAMS]])
-    x = np.zeros((len(rows), len(codes)), np.float32)
-    for row, (_, _, g) in zip(x, rows, strict=True):
-        row[np.isin(codes, g)] = 1
-    unit = x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
-    k_nm = (unit @ unit[marks].T).astype(np.float64)
-    value, vector = np.linalg.eigh(k_nm[marks])
-    keep = value > 1e-8 * value.max()
+        return Model([], np.zeros((0, PLACES), np.float32), np.zeros((1, 0), np.float32), order)
+
+    def unpacked(some: list[int]) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(b"".join(rows[i][2] for i in some), np.uint8).reshape(len(some), -1), axis=1).astype(np.float32)
+
+    of = {x: [i for i, r in enumerate(rows) if r[0] == x] for x in languages}
+    each = max(2, min(LANDMARKS, ALL_LANDMARKS // len(languages)))
+    marks = [i for x in languages for i in of[x][:each]]
+    landmarks = unpacked(marks)
+    landmarks /= np.sqrt(landmarks.sum(axis=1, keepdims=True))
+    k_nm = np.concatenate([kernel(unpacked(list(range(i, min(i + BLOCK, len(rows))))), landmarks) for i in range(0, len(rows), BLOCK)]).astype(np.float64)
+    value, vector = np.linalg.eigh((k_nm[marks] + k_nm[marks].T) / 2)
+    keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
     phi = np.hstack([k_nm @ root, np.ones((len(rows), 1))])
     y = np.array([[1.0 if r[0] == x else -1.0 for x in languages] for r in rows])
-    # each language weighs the same
-    weight = np.array([len(rows) / len(languages) / sum(q[0] == r[0] for q in rows) for r in rows])[:, None]
+    weight = np.array([len(rows) / len(languages) / len(of[r[0]]) for r in rows])[:, None]
     ridge = RIDGE * len(rows) * np.eye(phi.shape[1])
     ridge[-1, -1] = 1e-9
     beta = np.linalg.solve(phi.T @ (weight * phi) + ridge, phi.T @ (weight * y))
-    return Model(languages, codes, unit[marks], np.vstack([root @ beta[:-1], beta[-1:]]).astype(np.float32), order)
+    return Model(languages, landmarks, np.vstack([root @ beta[:-1], beta[-1:]]).astype(np.float32), order)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(id, lang_pred, score) for every row, or with keep all columns of docs and these two, from its whole text alone.
 
     Null texts and those without a letter are UNKNOWN with score 0, and so is everything if the model knows no
-    language. The model is a broadcast of bounded size (landmarks x GRAMS). Repeated rows stay repeated."""
+    language. The model is a broadcast of bounded size (ALL_LANDMARKS x PLACES). Repeated rows stay repeated."""
     ship(docs.sparkSession)
-    send = docs.sparkSession.sparkContext.broadcast((model.languages, model.codes, model.landmarks, model.weights, model.order))
+    send = docs.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.weights, model.order))
     rows = docs if keep else docs.select(id_col, text_col)
     out = [x for x in rows.columns if keep or x == id_col]
     at = rows.columns.index(text_col)

@@ -245,6 +245,55 @@ def test_language_id(spark):
     assert langid.identify(docs.limit(0), langid.fit(docs.limit(0))).count() == 0
 
 
+def test_language_id_matches_slow_kernel_ridge_regression(spark):
+    """With every training row a landmark, Nyström is exact: plain kernel ridge regression on sets of n-grams."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(70)
+    rows = sorted((r.lang, r.n, r.text) for r in langid.training_rows(docs).collect())
+    assert max(sum(r[0] == x for r in rows) for x in {r[0] for r in rows}) <= langid.LANDMARKS
+
+    def spectrum(text):
+        low = text.lower()
+        return {low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)}
+
+    def slow(a, b):
+        return len(a & b) / (len(a) * len(b)) ** 0.5
+
+    sets = [spectrum(r[2]) for r in rows]
+    k = np.array([[slow(a, b) for b in sets] for a in sets])
+    languages = sorted({r[0] for r in rows})
+    y = np.array([[1.0 if r[0] == x else -1.0 for x in languages] for r in rows])
+    w = np.array([len(rows) / len(languages) / sum(q[0] == r[0] for q in rows) for r in rows])
+    # with bias: (K + ridge / weight) alpha + b = y, sum of alpha = 0
+    n = len(rows)
+    system = np.zeros((n + 1, n + 1))
+    system[:n, :n] = k + np.diag(langid.RIDGE * n / w)
+    system[:n, n] = system[n, :n] = 1
+    alpha = np.linalg.solve(system, np.vstack([y, np.zeros((1, len(languages)))]))
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    margins = np.array([[slow(spectrum(t), s) for s in sets] for t in texts]) @ alpha[:n] + alpha[n]
+    model = langid.fit(docs)
+    lang, score = model.predict(texts)
+    e = np.exp(langid.SHARPNESS * (margins - margins.max(axis=1, keepdims=True)))
+    sure = np.sort(margins, axis=1)[:, -1] - np.sort(margins, axis=1)[:, -2] > 0.02
+    assert model.languages == languages and sure.mean() > 0.95
+    assert all(lang[i] == languages[margins[i].argmax()] for i in np.flatnonzero(sure))
+    assert np.abs(score - (e / e.sum(axis=1, keepdims=True)).max(axis=1)).max() < 0.1
+
+
+def test_language_id_learns_from_few_rows_whatever_repeats(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 20)
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [(1, "one row, many times over", "aa")] * 3000 + [(i, f"text number {i} of many", "bb") for i in range(2000)]
+    rows += [(i, f"other text {i}", "cc") for i in range(10)] + [(1, "different text, same id", "cc"), (5, "rare", "dd"), (None, "no id", "cc"), (7, None, "cc"), (8, "no label", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r.lang, r.n, r.text) for r in langid.training_rows(d).collect()]
+    of = {x: [t for lang, _, t in got if lang == x] for x in ("aa", "bb", "cc", "dd")}
+    kept = [i for i in range(10) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert of["aa"] == ["one row, many times over"] and len(of["bb"]) == len(set(of["bb"])) == 20 and not of["dd"]
+    assert set(of["cc"]) == {f"other text {i}" for i in kept} | {"no id"} | ({"different text, same id"} if 1 in kept else set())
+    assert all(zlib.crc32(t.split()[2].encode()) % 4 != 2 for t in of["bb"])
+
+
 def test_align_finds_rising_pairs():
     rng = random.Random(3)
     for _ in range(300):
