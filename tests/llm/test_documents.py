@@ -17,6 +17,9 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " \t\n", "...", "word", "Two words", "x" * 5000, "é" * 300, "a b c\nd e f", "I'm we'll  they've \n\n\n tabs\t\there ", "<|endoftext|> and <|startoftext|> x", "日本語 テキスト", "ΟΔΟΣ Σ", "a\x1cb\x85c\xa0d", "é Å", "🙂 ok 🙂", "MiXeD Case 123 4,567.89 -- #@!"]
 
 
+MULTILINGUAL = "Hi — “quoted” naïve's 日本語 テキスト  ΟΔΟΣ 🙂 ok\n\n Привет,\u00a0мир! ٣٤ ½ áb  ----  हिन्दी\u200d x"
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
@@ -165,7 +168,7 @@ def test_contamination_with_short_items_and_ties(spark):
 
 def test_word_ids_match_the_library(docs):
     ids = WordIds(queries.vocabulary("word_bpe_49k.json"))
-    for text in [t or "" for t in ODD] + [r.text for r in docs.collect()]:
+    for text in [t or "" for t in ODD] + [MULTILINGUAL] + [r.text for r in docs.collect()]:
         assert ids.ids(text) == ids.whole(text)
 
 
@@ -224,7 +227,12 @@ def test_token_counts_match_the_library(spark, docs, monkeypatch):
     monkeypatch.setattr(token_counts, "FREQUENT", 500)
     vocabulary = queries.vocabulary("byte_bpe_50k.json")
     tokenizer = token_counts.load(vocabulary)
-    given = docs.select("doc_id", "text").union(odd(spark).select("doc_id", "text"))
+    more = [MULTILINGUAL, f"<|endoftext|>{MULTILINGUAL}<|endoftext|><|endoftext|> x", "-" * 3000, f"{'-' * 3000} “", "é" * 200_000, f"{MULTILINGUAL} " * 5000, "word " * 200_000]
+    planted = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(more * 2)], "doc_id long, text string")
+    given = docs.select("doc_id", "text").union(odd(spark).select("doc_id", "text")).union(planted)
+    assert given.count() > 0 and max(len(r.key) for r in token_counts.distinct_pieces(given, vocabulary).collect()) <= token_counts.KEY_CHARS + 1
+    clash = given.withColumns({x: F.lit("x") for x in ("id", "row", "key", "n_bytes", "n_tokens")})
+    assert token_counts.token_counts(clash, vocabulary).columns == ["doc_id", "n_bytes", "n_tokens"]
     got = sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(given, vocabulary).collect())
     assert got == sorted((r.doc_id, len((r.text or "").encode()), len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in given.collect())
 
