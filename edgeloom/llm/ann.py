@@ -11,16 +11,17 @@ from pyspark.sql import types as T
 from edgeloom.cluster import ship, written
 
 #: Different vectors that a shard is meant to have.
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
 #: Queries that meet a shard in one task.
 QUERY_ROWS = 4096
 #: Edges of a node, candidates of the search that proposes them, and by how much a detour may be longer.
 DEGREE = 28
 BUILD_BEAM = 64
 RELAX = 1.2
-#: Candidates that a query keeps, and how many it expands at a time.
-BEAM = 96
+#: Candidates that a query keeps, how many it expands at a time, and how many of the longest vectors it starts from besides the middle.
+BEAM = 160
 WIDTH = 4
+LONGEST = 512
 
 
 def usable(c: Column) -> Column:
@@ -29,17 +30,20 @@ def usable(c: Column) -> Column:
     return c.isNotNull() & (F.size(c) > 0) & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(c, lambda x: x != 0), F.lit(False))
 
 
-def beam_search(x: np.ndarray, sq: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(ids, distances, expanded): of each row of q the beam nearest nodes found, nearest first (-1 and infinity where
-    there are fewer), going from start along the graph's edges (-1: none); expanded: what was looked at, step by step.
+def beam_search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(ids, expanded): of each row of q the beam nodes found of the largest inner product, largest first (-1 where
+    there are fewer), going from starts along the graph's edges (-1: none); expanded: what was looked at, step by step.
 
     All rows go in step: each expands its nearest WIDTH unexpanded candidates, until it has none among its best."""
     n = len(q)
     ids, dist = np.full((n, beam), -1, np.int32), np.full((n, beam), np.inf, np.float32)
     done = np.ones((n, beam), bool)
-    ids[:, 0], dist[:, 0], done[:, 0] = start, sq[start] - 2 * (q @ x[start]), False
+    d = -(q @ x[starts].T)
+    order = np.argsort(d, axis=1, kind="stable")[:, :beam]
+    few = order.shape[1]
+    ids[:, :few], dist[:, :few], done[:, :few] = starts[order], np.take_along_axis(d, order, 1), False
     seen = np.zeros((n, len(x)), bool)
-    seen[:, start] = True
+    seen[:, starts] = True
     live = np.arange(n)
     expanded = []
     while len(live):
@@ -60,23 +64,23 @@ def beam_search(x: np.ndarray, sq: np.ndarray, graph: np.ndarray, start: int, q:
         d = np.full(near.shape, np.inf, np.float32)
         for i in range(0, len(r), 65536):
             j = slice(i, i + 65536)
-            d[r[j], c[j]] = sq[hit[j]] - 2 * np.einsum("ij,ij->i", x[hit[j]], q[live[r[j]]])
+            d[r[j], c[j]] = -np.einsum("ij,ij->i", x[hit[j]], q[live[r[j]]])
         all_ids, all_d = np.hstack([ids[live], near]), np.hstack([dist[live], d])
         all_done = np.hstack([done[live], near < 0])
         best = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
         ids[live], dist[live], done[live] = (np.take_along_axis(a, best, 1) for a in (all_ids, all_d, all_done))
         live = live[~done[live].all(axis=1)]
-    return ids, dist, expanded
+    return ids, expanded
 
 
-def robust_prune(x: np.ndarray, sq: np.ndarray, own: np.ndarray, near: np.ndarray, degree: int = DEGREE, relax: float = RELAX) -> np.ndarray:
+def robust_prune(u: np.ndarray, own: np.ndarray, near: np.ndarray, degree: int = DEGREE, relax: float = RELAX) -> np.ndarray:
     """Of each node's candidates (rows of near, -1: none) up to degree diverse ones: the nearest stays, and drops those
-    that lie nearer to it, relaxed, than to the node."""
+    that lie nearer to it, relaxed, than to the node. u: vectors of length one."""
     near = np.sort(near, axis=1)
     near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
     near[near == own[:, None]] = -1
-    v = x[near]
-    d = np.where(near >= 0, sq[near] + sq[own][:, None] - 2 * np.einsum("ncd,nd->nc", v, x[own]), np.inf)
+    v = u[near]
+    d = np.where(near >= 0, 2 - 2 * np.einsum("ncd,nd->nc", v, u[own]), np.inf)
     order = np.argsort(d, axis=1, kind="stable")
     near, d, v = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1), np.take_along_axis(v, order[:, :, None], 1)
     alive = near >= 0
@@ -89,26 +93,25 @@ def robust_prune(x: np.ndarray, sq: np.ndarray, own: np.ndarray, near: np.ndarra
             break
         pick = near[rows, first]
         out[there, k] = pick[there]
-        between = sq[near] + sq[pick][:, None] - 2 * np.einsum("ncd,nd->nc", v, v[rows, first])
+        between = 2 - 2 * np.einsum("ncd,nd->nc", v, v[rows, first])
         alive &= relax * relax * between > d
         alive[rows, first] = False
     return out
 
 
-def build(x: np.ndarray) -> tuple[np.ndarray, int]:
-    """(graph, start): nodes come in batches that double up to a fiftieth of all; each is looked up in the graph so
-    far, pruned to its edges, and offered as an edge to them in turn."""
-    sq = np.einsum("ij,ij->i", x, x)
-    graph = np.full((len(x), DEGREE), -1, np.int32)
-    start = int(np.argmin(sq - 2 * (x @ x.mean(axis=0))))
-    order = np.random.default_rng(7).permutation(len(x))
+def build(u: np.ndarray) -> tuple[np.ndarray, int]:
+    """(graph, start) over vectors of length one: nodes come in batches that double up to a fiftieth of all; each is
+    looked up in the graph so far, pruned to its edges, and offered as an edge to them in turn."""
+    graph = np.full((len(u), DEGREE), -1, np.int32)
+    start = int(np.argmax(u @ u.mean(axis=0)))
+    order = np.random.default_rng(7).permutation(len(u))
     order = order[order != start]
     at, size = 0, 1
     while at < len(order):
         new = order[at : at + size]
-        at, size = at + size, min(2 * size, max(64, len(x) // 50))
-        ids, _, expanded = beam_search(x, sq, graph, start, x[new], BUILD_BEAM)
-        graph[new] = robust_prune(x, sq, new, np.hstack([ids, *expanded]))
+        at, size = at + size, min(2 * size, max(64, len(u) // 50))
+        ids, expanded = beam_search(u, graph, np.array([start]), u[new], BUILD_BEAM)
+        graph[new] = robust_prune(u, new, np.hstack([ids, *expanded]))
         # those of one batch don't see each other; the edges back do the rest
         source, target = np.repeat(new, DEGREE), graph[new].ravel()
         source, target = source[target >= 0], target[target >= 0]
@@ -120,17 +123,27 @@ def build(x: np.ndarray) -> tuple[np.ndarray, int]:
         wide = np.hstack([graph[node], more])
         full = (wide >= 0).sum(axis=1) > DEGREE
         if full.any():
-            graph[node[full]] = robust_prune(x, sq, node[full], wide[full])
+            graph[node[full]] = robust_prune(u, node[full], wide[full])
         if (~full).any():
             graph[node[~full]] = -np.sort(-wide[~full], axis=1)[:, :DEGREE]
     return graph, start
 
 
-def lifted(v: np.ndarray) -> np.ndarray:
-    """v with one more component that makes all norms equal, so that the nearest by distance is the largest by inner
-    product, for queries with zero there."""
-    norm = np.einsum("ij,ij->i", v.astype(np.float64), v)
-    return np.hstack([v, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]]).astype(np.float32)
+def unit(v: np.ndarray) -> np.ndarray:
+    """v over its lengths, in single precision; the longest component first, as squares of the largest numbers overflow."""
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return (v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]).astype(np.float32)
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """v over its largest component, in single precision: inner products keep their order."""
+    return (v.astype(np.float64) / np.abs(v).max()).astype(np.float32)
+
+
+def start_nodes(x: np.ndarray, start: int) -> np.ndarray:
+    """Where searches start: the middle and the LONGEST longest vectors, among which unequal lengths put the largest products."""
+    return np.unique(np.concatenate([[start], np.argsort(-np.einsum("ij,ij->i", x, x), kind="stable")[:LONGEST]]))
 
 
 def _matrix(lists: pa.ListArray) -> np.ndarray:
@@ -138,10 +151,16 @@ def _matrix(lists: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0), flat.dtype)
 
 
+def _components(vectors: DataFrame, vec_col: str) -> Column:
+    """The vectors as vec: floats as they are, all else in double precision."""
+    given = vectors.schema[vec_col].dataType.simpleString()
+    return F.col(vec_col).cast(given if given == "array<float>" else "array<double>").alias("vec")
+
+
 def distinct_vectors(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(dim, vec, ids): every different usable vector with its k + 1 smallest ids, which are all that a search for k
     others can return of it. Tasks keep the first k + 1 of a vector before the shuffle."""
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), _components(vectors, vec_col))
     ranked = rows.selectExpr("*", "row_number() over (partition by vec order by id) as n").where(F.col("n") <= k + 1)
     return ranked.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.size("vec").alias("dim"), "vec", "ids")
 
@@ -159,7 +178,7 @@ def index(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "em
         v = _matrix(t.column("vec").combine_chunks())
         order = np.lexsort(v.T)  # the same graph whenever it is built
         v = v[order]
-        graph, start = build(lifted(v))
+        graph, start = build(unit(v))
         t = t.take(pa.array(order))
         edges = pa.ListArray.from_arrays(pa.array(np.arange(0, graph.size + 1, DEGREE, dtype=np.int32)), pa.array(graph.ravel()))
         return pa.table({"shard": t["shard"], "dim": t["dim"], "node": pa.array(np.arange(len(v), dtype=np.int32)), "vec": t["vec"], "ids": t["ids"], "edges": edges, "start": pa.array(np.full(len(v), start, np.int32))})
@@ -188,12 +207,12 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> D
         ids = g["ids"].to_pylist()
         q = _matrix(a.combine_chunks()["vec"].combine_chunks())
         number = a["q"].to_numpy()
-        x = lifted(v)
-        sq = np.einsum("ij,ij->i", x, x)
+        x = scaled(v)
+        starts = start_nodes(x, int(g["start"][0].as_py()))
         out_q, out_s, out_id = [], [], []
         for at in range(0, len(q), 1024):
             part = q[at : at + 1024]
-            found, _, _ = beam_search(x, sq, edges, int(g["start"][0].as_py()), np.hstack([part, np.zeros((len(part), 1), np.float32)]), beam)
+            found, _ = beam_search(x, edges, starts, unit(part), beam)
             for row, f, n in zip(part.astype(np.float64), found, number[at : at + 1024], strict=True):
                 f = f[f >= 0]
                 score = v[f].astype(np.float64) @ row
@@ -217,7 +236,7 @@ def nearest(vectors: DataFrame, wanted: DataFrame, k: int, id_col: str = "vec_id
     table gives an empty result; other columns are ignored.
     """
     graphs = index(vectors, k, id_col, vec_col)
-    asked = wanted.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    asked = wanted.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("query_id"), _components(wanted, vec_col))
     unique = written(asked.select("vec").distinct().select(F.monotonically_increasing_id().alias("q"), F.size("vec").alias("dim"), "vec"), "queries")
     answers = search(graphs, unique, k, beam)
     each = asked.join(unique, "vec").select("query_id", "q").join(answers, "q").select("query_id", F.filter("ids", lambda x: x["id"] != F.col("query_id")).alias("ids"))

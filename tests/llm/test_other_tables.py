@@ -169,6 +169,45 @@ def test_nearest_across_shards_with_copies_and_odd_vectors(spark, monkeypatch):
     assert ann.nearest(d.limit(0), d, 20).count() == 0
 
 
+def varied(kind, n, rng):
+    """Directions without any structure, which are the hardest, of equal or more and more unequal lengths."""
+    x = rng.normal(size=(n, 64))
+    if kind != "own":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x * np.exp(rng.normal(size=(n, 1)) * {"unit": 0, "own": 0, "unequal": 0.5, "heavy": 1.5}[kind])
+
+
+@pytest.mark.parametrize("kind", ["own", "unequal"])
+def test_recall_of_a_full_shard(kind):
+    rng = np.random.default_rng(5)
+    x = varied(kind, ann.SHARD_ROWS, rng).astype(np.float32)
+    q = x[rng.choice(len(x), 150, replace=False)]
+    graph, start = ann.build(ann.unit(x))
+    found, _ = ann.beam_search(ann.scaled(x), graph, ann.start_nodes(x, start), ann.unit(q), ann.BEAM)
+    true = np.argsort(-(q @ x.T), axis=1)[:, :21]
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(true, found[:, :21], strict=True)]) >= 0.95
+
+
+@pytest.mark.parametrize("kind", ["unit", "own", "unequal", "heavy"])
+def test_recall_over_shards_of_doubles(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 1000)
+    x = varied(kind, 3000, np.random.default_rng(6))
+    d = spark.createDataFrame([(i, v.tolist(), 1, 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, q int, shard int")
+    got = {}
+    for r in ann.nearest(d, d.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    true = {q: [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20] for q in range(0, 3000, 20)}
+    assert got.keys() == true.keys() and np.mean([len({i for i, _ in got[q]} & set(true[q])) / 20 for q in true]) >= 0.95
+    assert all(abs(s - float(x[q] @ x[i])) <= 1e-14 * np.linalg.norm(x[q]) * np.linalg.norm(x[i]) for q in got for i, s in got[q])
+
+
+def test_nearest_of_extreme_components(spark):
+    rows = [(0, [1e300, 1.0]), (1, [-1e300, 2e300]), (2, [1e-300, 1e-300]), (3, [1.0, 1.0]), (4, [3.0, 4.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(d, d.where("vec_id = 3"), 2).collect()}
+    assert got == {(3, 1): (1, 1e300), (3, 2): (0, 1e300)} or got == {(3, 1): (0, 1e300), (3, 2): (1, 1e300)}
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return licenses.fit(spark.read.parquet(f"{SF}/documents.parquet"))
