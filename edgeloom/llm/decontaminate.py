@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import broadcast_checked, written
+from edgeloom.cluster import BROADCAST_BYTES, small, written
 
 WINDOW = 13
 #: A word after A-Z are lower-cased, and before.
@@ -44,33 +44,52 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     benchmark window in the row's words, at counted from 0, found by hash and confirmed word by word.
 
     A row is expanded into its windows inside one stage that ends in a broadcast hash join, so only the row itself and
-    its hits are shuffled. Beyond a checked size the benchmark is joined by a shuffle. Null, empty and wordless texts
-    get no hits; repeated rows and ids stay separate rows; other columns are ignored.
+    its hits are shuffled. Where the benchmark's windows are too large to broadcast, see _by_shuffle. Null, empty and
+    wordless texts get no hits; repeated rows and ids stay separate rows; other columns are ignored.
     """
     known = written(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
-    # one more window of length 0 stands for the row itself
-    itself = known.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("len"), F.expr("cast(array() as array<string>)").alias("words"), F.expr("cast(array() as array<string>)").alias("items"))
     lens = sorted(r[0] for r in known.select("len").distinct().collect())  # window lengths: window of them at most
-    known = broadcast_checked(known.unionByName(itself))
-
-    n = F.size("w")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    rows = rows.select("row", "id", "w", n.alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    if len(lens) <= 1:
-        size = F.lit(lens[0] if lens else window)
-        # outer, as else the optimizer would take the words apart once more to see whether there are any
-        spots = rows.select("row", "id", "w", "n_words", "h", F.explode_outer(F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.col("n_words") - size))).alias("at")).withColumn("d_len", size)
+    size = F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", " ")) + 16 * (F.size("words") + F.size("items")) + 64
+    return _by_broadcast(rows, known, lens, window) if small(known, size, BROADCAST_BYTES) else _by_shuffle(rows, known, lens)
+
+
+def _spots(rows: DataFrame, lens: list[int], least: int) -> DataFrame:
+    """rows (with n_words) and each place at (from least on, -1 standing for no place) and length d_len of a window.
+    Outer, as else the optimizer would take the words apart once more to see whether there are any."""
+    if len(lens) == 1:
+        spots = rows.select("*", F.explode_outer(F.sequence(F.lit(least), F.greatest(F.lit(least), F.col("n_words") - lens[0]))).alias("at")).withColumn("d_len", F.lit(lens[0]))
     else:
-        sizes = F.array(*map(F.lit, lens))
-        spots = rows.select("row", "id", "w", "n_words", "h", F.explode_outer(F.sequence(F.lit(-1), F.col("n_words") * len(lens) - 1)).alias("k"))
-        spots = spots.withColumn("d_len", F.when(F.col("k") < 0, 0).otherwise(F.get(sizes, F.pmod("k", F.lit(len(lens)))))).withColumn("at", F.floor(F.col("k") / len(lens)).cast("int")).where("at < 0 or at + d_len <= n_words")
-    key = F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64(F.slice("h", F.col("at") + 1, F.col("d_len"))))
-    spots = spots.withColumn("key", key)
+        spots = rows.select("*", F.explode_outer(F.sequence(F.lit(least), F.greatest(F.lit(least), F.col("n_words") * len(lens) - 1))).alias("k"))
+        spots = spots.withColumn("d_len", F.when(F.col("k") < 0, 0).otherwise(F.get(F.array(*map(F.lit, lens)), F.pmod("k", F.lit(len(lens)))))).withColumn("at", F.floor(F.col("k") / len(lens)).cast("int"))
+    return spots.where("at < 0 or at + d_len <= n_words")
+
+
+def _by_broadcast(rows: DataFrame, known: DataFrame, lens: list[int], window: int) -> DataFrame:
+    # one more window of length 0 stands for the row itself
+    itself = known.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("len"), F.expr("cast(array() as array<string>)").alias("words"), F.expr("cast(array() as array<string>)").alias("items"))
+    rows = rows.select("row", "id", "w", F.size("w").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    spots = _spots(rows, lens or [window], -1)
+    spots = spots.withColumn("key", F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64(F.slice("h", F.col("at") + 1, F.col("d_len")))))
     same = F.when(F.col("at") < 0, F.col("len") == 0).otherwise((F.col("len") == F.col("d_len")) & (F.slice("w", F.col("at") + 1, F.col("d_len")) == F.col("words")))
-    met = spots.join(known, "key").where(same).select("row", "id", "n_words", F.when(F.col("at") >= 0, F.struct("at", "len", "items")).alias("hit"))
+    met = spots.join(F.broadcast(known.unionByName(itself)), "key").where(same).select("row", "id", "n_words", F.when(F.col("at") >= 0, F.struct("at", "len", "items")).alias("hit"))
     return met.groupBy("row", "id", "n_words").agg(F.collect_list("hit").alias("hits"))
 
 
+def _by_shuffle(rows: DataFrame, known: DataFrame, lens: list[int]) -> DataFrame:
+    """As _by_broadcast, with windows shuffled as row, place and hash alone; the words of rows with a hit are met once
+    more, and only their windows confirmed."""
+    rows = written(rows.withColumn("n_words", F.size("w")), "words")
+    spots = _spots(rows.select("row", "n_words", F.transform("w", lambda x: F.xxhash64(x)).alias("h")), lens, 0)
+    spots = spots.select("row", "at", "d_len", F.xxhash64(F.slice("h", F.col("at") + 1, F.col("d_len"))).alias("key"))
+    met = spots.join(known.select("key", F.col("len").alias("d_len")), ["key", "d_len"], "left_semi")
+    found = rows.join(met.groupBy("row").agg(F.collect_list(F.struct("at", "d_len", "key")).alias("x")), "row").select("row", "w", F.explode("x").alias("x"))
+    said = found.select("row", "x.at", "x.key", F.slice("w", F.col("x.at") + 1, F.col("x.d_len")).alias("words"))
+    hits = said.join(known, ["key", "words"]).groupBy("row").agg(F.collect_list(F.struct("at", "len", "items")).alias("hits"))
+    none = F.expr("cast(array() as array<struct<at: int, len: int, items: array<string>>>)")
+    return rows.select("row", "id", "n_words").join(hits, "row", "left").select("row", "id", "n_words", F.coalesce("hits", none).alias("hits"))
+
+
 def _covered(hits: Column) -> Column:
     """Words in the union of the hits."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))

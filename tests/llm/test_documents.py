@@ -150,10 +150,13 @@ def slow_contamination(text, items, window=13):
     return len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)
 
 
-def test_contamination_with_short_items_and_ties(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_contamination_with_short_items_and_ties(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     passage = " ".join(f"w{i}" for i in range(20))
     items = [(1, passage), (2, "Short item, here"), (10, " ".join(f"w{i}" for i in range(5, 25))), (3, None), (4, "?!"), (5, "solo")]
-    texts = [*ODD, f"x {passage} y " * 3, passage[3:], "short ITEM here short item here", "Solo", "w1 w2 w3", f"clean {'word ' * 400} solo", None]
+    texts = [*ODD, f"x {passage} y " * 3, passage[3:], "short ITEM here short item here", "Solo", "w1 w2 w3", f"clean {'word ' * 400} solo", None, f"{'word ' * 200_000}{passage}"]
     d = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, items string")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in decontaminate.contamination(d, b).collect()}
@@ -166,6 +169,19 @@ def test_contamination_with_short_items_and_ties(spark):
     assert len(again) == len(texts) and not any(r.n_hit for r in again)
 
 
+def test_contamination_by_shuffle_shuffles_no_words(spark, docs, monkeypatch):
+    """The same as by broadcast on the whole table, and what windows are joined by is narrow."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    tidy = lambda rows: sorted((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in rows)
+    want = tidy(decontaminate.contamination(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    joined = []
+    plain = decontaminate._spots
+    monkeypatch.setattr(decontaminate, "_spots", lambda rows, *how: joined.append(rows.columns) or plain(rows, *how))
+    assert tidy(decontaminate.contamination(docs, items).collect()) == want and any(r[2] for r in want)
+    assert joined == [["row", "n_words", "h"]]
+
+
 def test_word_ids_match_the_library(docs):
     ids = WordIds(queries.vocabulary("word_bpe_49k.json"))
     for text in [t or "" for t in ODD] + [MULTILINGUAL] + [r.text for r in docs.collect()]:
