@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from edgeloom.cluster import broadcast_checked, ship, slices, written
 from edgeloom.llm.components import connected_components
-from edgeloom.llm.simhash import SEED, TILE, WORDS, near_pairs
+from edgeloom.llm.simhash import SEED, TILE, WORDS, forest, near_pairs
 
 #: Words of a shingle, and the least share of two documents' shingles that they have in common to be near-duplicates.
 SHINGLE = 5
@@ -29,6 +29,8 @@ AGREE = 0.68
 #: Documents meet that agree in all ROWS hashes of one of BANDS bands: at the similarity, all but one pair in 10,000.
 BANDS = 13
 ROWS = 3
+#: Shingles of a tile of documents whose sets are compared, besides its TILE documents.
+TILE_SHINGLES = 1 << 19
 GOLDEN = 0x9E3779B97F4A7C15
 
 _rng = np.random.default_rng(SEED)
@@ -108,102 +110,125 @@ def shingle_sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node binary, h array<long>")
 
 
-def proposals(bits: np.ndarray, least: np.ndarray, label: np.ndarray, tried: list[list[int]], sizes: np.ndarray, take: int, radius: int = RADIUS, agree: float = AGREE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions to compare shingle by shingle, in the same block and of different labels: of each member the
-    take likeliest others, and the block's middle (the member nearest to the majority of its bits) with all others.
-    Only pairs within the radius whose signatures agree, and none that were tried before, are likely at all."""
-    i, j = near_pairs(bits, sizes, radius)
-    other = label[i] != label[j]
-    i, j = i[other], j[other]
-    same = np.concatenate([(least[i[k : k + 65536]] == least[j[k : k + 65536]]).mean(axis=1) for k in range(0, len(i), 65536)] or [np.zeros(0)])
-    ok = same >= agree
-    if any(tried):
-        known = {(a, b) for a, bs in enumerate(tried) for b in bs}
-        ok &= np.array([(a, b) not in known and (b, a) not in known for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
-    i, j, same = i[ok], j[ok], same[ok]
-    # both ways round, each member's likeliest first
-    a, b, s = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([same, same])
-    order = np.lexsort((b, -s, a))
+def likely_pairs(sketch: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions in the same block whose fingerprints are within RADIUS and whose signatures agree; sketch has
+    a row of bytes for each member, fingerprint and signature."""
+    i, j = near_pairs(np.ascontiguousarray(sketch[:, : 8 * WIDTH]).view(np.uint64), sizes, RADIUS)
+    least = sketch[:, 8 * WIDTH :]
+    ok = [(least[i[k : k + 65536]] == least[j[k : k + 65536]]).mean(axis=1) >= AGREE for k in range(0, len(i), 65536)]
+    ok = np.concatenate([*ok, np.zeros(0, bool)])
+    return i[ok], j[ok]
+
+
+def similar_pairs(h: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links enough to connect what the similar ones of the pairs (i, j) connect; h: each position's set. A member is
+    held against all its likely partners at once, those left out that it is connected with by then."""
+    n = len(h)
+    length = np.array([len(x) for x in h], np.int64)
+    ends = np.cumsum(length)
+    codes = np.unique(np.concatenate(h), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+    here = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    a, b = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
-    start = np.flatnonzero(np.diff(a, prepend=-1))
-    pick = np.arange(len(a)) - np.repeat(start, np.diff(start, append=len(a))) < take
-    middle = np.zeros(len(bits), bool)
-    at = 0
-    for n in sizes:
-        if n > 2:
-            some = np.unpackbits(bits[at : at + n].view(np.uint8), axis=1)
-            middle[at + np.abs(some - (2 * some.sum(axis=0, dtype=np.int32) > n)).sum(axis=1).argmin()] = True
-        at += int(n)
-    pick |= middle[b]
-    return a[pick], b[pick]
-
-
-def _propose(batches: Iterator[pa.RecordBatch], take: int) -> Iterator[pa.RecordBatch]:
+    degree = np.bincount(a, minlength=n)
+    start = np.cumsum(degree) - degree
+    label = np.arange(n)
+    links = []
+    for x in np.argsort(-degree, kind="stable").tolist():  # those with the most partners connect the most at once
+        near = b[start[x] : start[x] + degree[x]]
+        near = near[label[near] != label[x]]
+        if not len(near):
+            continue
+        own = codes[ends[x] - length[x] : ends[x]]
+        here[own] = True
+        spots = np.repeat(ends[near] - np.cumsum(length[near]), length[near]) + np.arange(int(length[near].sum()))
+        both = np.add.reduceat(here[codes[spots]].astype(np.int64), np.cumsum(length[near]) - length[near])
+        here[own] = False
+        for y in near[both >= similarity * (length[x] + length[near] - both)].tolist():
+            if label[x] != label[y]:
+                links.append((x, y))
+                label[label == label[y]] = label[x]
+    return links
+
+
+def _blocks(batch: pa.RecordBatch, cost: int) -> Iterator[tuple[pa.StructArray, np.ndarray]]:
+    """The rows of a batch, each a list of members, as many at a time as memory is meant for: members and block sizes."""
+    lists = batch.column(0)
+    sizes = np.diff(lists.offsets.to_numpy(zero_copy_only=False)) if len(lists) else np.zeros(0, np.int64)
+    flat = lists.flatten()
+    total = np.cumsum(sizes * ((sizes + 63) // 64))
+    start = row = 0
+    while row < len(sizes):
+        end = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + cost, "right")))
+        n = int(sizes[row:end].sum())
+        yield flat.slice(start, n), sizes[row:end]
+        start, row = start + n, end
+
+
+def _sketches_of(part: pa.StructArray) -> np.ndarray:
+    return np.frombuffer(b"".join(part.field(1).to_pylist()), np.uint8).reshape(len(part), -1)
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lists = b.column(0)
-        sizes = np.diff(lists.offsets.to_numpy(zero_copy_only=False)) if len(lists) else np.zeros(0, np.int64)
-        flat = lists.flatten()
-        cost = np.cumsum(sizes * ((sizes + 63) // 64))
-        start = row = 0
-        while row < len(sizes):  # as many blocks at a time as memory is meant for
-            end = max(row + 1, int(np.searchsorted(cost, (cost[row - 1] if row else 0) + WORDS // 8, "right")))
-            n = int(sizes[row:end].sum())
-            part = flat.slice(start, n)
-            both = np.frombuffer(b"".join(part.field(1).to_pylist()), np.uint8).reshape(n, -1)
-            nodes, labels = part.field(0).to_pylist(), part.field(2).to_pylist()
-            number: dict[bytes, int] = {}
-            label = np.array([number.setdefault(x, len(number)) for x in labels], np.int64)
-            where = {}
-            for k, (x, block) in enumerate(zip(nodes, np.repeat(np.arange(row, end), sizes[row:end]).tolist(), strict=True)):
-                where[x, block] = k
-            tried = [[where[y, block] for y in ys or () if (y, block) in where] for ys, block in zip(part.field(3).to_pylist(), np.repeat(np.arange(row, end), sizes[row:end]).tolist(), strict=True)]
-            i, j = proposals(np.ascontiguousarray(both[:, : 8 * WIDTH]).view(np.uint64), both[:, 8 * WIDTH :], label, tried, sizes[row:end], take)
-            pairs = {(min(nodes[x], nodes[y]), max(nodes[x], nodes[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True)}
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], names=["a", "b"])
-            start, row = start + n, end
+        for part, sizes in _blocks(b, WORDS // 4):
+            label = forest(*likely_pairs(_sketches_of(part), sizes), len(part))
+            member = np.flatnonzero(label != np.arange(len(part)))
+            node = part.field(0)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(member)), node.take(pa.array(label[member]))], names=["a", "b"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part, sizes in _blocks(b, WORDS // 4):
+            i, j = likely_pairs(_sketches_of(part), sizes)
+            ends = np.cumsum(sizes)
+            block = np.searchsorted(ends, i, "right")
+            links = []
+            for k in np.unique(block).tolist():
+                first = int(ends[k] - sizes[k])
+                h = [part.field(2)[first + x].values.to_numpy(zero_copy_only=False) for x in range(int(sizes[k]))]
+                links += [(first + x, first + y) for x, y in similar_pairs(h, i[block == k] - first, j[block == k] - first, similarity)]
+            node = part.field(0)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array([x for x, _ in links], pa.int64())), node.take(pa.array([y for _, y in links], pa.int64()))], names=["a", "b"])
+
+
+def _in_tiles(members: DataFrame, key: list[str], what: list[str]) -> DataFrame:
+    """(x array<struct>): the members (key, node, tiles, ...) of each key; where tiles is above one they are dealt into
+    so many by hash, and every two tiles meet in a row."""
+    m = members.select(*key, F.struct(*what).alias("x"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("i"))
+    m = m.select(*key, "x", "i", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"))
+    return m.groupBy(*key, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.collect_list("x").alias("x")).where(F.size("x") > 1).select("x")
 
 
 def similar_sets(docs: DataFrame, unique: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, similarity: float) -> DataFrame:
     """(node, component): which sets of unique (node, bits, bands, who) are linked by a similarity as asked for.
 
-    Sets that agree in a band make a block; one with over TILE members is dealt into tiles, and every two tiles meet in
-    a row. Rounds follow until nothing is left to compare: in each, a member proposes the likeliest others that it
-    isn't linked to yet, first one, then four, sixteen and so on; proposals are held against the sets themselves, and
-    links are closed to components. So a large group of near copies takes about a comparison for each member, and a
-    pair is only left uncompared if its ends are linked by others."""
+    Sets that agree in a band make a block, in which likely pairs are found by their sketches alone. What likely pairs
+    connect is a family; only families are compared shingle by shingle, each as one block, or by its bands if it is too
+    large. Blocks over TILE members or TILE_SHINGLES shingles are dealt into tiles. Tasks pass on links enough to
+    connect what is similar, never all pairs, and no likely pair is left out unless others connect its ends."""
     keyed = unique.select("node", F.explode("bands").alias("k"))
-    members = written(keyed.join(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k"), "members")
-    busy = written(unique.join(members.select("node").distinct(), "node").select("node", "bits", "who"), "busy")
+    blocks = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    members = written(keyed.join(blocks, "k"), "members")
+    met = _in_tiles(members.join(unique.select("node", "bits"), "node"), ["k"], ["node", "bits"])
+    families = written(connected_components(met.mapInArrow(_likely, "a binary, b binary"), "a", "b"), "families")
+    busy = unique.join(families, "node").select("node", "bits", "who")
     at = broadcast_checked(busy.select("node", "who"))
     texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")).alias("who"), F.col(text_col).cast("binary").alias("text")).join(at, "who")
-    sets = written(shingle_sets(texts, shingle, seed).dropDuplicates(["node"]), "shingles")
-    links = tried = labels = None
-    take = 1
-    while True:
-        m = members.join(busy.select("node", "bits"), "node")
-        if links is not None:
-            m = m.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-            live = m.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("k")
-            both = tried.union(tried.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("tried"))
-            m = m.join(live, "k").join(both, "node", "left")
-        else:
-            m = m.withColumn("label", F.col("node")).withColumn("tried", F.expr("cast(null as array<binary>)"))
-        m = m.select("k", F.struct("node", "bits", "label", "tried").alias("x"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-        m = m.withColumn("i", F.pmod(F.xxhash64("x.node"), F.col("tiles")).cast("int")).select("k", "x", "i", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"))
-        blocks = m.groupBy("k", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.collect_list("x").alias("x")).where(F.size("x") > 1).select("x")
-        pairs = written(blocks.mapInArrow(lambda it, take=take: _propose(it, take), "a binary, b binary").distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        met = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        met = written(met.select("a", "b", (common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).alias("ok")), "judged")
-        good, bad = met.where("ok").select("a", "b"), met.where("not ok").select("a", "b")
-        links, tried = (good, bad) if links is None else (links.union(good), tried.union(bad))
-        labels = connected_components(links, "a", "b")
-        take *= 4
-    if labels is None:
-        return unique.select("node", F.col("node").alias("component")).limit(0)
-    return labels
+    sets = written(shingle_sets(texts, shingle, seed).dropDuplicates(["node"]).join(busy.select("node", "bits"), "node"), "shingles")
+    sizes = families.join(sets.select("node", F.size("h").alias("s")), "node")
+
+    def tiles() -> tuple:
+        return F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("s") / TILE_SHINGLES)).cast("int").alias("tiles"), F.count("*").alias("n")
+
+    per = written(sizes.groupBy("component").agg(*tiles()), "sizes")
+    alone = families.join(per.where("tiles = 1"), "component").select("component", F.lit(0).cast("long").alias("k"), "node", "tiles")
+    large = sizes.join(per.where("tiles > 1").select("component"), "component").join(members.select("k", "node"), "node")
+    large = large.join(large.groupBy("component", "k").agg(*tiles()).where("n > 1"), ["component", "k"]).select("component", "k", "node", "tiles")
+    met = _in_tiles(alone.union(large).join(sets, "node"), ["component", "k"], ["node", "bits", "h"])
+    return connected_components(met.mapInArrow(lambda it: _similar(it, similarity), "a binary, b binary"), "a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, similarity: float = SIMILARITY) -> DataFrame:
