@@ -7,6 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.cluster import broadcast_checked
+
+#: Neighbours of a node that one task numbers; a hub's are dealt into blocks of about so many.
+BLOCK_NEIGHBOURS = 1 << 16
 #: Nodes of a range whose counts are summed before the running sum over ranges.
 RANGE_NODES = 1 << 16
 
@@ -60,6 +64,24 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
+def numbered_neighbours(edges: DataFrame) -> DataFrame:
+    """(src, i, dst, n, dst_n): every edge, with its number i from 0 among the n of its node, and how many dst has. So a
+    step of a walk is an equi-join by node and number, at a hub as anywhere else.
+
+    A hub's neighbours are dealt into blocks by hash, numbered block by block; only hubs, which are few, have a table
+    of where blocks begin."""
+    e = edges.select("src", "dst")
+    n = e.groupBy("src").agg(F.count("*").alias("n"))
+    hubs = n.where(F.col("n") > BLOCK_NEIGHBOURS).select("src", F.ceil(F.col("n") / BLOCK_NEIGHBOURS).cast("int").alias("blocks"))
+    dealt = e.join(broadcast_checked(hubs), "src", "left").withColumn("b", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("blocks")).cast("int"), F.lit(0)))
+    inside = dealt.selectExpr("src", "dst", "b", "row_number() over (partition by src, b order by dst) - 1 as k")
+    sizes = dealt.where("blocks is not null").groupBy("src", "b").agg(F.count("*").alias("c"))
+    begin = sizes.selectExpr("src", "b", "sum(c) over (partition by src order by b rows unbounded preceding) - c as base")
+    at = inside.join(broadcast_checked(begin), ["src", "b"], "left").select("src", (F.coalesce("base", F.lit(0)) + F.col("k")).alias("i"), "dst")
+    other = n.select(F.col("src").alias("dst"), F.col("n").alias("dst_n"))
+    return at.join(n, "src").join(other, "dst", "left").select("src", "i", "dst", "n", F.coalesce("dst_n", F.lit(0)).alias("dst_n"))
+
+
 def neighbour_at(edges: DataFrame, index: int) -> DataFrame:
     """(src, dst, ts): each node's neighbour number index from 0, in the order of (dst, ts); too few: no row."""
     w = Window.partitionBy("src").orderBy("dst", "ts")
@@ -88,6 +110,7 @@ def edges_at(g: Graph, positions: DataFrame) -> DataFrame:
     return row.select("pos", F.col("id").alias("src"), (F.col("pos") - F.col("start")).cast("int").alias("i")).join(n, ["src", "i"]).select("pos", "src", "dst")
 
 
+# Names of the kinds of graphs.
 KINDS = ("undirected-symmetric-csr", "directed", "undirected-single-edge-list")
 
 

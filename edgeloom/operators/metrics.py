@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.cluster import written
+from edgeloom.functions.vectors import sigmoid
 
 #: Probabilities are held this far from 0 and 1 in the log loss.
 EPS = 2.220446049250313e-16
@@ -37,8 +38,8 @@ def ranking_metrics(scored: DataFrame, ks: list[int], tie: list[str | Column] |
             F.sum(F.when(top & (F.col("label") == 1), 1 / F.log2(F.col("rn") + 1.0)).otherwise(0.0)).alias(f"dcg_{k}"),
         ]
     each = r.groupBy("src").agg(*sums)
-    wins = _prefix_wins(r, ks)
-    each = each.join(wins, "src", "left").where("n_pos > 0") if ks else each.where("n_pos > 0")
+    each = each.join(_prefix_wins(r, ks), "src", "left") if ks else each
+    each = each.where("n_pos > 0")
     sources = scored.agg(F.count_distinct("src").alias("num_sources"))
     out = [F.coalesce(F.avg(1 / F.col("first")), F.lit(0.0)).alias("mrr")]
     for k in ks:
@@ -131,3 +132,52 @@ def summary(df: DataFrame, col: str) -> DataFrame:
 def over_runs(results: DataFrame, by: str, value: str) -> DataFrame:
     """(by, mean, std) over runs; std is the population's, 0 for one run."""
     return results.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+# Names of metrics.
+GLOBAL_METRICS = ("roc_auc", "pr_auc", "accuracy", "logloss", "precision", "recall", "f1")
+AT_K_METRICS = ("hits", "recall", "ndcg", "mrr", "roc_auc")
+COUNT_METRICS = ("num_sources", "num_sources_with_positives")
+
+
+def compute_metrics(
+    scored: DataFrame, names: list[str] = ("roc_auc@k", "hits@k", "recall@k", "ndcg@k", "mrr", "mrr@k"), ks: list[int] = (10, 50, 100), threshold: float = 0.5, apply_sigmoid: bool = True, by_source: bool = False,
+) -> DataFrame:
+    """(metric, value): the metrics named, of scored (src, dst, label, score), in the order of their names.
+
+    Names of GLOBAL_METRICS are over all rows; "mrr", COUNT_METRICS and those of AT_K_METRICS with "@k" are averages over
+    sources, the latter for every k. "-" counts as "_". With by_source, for evaluations source by source, "roc_auc"
+    stands for "roc_auc@k". Scores become probabilities first if apply_sigmoid is set; since that makes large scores
+    equal, ranks and ties are those of probabilities too. Metrics that need both classes have no row where one is
+    missing. Unknown names are an error, and so are source metrics without a src column.
+    """
+    wanted = list(dict.fromkeys(n.replace("-", "_") for n in names))
+    if by_source:
+        wanted = list(dict.fromkeys("roc_auc@k" if n == "roc_auc" else n for n in wanted))
+    per_source = [n for n in wanted if n == "mrr" or n in COUNT_METRICS or n.removesuffix("@k") in AT_K_METRICS and n.endswith("@k")]
+    if unknown := [n for n in wanted if n not in GLOBAL_METRICS and n not in per_source]:
+        raise ValueError(f"unknown metrics: {', '.join(unknown)}")
+    if per_source and "src" not in scored.columns:
+        raise ValueError("metrics by source need a src column")
+    rows = written(scored.withColumn("score", sigmoid(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("score")))) if apply_sigmoid else F.col("score").cast("double")), "scored")
+    parts, order = [], []
+    if per_source:
+        parts.append(ranking_metrics(rows, list(ks) if any(n.endswith("@k") for n in per_source) else []))
+    if "roc_auc" in wanted:
+        parts.append(roc_auc(rows))
+    if "pr_auc" in wanted:
+        parts.append(average_precision(rows))
+    if "logloss" in wanted:
+        parts.append(logloss(rows))
+    if {"accuracy", "precision", "recall", "f1"} & set(wanted):
+        parts.append(threshold_metrics(rows, threshold))
+    for n in wanted:
+        order += [(f"{n.removesuffix('@k')}@{k}", f"{n.removesuffix('@k')}_at_{k}") for k in ks] if n.endswith("@k") else [(n, n)]
+    found = None
+    for part in parts:  # a row each
+        named = [F.struct(F.lit(i).alias("i"), F.lit(name).alias("metric"), F.col(c).cast("double").alias("value")) for i, (name, c) in enumerate(order) if c in part.columns]
+        one = part.select(F.explode(F.array(*named)).alias("x")).select("x.*")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return scored.sparkSession.createDataFrame([], "metric string, value double")
+    return found.where("value is not null").orderBy("i").select("metric", "value")

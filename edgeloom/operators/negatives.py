@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.cluster import written
 from edgeloom.functions.hashing import draw
-from edgeloom.operators.graph import Graph, adjacency, two_hop_closure, with_edge_flag, without_edges
+from edgeloom.operators.graph import Graph, numbered_neighbours, two_hop_closure, with_edge_flag, without_edges
 
 
 def _first_valid(tries: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,10 +47,13 @@ def nonedge(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0
 def two_hop(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, attempts: int = 16) -> DataFrame:
     """(pair, slot, src, dst): for each positive up to per_positive ends of two-step walks from its src that are
     neither src nor its neighbour; the first good one of attempts walks counts, and a slot without one is left out."""
-    rows = adjacency(g.edges)
-    step = lambda df, at, out, *keys: df.join(rows.withColumnsRenamed({"src": at, "neighbours": "__n"}), at).withColumn(out, F.element_at("__n", (draw(F.size("__n"), seed, *keys, F.lit(out)) + 1).cast("int"))).drop("__n")
-    slots = positives.select("pair", "src").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(per_positive)))).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    walked = step(step(slots, "src", "mid", "pair", "slot", "attempt"), "mid", "dst", "pair", "slot", "attempt")
+    rows = written(numbered_neighbours(g.edges), "neighbours")
+    n = rows.groupBy("src").agg(F.first("n").alias("n"))
+    slots = positives.select("pair", "src").join(n, "src").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(per_positive)))).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
+    keys = ("pair", "slot", "attempt")
+    first = slots.withColumn("i", draw(F.col("n"), seed, *keys, F.lit("mid"))).join(rows.select("src", "i", F.col("dst").alias("mid"), "dst_n"), ["src", "i"]).where("dst_n > 0").drop("i")
+    second = first.withColumn("i", draw(F.col("dst_n"), seed, *keys, F.lit("dst")))
+    walked = second.join(rows.select(F.col("src").alias("mid"), "i", "dst"), ["mid", "i"]).select(*keys, "src", "dst")
     return _first_valid(without_edges(walked.where("dst <> src"), g.edges), ["pair", "slot"]).select("pair", "slot", "src", "dst")
 
 

@@ -43,6 +43,8 @@ def k_hop_nodes(pairs: DataFrame, edges: DataFrame, hops: int, max_per_hop: int
             fresh = fresh.select("*", F.row_number().over(w).alias("__n"), most.alias("__most")).where("__n <= __most").select("pair_id", "node_id")
         frontier = written(fresh.withColumn("dist", F.lit(hop)), "frontier")
         known = known.unionByName(frontier)
+        if hop < hops and frontier.isEmpty():
+            break
     return known
 
 
@@ -56,8 +58,13 @@ def _inside(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def induced_pairwise(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(pair_id, u, v, w): edges between different nodes of each pair's subgraph, both ways, each once with w = 1,
-    whichever way and however often they are stored."""
+    whichever way and however often they are stored. An edge is found from its end of fewer neighbours, so that a hub
+    in many subgraphs isn't expanded for each."""
     once = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    n = once.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    ends = once.join(n.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
+    low = F.col("a") <= F.col("b")
+    once = written(ends.select(F.when(low, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("dst")), "oriented")
     e = _inside(pairs, nodes, once)
     return e.unionByName(e.select("pair_id", F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("w", F.lit(1))
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import broadcast_checked, written
+from edgeloom.cluster import broadcast_checked, discard, written
 from edgeloom.functions.hashing import draw, uniform
 from edgeloom.functions.vectors import dot, minus_log_sigmoid
-from edgeloom.operators.graph import Graph, adjacency
+from edgeloom.operators.graph import Graph, adjacency, numbered_neighbours
 
 #: Steps after which the walks so far are written down, so that the plan stays short.
 STEPS_PER_TABLE = 4
@@ -21,41 +21,70 @@ def _starts(g: Graph, walks_per_node: int) -> DataFrame:
 
 def uniform_walks(g: Graph, length: int, walks_per_node: int = 1, seed: int = 0) -> DataFrame:
     """(walk_id, walk array<int> of length nodes): from every node walks_per_node walks, each step to a neighbour drawn
-    by a hash of seed, walk and step; a node without neighbours stays where it is."""
-    rows = adjacency(g.edges).withColumnRenamed("src", "at")
-    w = _starts(g, walks_per_node)
+    by a hash of seed, walk and step; a node without neighbours stays where it is.
+
+    A step joins the number drawn with the one edge of that number, so walks at a hub spread over its edges."""
+    rows = written(numbered_neighbours(g.edges), "neighbours")
+    edge = rows.select(F.col("src").alias("at"), "i", "dst", "dst_n")
+    n = rows.groupBy(F.col("src").alias("at")).agg(F.first("n").alias("n"))
+    w = _starts(g, walks_per_node).join(n, "at", "left").select("walk_id", "at", "n", "walk")
+    last = None
     for step in range(1, length):
-        nxt = F.element_at("neighbours", (draw(F.size("neighbours"), seed, "walk_id", F.lit(step)) + 1).cast("int"))
-        w = w.join(rows, "at", "left").select("walk_id", F.coalesce(nxt, "at").alias("at"), "walk").select("walk_id", "at", F.concat("walk", F.array("at")).alias("walk"))
+        drawn = w.withColumn("i", draw(F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)), seed, "walk_id", F.lit(step)))
+        w = drawn.join(edge, ["at", "i"], "left").select("walk_id", F.coalesce("dst", "at").alias("at"), F.coalesce("dst_n", F.lit(0)).alias("n"), "walk")
+        w = w.select("walk_id", "at", "n", F.concat("walk", F.array("at")).alias("walk"))
         if step % STEPS_PER_TABLE == 0:
             w = written(w, "walks")
+            discard(*([last] if last is not None else []))
+            last = w
     return w.select("walk_id", "walk")
 
 
+#: Neighbours that a step of a biased walk looks at one by one; of more it draws so many.
+LOOK = 32
+
+
 def biased_walks(g: Graph, length: int, p: float, q: float, walks_per_node: int = 1, seed: int = 0) -> DataFrame:
     """As uniform_walks, by second-order weights: 1/p back to where the walk came from, 1 to its neighbours, 1/q to all
     others; the first step is uniform.
 
-    Each step looks at all neighbours of a walk's place, weighs them by a join with the edges of the place before, and
-    takes the first arrival of exponential races (the least of -log(u) / weight), which min_by keeps as one row for each
-    walk before the shuffle.
+    At a node of up to LOOK neighbours a step looks at all of them and takes the first arrival of exponential races
+    (the least of -log(u) / weight), which min_by keeps as one row for each walk before the shuffle. At others it draws
+    LOOK neighbours by number and takes the first that is accepted, with the chance of its weight over the largest:
+    the same chances, at a hub's cost of LOOK rows. The few walks that accept none look at all neighbours after all.
     """
-    e = g.edges.select("src", "dst").distinct()
-    known = e.select(F.col("src").alias("prev"), F.col("dst").alias("x"), F.lit(True).alias("common"))
-    w = _starts(g, walks_per_node).withColumn("prev", F.lit(None).cast("int"))
+    rows = written(numbered_neighbours(g.edges.select("src", "dst").distinct()), "neighbours")
+    edge = rows.select(F.col("src").alias("at"), "i", F.col("dst").alias("x"), F.col("dst_n").alias("xn"))
+    known = rows.select(F.col("src").alias("prev"), F.col("dst").alias("x"), F.lit(True).alias("common"))
+    n = rows.groupBy(F.col("src").alias("at")).agg(F.first("n").alias("n"))
+    most = max(1 / p, 1.0, 1 / q)
+
+    def weighed(near: DataFrame, first: bool) -> DataFrame:
+        if first:
+            return near.withColumn("weight", F.lit(1.0))
+        weight = F.when(F.col("x") == F.col("prev"), 1 / p).when(F.col("common"), 1.0).otherwise(1 / q)
+        return near.join(known, ["prev", "x"], "left").withColumn("weight", weight)
+
+    def race(walkers: DataFrame, step: int) -> DataFrame:
+        wide = weighed(walkers.select("walk_id", "at", "prev").join(edge.drop("i"), "at"), step == 1)
+        arrival = -F.log(1 - uniform(seed, "walk_id", F.lit(step), "x")) / F.col("weight")
+        return wide.groupBy("walk_id").agg(F.min_by(F.struct("x", "xn"), F.struct(arrival, "x")).alias("to"))
+
+    def drawn(walkers: DataFrame, step: int) -> DataFrame:
+        tries = walkers.select("walk_id", "at", "prev", "n", F.explode(F.sequence(F.lit(1), F.lit(LOOK))).alias("t")).withColumn("i", draw(F.col("n"), seed, "walk_id", F.lit(step), "t"))
+        met = weighed(tries.join(edge, ["at", "i"]), step == 1).where(uniform(seed, "walk_id", F.lit(step), "t", F.lit("accept")) * most < F.col("weight"))
+        return met.groupBy("walk_id").agg(F.min_by(F.struct("x", "xn"), "t").alias("to"))
+
+    w = _starts(g, walks_per_node).join(n, "at", "left").select("walk_id", F.lit(None).cast("int").alias("prev"), "at", F.coalesce("n", F.lit(0)).alias("n"), "walk")
+    last = None
     for step in range(1, length):
-        wide = w.select("walk_id", "at", "prev").join(e.select(F.col("src").alias("at"), F.col("dst").alias("x")), "at")
-        if step > 1:
-            wide = wide.join(known, ["prev", "x"], "left")
-            weight = F.when(F.col("x") == F.col("prev"), 1 / p).when(F.col("common"), 1.0).otherwise(1 / q)
-        else:
-            weight = F.lit(1.0)
-        race = -F.log(1 - uniform(seed, "walk_id", F.lit(step), "x")) / weight
-        taken = wide.select("walk_id", "x", race.alias("race")).groupBy("walk_id").agg(F.min_by("x", F.struct("race", "x")).alias("x"))
-        w = w.join(taken, "walk_id", "left").select("walk_id", F.col("at").alias("prev"), F.coalesce("x", "at").alias("at"), "walk")
-        w = w.select("walk_id", "prev", "at", F.concat("walk", F.array("at")).alias("walk"))
-        if step % 2 == 0:
-            w = written(w, "walks")
+        many = w.where(F.col("n") > LOOK)
+        quick = written(drawn(many, step), "drawn")
+        taken = race(w.where(F.col("n") <= LOOK).unionByName(many.join(quick.select("walk_id"), "walk_id", "left_anti")), step).unionByName(quick)
+        w = w.join(taken, "walk_id", "left").select("walk_id", F.col("at").alias("prev"), F.coalesce("to.x", "at").alias("at"), F.coalesce("to.xn", F.lit(0)).alias("n"), "walk")
+        w = written(w.select("walk_id", "prev", "at", "n", F.concat("walk", F.array("at")).alias("walk")), "walks")
+        discard(quick, *([last] if last is not None else []))
+        last = w
     return w.select("walk_id", "walk")
 
 

@@ -16,7 +16,15 @@ from edgeloom.sources.tables import customer_graph, order_pairs, supplier_pairs,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-K = 200
+#: One edge in so many, the latest ones, is for validation (and as many for testing), so that both grow with the edges.
+SHARE = 100
+#: The same as K in SQL, over the table edges.
+K = f"(SELECT greatest(1, count(*) // {SHARE}) FROM edges)"
+
+
+def latest(edges: DataFrame) -> int:
+    """How many of the edges are the latest."""
+    return max(1, edges.count() // SHARE)
 
 
 def raw_sql(n: str, name: str = "") -> str:
@@ -59,8 +67,8 @@ def degree_with_isolated(spark, sf_dir):
 
 @query(BASE + f" SELECT id, count(src) AS kept FROM nodes LEFT JOIN edges ON id = src AND ts <= (SELECT median(CAST(ts AS BIGINT)) FROM (SELECT ts FROM edges ORDER BY ts DESC LIMIT {K}) q WHERE ts = (SELECT min(ts) FROM (SELECT ts FROM edges ORDER BY ts DESC LIMIT {K}) r)) GROUP BY id")
 def train_degree(spark, sf_dir):
-    g = customer_graph(spark, sf_dir)
-    return graph.flagged_degrees(g, F.col("ts") <= splits.kth_largest(g.edges, "ts", K).value)
+    g = graph.Graph(_edges(spark, sf_dir), table(spark, sf_dir, "customer").count())
+    return graph.flagged_degrees(g, F.col("ts") <= splits.kth_largest(g.edges, "ts", latest(g.edges)).value)
 
 
 @query(BASE + " SELECT src, dst, ts FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst, ts) AS n FROM edges) q WHERE n = 3")
@@ -114,7 +122,7 @@ T_SQL = f"t AS (SELECT min(ts) AS t FROM (SELECT ts FROM edges ORDER BY ts DESC
 @query(BASE + f", {T_SQL} SELECT CAST(t AS BIGINT) AS value, count(*) FILTER (ts > t) AS above, count(*) FILTER (ts = t) AS at FROM edges, t GROUP BY t")
 def kth_largest_ts(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    t = splits.kth_largest(e, "ts", K)
+    t = splits.kth_largest(e, "ts", latest(e))
     return e.agg(F.lit(t.value).cast("long").alias("value"), F.count_if(F.col("ts") > t.value).alias("above"), F.count_if(F.col("ts") == t.value).alias("at"))
 
 
@@ -128,29 +136,33 @@ def _two_way(op: str) -> str:
 
 
 def _three_way(op: str) -> str:
-    return BASE + f""", t AS (SELECT min(ts) AS t FROM (SELECT ts FROM edges ORDER BY ts DESC LIMIT {2 * K}) q),
+    return BASE + f""", t AS (SELECT min(ts) AS t FROM (SELECT ts FROM edges ORDER BY ts DESC LIMIT (SELECT 2 * greatest(1, count(*) // {SHARE}) FROM edges)) q),
 late AS (SELECT * FROM edges, t WHERE ts {op} t), t2 AS (SELECT min(ts) AS t2 FROM (SELECT ts FROM late ORDER BY ts DESC LIMIT {K}) q), n AS (SELECT count(*) AS n FROM late)
 SELECT CASE WHEN NOT ts {op} t THEN 'train' WHEN n <= {K} OR ts {op} t2 THEN 'test' ELSE 'val' END AS split, src, dst FROM edges, t, t2, n"""
 
 
 @query(_two_way(">"))
 def temporal_split_2way_exclude(spark, sf_dir):
-    return _parts(splits.temporal_split(_edges(spark, sf_dir), K, splits.EXCLUDE))
+    e = _edges(spark, sf_dir)
+    return _parts(splits.temporal_split(e, latest(e), splits.EXCLUDE))
 
 
 @query(_two_way(">="))
 def temporal_split_2way_include(spark, sf_dir):
-    return _parts(splits.temporal_split(_edges(spark, sf_dir), K, splits.INCLUDE))
+    e = _edges(spark, sf_dir)
+    return _parts(splits.temporal_split(e, latest(e), splits.INCLUDE))
 
 
 @query(_three_way(">"))
 def temporal_split_3way_exclude(spark, sf_dir):
-    return _parts(splits.temporal_split_3way(_edges(spark, sf_dir), K, K, splits.EXCLUDE))
+    e = _edges(spark, sf_dir)
+    return _parts(splits.temporal_split_3way(e, latest(e), latest(e), splits.EXCLUDE))
 
 
 @query(_three_way(">="))
 def temporal_split_3way_include(spark, sf_dir):
-    return _parts(splits.temporal_split_3way(_edges(spark, sf_dir), K, K, splits.INCLUDE))
+    e = _edges(spark, sf_dir)
+    return _parts(splits.temporal_split_3way(e, latest(e), latest(e), splits.INCLUDE))
 
 
 def mix_sql(x: str, gamma: bool) -> str:
@@ -168,7 +180,7 @@ def hash_timestamps(spark, sf_dir):
 def _val_split(spark, sf_dir) -> tuple[graph.Graph, splits.Split]:
     g = customer_graph(spark, sf_dir)
     g = graph.Graph(written(g.edges, "edges"), g.num_nodes)
-    s = splits.temporal_split(g.edges, K, splits.EXCLUDE)
+    s = splits.temporal_split(g.edges, latest(g.edges), splits.EXCLUDE)
     return graph.Graph(s.train, g.num_nodes), s
 
 
@@ -357,8 +369,8 @@ b0 AS (SELECT pair_id, src AS node_id, 0 AS dist FROM pairs UNION SELECT pair_id
 b2 AS (SELECT DISTINCT pair_id, e.dst AS node_id, 2 AS dist FROM b1 JOIN edges e ON e.src = node_id) SELECT pair_id, node_id, min(dist) AS dist FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2) q GROUP BY pair_id, node_id""")
 def two_hop_nodes_of_val(spark, sf_dir):
     """Two hops around the validation pairs."""
-    g = customer_graph(spark, sf_dir)
-    val = splits.temporal_split(g.edges, K, splits.EXCLUDE).val
+    g = graph.Graph(_edges(spark, sf_dir), table(spark, sf_dir, "customer").count())
+    val = splits.temporal_split(g.edges, latest(g.edges), splits.EXCLUDE).val
     return subgraphs.k_hop_nodes(_pairs(graph.Graph(val, g.num_nodes)), g.edges, 2)
 
 
@@ -521,7 +533,7 @@ def lr_link_prediction(spark, sf_dir):
     """Validation pairs and sampled negatives, scored by a classifier that is fitted on training edges."""
     g, v = vector_graph(spark, sf_dir)
     g = graph.Graph(written(g.edges, "edges"), g.num_nodes)
-    s = splits.temporal_split(g.edges, K, splits.EXCLUDE)
+    s = splits.temporal_split(g.edges, latest(g.edges), splits.EXCLUDE)
     train = graph.Graph(s.train, g.num_nodes)
     pos = graph.canonical(s.train).select((F.col("src").cast("long") * g.num_nodes + F.col("dst")).alias("pair"), "src", "dst")
     neg = negatives.nonedge(train, pos, seed=42)
@@ -530,11 +542,109 @@ def lr_link_prediction(spark, sf_dir):
     return features.classifier_scores(model, test, v)
 
 
+def _node2vec(spark, sf_dir) -> tuple[graph.Graph, DataFrame, DataFrame]:
+    """The graph, contexts of walks over all its nodes, and embeddings trained on them."""
+    g = customer_graph(spark, sf_dir)
+    c = written(walks.contexts(walks.windows(walks.uniform_walks(g, 8, walks_per_node=2, seed=42), 3)), "contexts")
+    first = features.initial_embeddings(g.nodes(), 16, "uniform", seed=42)
+    return g, c, features.fit_skipgram(c, g.num_nodes, first, seed=42)
+
+
 @query()
 def node2vec_embeddings(spark, sf_dir):
-    """Skip-gram embeddings from walks over all nodes."""
-    w = walks.uniform_walks(customer_graph(spark, sf_dir), 8, walks_per_node=2, seed=42)
-    return features.embeddings_of(features.fit_embeddings(w, dim=16, context=3, seed=42))
+    """Skip-gram embeddings with negatives from walks over all nodes."""
+    return _node2vec(spark, sf_dir)[2].withColumn("embedding", F.col("embedding").cast("array<float>"))
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS nodes, (SELECT count(*) FROM customer) AS embedded, 16 AS dim, true AS finite, true AS better")
+def node2vec_training_check(spark, sf_dir):
+    """Every node has a vector of 16 finite numbers, and the loss is lower than before training."""
+    g, c, v = _node2vec(spark, sf_dir)
+    v = written(v, "trained")
+    fake = c.select("anchor", hashing.draw(g.num_nodes, 1, "anchor", "context").cast("int").alias("context"))
+    before, after = (walks.skipgram_loss(c, fake, x, g.num_nodes) for x in (features.initial_embeddings(g.nodes(), 16, "uniform", seed=42), v))
+    row = v.agg(F.count_distinct("id").alias("embedded"), F.max(F.size("embedding")).alias("dim"), F.bool_and(~F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).alias("finite"))
+    losses = before.select(F.col("loss").alias("b")).crossJoin(after.select(F.col("loss").alias("a")))  # a row each
+    return row.crossJoin(losses).select(F.lit(g.num_nodes).cast("long").alias("nodes"), "embedded", "dim", "finite", (F.col("a") < F.col("b") - 0.05).alias("better"))
+
+
+@query(BASE + """, p AS (SELECT count(*) AS n FROM edges WHERE src < dst)
+SELECT 'uniform' AS sampler, n AS positives, 4 * n AS wanted, 4 * n AS found, CAST(0 AS BIGINT) AS edges, CAST(0 AS BIGINT) AS loops FROM p
+UNION ALL SELECT 'uniform_nonedge', n, 2 * n, 2 * n, 0, 0 FROM p""")
+def negatives_check(spark, sf_dir):
+    """Samplers give as many negatives as promised, and neither edges nor loops."""
+    g = graph.Graph(_edges(spark, sf_dir), table(spark, sf_dir, "customer").count())
+    pos = written(_positives(g), "positives")
+    out = None
+    for name, each, how in (("uniform", 4, {"reject_existing": True}), ("uniform_nonedge", 2, {})):
+        drawn = graph.with_edge_flag(negatives.SAMPLERS[name](g, pos, 2, 42, **how), g.edges, both_ways=True)
+        row = drawn.agg(F.count("*").alias("found"), F.count_if("exists").alias("edges"), F.count_if(F.col("src") == F.col("dst")).alias("loops")).crossJoin(pos.agg(F.count("*").alias("positives")))
+        row = row.select(F.lit(name).alias("sampler"), "positives", (each * F.col("positives")).alias("wanted"), "found", "edges", "loops")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(BASE + " SELECT src, CAST(0 AS BIGINT) AS wrong FROM edges WHERE false")
+def two_hop_negatives_check(spark, sf_dir):
+    """Sources with a two-hop negative that isn't two steps away, or is a neighbour or itself: there are none."""
+    g = graph.Graph(_edges(spark, sf_dir), table(spark, sf_dir, "customer").count())
+    pos = written(_positives(g), "positives")
+    drawn = negatives.two_hop(g, pos, per_positive=2, seed=42).select("src", "dst").distinct()
+    right = graph.two_hop_closure(pos, g.edges)
+    return drawn.join(right, ["src", "dst"], "left_anti").groupBy("src").agg(F.count("*").alias("wrong"))
+
+
+@query(BASE + " SELECT how, (SELECT count(*) FROM nodes) * 2 AS walks, CAST(6 AS INT) AS shortest, CAST(6 AS INT) AS longest, CAST(0 AS BIGINT) AS invalid, (SELECT count(*) FROM nodes) AS starts FROM (VALUES ('uniform'), ('biased')) v(how)")
+def walks_check(spark, sf_dir):
+    """Walks are as many and as long as asked for, start at every node and step along edges alone."""
+    g = graph.Graph(_edges(spark, sf_dir), table(spark, sf_dir, "customer").count())
+    out = None
+    for how, made in (("uniform", walks.uniform_walks(g, 6, 2, seed=42)), ("biased", walks.biased_walks(g, 6, 0.5, 2.0, 2, seed=42))):
+        made = written(made, "made")
+        row = made.agg(F.count("*").alias("walks"), F.min(F.size("walk")).alias("shortest"), F.max(F.size("walk")).alias("longest"), F.count_distinct(F.col("walk")[0]).alias("starts"))
+        row = row.crossJoin(walks.invalid_steps(made, g).agg(F.count("*").alias("invalid"))).select(F.lit(how).alias("how"), "walks", "shortest", "longest", "invalid", "starts")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+METRIC_NAMES = ["roc_auc", "pr-auc", "accuracy", "logloss", "precision", "recall", "f1", "mrr", "hits@k", "num_sources"]
+
+
+@query(LABELLED_SQL + """, z AS (SELECT src, dst, label, 1 / (1 + exp(-(score - 2))) AS score FROM scored),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, label DESC, dst) AS rn FROM z),
+g AS (SELECT score, sum(label) AS p, count(*) AS c FROM z GROUP BY score), w AS (SELECT p, c - p AS n, sum(p) OVER (ORDER BY score DESC) AS tp, sum(c) OVER (ORDER BY score DESC) AS al FROM g),
+c AS (SELECT count(*) AS n, count(*) FILTER (score >= 0.6 AND label = 1) AS tp, count(*) FILTER (score >= 0.6 AND label = 0) AS fp, count(*) FILTER (score < 0.6 AND label = 1) AS fn FROM z),
+s AS (SELECT src, 1.0 / min(rn) FILTER (label = 1) AS mrr, max(CASE WHEN label = 1 AND rn <= 3 THEN 1.0 ELSE 0.0 END) AS h3, max(CASE WHEN label = 1 AND rn <= 20 THEN 1.0 ELSE 0.0 END) AS h20 FROM r GROUP BY src HAVING sum(label) > 0)
+SELECT metric, round(value, 6) AS value FROM (
+SELECT 'roc_auc' AS metric, sum(n * (tp - p + 0.5 * p)) / (sum(p) * sum(n)) AS value FROM w UNION ALL SELECT 'pr_auc', sum(p * tp / al) / sum(p) FROM w
+UNION ALL SELECT 'accuracy', (n - fp - fn) / n FROM c UNION ALL SELECT 'logloss', avg(-CASE WHEN label = 1 THEN ln(score) ELSE ln(1 - score) END) FROM z
+UNION ALL SELECT 'precision', CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END FROM c UNION ALL SELECT 'recall', CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END FROM c
+UNION ALL SELECT 'f1', CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END FROM c
+UNION ALL SELECT 'mrr', avg(mrr) FROM s UNION ALL SELECT 'hits@3', avg(h3) FROM s UNION ALL SELECT 'hits@20', avg(h20) FROM s UNION ALL SELECT 'num_sources', count(DISTINCT src) FROM z) q""")
+def metrics_by_name(spark, sf_dir):
+    """Logits of validation pairs and their two-hop negatives, judged by metrics named in a list."""
+    found = metrics.compute_metrics(_scored(spark, sf_dir).withColumn("score", F.col("score") - 2), METRIC_NAMES, [3, 20], threshold=0.6)
+    return found.select("metric", F.round("value", 6).alias("value"))
+
+
+VEC_VAL_SQL = VEC + f""", {T_SQL}, train AS (SELECT src, dst FROM edges, t WHERE ts <= t), val AS (SELECT src, dst FROM edges, t WHERE ts > t),
+closure AS (SELECT DISTINCT a.src, b.dst FROM (SELECT DISTINCT src FROM val) s JOIN train a ON a.src = s.src JOIN train b ON b.src = a.dst WHERE b.dst <> a.src AND NOT EXISTS (SELECT 1 FROM train e WHERE e.src = a.src AND e.dst = b.dst)),
+lab AS (SELECT src, dst, 1 AS label FROM val UNION ALL SELECT src, dst, 0 FROM closure),
+scored AS (SELECT l.src, l.dst, label, {{dot}} AS score FROM lab l JOIN vec a ON a.id = least(l.src, l.dst) JOIN vec b ON b.id = greatest(l.src, l.dst)),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, label DESC, dst) AS rn FROM scored),
+s AS (SELECT src, sum(label) AS n, 1.0 / min(rn) FILTER (label = 1) AS mrr, max(CASE WHEN label = 1 AND rn <= 10 THEN 1.0 ELSE 0.0 END) AS h, count(*) FILTER (label = 1 AND rn <= 10) AS top FROM r GROUP BY src HAVING sum(label) > 0)
+SELECT metric, round(value, 6) AS value FROM (SELECT 'mrr' AS metric, avg(mrr) AS value FROM s UNION ALL SELECT 'hits@10', avg(h) FROM s UNION ALL SELECT 'recall@10', avg(top / n) FROM s) q"""
+
+
+@query(VEC_VAL_SQL.format(dot=DOT))
+def dot_validation(spark, sf_dir):
+    """Validation pairs and their two-hop negatives, scored by their embeddings' inner product and nothing else."""
+    g, v = vector_graph(spark, sf_dir)
+    g = graph.Graph(written(g.edges, "edges"), g.num_nodes)
+    s = splits.temporal_split(g.edges, latest(g.edges), splits.EXCLUDE)
+    lab = s.val.withColumn("label", F.lit(1)).unionByName(graph.two_hop_closure(s.val, s.train).withColumn("label", F.lit(0)))
+    found = metrics.compute_metrics(features.dot_scores(lab, v), ["mrr", "hits@k", "recall@k"], [10])
+    return found.select("metric", F.round("value", 6).alias("value"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,67 @@ def test_biased_walks_follow_their_weights(spark):
     assert all(abs(n[x] / total - v / 3.25) < 0.06 for x, v in want.items())
 
 
+def hub_graph(spark):
+    """A node with a third of all edges beside a ring."""
+    ring = [(i, i % 300 + 1) for i in range(1, 301)]
+    return make(spark, [x for a, b in ring + [(0, i) for i in range(1, 301)] for x in ((a, b), (b, a))], 301)
+
+
+def test_numbered_neighbours_at_a_hub(spark, monkeypatch):
+    g = hub_graph(spark)
+    want = rows(graph.numbered_neighbours(g.edges))
+    monkeypatch.setattr(graph, "BLOCK_NEIGHBOURS", 16)
+    got = rows(graph.numbered_neighbours(g.edges))
+    for found in (want, got):
+        assert sorted((a, b) for a, _, b, _, _ in found) == sorted(map(tuple, g.edges.select("src", "dst").collect()))
+        assert all(sorted(i for a, i, _, _, _ in found if a == s) == list(range(n)) for s, n in ((0, 300), (1, 3), (300, 3)))
+        assert all(n == (300 if a == 0 else 3) and m == (300 if b == 0 else 3) for a, _, b, n, m in found)
+    negative = rows(negatives.two_hop(g, graph.canonical(g.edges).where("src > 0").select(F.col("src").cast("long").alias("pair"), "src", "dst"), 2, seed=1).select("src", "dst"))
+    near = {(a, b) for a, b, *_ in rows(g.edges.select("src", "dst"))}
+    assert len(negative) > 500 and not near & set(negative) and all(a != b for a, b in negative)
+
+
+def test_biased_walks_draw_at_hubs_as_their_weights_say(spark, monkeypatch):
+    """From 1 by way of the hub: back to 1 with weight 1/p, to 1's neighbours 2 and 300 with 1, to others with 1/q."""
+    monkeypatch.setattr(walks, "LOOK", 64)
+    w = walks.biased_walks(hub_graph(spark), 3, p=0.02, q=4.0, walks_per_node=3000, seed=5).where("walk[0] = 1 and walk[1] = 0")
+    ends = [r.walk[2] for r in w.collect()]
+    total = 50 + 2 * 1 + 297 / 4
+    assert len(ends) > 800
+    assert abs(ends.count(1) / len(ends) - 50 / total) < 0.06 and abs(sum(x in (2, 300) for x in ends) / len(ends) - 2 / total) < 0.02
+    assert walks.invalid_steps(w, hub_graph(spark)).count() == 0
+
+
+def test_compute_metrics_by_name(spark):
+    d = spark.createDataFrame([(1, 5, 1, 60.0), (1, 6, 0, 50.0), (1, 7, 0, -1.0), (2, 5, 0, 3.0), (2, 6, 1, -3.0)], "src int, dst int, label int, score double")
+    get = lambda *a, **k: {r.metric: r.value for r in metrics.compute_metrics(d, *a, **k).collect()}
+    got = get(["hits@k", "mrr", "num-sources", "accuracy"], [1, 2])
+    assert list(got) == ["hits@1", "hits@2", "mrr", "num_sources", "accuracy"]
+    assert got == {"hits@1": 0.5, "hits@2": 1.0, "mrr": 0.75, "num_sources": 2.0, "accuracy": 0.4}
+    # scores beyond the sigmoid's range are equal, so the positive ranks first by label
+    tied = d.withColumn("score", F.when(F.col("score") == 60, 45.0).otherwise(F.col("score")))
+    assert metrics.compute_metrics(tied, ["mrr"]).first().value == 0.75
+    assert get(["accuracy", "precision"], threshold=0.0, apply_sigmoid=False) == {"accuracy": 0.4, "precision": pytest.approx(1 / 3)}
+    assert list(get(["roc_auc", "roc-auc@k"], [3], by_source=True)) == ["roc_auc@3"] and list(get(["roc_auc"])) == ["roc_auc"]
+    assert metrics.compute_metrics(d.where("label = 1"), ["roc_auc"]).count() == 0 and get([]) == {}
+    with pytest.raises(ValueError, match="unknown metrics: hit@k"):
+        get(["hit@k"])
+    with pytest.raises(ValueError, match="src"):
+        metrics.compute_metrics(d.drop("src"), ["mrr"])
+
+
+def test_fit_skipgram_brings_contexts_together(spark):
+    pairs = spark.createDataFrame([(a, b) for c in (0, 4) for a in range(c, c + 4) for b in range(c, c + 4) if a != b] * 3, "anchor int, context int")
+    first = features.initial_embeddings(spark.range(9).select(F.col("id").cast("int").alias("id")), 4, "uniform", seed=3)
+    v = {r.id: np.array(r.embedding) for r in features.fit_skipgram(pairs, 8, first, negatives=2, rounds=12, seed=3).collect()}
+    begin = {r.id: np.array(r.embedding) for r in first.collect()}
+    assert v.keys() == begin.keys() and (v[8] == begin[8]).all()
+    pairs = [(a, b) for a in range(8) for b in range(8) if a != b]
+    near = np.mean([v[a] @ v[b] for a, b in pairs if (a < 4) == (b < 4)])
+    far = np.mean([v[a] @ v[b] for a, b in pairs if (a < 4) != (b < 4)])
+    assert near > far + 0.5
+
+
 def test_ranking_golden(spark):
     d = spark.createDataFrame([(1, 0, 1, 0.9), (1, 1, 0, 0.1), (2, 0, 0, 0.8), (2, 1, 1, 0.7)], "src long, dst long, label int, score double")
     m = metrics.ranking_metrics(d, [1, 2]).first()
