@@ -148,23 +148,22 @@ def best_fit(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY
     """pieces (id, piece, length from 1 to capacity, any others) with sequence_id and offset: pieces of one sequence
     lie side by side from 0 on, and no sequence holds over capacity tokens; see plan.
 
-    The driver sees one count for each length. Pieces of a length get their numbers from counts by hash bucket, so
-    that neither a length nor a document gathers in one task; the bucket's share of each length comes by a join.
+    The driver sees one count for each length, capacity of them at most. The pieces of a length are dealt by hash into
+    buckets of about BUCKET_ROWS and numbered from there, so that neither a length nor a document gathers in one task;
+    where a bucket's numbers begin comes by a join with one row for each bucket, which is shuffled as the pieces are.
     Lengths outside 1 to capacity are an error. An empty table gives an empty result.
     """
     pieces = written(pieces, "pieces")
-    total = pieces.count()
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    dealt = pieces.withColumn("__b", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int"))
-    by_bucket = written(dealt.groupBy("length", "__b").agg(F.count("*").alias("__n")), "lengths")
-    counts = {r[0]: r[1] for r in by_bucket.groupBy("length").agg(F.sum("__n")).collect()}  # capacity rows at most
-    if any(not 1 <= k <= capacity for k in counts):
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    if any(k is None or not 1 <= k <= capacity for k in counts):
         raise ValueError(f"lengths must lie between 1 and {capacity}")
     rows = np.array(plan(counts, capacity), np.int64).reshape(-1, 6)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     key = (rows[:, 0] << 48) + rows[:, 1]
-    first = by_bucket.selectExpr("length __l", "__b __c", "sum(__n) over (partition by length order by __b rows unbounded preceding) - __n __from")
-    numbered = dealt.selectExpr("*", f"row_number() over (partition by __b, length order by `{id_col}`, piece) - 1 __i").join(first, (F.col("__l") == F.col("length")) & (F.col("__c") == F.col("__b")))
+    buckets = F.get(F.lit([max(1, -(-counts.get(k, 0) // BUCKET_ROWS)) for k in range(capacity + 1)]), F.col("length").cast("int"))
+    dealt = pieces.withColumn("__b", F.pmod(F.xxhash64(id_col, "piece"), buckets).cast("int"))
+    first = dealt.groupBy("length", "__b").agg(F.count("*").alias("__n")).selectExpr("length", "__b", "sum(__n) over (partition by length order by __b rows unbounded preceding) - __n __from")
+    numbered = dealt.selectExpr("*", f"row_number() over (partition by length, __b order by `{id_col}`, piece) - 1 __i").join(first.hint("merge"), ["length", "__b"])
     numbered = numbered.select(*pieces.columns, (F.col("__from") + F.col("__i")).alias("__rank"))
     send = pieces.sparkSession.sparkContext.broadcast((rows, key))
     ship(pieces.sparkSession)

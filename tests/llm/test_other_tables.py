@@ -127,6 +127,24 @@ def test_mined_rules_match_brute_force(spark):
     assert all(abs(hit[u] - max(c for k, c in got.items() if sets[u].issuperset(k))) < 1e-9 for u in hit)
 
 
+@pytest.mark.parametrize("basket", [16, 3])
+def test_mining_long_and_repeated_urls(spark, monkeypatch, basket):
+    monkeypatch.setattr(url_rules, "BASKET", basket)
+    long = "http://bad.example.com/" + "/".join(f"seg{chr(97 + i)}" for i in range(40)) + "?" + "&".join(f"k{chr(97 + i)}=1" for i in range(20))
+    urls = [(i, long if i < 12 else f"http://good{i % 7}.org/x{i % 5}/{'y' if i % 2 else 'z'}") for i in range(200)]
+    many = [(1000 + i, "http://mixed.net/?" + "&".join(f"q{chr(97 + k)}=1" for k in range(26) if (i * 7919 + k * 104729) % 11 > 1)) for i in range(60)]
+    pages = spark.createDataFrame([*urls, *many], "page_id long, url string")
+    labels = spark.createDataFrame([(7, i, i < 12) for i, _ in urls] + [(7, i, i % 10 == 0) for i, _ in many], "n int, page_id long, unwanted boolean")
+    rules = url_rules.mine(pages, labels)
+    hit = {r.url for r in url_rules.matched(pages, rules).collect()}
+    assert long in hit and not any("good" in u for u in hit)
+    sets = {r.page_id: set(r.t) for r in pages.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    bad = {r.page_id: r.unwanted for r in labels.collect()}
+    for r in rules.collect():  # what is told of a rule holds over all labelled pages
+        has = [bad[i] for i in sets if sets[i].issuperset(r.tokens)]
+        assert sum(has) / len(has) == pytest.approx(r.confidence) and sum(has) / len(bad) == pytest.approx(r.support) and r.confidence >= url_rules.CONFIDENCE
+
+
 def slow_nearest(rows, k, want):
     out = {}
     for q, v in want:
@@ -223,6 +241,66 @@ def test_licenses(spark, model):
     assert licenses.licenses(d.limit(0), model).count() == 0
 
 
+def slow_licenses(texts, model):
+    """Paragraph by paragraph: margins, calibrated chances and template overlaps, without Spark."""
+    import regex
+
+    def grams(text):
+        w = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+        return len(w), {" ".join(w[i : i + n]) for n in range(1, licenses.ORDER + 1) for i in range(len(w) - n + 1)}
+
+    sketches = [(f, {g for g in grams(t)[1] if " " in g}) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    out = []
+    for text in texts:
+        found, lines = [], (text or "").split("\n")
+        for at, line in enumerate(lines):
+            n, have = grams(line)
+            met = [g for g in have if g in model.weights]
+            shared = [len(have & s) for _, s in sketches]
+            if not met and not any(shared):
+                continue
+            m = (np.array(model.intercepts) + sum((np.array(model.weights[g]) for g in met), np.zeros(len(model.intercepts)))) / model.temperature
+            best, p = int(m.argmax()), 1 / np.exp(m - m.max()).sum()
+            overlap = max((min(1.0, x / max(1, min(len(s), 2 * n - 3))) for x, (f, s) in zip(shared, sketches, strict=True) if f == licenses.CLASSES[best]), default=0.0)
+            if best < len(licenses.TEMPLATES) and p >= model.threshold and overlap >= licenses.OVERLAP:
+                found.append((licenses.CLASSES[best], p))
+            elif best == len(licenses.CLASSES) - 2 or best < len(licenses.CLASSES) - 2 and overlap >= licenses.TRACE:
+                found.append((licenses.UNKNOWN, p))
+        out.append((",".join(sorted({f for f, _ in found})), len(found), len(lines), max((p for _, p in found), default=None)))
+    return out
+
+
+def test_licenses_match_a_slow_scorer(spark, model):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    said = [t for ts in licenses.TEMPLATES.values() for t in ts] + licenses.UNKNOWN_NOTICES
+    rng = random.Random(8)
+    for t in said:  # whole, cut, with words left out, in other orders, in company
+        w = t.split()
+        texts += [t, " ".join(w[len(w) // 3 :]), " ".join(x for x in w if rng.random() < 0.8), " ".join(rng.sample(w, len(w))), f"{rng.choice(said)}\n\n{t}\nsome other words"]
+    texts += [None, "", "\n\n", "é", "license " * 50_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.licenses(d, model).collect()}
+    for i, (names, n, lines, p) in enumerate(slow_licenses(texts, model)):
+        assert (got[i].licenses, got[i].n_licensed, got[i].n_paragraphs) == (names, n, lines), texts[i]
+        assert got[i].probability is None if p is None else abs(got[i].probability - p) < 1e-9
+
+
+def test_calibration_tells_the_unknown_apart():
+    rng = np.random.default_rng(4)
+    k, family = len(licenses.CLASSES), len(licenses.TEMPLATES)
+    label = rng.integers(0, k, 4000)
+    margins = rng.normal(size=(4000, k))
+    margins[np.arange(4000), label] += 3.0
+    margins *= 3.0  # log chances as they are, at temperature one
+    temperature, threshold = licenses.calibrate(label, margins * 3)
+    assert temperature == 3.0
+    e = np.exp(margins - margins.max(axis=1, keepdims=True))
+    p = e / e.sum(axis=1, keepdims=True)
+    named = (p.argmax(axis=1) < family) & (p.max(axis=1) >= threshold)
+    assert named.any() and (p.argmax(axis=1) == label)[named].mean() >= licenses.PRECISION and 0.3 <= threshold < 0.96
+    assert licenses.calibrate(np.zeros(0, int), np.zeros((0, k))) == (1.0, 0.5)
+
+
 def test_licenses_on_the_table(spark, model):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     named = {"CC BY-NC 4.0": "CC-BY-NC", "GNU General Public License": "GPL", "Apache License": "Apache-2.0", "MIT License": "MIT"}
