@@ -17,8 +17,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     node that can be reached.
 
     Each round rewires every edge to the smallest neighbour (first of larger neighbours, then of smaller ones) and is
-    written down; the number of rounds grows with the logarithm of the component's size. Minimum and edges meet in a
-    plain equi-join, so that adaptive execution can split a hub. Nulls and self links give nothing; an empty table
+    written down; the number of rounds grows with the logarithm of the component's size. Minimum and edges meet in an
+    equi-join that shuffles both, so that adaptive execution can split a hub. Nulls and self links give nothing; an empty table
     gives an empty table.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}")
@@ -26,7 +26,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("m", "u")  # no longer by u alone
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
