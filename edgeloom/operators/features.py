@@ -112,3 +112,18 @@ def combine(tables: DataFrame, how: str) -> DataFrame:
     else:
         raise ValueError(f"unknown way to combine embeddings: {how}")
     return rows.select("id", value.alias("embedding"))
+
+
+def by_original_id(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, embedding): vectors (id, embedding) under the original ids of ids (id, original). Vectors without an original
+    id go; ids without a vector give none."""
+    return vectors.join(ids.select("id", "original"), "id").select(F.col("original").alias("id"), "embedding")
+
+
+def part_of(vectors: DataFrame, rows: tuple[int, int], columns: tuple[int, int]) -> DataFrame:
+    """(id, embedding): the vectors with ids from rows[0] up to rows[1], and of them the components from columns[0] up to
+    columns[1], ends left out, counted from 0."""
+    (a, b), (c, d) = rows, columns
+    if not (0 <= a <= b and 0 <= c <= d):
+        raise ValueError(f"no such part: {rows}, {columns}")
+    return vectors.where((F.col("id") >= a) & (F.col("id") < b)).select("id", F.slice("embedding", c + 1, d - c).alias("embedding"))

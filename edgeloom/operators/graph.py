@@ -146,6 +146,13 @@ def quality(g: Graph) -> DataFrame:
     )
 
 
+def unsorted_rows(stored: DataFrame) -> DataFrame:
+    """(pos, src, dst, next_dst): places of stored edges (pos, src, dst) at which a node's next neighbour is smaller than
+    the one before; none if rows are sorted. An equi-join by place, so that a hub is as good as any other node."""
+    after = stored.select((F.col("pos") - 1).alias("pos"), F.col("src").alias("__src"), F.col("dst").alias("next_dst"))
+    return stored.select("pos", "src", "dst").join(after, "pos").where("src = __src and next_dst < dst").select("pos", "src", "dst", "next_dst")
+
+
 def years(y: Column) -> Column:
     """Node years as ints: null and NaN become 0, others are held to 0..2^31-1."""
     return F.greatest(F.lit(0.0), F.least(F.coalesce(F.nanvl(y.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(2147483647.0))).cast("int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.cluster import written
@@ -35,13 +35,14 @@ def uniform(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0
     return best.select("pair", "side", "slot", "x.src", "x.dst")
 
 
-def nonedge(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, attempts: int = 24) -> DataFrame:
+def nonedge(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, attempts: int = 24, tell: bool = False) -> DataFrame:
     """(pair, slot, src, dst): for each positive per_positive pairs of any two different nodes that are no edge in
-    either direction; a slot for which all attempts fail is left out."""
+    either direction; a slot for which all attempts fail is left out. With tell also attempt, from 1: the one that
+    counted."""
     slots = positives.select("pair").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(per_positive))))
     tries = slots.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
     tries = tries.withColumn("src", draw(g.num_nodes, seed, "pair", "slot", "attempt", F.lit("src")).cast("int")).withColumn("dst", draw(g.num_nodes, seed, "pair", "slot", "attempt", F.lit("dst")).cast("int"))
-    return _first_valid(without_edges(tries.where("src <> dst"), g.edges, both_ways=True), ["pair", "slot"]).select("pair", "slot", "src", "dst")
+    return _first_valid(without_edges(tries.where("src <> dst"), g.edges, both_ways=True), ["pair", "slot"]).select("pair", "slot", "src", "dst", *(["attempt"] if tell else []))
 
 
 def two_hop(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, attempts: int = 16) -> DataFrame:
@@ -63,12 +64,29 @@ def two_hop_of_sources(g: Graph, sources: DataFrame, walks: int, seed: int = 0)
     return two_hop(g, one, walks, seed, attempts=4).select("src", "dst").distinct()
 
 
+def flatten(negatives: DataFrame, column: str = "negatives") -> DataFrame:
+    """(src, dst) from rows (src, negatives array): one pair for each negative of a source."""
+    return negatives.select("src", F.explode(column).alias("dst"))
+
+
+def pools(spark: SparkSession, num_nodes: int, batches: int, size: int, seed: int = 0) -> DataFrame:
+    """(batch, slot, id): for each batch a pool of size nodes, drawn from all with repetition, that all its positives
+    share as negatives."""
+    rows = spark.range(batches).select(F.col("id").alias("batch"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("slot"))
+    return rows.select("batch", "slot", draw(num_nodes, seed, "batch", "slot").cast("int").alias("id"))
+
+
 def sampling_stats(sampled: DataFrame, wanted: int) -> DataFrame:
-    """(found, failed) of a sampler that was to give so many rows."""
-    return sampled.agg(F.count("*").alias("found")).select("found", (F.lit(wanted) - F.col("found")).alias("failed"))
+    """(found, failed) of a sampler that was to give so many rows; where rows say which attempt they are from, also the
+    mean of attempts and the share that the first attempt gave."""
+    out = [F.count("*").alias("found")]
+    if "attempt" in sampled.columns:
+        out += [F.avg("attempt").alias("mean_attempts"), F.avg((F.col("attempt") == 1).cast("double")).alias("first_share")]
+    s = sampled.agg(*out)
+    return s.select("found", (F.lit(wanted) - F.col("found")).alias("failed"), *s.columns[1:])
 
 
 #: Samplers by name.
 SAMPLERS: dict[str, Callable[..., DataFrame]] = {"uniform": uniform, "uniform_nonedge": nonedge, "two_hop": two_hop}
 
-__all__ = ["SAMPLERS", "nonedge", "sampling_stats", "two_hop", "two_hop_closure", "two_hop_of_sources", "uniform"]
+__all__ = ["SAMPLERS", "flatten", "nonedge", "pools", "sampling_stats", "two_hop", "two_hop_closure", "two_hop_of_sources", "uniform"]

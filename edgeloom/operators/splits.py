@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.functions.hashing import with_pair_hash
+from edgeloom.functions.hashing import unsigned_order, with_mix64, with_pair_hash
 
 EXCLUDE, INCLUDE = "exclude", "include"
 
@@ -78,3 +78,18 @@ def temporal_split_3way(edges: DataFrame, k_val: int, k_test: int, ties: str) ->
 def with_hash_timestamps(edges: DataFrame) -> DataFrame:
     """edges with a ts that depends on the unordered pair alone, for graphs without timestamps."""
     return with_pair_hash(edges.drop("ts"), "ts", "src", "dst")
+
+
+def first_sources(rows: DataFrame, n: int) -> DataFrame:
+    """rows (src, ...) of the first n sources in the order of evaluation (by unsigned hash, then id), each whole: for an
+    evaluation that stops early. What is broadcast are n ids."""
+    ordered = with_mix64(rows.select("src").distinct(), "__h", F.col("src").cast("long"))
+    first = ordered.orderBy(unsigned_order("__h"), "src").limit(n).select("src")
+    return rows.join(F.broadcast(first), "src", "left_semi")
+
+
+def sample_pairs(pairs: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n of the pairs (src, dst), all if there are fewer, drawn without replacement: those of the smallest hash of seed
+    and pair. A top-n, of which each task passes on n rows at most."""
+    key = F.shiftleft(F.col("src").cast("long"), 32).bitwiseOR(F.col("dst").cast("long")) + F.lit(seed)
+    return with_mix64(pairs.select("src", "dst"), "__h", key).orderBy(unsigned_order("__h"), "src", "dst").limit(n).select("src", "dst")

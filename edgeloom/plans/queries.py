@@ -647,6 +647,45 @@ def dot_validation(spark, sf_dir):
     return found.select("metric", F.round("value", 6).alias("value"))
 
 
+@query(LABELLED_SQL + f""", f AS (SELECT src FROM (SELECT DISTINCT src FROM lab) q ORDER BY {mix_sql('CAST(src AS UBIGINT)', True)}, src LIMIT 20)
+SELECT src, dst, label FROM lab WHERE src IN (SELECT src FROM f)""")
+def limited_sources(spark, sf_dir):
+    """The rows of the first 20 sources in the order of evaluation, as an evaluation that stops early has them."""
+    return splits.first_sources(_scored(spark, sf_dir).select("src", "dst", "label"), 20)
+
+
+@query(BASE + f" SELECT src, dst FROM edges WHERE src < dst ORDER BY {mix_sql('(((CAST(src AS UBIGINT) << 32) | CAST(dst AS UBIGINT)) + 42)', True)}, src, dst LIMIT (SELECT count(*) // 10 FROM edges)")
+def sampled_positives(spark, sf_dir):
+    """Positives drawn without replacement, one for every ten directed edges."""
+    e = _edges(spark, sf_dir)
+    return splits.sample_pairs(graph.canonical(e), e.count() // 10, seed=42)
+
+
+@query(BASE + f" SELECT src, CAST((dst + unnest([1, 2, 3])) % {N} AS INT) AS dst FROM edges WHERE src < dst")
+def flattened_negatives(spark, sf_dir):
+    """Three given negatives of each positive's source, as pairs."""
+    g = customer_graph(spark, sf_dir)
+    some = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda i: F.pmod(F.col("dst") + i, F.lit(g.num_nodes)).cast("int"))
+    return negatives.flatten(graph.canonical(g.edges).select("src", some.alias("negatives")))
+
+
+@query(BASE + ", p AS (SELECT src, dst, row_number() OVER (ORDER BY ts, src, dst) - 1 AS pos FROM edges), q AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY pos) AS i FROM p) SELECT a.src, count(*) AS breaks FROM q a JOIN q b ON b.src = a.src AND b.i = a.i + 1 AND b.dst < a.dst GROUP BY a.src")
+def unsorted_neighbours(spark, sf_dir):
+    """Nodes whose neighbours, stored by time, aren't sorted by id, and at how many places."""
+    g = customer_graph(spark, sf_dir)
+    n = g.edges.selectExpr("src", "dst", "row_number() over (partition by src order by ts, dst) as i")
+    stored = n.join(graph.offsets(graph.degrees(g)).withColumnRenamed("id", "src"), "src").select((F.col("start") + F.col("i") - 1).alias("pos"), "src", "dst")
+    return graph.unsorted_rows(written(stored, "stored")).groupBy("src").agg(F.count("*").alias("breaks"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS id, list_transform(embedding[3:6], lambda x: CAST(x AS DOUBLE)) AS part FROM embeddings JOIN customer ON c_custkey * 2 = vec_id + 2 WHERE vec_id >= 10 AND vec_id < 500")
+def embedding_remap(spark, sf_dir):
+    """A part of the embeddings, under other ids."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    ids = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2 - 2).cast("long").alias("id"), F.col("c_custkey").cast("long").alias("original"))
+    return features.by_original_id(features.part_of(v, (10, 500), (2, 6)), ids).withColumnRenamed("embedding", "part")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph, split, two-hop negatives, scores and ranking metrics in one."""
     return QUERIES["ranking_metrics"](spark, sf_dir)

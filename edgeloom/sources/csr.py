@@ -93,7 +93,8 @@ def read_csr(spark: SparkSession, path: str, endian: str, nodes_per_task: int =
 
 
 def write_csr(g: Graph, path: str, endian: str) -> None:
-    """Writes g, rows sorted by (dst, ts), into a folder that all executors see: the files are laid out at their full
+    """Writes g, rows sorted by (dst, ts), into a folder of a shared POSIX file system (object stores can't be written in
+    place) that all executors see: the files are laid out at their full
     size first, and every task then writes its own range of edges in place, so that retried tasks do no harm. A graph
     without edges can't be told apart in this format, and is an error."""
     order = _code(endian)
@@ -148,5 +149,15 @@ def to_tsv(edges: DataFrame, path: str) -> None:
     edges.select("src", "dst").orderBy("src", "dst").write.option("sep", "\t").option("header", True).csv(path)
 
 
-def from_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("header", True).schema("src int, dst int").csv(path)
+def from_tsv(spark: SparkSession, path: str, src: str = "src", dst: str = "dst", sep: str = "\t") -> DataFrame:
+    """(src int, dst int) from separated values with a header, by the names of the two columns, wherever they stand and
+    whatever others there are. Values that are no 32-bit whole numbers are an error."""
+    rows = spark.read.option("sep", sep).option("header", True).csv(path)
+    if missing := [c for c in (src, dst) if c not in rows.columns]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return rows.select(F.col(src).cast("int").alias("src"), F.col(dst).cast("int").alias("dst"))
+
+
+def line_count(spark: SparkSession, path: str, header: bool = True) -> int:
+    """Lines of text files, without one header for all."""
+    return spark.read.text(path).count() - header

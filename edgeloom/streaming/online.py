@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def online_summary(stream: DataFrame, col: str, by: str) -> DataFrame:
@@ -21,7 +25,16 @@ def windowed_summary(stream: DataFrame, col: str, by: str, time: str = "ts", siz
 
 
 def online_hits(stream: DataFrame, k: int) -> DataFrame:
-    """(src, hit double): whether a positive is among each source's k best (score, label) so far; output mode complete.
-    Only k rows of a source are carried into the state of a batch's answer."""
-    best = stream.groupBy("src").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "label")), asc=False), 1, k).alias("top"))
-    return best.select("src", F.exists("top", lambda x: x["label"] == 1).cast("double").alias("hit"))
+    """(src, hit double): whether a positive is among each source's k best (score, label) so far, for the sources that
+    a batch touches; output mode update. A source's state is its k best rows, whatever it has seen."""
+
+    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = list(zip(*state.get, strict=True)) if state.exists else []
+        for f in frames:
+            best = sorted([*best, *zip(f["score"].tolist(), f["label"].tolist(), strict=True)], reverse=True)[:k]
+        state.update(([float(s) for s, _ in best], [int(x) for _, x in best]))
+        yield pd.DataFrame({"src": [key[0]], "hit": [float(any(x == 1 for _, x in best))]})
+
+    rows = stream.where("score is not null and label is not null").select("src", F.col("score").cast("double").alias("score"), F.col("label").cast("int").alias("label"))
+    kind = stream.schema["src"].dataType.simpleString()
+    return rows.groupBy("src").applyInPandasWithState(keep, f"src {kind}, hit double", "scores array<double>, labels array<int>", "update", GroupStateTimeout.NoTimeout)

@@ -170,6 +170,25 @@ def test_biased_walks_draw_at_hubs_as_their_weights_say(spark, monkeypatch):
     assert walks.invalid_steps(w, hub_graph(spark)).count() == 0
 
 
+def test_pools_and_sampling_stats(spark, customers):
+    p = rows(negatives.pools(spark, 50, 3, 40, seed=1))
+    assert len(p) == 120 and {r[0] for r in p} == {0, 1, 2} and all(0 <= r[2] < 50 for r in p) and len({r[2] for r in p}) > 30
+    pos = graph.canonical(customers.edges).select(F.col("src").cast("long").alias("pair"), "src", "dst").limit(100)
+    drawn = negatives.nonedge(customers, pos.withColumn("pair", F.monotonically_increasing_id()), 2, seed=3, tell=True)
+    s = negatives.sampling_stats(drawn, 200).first()
+    assert (s.found, s.failed) == (200, 0) and s.mean_attempts >= 1 and 0 < s.first_share <= 1
+    assert negatives.sampling_stats(drawn.drop("attempt"), 210).first().asDict() == {"found": 200, "failed": 10}
+
+
+def test_edge_lists_by_column_name(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("w,to,from\n0.5,2,1\n0.7,4,3\n")
+    assert rows(csr.from_tsv(spark, str(tmp_path / "e.csv"), "from", "to", ",")) == [(1, 2), (3, 4)] and csr.line_count(spark, str(tmp_path / "e.csv")) == 2
+    with pytest.raises(ValueError, match="src"):
+        csr.from_tsv(spark, str(tmp_path / "e.csv"), sep=",")
+    with pytest.raises(ValueError, match="part"):
+        features.part_of(spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>"), (2, 1), (0, 1))
+
+
 def test_compute_metrics_by_name(spark):
     d = spark.createDataFrame([(1, 5, 1, 60.0), (1, 6, 0, 50.0), (1, 7, 0, -1.0), (2, 5, 0, 3.0), (2, 6, 1, -3.0)], "src int, dst int, label int, score double")
     get = lambda *a, **k: {r.metric: r.value for r in metrics.compute_metrics(d, *a, **k).collect()}

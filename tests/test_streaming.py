@@ -27,7 +27,10 @@ def test_windows_and_hits(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     run(online.windowed_summary(stream, "value", "event_type"), "windowed", "append")
     assert 0 < spark.table("windowed").agg(F.sum("count")).first()[0] <= events.count()
-    d = spark.createDataFrame([(1, 1, 0.9), (1, 0, 0.1), (2, 0, 0.8), (2, 1, 0.7)], "src long, label int, score double")
-    d.write.parquet(str(tmp_path / "s"))
-    run(online.online_hits(spark.readStream.schema(d.schema).parquet(str(tmp_path / "s")), 1), "hits", "complete")
-    assert {r.src: r.hit for r in spark.table("hits").collect()} == {1: 1.0, 2: 0.0}
+    batches = [[(1, 1, 0.9), (1, 0, 0.1), (2, 0, 0.8), (2, 1, 0.7)], [(1, 0, 0.95), (3, 1, 0.2), (3, None, 0.9)], [(2, 1, 0.85), (3, 0, 0.1)]]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, "src long, label int, score double").coalesce(1).write.parquet(str(tmp_path / f"s/{i}"))
+    stream = spark.readStream.schema("src long, label int, score double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "s"))
+    run(online.online_hits(stream, 1), "hits", "update")
+    hits = [(r.src, r.hit) for r in spark.table("hits").collect()]
+    assert len(hits) == 6 and dict(hits) == {1: 0.0, 2: 1.0, 3: 1.0} and (1, 1.0) in hits and (2, 0.0) in hits
