@@ -206,6 +206,32 @@ def test_packing(spark, docs):
     assert packing.best_fit(packing.tokenized(given.limit(0), vocabulary)).count() == 0
 
 
+CLASHES = ("id", "row", "text_", "piece", "start", "length", "ids", "offset", "sequence_id", "t", "node", "run", "fp", "w", "h", "lang_pred", "score", "items")
+
+
+def test_long_texts_and_clashing_columns_everywhere(spark):
+    """Texts of megabytes, among others, in tables whose other columns have names that operators use themselves."""
+    long = "some words and 12 more, " * 60_000
+    texts = [long, long + "end", "x" * 1_500_000, "short one", None, long]
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clash = plain.withColumns({c: F.lit("clash") for c in CLASHES})
+    rows = {r.doc_id: r for r in simhash.near_duplicates(clash).collect()}
+    assert all(rows[i].fingerprint == f"{slow_fingerprint(t):016x}" for i, t in enumerate(texts)) and rows[5].component_id == 0
+    vocabulary = queries.vocabulary("word_bpe_49k.json")
+    ids = WordIds(vocabulary)
+    want = {(i, k // 8192): whole[k : k + 8192] for i, t in enumerate(texts) for whole in [ids.whole(t or "") + bytes(4)] for k in range(0, len(whole), 8192)}
+    pieces = packing.best_fit(packing.tokenized(clash, vocabulary)).collect()
+    assert {(p.doc_id, p.piece): bytes(p.ids) for p in pieces} == want
+    check_sequences([(p.sequence_id, p.offset, p.length) for p in pieces], 2048)
+    bench = spark.createDataFrame([(1, "and 12 more, some words " * 3)], "item_id long, text string").withColumns({c: F.lit("clash") for c in CLASHES})
+    assert [(r.doc_id, r.contaminated) for r in decontaminate.contamination(clash, bench).orderBy("doc_id").collect()] == [(0, True), (1, True), (2, False), (3, False), (4, False), (5, True)]
+    model = langid.fit(clash.withColumn("lang", F.when(F.col("doc_id") == 2, "xx").otherwise("yy")))
+    found = {r.doc_id: r.lang_pred for r in langid.identify(clash, model).collect()}
+    assert found[2] == "xx" and found[0] == found[5] == "yy" and found[4] == "und"
+    cut = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(clash).collect()}
+    assert cut == {0: long, 1: long + "end", 2: texts[2], 3: "short one", 4: None, 5: ""}
+
+
 def check_sequences(places, capacity):
     for _, group in itertools.groupby(sorted(places), key=lambda x: x[0]):
         at = 0

@@ -78,6 +78,18 @@ def test_reconstruct_folds_events(spark):
     assert chat.reconstruct(d.limit(0)).count() == 0
 
 
+def test_long_messages_and_clashing_columns(spark):
+    long = "a\\###</turn>" * 100_000
+    events = [(1, 1, 0, "start", "user", None), (1, 1, 1, "delta", None, long), (1, 1, 2, "delta", None, "b"), (1, 2, 3, "message", "assistant", "first"), (1, 2, 4, "edit", "assistant", long), (2, 9, 0, "delete", "user", "x")]
+    clash = {c: F.lit("clash") for c in ("at", "reset", "first", "parts", "last", "turn", "start", "line", "head", "body", "raw", "loss", "n_turns")}
+    d = spark.createDataFrame(events, "conv_id long, message_id long, seq long, kind string, role string, text string").withColumns(clash)
+    turns = chat.reconstruct(d)
+    assert [tuple(r) for r in turns.orderBy("turn").collect()] == [(1, 0, "user", long + "b"), (1, 1, "assistant", long)]
+    got = chat.render(turns.withColumns({k: v for k, v in clash.items() if k not in ("turn",)})).first()
+    p = chat.parse(got.formatted, got.loss)
+    assert p.turns == [("user", long + "b"), ("assistant", long)] and p.loss == long
+
+
 def slow_split(url):
     if not url or "://" not in url:
         return "", ""
@@ -88,7 +100,7 @@ def slow_split(url):
     return host, rest[at:end]
 
 
-URLS = [None, "", "no scheme", "http://", "HTTP://ExAmple.COM/en/7?x=1", "https://a.b.example.com/en/78#t", "http://example.com/en/", "http://com/en/x", "http://notexample.com/en/7", "x://É.net/de/8", "http://example.net/de/8/9", "http://m.example.net/de/81", "http://a.net/fr/", "http://q.org/es/?p", "http://q.org?/es/", "a://b://c/d", "http://h/" + "s/" * 3000]
+URLS = [None, "", "no scheme", "http://", "HTTP://ExAmple.COM/en/7?x=1", "https://a.b.example.com/en/78#t", "http://example.com/en/", "http://com/en/x", "http://notexample.com/en/7", "x://É.net/de/8", "http://example.net/de/8/9", "http://m.example.net/de/81", "http://a.net/fr/", "http://q.org/es/?p", "http://q.org?/es/", "a://b://c/d", "http://h/" + "s/" * 3000, "http://long.com/en/" + "x" * 1_000_000, f"http://{'a.' * 2000}net/de/1"]
 
 
 def test_url_rules(spark):
