@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.cluster import written
+from edgeloom.cluster import discard, written
 from edgeloom.llm import decontaminate, langid, line_dedup, near_dedup, queries
 
 
@@ -42,5 +42,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        was, docs = docs, written(stage(spark, docs, sf_dir), name)
+        discard(was)  # the given table stays
     return STAGES[-1][1](spark, docs, sf_dir)
