@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +16,17 @@ from pyspark.sql import types as T
 
 from edgeloom.cluster import ship, slices, written
 
-#: Pre-tokens of a byte-level vocabulary.
-PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters on whose class every library agrees; texts with others are taken apart by the vocabulary's own library.
 PLAIN = re.compile("[^\t-\r -~\x85\xa0-˿]")
+
+
+def _class(kind: str) -> str:
+    """The characters up to U+02FF of a Unicode category, for use in brackets."""
+    return "".join(re.escape(c) for c in map(chr, range(0x300)) if unicodedata.category(c)[0] == kind)
+
+
+#: Pre-tokens of a byte-level vocabulary, in plain characters.
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_class('L')}]+| ?[{_class('N')}]+| ?[^\s{_class('L')}{_class('N')}]+|\s+(?!\S)|\s+")
 #: Frequent pre-tokens at most that each task gets whole: a broadcast of bounded size, as keys have KEY_CHARS or little more.
 FREQUENT = 50_000
 #: Longer pre-tokens, such as rules of dashes, go by a digest.
@@ -32,7 +39,7 @@ HELD_CHARS = 32 << 20
 def pre_tokens(text: str, special: re.Pattern | None, vocabulary: str) -> list[str]:
     """What the library's tokens never cross: strings for special tokens, which it takes out first, and between them
     the pre-tokens."""
-    if special is not None and special.search(text):
+    if special is not None and "<" in text and special.search(text):
         return [x for i, part in enumerate(special.split(text)) for x in ([part] if i % 2 else pre_tokens(part, None, vocabulary))]
     if PLAIN.search(text):
         return [text[i:j] for _, (i, j) in load(vocabulary).pre_tokenizer.pre_tokenize_str(text)]
@@ -123,11 +130,13 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             for text in b.column(1).to_pylist():
                 n, rest = 0, 0
                 for token, freq in Counter(pre_tokens(text, special, vocabulary)).items() if text else ():
-                    name = token if len(token) <= KEY_CHARS else key(token)
-                    if (p := frequent.get(name)) is not None:
+                    if (p := frequent.get(token)) is None and len(token) > KEY_CHARS:
+                        token = key(token)
+                        p = frequent.get(token)
+                    if p is not None:
                         n += p * freq
                     else:
-                        keys.append(name)
+                        keys.append(token)
                         freqs.append(freq)
                         rest += 1
                 size.append(len(text.encode()) if text else 0)

@@ -265,6 +265,17 @@ def test_plan_is_gapless_and_tight(seed):
     assert len({p[0] for p in places}) <= len(bins) + 1
 
 
+def test_pre_tokens_are_the_library_s_for_every_plain_character():
+    vocabulary = queries.vocabulary("byte_bpe_50k.json")
+    split = token_counts.load(vocabulary).pre_tokenizer.pre_tokenize_str
+    plain = [c for c in map(chr, range(0x300)) if not token_counts.PLAIN.search(c)]
+    assert len(plain) > 650
+    rng = random.Random(6)
+    texts = [f"{x}{c}{y}" for c in plain for x, y in (("", ""), ("a ", " b"), ("1", "2"), (" ", "  x"), ("-", "'s"))] + ["".join(rng.choices([*plain, " ", "'", "l"], k=30)) for _ in range(3000)]
+    for t in texts:
+        assert token_counts.pre_tokens(t, None, vocabulary) == [t[i:j] for _, (i, j) in split(t)], t
+
+
 def test_token_counts_match_the_library(spark, docs, monkeypatch):
     monkeypatch.setattr(token_counts, "FREQUENT", 500)
     vocabulary = queries.vocabulary("byte_bpe_50k.json")
