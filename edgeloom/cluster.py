@@ -55,6 +55,11 @@ def discard(*tables: DataFrame) -> None:
             fs.delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _place(spark, path)
+    return fs.exists(at)
+
+
 def _place(spark: SparkSession, path: str) -> tuple:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -27,8 +27,9 @@ def with_device_totals(samples: DataFrame) -> DataFrame:
 
 
 def process_totals(processes: DataFrame) -> DataFrame:
-    """(sample, pids, cpu, rss, threads): sums over each sample's processes."""
-    return processes.groupBy("sample").agg(F.count("pid").alias("pids"), F.sum("cpu").alias("cpu"), F.sum("rss").alias("rss"), F.sum("threads").alias("threads"))
+    """(sample, pids, cpu, rss, threads) and vms and uss where there are such readings: sums over each sample's processes."""
+    more = [F.sum(c).alias(c) for c in ("vms", "uss") if c in processes.columns]
+    return processes.groupBy("sample").agg(F.count("pid").alias("pids"), F.sum("cpu").alias("cpu"), F.sum("rss").alias("rss"), F.sum("threads").alias("threads"), *more)
 
 
 def top_processes(processes: DataFrame, n: int) -> DataFrame:

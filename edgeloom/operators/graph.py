@@ -53,6 +53,20 @@ def degrees(g: Graph) -> DataFrame:
     return g.nodes().join(n, F.col("id") == F.col("src"), "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
+def total_degree(g: Graph, nodes: DataFrame) -> DataFrame:
+    """(total long): edges of all the nodes (id), each node counted once."""
+    some = g.edges.join(nodes.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    return some.agg(F.count("*").alias("total"))
+
+
+def checked_pairs(pairs: DataFrame, num_nodes: int, name: str = "pairs") -> DataFrame:
+    """pairs (src, dst) as they are, if all ids lie between 0 and num_nodes - 1; else an error that names them."""
+    low, high = pairs.agg(F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst"))).first()
+    if low is not None and (low < 0 or high >= num_nodes):
+        raise ValueError(f"{name} has ids from {low} to {high}, outside 0 to {num_nodes - 1}")
+    return pairs
+
+
 def flagged_degrees(g: Graph, flag: Column) -> DataFrame:
     """(id, kept long): edges of each node for which flag holds."""
     n = g.edges.groupBy("src").agg(F.count_if(flag).alias("kept"))

@@ -89,4 +89,21 @@ def sampling_stats(sampled: DataFrame, wanted: int) -> DataFrame:
 #: Samplers by name.
 SAMPLERS: dict[str, Callable[..., DataFrame]] = {"uniform": uniform, "uniform_nonedge": nonedge, "two_hop": two_hop}
 
+#: Those that training for link prediction may use.
+TRAINING_SAMPLERS = ("two_hop", "uniform_nonedge")
+
+
+def training_sampler(name: str) -> Callable[..., DataFrame]:
+    if name not in TRAINING_SAMPLERS:
+        raise ValueError(f"unknown sampler for training: {name}; there are {', '.join(TRAINING_SAMPLERS)}")
+    return SAMPLERS[name]
+
+
+def positives_per_batch(examples: int, sampler: str | None = None, per_positive: int = 1) -> int:
+    """Positives of a batch that has so many examples with its negatives; one at least. The uniform sampler gives
+    negatives for either end."""
+    each = 1 if sampler is None else 1 + per_positive * (2 if sampler == "uniform" else 1)
+    return max(1, examples // each)
+
+
 __all__ = ["SAMPLERS", "flatten", "nonedge", "pools", "sampling_stats", "two_hop", "two_hop_closure", "two_hop_of_sources", "uniform"]

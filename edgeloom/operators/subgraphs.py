@@ -159,4 +159,23 @@ def sort_pool_size(sizes: DataFrame, k: float) -> DataFrame:
     return sizes.agg(F.greatest(F.lit(10), F.expr(share).cast("int")).alias("k"))
 
 
-__all__ = ["induced_pairwise", "induced_scan", "k_hop_nodes", "labels", "local_ids", "sort_pool_size", "swapped"]
+def mean_pool(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(pair_id, pooled array<double>): the mean of the vectors (id, embedding) of each pair's nodes that have one."""
+    dim = (vectors.select(F.size("embedding")).first() or [0])[0]
+    met = nodes.select("pair_id", F.col("node_id").alias("id")).join(vectors.select("id", "embedding"), "id")
+    return met.groupBy("pair_id").agg(*[F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(dim)]).select("pair_id", F.array(*[f"m{i}" for i in range(dim)]).alias("pooled"))
+
+
+def sort_pool(nodes: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(pair_id, pooled array<double>): the vectors of each pair's k nodes of the largest last component, largest first,
+    ties to smaller ids, side by side, and zeros for what is missing. Tasks pass on k nodes of a pair at most."""
+    dim = (vectors.select(F.size("embedding")).first() or [0])[0]
+    met = nodes.select("pair_id", F.col("node_id").alias("id")).join(vectors.select("id", F.col("embedding").cast("array<double>").alias("e")), "id")
+    w = Window.partitionBy("pair_id").orderBy(F.desc(F.element_at("e", -1)), "id")
+    top = met.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]))
+    rows = top.groupBy("pair_id").agg(flat.alias("x"))
+    return rows.select("pair_id", F.concat("x", F.array_repeat(F.lit(0.0), F.lit(k * dim) - F.size("x"))).alias("pooled"))
+
+
+__all__ = ["induced_pairwise", "induced_scan", "k_hop_nodes", "labels", "local_ids", "mean_pool", "sort_pool", "sort_pool_size", "swapped"]

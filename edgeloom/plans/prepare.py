@@ -10,12 +10,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import written
+from edgeloom.cluster import exists, written
 from edgeloom.functions.hashing import permutation, unsigned_order, with_mix64
 from edgeloom.operators import negatives, splits
-from edgeloom.operators.graph import Graph, canonical, dedup, symmetrize, with_later_year
+from edgeloom.operators.graph import Graph, canonical, checked_pairs, dedup, symmetrize, with_later_year
+from edgeloom.sources.arrays import write_pairs
 
 SPLITS = ("valid", "test")
+#: Nodes that 32-bit ids have room for.
+MOST_NODES = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
@@ -42,7 +45,11 @@ class Layout:
 
 
 def graph_from_years(edges: DataFrame, node_years: DataFrame, num_nodes: int) -> Graph:
-    """A symmetric graph without self-loops and duplicates, from raw edges (src, dst) and node years (id, year)."""
+    """A symmetric graph without self-loops and duplicates, from raw edges (src, dst) and node years (id, year). Nodes
+    must be few enough for 32-bit ids, and edges must be between them."""
+    if not 0 <= num_nodes <= MOST_NODES:
+        raise ValueError(f"{num_nodes} nodes need more than 32 bits for an id")
+    edges = checked_pairs(edges, num_nodes, "edges").select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))
     return Graph(dedup(symmetrize(with_later_year(edges, node_years))), num_nodes)
 
 
@@ -62,6 +69,37 @@ def prepare(g: Graph, layout: Layout, k_val: int, k_test: int = 0, ties: str = s
     g.edges.sparkSession.range(1).select(F.lit(g.num_nodes).cast("long").alias("num_nodes")).coalesce(1).write.json(layout.meta)
 
 
+def write_given_split(split: DataFrame, layout: Layout, name: str, num_nodes: int) -> None:
+    """A split that came with its dataset, rows (src, dst, negatives array), as positives and as one pair for each
+    negative of their sources."""
+    if name not in SPLITS:
+        raise ValueError(f"unknown split: {name}")
+    pos = checked_pairs(split.select("src", "dst"), num_nodes, f"{name} positives")
+    neg = checked_pairs(negatives.flatten(split), num_nodes, f"{name} negatives")
+    pos.write.parquet(layout.split(name, 1))
+    neg.write.parquet(layout.split(name, 0))
+
+
+def missing_parts(spark: SparkSession, layout: Layout) -> list[str]:
+    """The tables of both splits that aren't there."""
+    wanted = [layout.split(name, label) for name in SPLITS for label in (1, 0)]
+    return [path for path in wanted if not exists(spark, path)]
+
+
+def load_splits(spark: SparkSession, layout: Layout) -> dict[str, DataFrame]:
+    """Both splits by name, as load_split gives them; an error that names every part that is missing."""
+    if missing := missing_parts(spark, layout):
+        raise ValueError(f"missing: {', '.join(missing)}")
+    return {name: load_split(spark, layout, name) for name in SPLITS}
+
+
+def export_edges(spark: SparkSession, layout: Layout, path: str) -> int:
+    """The canonical training pairs as an edge index [2, n] in a .npy file; from the training edges where the pairs
+    weren't written."""
+    stored = spark.read.parquet(layout.train_pairs) if exists(spark, layout.train_pairs) else canonical(spark.read.parquet(layout.train_edges))
+    return write_pairs(stored, path, edge_index=True)
+
+
 def load_train(spark: SparkSession, layout: Layout) -> Graph:
     n = spark.read.schema("num_nodes long").json(layout.meta).first()[0]
     return Graph(spark.read.parquet(layout.train_edges), n)

@@ -686,6 +686,35 @@ def embedding_remap(spark, sf_dir):
     return features.by_original_id(features.part_of(v, (10, 500), (2, 6)), ids).withColumnRenamed("embedding", "part")
 
 
+@query(BASE + " SELECT count(*) AS total FROM edges WHERE src IN (SELECT CAST(c_custkey AS INT) FROM customer WHERE c_nationkey = 7)")
+def total_degree(spark, sf_dir):
+    """Edges of a nation's customers."""
+    some = table(spark, sf_dir, "customer").where("c_nationkey = 7").select(F.col("c_custkey").cast("int").alias("id"))
+    return graph.total_degree(customer_graph(spark, sf_dir), some)
+
+
+POOL_SQL = VEC + """, pairs AS (SELECT CAST(src AS BIGINT) * (SELECT count(*) FROM embeddings) + dst AS pair_id, src, dst FROM edges WHERE src < dst),
+sub AS (SELECT pair_id, src AS id FROM pairs UNION SELECT pair_id, dst FROM pairs UNION SELECT pair_id, e.dst FROM pairs p JOIN edges e ON e.src = p.src UNION SELECT pair_id, e.dst FROM pairs p JOIN edges e ON e.src = p.dst)"""
+
+
+def _vector_subgraphs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    g, v = vector_graph(spark, sf_dir)
+    g = graph.Graph(written(g.edges, "edges"), g.num_nodes)
+    return subgraphs.k_hop_nodes(_pairs(g), g.edges, 1), v
+
+
+@query(POOL_SQL + ", x AS (SELECT pair_id, i, avg(e[i]) AS m FROM sub JOIN vec USING (id), (SELECT unnest([1, 2, 64]) AS i) q GROUP BY pair_id, i) SELECT pair_id, round(max(m) FILTER (i = 1), 6) + 0.0 AS first, round(max(m) FILTER (i = 2), 6) + 0.0 AS second, round(max(m) FILTER (i = 64), 6) + 0.0 AS last FROM x GROUP BY pair_id")
+def mean_pooled_subgraphs(spark, sf_dir):
+    p = F.col("pooled")
+    return subgraphs.mean_pool(*_vector_subgraphs(spark, sf_dir)).select("pair_id", F.round(p[0], 6).alias("first"), F.round(p[1], 6).alias("second"), F.round(p[63], 6).alias("last"))
+
+
+@query(POOL_SQL + ", r AS (SELECT pair_id, e, row_number() OVER (PARTITION BY pair_id ORDER BY e[64] DESC, id) AS n FROM sub JOIN vec USING (id)) SELECT pair_id, round(max(e[1]) FILTER (n = 1), 6) + 0.0 AS top, round(coalesce(max(e[64]) FILTER (n = 10), 0), 6) + 0.0 AS tenth FROM r GROUP BY pair_id")
+def sort_pooled_subgraphs(spark, sf_dir):
+    p = F.col("pooled")
+    return subgraphs.sort_pool(*_vector_subgraphs(spark, sf_dir), 10).select("pair_id", F.round(p[0], 6).alias("top"), F.round(p[639], 6).alias("tenth"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph, split, two-hop negatives, scores and ranking metrics in one."""
     return QUERIES["ranking_metrics"](spark, sf_dir)

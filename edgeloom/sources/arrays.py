@@ -93,9 +93,10 @@ def read_raw_embeddings(spark: SparkSession, path: str, rows: int, dim: int, kin
     return _blocks(spark, path, t, (rows, dim), 0, _vectors, "id long, embedding array<float>", rows_per_task)
 
 
-def write_pairs(pairs: DataFrame, path: str) -> int:
+def write_pairs(pairs: DataFrame, path: str, edge_index: bool = False) -> int:
     """Pairs (src, dst) as .npy [n, 2] of 64-bit numbers, sorted, into a folder that all executors see: ranges get their
-    place from counts, and every task writes its own. Gives back how many there are."""
+    place from counts, and every task writes its own. With edge_index the array is [2, n], in column order, which is
+    the same bytes. Gives back how many there are."""
     spark = pairs.sparkSession
     ship(spark)
     from edgeloom.cluster import written
@@ -103,7 +104,8 @@ def write_pairs(pairs: DataFrame, path: str) -> int:
     ranged = written(pairs.select(F.col("src").cast("long"), F.col("dst").cast("long")).repartitionByRange("src", "dst").withColumn("part", F.spark_partition_id()), "pairs")
     counts = {r[0]: r[1] for r in ranged.groupBy("part").count().collect()}  # one for each task of the sort
     total = sum(counts.values())
-    head = f"{{'descr': '<i8', 'fortran_order': False, 'shape': ({total}, 2), }}"
+    shape = f"(2, {total})" if edge_index else f"({total}, 2)"
+    head = f"{{'descr': '<i8', 'fortran_order': {edge_index}, 'shape': {shape}, }}"
     head += " " * (-(len(head) + 11) % 64) + "\n"
     start = 10 + len(head)
     with open(path, "wb") as f:

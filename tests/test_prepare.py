@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import monitoring
 from edgeloom.functions.hashing import permutation, splitmix64
+from edgeloom.operators import negatives
 from edgeloom.operators.graph import canonical
 from edgeloom.plans import prepare
 from edgeloom.sources import arrays
@@ -28,6 +29,41 @@ def test_prepare_and_load(spark, tmp_path):
     assert spark.read.parquet(layout.train_pairs).count() == canonical(train.edges).count()
 
 
+def test_given_splits_missing_parts_and_exports(spark, tmp_path):
+    layout = prepare.Layout(str(tmp_path / "d"))
+    given = spark.createDataFrame([(0, 1, [2, 3]), (1, 2, [0, 0])], "src long, dst long, negatives array<long>")
+    prepare.write_given_split(given, layout, "valid", 4)
+    assert [(r.src, r.dst, r.label) for r in prepare.load_split(spark, layout, "valid").collect() if r.src == 0] == [(0, 1, 1), (0, 2, 0), (0, 3, 0)]
+    assert prepare.missing_parts(spark, layout) == [layout.split("test", 1), layout.split("test", 0)]
+    with pytest.raises(ValueError, match="missing: .*split=test/label=1"):
+        prepare.load_splits(spark, layout)
+    for bad, name in ((given.limit(0), "train"), (given.withColumn("dst", F.lit(9)), "test"), (given.withColumn("negatives", F.array(F.lit(-1).cast("long"))), "test")):
+        with pytest.raises(ValueError):
+            prepare.write_given_split(bad, layout, name, 4)
+    edges = spark.createDataFrame([(a, b, 0) for a, b in [(0, 1), (1, 0), (1, 2), (2, 1), (3, 0), (0, 3)]], "src int, dst int, ts int")
+    edges.write.parquet(layout.train_edges)
+    assert prepare.export_edges(spark, layout, str(tmp_path / "e.npy")) == 3
+    assert np.load(tmp_path / "e.npy").tolist() == [[0, 0, 1], [1, 3, 2]]
+    edges.where("src = 0 and dst = 1").select("src", "dst").write.parquet(layout.train_pairs)
+    assert prepare.export_edges(spark, layout, str(tmp_path / "f.npy")) == 1 and np.load(tmp_path / "f.npy").shape == (2, 1)
+
+
+def test_raw_graphs_are_checked(spark):
+    edges, years = spark.createDataFrame([(0, 1), (1, 2), (2, 2)], "src long, dst long"), spark.createDataFrame([(0, 1.0), (1, 5.0), (2, None)], "id int, year double")
+    assert sorted(map(tuple, prepare.graph_from_years(edges, years, 3).edges.collect())) == [(0, 1, 5), (1, 0, 5), (1, 2, 5), (2, 1, 5)]
+    with pytest.raises(ValueError, match="32 bits"):
+        prepare.graph_from_years(edges, years, 1 << 31)
+    with pytest.raises(ValueError, match="edges has ids from 0 to 2"):
+        prepare.graph_from_years(edges, years, 2)
+
+
+def test_samplers_of_training():
+    assert negatives.training_sampler("two_hop") is negatives.two_hop
+    with pytest.raises(ValueError, match="two_hop, uniform_nonedge"):
+        negatives.training_sampler("uniform")
+    assert [negatives.positives_per_batch(1024, *how) for how in ((), ("two_hop", 3), ("uniform", 2))] == [1024, 256, 204] and negatives.positives_per_batch(1, "uniform", 9) == 1
+
+
 def test_training_rows_follow_the_permutation(spark):
     g = customer_graph(spark, SF)
     rows = prepare.training_rows(g, per_positive=2, epoch=3)
