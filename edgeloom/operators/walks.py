@@ -79,11 +79,11 @@ def biased_walks(g: Graph, length: int, p: float, q: float, walks_per_node: int
     last = None
     for step in range(1, length):
         many = w.where(F.col("n") > LOOK)
-        quick = written(drawn(many, step), "drawn")
+        quick = drawn(many, step)
         taken = race(w.where(F.col("n") <= LOOK).unionByName(many.join(quick.select("walk_id"), "walk_id", "left_anti")), step).unionByName(quick)
         w = w.join(taken, "walk_id", "left").select("walk_id", F.col("at").alias("prev"), F.coalesce("to.x", "at").alias("at"), F.coalesce("to.xn", F.lit(0)).alias("n"), "walk")
         w = written(w.select("walk_id", "prev", "at", "n", F.concat("walk", F.array("at")).alias("walk")), "walks")
-        discard(quick, *([last] if last is not None else []))
+        discard(*([last] if last is not None else []))
         last = w
     return w.select("walk_id", "walk")
 
