@@ -15,7 +15,7 @@ from edgeloom.cluster import ship, slices, written
 
 CAPACITY = 2048
 #: Pieces that one bucket is meant to hold while pieces of one length are numbered.
-BUCKET_ROWS = 8_000
+BUCKET_ROWS = 1_000
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
