@@ -226,7 +226,8 @@ def similar_sets(docs: DataFrame, unique: DataFrame, id_col: str, text_col: str,
     per = written(sizes.groupBy("component").agg(*tiles()), "sizes")
     alone = families.join(per.where("tiles = 1"), "component").select("component", F.lit(0).cast("long").alias("k"), "node", "tiles")
     large = sizes.join(per.where("tiles > 1").select("component"), "component").join(members.select("k", "node"), "node")
-    large = large.join(large.groupBy("component", "k").agg(*tiles()).where("n > 1"), ["component", "k"]).select("component", "k", "node", "tiles")
+    counts = large.groupBy("component", "k").agg(*tiles()).where("n > 1").repartition("component", "k", "n")  # so that both sides are shuffled, and a hot key can be split
+    large = large.join(counts, ["component", "k"]).select("component", "k", "node", "tiles")
     met = _in_tiles(alone.union(large).join(sets, "node"), ["component", "k"], ["node", "bits", "h"])
     return connected_components(met.mapInArrow(lambda it: _similar(it, similarity), "a binary, b binary"), "a", "b")
 
