@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import ann, chat, decontaminate, langid, licenses, line_dedup, packing, simhash, token_counts, url_rules
+from edgeloom.llm import ann, chat, codebooks, decontaminate, hard_negatives, langid, lattice, licenses, line_dedup, packing, simhash, token_counts, url_rules
 
 
 def vocabulary(name: str) -> str:
@@ -85,6 +85,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; every seventh label is the next one."""
+    v = table(spark, sf_dir, "embeddings").where("label is not null")
+    v = v.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(hard_negatives.whole_numbers(v, "vec_id", "embedding", "label"), F.col("id") % 100 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.code_strings(*codebooks.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 OP3_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
@@ -135,5 +150,47 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 """
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_chat_formatting, op4_url_filters, op5_best_fit_packing, op6_nearest_neighbours, op7_line_dedup, op8_benchmark_decontamination, op9_language_id, op10_token_counts)}
-ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op7_line_dedup": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
+#: Integer vectors of the rows that have a label and finite components alone.
+_WHOLE = """e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+OP11_SQL = f"""
+WITH {_WHOLE}, r AS (SELECT id, CASE WHEN id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, x FROM e WHERE label IS NOT NULL),
+s AS (SELECT a.id AS anchor_id, a.label AS own, r.id, r.label, CAST(list_dot_product(a.x, r.x) AS BIGINT) AS score FROM r a JOIN r ON a.id <> r.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS n FROM s WHERE label = own) q WHERE n <= 5),
+w AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS n
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(n AS INT) AS rank, negative_id, positive_score, negative_score FROM w WHERE n <= 10
+"""
+
+
+def _assigned_sql(n: int) -> str:
+    """CTEs: the parts p at the nearest entries of the codebook c before, and the codebook after."""
+    return f"""a{n} AS (SELECT p.id, p.part, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), k := c.k)) AS best
+      FROM p JOIN c{n} c USING (part) GROUP BY p.id, p.part),
+m{n} AS (SELECT part, k, list(s ORDER BY pos) AS v FROM (SELECT part, best.k AS k, pos, CAST(floor(CAST(sum(CAST(v[pos] AS BIGINT)) AS DOUBLE) / count(*)) AS DOUBLE) AS s FROM a{n} JOIN p USING (id, part), (SELECT unnest([1, 2, 3, 4]) AS pos) q GROUP BY 1, 2, 3) z GROUP BY part, k),
+c{n + 1} AS (SELECT part, k, coalesce(m{n}.v, c.v) AS v FROM c{n} c LEFT JOIN m{n} USING (part, k))"""
+
+
+OP12_SQL = f"""
+WITH {_WHOLE}, p AS (SELECT id, label, part, list_slice(x, 4 * part + 1, 4 * part + 4) AS v FROM e, (SELECT unnest(range(16)) AS part) q),
+c0 AS (SELECT part, dense_rank() OVER (ORDER BY id) - 1 AS k, v FROM p WHERE id IN (SELECT id FROM e ORDER BY id LIMIT 64)),
+{_assigned_sql(0)}, {_assigned_sql(1)}, {_assigned_sql(2)},
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM c2),
+coded AS (SELECT id AS vec_id, string_agg(printf('%02x', best.k), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY id),
+sums AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded JOIN e ON vec_id = id GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM coded JOIN e ON vec_id = id JOIN sums ON sums.label IS NOT DISTINCT FROM e.label, books
+"""
+
+#: All pairs of a label by their cosine, and components by spreading the smallest id.
+OP13_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x,
+  label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.ok AND b.ok AND list_cosine_similarity(a.x, b.x) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS near FROM e UNION SELECT vec_id, b FROM reach JOIN links ON near = a),
+least AS (SELECT vec_id, min(near) AS component_id FROM reach GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n USING (vec_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_license_scan, op3_chat_formatting, op4_url_filters, op5_best_fit_packing, op6_nearest_neighbours, op7_line_dedup, op8_benchmark_decontamination, op9_language_id, op10_token_counts, op11_hard_negatives, op12_vector_codes, op13_embedding_near_dedup)}
+ORACLE_SQL = {"op3_chat_formatting": OP3_SQL, "op7_line_dedup": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_embedding_near_dedup": OP13_SQL}
