@@ -47,10 +47,29 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """df as a table of the shared folder, like written, in as many buckets by keys as the session shuffles into: an
+    equi-join on all the keys reads it as it lies, and only the other side is shuffled. Choose keys of which no value has a large
+    share of the rows, as a bucket is one task's. The table stands in the session's catalog under a name of its own
+    until discard."""
+    spark = df.sparkSession
+    name = f"edgeloom_{tag}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/edgeloom/{name}"
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    at, fs = _place(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.table(name)
+    out._edgeloom_path, out._edgeloom_table = path, name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing to come will read; other DataFrames are left alone."""
     for t in tables:
         if path := t.__dict__.get("_edgeloom_path"):
+            if name := t.__dict__.get("_edgeloom_table"):
+                t.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
             at, fs = _place(t.sparkSession, path)
             fs.delete(at, True)
 

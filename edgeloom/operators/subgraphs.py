@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import ship, written
+from edgeloom.cluster import broadcast_checked, bucketed, discard, written
 from edgeloom.functions.hashing import draw, uniform
 from edgeloom.operators.graph import adjacency, swapped
 
@@ -74,38 +71,57 @@ def induced_scan(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
     return _inside(pairs, nodes, edges).groupBy("pair_id", "u", "v").agg(F.count("*").cast("int").alias("w"))
 
 
-def _distances(adjacent: dict[int, list[int]], start: int, without: int | None) -> dict[int, int]:
-    dist, level = {start: 0}, [start]
-    while level:
-        nxt = []
-        for u in level:
-            for v in adjacent.get(u, ()):
-                if v not in dist and v != without:
-                    dist[v] = dist[u] + 1
-                    nxt.append(v)
-        level = nxt
-    return dist
-
-
-def _drnl(ds: int | None, dt: int | None) -> list[int]:
-    if ds is None or dt is None:
-        return [0]
-    half, odd = divmod(ds + dt, 2)
-    return [1 + min(ds, dt) + half * (half + odd - 1)]
+#: Links of a node within a pair's subgraph that one bucket holds; those of a hub are dealt into slots of about so many.
+SLOT_LINKS = 1 << 16
 
-
-#: Labels that need distances in the subgraph: (ends removed while measuring, label from the two distances).
+#: Labels that need distances in the subgraph: whether either end is taken out while the other's are measured, and
+#: what a distance is held to, which also stands for nodes out of reach; DRNL has no such bound.
 CAP_DE, CAP_DE_PLUS = 3, 100
-DISTANCE_LABELS = {
-    "drnl": (True, _drnl),
-    "de": (False, lambda ds, dt: [min(x if x is not None else CAP_DE, CAP_DE) for x in (ds, dt)]),
-    "de+": (True, lambda ds, dt: [min(x if x is not None else CAP_DE_PLUS, CAP_DE_PLUS) for x in (ds, dt)]),
-}
+DISTANCE_LABELS: dict[str, tuple[bool, int | None]] = {"drnl": (True, None), "de": (False, CAP_DE), "de+": (True, CAP_DE_PLUS)}
+
+
+def end_distances(pairs: DataFrame, sub_edges: DataFrame, removed: bool, most: int | None = None) -> DataFrame:
+    """(pair_id, node_id, s, t): how far each node of a pair's subgraph is from src and from dst along its edges,
+    whichever way they are stored, up to most steps; null where there is no such way. With removed the ways from one
+    end never meet the other end, which itself has distance 0 from it. Nodes that neither end reaches have no row.
+
+    Breadth-first search from both ends of all pairs at once. A round joins the frontier (pair, end, node) with the
+    pairs' edges, which are written once in buckets by pair and node, so that only the frontier is shuffled, and keeps
+    what an anti-join with the rounds before leaves. A hub's links are dealt into slots, and its frontier row asks each. Rounds end with an empty frontier, so that they are as many as the
+    longest of the shortest ways."""
+    once = written(sub_edges.where("u <> v").select("pair_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "ways")
+    both = F.array(F.struct(F.col("u").alias("at"), F.col("v").alias("node_id")), F.struct(F.col("v").alias("at"), F.col("u").alias("node_id")))
+    ways = once.select("pair_id", F.explode(both).alias("x")).select("pair_id", "x.*")
+    hubs = ways.groupBy("pair_id", "at").agg(F.count("*").alias("n")).where(F.col("n") > SLOT_LINKS)
+    hubs = broadcast_checked(written(hubs.select("pair_id", "at", F.ceil(F.col("n") / SLOT_LINKS).cast("int").alias("slots")), "hubs"))
+    dealt = ways.join(hubs, ["pair_id", "at"], "left").select("pair_id", "at", F.coalesce(F.pmod(F.xxhash64("node_id"), F.col("slots")).cast("int"), F.lit(0)).alias("slot"), "node_id")
+    ways = bucketed(dealt, ["pair_id", "at", "slot"], "ways")
+    discard(once)
+    shut = lambda c: F.col(c) if removed else F.lit(None).cast("int")
+    ends = F.array(F.struct(F.lit(0).alias("end"), F.col("src").alias("node_id"), shut("dst").alias("shut")), F.struct(F.lit(1).alias("end"), F.col("dst").alias("node_id"), shut("src").alias("shut")))
+    frontier = written(pairs.select("pair_id", F.explode(ends).alias("x")).select("pair_id", "x.*", F.lit(0).alias("d")), "frontier")
+    known, step = frontier, 0
+    while most is None or step < most:
+        step += 1
+        at = frontier.select("pair_id", "end", F.col("node_id").alias("at"), "shut").join(hubs, ["pair_id", "at"], "left")
+        at = at.select("pair_id", "end", "at", "shut", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1)).alias("slot"))
+        near = at.join(ways, ["pair_id", "at", "slot"]).where("shut is null or node_id <> shut")
+        near = near.select("pair_id", "end", "node_id", "shut").distinct()
+        frontier = written(near.join(known, ["pair_id", "end", "node_id"], "left_anti").withColumn("d", F.lit(step)), "frontier")
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+    of = lambda end: F.min(F.when(F.col("end") == end, F.col("d")))
+    found = written(known.groupBy("pair_id", "node_id").agg(of(0).alias("s"), of(1).alias("t")), "distances")
+    discard(ways)
+    if not removed:
+        return found
+    return found.select("pair_id", "node_id", F.when(F.col("t") == 0, 0).otherwise(F.col("s")).alias("s"), F.when(F.col("s") == 0, 0).otherwise(F.col("t")).alias("t"))
 
 
 def labels(pairs: DataFrame, nodes: DataFrame, sub_edges: DataFrame, kind: str) -> DataFrame:
     """(pair_id, node_id, z array<int>): the structural label of every node of each pair's subgraph. hop, zo and degree
-    are plain expressions; drnl, de and de+ measure distances along the subgraph, pair by pair; others give 0."""
+    are plain expressions; drnl, de and de+ come from end_distances, where an end is a node at distance 0; others give 0."""
     if kind == "hop":
         return nodes.select("pair_id", "node_id", F.array("dist").alias("z"))
     if kind == "zo":
@@ -115,32 +131,15 @@ def labels(pairs: DataFrame, nodes: DataFrame, sub_edges: DataFrame, kind: str)
         return nodes.join(n, ["pair_id", "node_id"], "left").select("pair_id", "node_id", F.array(F.least(F.coalesce("d", F.lit(0)), F.lit(100)).cast("int")).alias("z"))
     if kind not in DISTANCE_LABELS:
         return nodes.select("pair_id", "node_id", F.array(F.lit(0)).alias("z"))
-    ship(nodes.sparkSession)
-    removed, label = DISTANCE_LABELS[kind]
-    lists = nodes.groupBy("pair_id").agg(F.array_sort(F.collect_set("node_id")).alias("ids"))
-    links = sub_edges.groupBy("pair_id").agg(F.collect_list(F.shiftleft(F.col("u").cast("long"), 32) + F.col("v")).alias("links"))
-    rows = pairs.select("pair_id", "src", "dst").join(lists, "pair_id").join(links, "pair_id", "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            pair, node, z = [], [], []
-            for r in b.itertuples(index=False):
-                near: dict[int, list[int]] = {}
-                for x in r.links.tolist() if r.links is not None else ():
-                    u, v = x >> 32, x & 0xFFFFFFFF
-                    near.setdefault(u, []).append(v)
-                    near.setdefault(v, []).append(u)
-                s = _distances(near, r.src, r.dst if removed else None)
-                t = _distances(near, r.dst, r.src if removed else None)
-                if removed:
-                    s[r.dst] = t[r.src] = 0
-                for i in r.ids.tolist():
-                    pair.append(r.pair_id)
-                    node.append(i)
-                    z.append([1] if kind == "drnl" and i in (r.src, r.dst) else label(s.get(i), t.get(i)))
-            yield pd.DataFrame({"pair_id": pair, "node_id": node, "z": z})
-
-    return rows.mapInPandas(run, "pair_id long, node_id int, z array<int>")
+    removed, cap = DISTANCE_LABELS[kind]
+    far = end_distances(pairs, sub_edges, removed, None if cap is None else cap - 1)
+    s, t = F.col("s"), F.col("t")
+    if cap is None:
+        half, odd = F.floor((s + t) / 2).cast("int"), (s + t) % 2
+        z = F.array(F.when((s == 0) | (t == 0), 1).when(s.isNull() | t.isNull(), 0).otherwise(1 + F.least(s, t) + half * (half + odd - 1)).cast("int"))
+    else:
+        z = F.array(*[F.coalesce(F.least(x, F.lit(cap)), F.lit(cap)) for x in (s, t)])
+    return nodes.join(far, ["pair_id", "node_id"], "left").select("pair_id", "node_id", z.alias("z"))
 
 
 def local_ids(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -285,6 +285,55 @@ def test_subgraphs_loops_samples_and_unreachable(spark):
     assert [subgraphs.sort_pool_size(sizes, k).first()[0] for k in (0.6, 0.2, 25, 0)] == [20, 10, 25, 40]
 
 
+def slow_distances(links, start, shut):
+    near = {}
+    for u, v in links:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    dist, level = {start: 0}, [start]
+    while level:
+        level = [v for v in sorted({v for u in level for v in near.get(u, ())} - {shut}) if v not in dist and not dist.update({v: dist[level[0]] + 1})]
+    return dist
+
+
+@pytest.mark.parametrize("slot", [1 << 16, 3])
+def test_end_distances_match_a_search_pair_by_pair(spark, monkeypatch, slot):
+    """Random subgraphs stored in one direction or the other, with loops, repeated links, hubs and parts out of reach."""
+    monkeypatch.setattr(subgraphs, "SLOT_LINKS", slot)
+    rng = random.Random(slot)
+    ends, links = {}, []
+    for p in range(30):
+        n = rng.randint(2, 14)
+        ends[p] = tuple(rng.sample(range(n), 2))
+        links += [(p, *rng.choices(range(n), k=2)) for _ in range(rng.randint(0, 2 * n))] + [(p, 0, i) for i in range(n) if p % 5 == 0]
+    pairs = spark.createDataFrame([(p, *e) for p, e in ends.items()], "pair_id long, src int, dst int")
+    sub = spark.createDataFrame([(*x, 1) for x in links], "pair_id long, u int, v int, w int")
+    for removed in (True, False):
+        got = {(r.pair_id, r.node_id): (r.s, r.t) for r in subgraphs.end_distances(pairs, sub, removed).collect()}
+        for p, (src, dst) in ends.items():
+            mine = [(u, v) for q, u, v in links if q == p and u != v]
+            s, t = slow_distances(mine, src, dst if removed else None), slow_distances(mine, dst, src if removed else None)
+            if removed:
+                s[dst] = t[src] = 0
+            assert {i: x for (q, i), x in got.items() if q == p} == {i: (s.get(i), t.get(i)) for i in s.keys() | t.keys()}
+    near = {(r.pair_id, r.node_id): (r.s, r.t) for r in subgraphs.end_distances(pairs, sub, False, most=1).collect()}
+    assert max(x for st in near.values() for x in st if x is not None) == 1
+    assert subgraphs.end_distances(pairs.limit(0), sub, True).count() == 0
+
+
+def test_labels_of_one_pair_with_a_million_links(spark):
+    """Two hubs with 250,000 nodes between them, each linked to both, in both directions: everything is one step from either."""
+    n = 250_000
+    nodes = spark.range(n + 2).select(F.lit(1).cast("long").alias("pair_id"), F.col("id").cast("int").alias("node_id"), F.lit(1).alias("dist"))
+    one = spark.range(2, n + 2).select(F.explode(F.array(*[F.struct(F.lit(h).alias("u"), F.col("id").cast("int").alias("v")) for h in (0, 1)])).alias("x")).select(F.lit(1).cast("long").alias("pair_id"), "x.*")
+    sub = one.unionByName(one.select("pair_id", F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("w", F.lit(1))
+    pairs = spark.createDataFrame([(1, 0, 1)], "pair_id long, src int, dst int")
+    for kind, want in (("drnl", {(1,): 2, (2,): n}), ("de", {(0, 2): 1, (2, 0): 1, (1, 1): n}), ("de+", {(0, 0): 2, (1, 1): n})):
+        made = subgraphs.labels(pairs, nodes, sub, kind)
+        assert {tuple(r.z): r["count"] for r in made.groupBy("z").count().collect()} == want
+        assert "Python" not in made._jdf.queryExecution().toString() and "Pandas" not in made._jdf.queryExecution().toString()
+
+
 def test_features_and_models(spark, customers):
     v = features.initial_embeddings(customers.nodes(), 8, seed=3)
     values = np.array([r.embedding for r in v.collect()])
