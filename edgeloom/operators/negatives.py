@@ -7,32 +7,65 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import written
+from edgeloom.cluster import bucketed, discard, written
 from edgeloom.functions.hashing import draw
-from edgeloom.operators.graph import Graph, numbered_neighbours, two_hop_closure, with_edge_flag, without_edges
+from edgeloom.operators.graph import Graph, numbered_neighbours, swapped, two_hop_closure
 
 
-def _first_valid(tries: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("attempt")
-    return tries.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+#: A slot's attempts in the first round; every round has twice as many as the one before, for the slots still open.
+FIRST_ATTEMPTS = 1
 
 
-def uniform(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, reject_existing: bool = False, reject_loops: bool = True, attempts: int = 16) -> DataFrame:
+def _by_rounds(slots: DataFrame, keys: list[str], attempts: int, tries: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(filled, open): for each of slots, known by keys, its first attempt of which tries leaves a row, with that row and
+    its attempt; and the slots for which all fail.
+
+    The state is what is still open: a round makes a few attempts for each open slot, writes down those that are filled
+    and goes on with the others, so that the usual slot costs one attempt, and only stubborn ones cost many."""
+    filled, left, first, many = None, slots, 1, FIRST_ATTEMPTS
+    while first <= attempts:
+        last = min(attempts, first + many - 1)
+        made = tries(left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last))) if last > first else F.lit(first)))
+        if last > first:
+            w = Window.partitionBy(*keys).orderBy("attempt")
+            made = made.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+        made = written(made, "filled")
+        filled = made if filled is None else filled.unionByName(made)
+        was, left = left, written(left.join(made.select(*keys), keys, "left_anti"), "open")
+        if first > 1:
+            discard(was)
+        if left.isEmpty():
+            break
+        first, many = last + 1, 2 * many
+    return filled, left
+
+
+def _known(edges: DataFrame, both_ways: bool) -> DataFrame:
+    """The different edges, with both_ways in either direction, in buckets by both ends for the lookups of all rounds."""
+    e = edges.select("src", "dst")
+    return bucketed((e.unionByName(swapped(e)) if both_ways else e).distinct(), ["src", "dst"], "known")
+
+
+def uniform(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, reject_existing: bool = False, reject_loops: bool = True, attempts: int = 16, tell: bool = False) -> DataFrame:
     """(pair, side, slot, src, dst): for each positive (pair, src, dst) per_positive pairs with another dst, side 0, and
     as many with another src, side 1, drawn from all nodes. Of attempts draws the first that passes counts; if none
-    does, the last stands, so that there are always 2 * per_positive."""
+    does, the last stands, so that there are always 2 * per_positive. With tell also attempt, from 1: the one that
+    counted, null where the last stands."""
     slots = positives.select("pair", "src", "dst", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("side")).withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(per_positive))))
-    rounds = attempts if reject_existing or reject_loops else 1
-    tries = slots.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("x", draw(g.num_nodes, seed, "pair", "side", "slot", "attempt").cast("int"))
-    tries = tries.select("pair", "side", "slot", "attempt", F.when(F.col("side") == 0, F.col("src")).otherwise(F.col("x")).alias("src"), F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("dst")).alias("dst"))
-    bad = F.lit(False)
-    if reject_existing:
-        tries = with_edge_flag(tries, g.edges, both_ways=True)
-        bad = bad | F.col("exists")
-    if reject_loops:
-        bad = bad | (F.col("src") == F.col("dst"))
-    best = tries.groupBy("pair", "side", "slot").agg(F.min_by(F.struct("src", "dst"), F.struct(bad, F.when(bad, -F.col("attempt")).otherwise(F.col("attempt")))).alias("x"))
-    return best.select("pair", "side", "slot", "x.src", "x.dst")
+    keys, out = ["pair", "side", "slot"], ["pair", "side", "slot", "src", "dst", "attempt"]
+    known = _known(g.edges, True) if reject_existing else None
+
+    def drawn(rows: DataFrame) -> DataFrame:
+        x = draw(g.num_nodes, seed, "pair", "side", "slot", "attempt").cast("int")
+        return rows.select(*keys, "attempt", F.when(F.col("side") == 0, F.col("src")).otherwise(x).alias("src"), F.when(F.col("side") == 0, x).otherwise(F.col("dst")).alias("dst"))
+
+    def tries(rows: DataFrame) -> DataFrame:
+        made = drawn(rows).where("src <> dst") if reject_loops else drawn(rows)
+        return (made.join(known, ["src", "dst"], "left_anti") if reject_existing else made).select(*out)
+
+    filled, left = _by_rounds(slots, keys, attempts if reject_existing or reject_loops else 1, tries)
+    last = drawn(left.withColumn("attempt", F.lit(attempts))).withColumn("attempt", F.lit(None).cast("int"))
+    return filled.unionByName(last.select(*out)).select(*(out if tell else out[:-1]))
 
 
 def nonedge(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, attempts: int = 24, tell: bool = False) -> DataFrame:
@@ -40,22 +73,32 @@ def nonedge(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0
     either direction; a slot for which all attempts fail is left out. With tell also attempt, from 1: the one that
     counted."""
     slots = positives.select("pair").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(per_positive))))
-    tries = slots.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    tries = tries.withColumn("src", draw(g.num_nodes, seed, "pair", "slot", "attempt", F.lit("src")).cast("int")).withColumn("dst", draw(g.num_nodes, seed, "pair", "slot", "attempt", F.lit("dst")).cast("int"))
-    return _first_valid(without_edges(tries.where("src <> dst"), g.edges, both_ways=True), ["pair", "slot"]).select("pair", "slot", "src", "dst", *(["attempt"] if tell else []))
+    known = _known(g.edges, True)
+    end = lambda name: draw(g.num_nodes, seed, "pair", "slot", "attempt", F.lit(name)).cast("int").alias(name)
+
+    def tries(rows: DataFrame) -> DataFrame:
+        return rows.select("pair", "slot", "attempt", end("src"), end("dst")).where("src <> dst").join(known, ["src", "dst"], "left_anti")
 
+    return _by_rounds(slots, ["pair", "slot"], attempts, tries)[0].select("pair", "slot", "src", "dst", *(["attempt"] if tell else []))
 
-def two_hop(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, attempts: int = 16) -> DataFrame:
+
+def two_hop(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, attempts: int = 16, tell: bool = False) -> DataFrame:
     """(pair, slot, src, dst): for each positive up to per_positive ends of two-step walks from its src that are
-    neither src nor its neighbour; the first good one of attempts walks counts, and a slot without one is left out."""
-    rows = written(numbered_neighbours(g.edges), "neighbours")
-    n = rows.groupBy("src").agg(F.first("n").alias("n"))
-    slots = positives.select("pair", "src").join(n, "src").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(per_positive)))).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
+    neither src nor its neighbour; the first good one of attempts walks counts, and a slot without one is left out, as
+    are those of sources without neighbours. With tell also attempt, from 1: the one that counted."""
+    rows = bucketed(numbered_neighbours(g.edges), ["src", "i"], "neighbours")
+    known = _known(g.edges, False)
+    n = rows.where("i = 0").select("src", "n")
+    slots = positives.select("pair", "src").join(n, "src").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(per_positive))))
     keys = ("pair", "slot", "attempt")
-    first = slots.withColumn("i", draw(F.col("n"), seed, *keys, F.lit("mid"))).join(rows.select("src", "i", F.col("dst").alias("mid"), "dst_n"), ["src", "i"]).where("dst_n > 0").drop("i")
-    second = first.withColumn("i", draw(F.col("dst_n"), seed, *keys, F.lit("dst")))
-    walked = second.join(rows.select(F.col("src").alias("mid"), "i", "dst"), ["mid", "i"]).select(*keys, "src", "dst")
-    return _first_valid(without_edges(walked.where("dst <> src"), g.edges), ["pair", "slot"]).select("pair", "slot", "src", "dst")
+
+    def tries(open_: DataFrame) -> DataFrame:
+        first = open_.withColumn("i", draw(F.col("n"), seed, *keys, F.lit("mid"))).join(rows.select("src", "i", F.col("dst").alias("mid"), "dst_n"), ["src", "i"]).where("dst_n > 0").drop("i")
+        second = first.withColumn("i", draw(F.col("dst_n"), seed, *keys, F.lit("dst")))
+        walked = second.join(rows.select(F.col("src").alias("mid"), "i", "dst"), ["mid", "i"]).select(*keys, "src", "dst")
+        return walked.where("dst <> src").join(known, ["src", "dst"], "left_anti").select(*keys, "src", "dst")
+
+    return _by_rounds(slots, ["pair", "slot"], attempts, tries)[0].select("pair", "slot", "src", "dst", *(["attempt"] if tell else []))
 
 
 def two_hop_of_sources(g: Graph, sources: DataFrame, walks: int, seed: int = 0) -> DataFrame:
@@ -77,13 +120,17 @@ def pools(spark: SparkSession, num_nodes: int, batches: int, size: int, seed: in
 
 
 def sampling_stats(sampled: DataFrame, wanted: int) -> DataFrame:
-    """(found, failed) of a sampler that was to give so many rows; where rows say which attempt they are from, also the
-    mean of attempts and the share that the first attempt gave."""
-    out = [F.count("*").alias("found")]
-    if "attempt" in sampled.columns:
-        out += [F.avg("attempt").alias("mean_attempts"), F.avg((F.col("attempt") == 1).cast("double")).alias("first_share")]
-    s = sampled.agg(*out)
-    return s.select("found", (F.lit(wanted) - F.col("found")).alias("failed"), *s.columns[1:])
+    """(total, found, failed, mean_attempts, first_share, failed_share) of a sampler that was to fill so many slots and
+    tells its attempts: mean_attempts is over those found, the shares are of all slots, failures included; 0 where
+    nothing is to be divided by. Rows without an attempt, which stand for want of a better one, failed."""
+    good = F.col("attempt").isNotNull()
+    c = sampled.agg(F.count_if(good).alias("found"), F.sum("attempt").alias("tries"), F.count_if(F.col("attempt") == 1).alias("first"))
+    total = F.lit(wanted).cast("long")
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return c.select(
+        total.alias("total"), "found", (total - F.col("found")).alias("failed"), share(F.coalesce("tries", F.lit(0)), F.col("found")).alias("mean_attempts"), share(F.col("first"), total).alias("first_share"),
+        share(total - F.col("found"), total).alias("failed_share"),
+    )
 
 
 #: Samplers by name.

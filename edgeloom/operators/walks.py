@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import broadcast_checked, discard, written
+from edgeloom.cluster import broadcast_checked, bucketed, discard, written
 from edgeloom.functions.hashing import draw, uniform
 from edgeloom.functions.vectors import dot, minus_log_sigmoid
 from edgeloom.operators.graph import Graph, adjacency, numbered_neighbours
@@ -23,10 +23,11 @@ def uniform_walks(g: Graph, length: int, walks_per_node: int = 1, seed: int = 0)
     """(walk_id, walk array<int> of length nodes): from every node walks_per_node walks, each step to a neighbour drawn
     by a hash of seed, walk and step; a node without neighbours stays where it is.
 
-    A step joins the number drawn with the one edge of that number, so walks at a hub spread over its edges."""
-    rows = written(numbered_neighbours(g.edges), "neighbours")
+    A step joins the number drawn with the one edge of that number, so walks at a hub spread over its edges. Edges are
+    written once in buckets by node and number, and a step shuffles the walkers alone."""
+    rows = bucketed(numbered_neighbours(g.edges), ["src", "i"], "neighbours")
     edge = rows.select(F.col("src").alias("at"), "i", "dst", "dst_n")
-    n = rows.groupBy(F.col("src").alias("at")).agg(F.first("n").alias("n"))
+    n = rows.where("i = 0").select(F.col("src").alias("at"), "n")
     w = _starts(g, walks_per_node).join(n, "at", "left").select("walk_id", "at", "n", "walk")
     last = None
     for step in range(1, length):
@@ -40,8 +41,9 @@ def uniform_walks(g: Graph, length: int, walks_per_node: int = 1, seed: int = 0)
     return w.select("walk_id", "walk")
 
 
-#: Neighbours that a step of a biased walk looks at one by one; of more it draws so many.
+#: Neighbours that a step of a biased walk looks at one by one; of more it draws so many, the first few in a round of their own.
 LOOK = 32
+DRAWS = 4
 
 
 def biased_walks(g: Graph, length: int, p: float, q: float, walks_per_node: int = 1, seed: int = 0) -> DataFrame:
@@ -50,13 +52,15 @@ def biased_walks(g: Graph, length: int, p: float, q: float, walks_per_node: int
 
     At a node of up to LOOK neighbours a step looks at all of them and takes the first arrival of exponential races
     (the least of -log(u) / weight), which min_by keeps as one row for each walk before the shuffle. At others it draws
-    LOOK neighbours by number and takes the first that is accepted, with the chance of its weight over the largest:
-    the same chances, at a hub's cost of LOOK rows. The few walks that accept none look at all neighbours after all.
+    neighbours by number and takes the first that is accepted, with the chance of its weight over the largest: the same
+    chances, at the cost of DRAWS rows for most and LOOK rows for those that accept none of these. The few walks that
+    accept none at all look at all neighbours after all. Edges are written in buckets by node and number, and once more by
+    both ends, so that a step shuffles walkers and what they draw, and no edges.
     """
-    rows = written(numbered_neighbours(g.edges.select("src", "dst").distinct()), "neighbours")
+    rows = bucketed(numbered_neighbours(g.edges.select("src", "dst").distinct()), ["src", "i"], "neighbours")
     edge = rows.select(F.col("src").alias("at"), "i", F.col("dst").alias("x"), F.col("dst_n").alias("xn"))
-    known = rows.select(F.col("src").alias("prev"), F.col("dst").alias("x"), F.lit(True).alias("common"))
-    n = rows.groupBy(F.col("src").alias("at")).agg(F.first("n").alias("n"))
+    known = bucketed(rows.select(F.col("src").alias("prev"), F.col("dst").alias("x")), ["prev", "x"], "known").withColumn("common", F.lit(True))
+    n = rows.where("i = 0").select(F.col("src").alias("at"), "n")
     most = max(1 / p, 1.0, 1 / q)
 
     def weighed(near: DataFrame, first: bool) -> DataFrame:
@@ -66,25 +70,36 @@ def biased_walks(g: Graph, length: int, p: float, q: float, walks_per_node: int
         return near.join(known, ["prev", "x"], "left").withColumn("weight", weight)
 
     def race(walkers: DataFrame, step: int) -> DataFrame:
-        wide = weighed(walkers.select("walk_id", "at", "prev").join(edge.drop("i"), "at"), step == 1)
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("i")
+        wide = weighed(walkers.where("n > 0").select("walk_id", "at", "prev", each).join(edge, ["at", "i"]), step == 1)
         arrival = -F.log(1 - uniform(seed, "walk_id", F.lit(step), "x")) / F.col("weight")
         return wide.groupBy("walk_id").agg(F.min_by(F.struct("x", "xn"), F.struct(arrival, "x")).alias("to"))
 
-    def drawn(walkers: DataFrame, step: int) -> DataFrame:
-        tries = walkers.select("walk_id", "at", "prev", "n", F.explode(F.sequence(F.lit(1), F.lit(LOOK))).alias("t")).withColumn("i", draw(F.col("n"), seed, "walk_id", F.lit(step), "t"))
+    def drawn(walkers: DataFrame, step: int, first: int, last: int) -> DataFrame:
+        tries = walkers.select("walk_id", "at", "prev", "n", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("t")).withColumn("i", draw(F.col("n"), seed, "walk_id", F.lit(step), "t"))
         met = weighed(tries.join(edge, ["at", "i"]), step == 1).where(uniform(seed, "walk_id", F.lit(step), "t", F.lit("accept")) * most < F.col("weight"))
         return met.groupBy("walk_id").agg(F.min_by(F.struct("x", "xn"), "t").alias("to"))
 
-    w = _starts(g, walks_per_node).join(n, "at", "left").select("walk_id", F.lit(None).cast("int").alias("prev"), "at", F.coalesce("n", F.lit(0)).alias("n"), "walk")
-    last = None
+    w = _starts(g, walks_per_node).join(n, "at", "left").select("walk_id", F.lit(None).cast("int").alias("prev"), "at", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "walk")
+    last: list[DataFrame] = []
+    hubs = not n.where(F.col("n") > LOOK).isEmpty()
     for step in range(1, length):
-        many = w.where(F.col("n") > LOOK)
-        quick = drawn(many, step)
-        taken = race(w.where(F.col("n") <= LOOK).unionByName(many.join(quick.select("walk_id"), "walk_id", "left_anti")), step).unionByName(quick)
-        w = w.join(taken, "walk_id", "left").select("walk_id", F.col("at").alias("prev"), F.coalesce("to.x", "at").alias("at"), F.coalesce("to.xn", F.lit(0)).alias("n"), "walk")
+        rest, parts = w.where(F.col("n") <= LOOK).select("walk_id", "at", "prev", "n"), []
+        if hubs:
+            many = w.where(F.col("n") > LOOK).select("walk_id", "at", "prev", "n")
+            parts.append(written(drawn(many, step, 1, min(DRAWS, LOOK)), "drawn"))
+            if LOOK > DRAWS:
+                parts.append(written(drawn(many.join(parts[0].select("walk_id"), "walk_id", "left_anti"), step, DRAWS + 1, LOOK), "drawn"))
+            for part in parts:
+                many = many.join(part.select("walk_id"), "walk_id", "left_anti")
+            rest = rest.unionByName(many)
+        taken = race(rest, step)
+        for part in parts:
+            taken = taken.unionByName(part)
+        w = w.join(taken, "walk_id", "left").select("walk_id", F.col("at").alias("prev"), F.coalesce("to.x", "at").alias("at"), F.coalesce("to.xn", F.lit(0)).cast("long").alias("n"), "walk")
         w = written(w.select("walk_id", "prev", "at", "n", F.concat("walk", F.array("at")).alias("walk")), "walks")
-        discard(*([last] if last is not None else []))
-        last = w
+        discard(*last, *parts)
+        last = [w]
     return w.select("walk_id", "walk")
 
 

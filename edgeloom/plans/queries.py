@@ -457,12 +457,13 @@ def node2vec_walks(spark, sf_dir):
     return walks.biased_walks(customer_graph(spark, sf_dir), 6, p=0.5, q=2.0, walks_per_node=2, seed=42)
 
 
-@query(BASE + " SELECT src, dst FROM edges WHERE false")
+@query(BASE + " SELECT count(*) AS walks, 4 * count(*) AS steps, CAST(0 AS BIGINT) AS invalid FROM nodes")
 def invalid_walk_steps(spark, sf_dir):
-    """Steps of biased walks along no edge: there are none."""
+    """Biased walks, their steps, and how many of these are along no edge."""
     g = customer_graph(spark, sf_dir)
     g = graph.Graph(written(g.edges, "edges"), g.num_nodes)
-    return walks.invalid_steps(walks.biased_walks(g, 5, p=2.0, q=0.5, seed=7), g).select("src", "dst")
+    made = written(walks.biased_walks(g, 5, p=2.0, q=0.5, seed=7), "made")
+    return made.agg(F.count("*").alias("walks"), F.sum(F.size("walk") - 1).alias("steps")).join(walks.invalid_steps(made, g).agg(F.count("*").alias("invalid")))  # a row each
 
 
 DOT = "list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))"
@@ -584,14 +585,70 @@ def negatives_check(spark, sf_dir):
     return out
 
 
-@query(BASE + " SELECT src, CAST(0 AS BIGINT) AS wrong FROM edges WHERE false")
+def _chances(g: graph.Graph, pos: DataFrame) -> dict[str, DataFrame]:
+    """For each sampler (slots long, p double): slots with the chance that an attempt of theirs is good."""
+    n = F.lit(float(g.num_nodes))
+    degree = graph.degrees(g)
+    side = lambda end: pos.join(degree.withColumnRenamed("id", end), end).select(F.lit(2).cast("long").alias("slots"), (1 - (F.col("degree") + 1) / n).alias("p"))
+    walk = _two_steps(g, pos).groupBy("src").agg(F.sum("w").alias("p"))
+    ends = pos.join(walk, "src", "left").select(F.lit(2).cast("long").alias("slots"), F.coalesce("p", F.lit(0.0)).alias("p"))
+    some = pos.agg((2 * F.count("*")).alias("slots")).join(g.edges.agg((1 - (F.count("*") + n) / (n * n)).alias("p")))  # a row each
+    return {"uniform": side("src").unionByName(side("dst")), "uniform_nonedge": some, "two_hop": ends}
+
+
+def _two_steps(g: graph.Graph, sources: DataFrame) -> DataFrame:
+    """(src, dst, w): the two-step walks from sources that end at neither src nor a neighbour, with their chance."""
+    each = g.edges.groupBy("src").agg(F.count("*").alias("n"))
+    e = g.edges.join(each, "src").select("src", "dst", (1.0 / F.col("n")).alias("w"))
+    first = sources.select("src").distinct().join(e, "src").select("src", F.col("dst").alias("mid"), F.col("w").alias("v"))
+    walked = first.join(e.select(F.col("src").alias("mid"), "dst", "w"), "mid").where("dst <> src").groupBy("src", "dst").agg(F.sum(F.col("v") * F.col("w")).alias("w"))
+    return graph.without_edges(walked, g.edges)
+
+
+ATTEMPTS = {"uniform": 16, "uniform_nonedge": 24, "two_hop": 16}
+
+
+@query(BASE + """, p AS (SELECT count(*) AS n FROM edges WHERE src < dst)
+SELECT sampler, CASE sampler WHEN 'uniform' THEN 4 ELSE 2 END * n AS total, CASE sampler WHEN 'uniform' THEN 4 ELSE 2 END * n AS accounted, true AS first_as_expected, true AS found_as_expected, true AS tries_as_expected
+FROM p, (VALUES ('uniform'), ('uniform_nonedge'), ('two_hop')) v(sampler)""")
+def sampler_statistics(spark, sf_dir):
+    """What samplers tell of their attempts: slots found and failed add up to all, and those found at the first attempt,
+    those found at all and the mean number of attempts are within five deviations of what the graph makes expect."""
+    g = graph.Graph(_edges(spark, sf_dir), table(spark, sf_dir, "customer").count())
+    pos = written(_positives(g), "positives")
+    n, out = pos.count(), None
+    for name, chances in _chances(g, pos).items():
+        total = (4 if name == "uniform" else 2) * n
+        drawn = negatives.SAMPLERS[name](g, pos, 2, 42, tell=True, **({"reject_existing": True} if name == "uniform" else {}))
+        most, miss = ATTEMPTS[name], 1 - F.col("p")
+        held = 1 - F.pow(miss, most)
+        # attempts of those that are found: 1 + miss + ... - most * miss^most, by chance, and their squares at most so many
+        tries = F.when(F.col("p") > 0, held / F.col("p") - most * F.pow(miss, most)).otherwise(0.0)
+        spread = F.when(F.col("p") > 0, F.least(F.lit(float(most * most)), 2 / (F.col("p") * F.col("p")))).otherwise(0.0)
+        weigh = lambda x: F.sum(F.col("slots") * x)
+        want = chances.agg(weigh(F.col("p")).alias("first"), weigh(F.col("p") * miss).alias("first_var"), weigh(held).alias("found_want"), weigh(held * (1 - held)).alias("found_var"), weigh(tries).alias("tries"), weigh(spread).alias("tries_var"))
+        near = lambda x, y, var: F.abs(x - y) <= 5 * F.sqrt(var) + 1
+        row = negatives.sampling_stats(drawn, total).join(want).select(  # a row each
+            F.lit(name).alias("sampler"), "total", (F.col("found") + F.col("failed")).alias("accounted"), near(F.col("first_share") * F.col("total"), F.col("first"), F.col("first_var")).alias("first_as_expected"),
+            near(F.col("found"), F.col("found_want"), F.col("found_var")).alias("found_as_expected"), near(F.col("mean_attempts") * F.col("found"), F.col("tries"), F.col("tries_var")).alias("tries_as_expected"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(BASE + ", p AS (SELECT src FROM edges WHERE src < dst) SELECT 2 * count(*) AS wanted, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS too_many, true AS sources_met FROM p")
 def two_hop_negatives_check(spark, sf_dir):
-    """Sources with a two-hop negative that isn't two steps away, or is a neighbour or itself: there are none."""
+    """Two-hop negatives: none that isn't two steps away, or is a neighbour or the source itself; none beyond what was
+    asked for; and every source that is nearly sure to have one (a chance of 0.9 in one attempt of 32) has one."""
     g = graph.Graph(_edges(spark, sf_dir), table(spark, sf_dir, "customer").count())
     pos = written(_positives(g), "positives")
-    drawn = negatives.two_hop(g, pos, per_positive=2, seed=42).select("src", "dst").distinct()
-    right = graph.two_hop_closure(pos, g.edges)
-    return drawn.join(right, ["src", "dst"], "left_anti").groupBy("src").agg(F.count("*").alias("wrong"))
+    drawn = written(negatives.two_hop(g, pos, per_positive=2, seed=42), "drawn")
+    right = written(_two_steps(g, pos), "right")
+    wrong = drawn.select("src", "dst").distinct().join(right, ["src", "dst"], "left_anti").agg(F.count("*").alias("wrong"))
+    many = drawn.groupBy("pair").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 2).alias("too_many"))
+    sure = right.groupBy("src").agg(F.sum("w").alias("p")).where("p > 0.9")
+    met = sure.join(drawn.select("src").distinct(), "src", "left_anti").agg((F.count("*") == 0).alias("sources_met"))
+    return pos.agg((2 * F.count("*")).alias("wanted")).join(wrong).join(many).join(met)  # a row each
 
 
 @query(BASE + " SELECT how, (SELECT count(*) FROM nodes) * 2 AS walks, CAST(6 AS INT) AS shortest, CAST(6 AS INT) AS longest, CAST(0 AS BIGINT) AS invalid, (SELECT count(*) FROM nodes) AS starts FROM (VALUES ('uniform'), ('biased')) v(how)")

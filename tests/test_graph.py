@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -112,7 +113,12 @@ def test_negatives_keep_their_promises(spark, customers):
     assert 0 < len(w) <= 2 * n and all((r.src, r.dst) in closure for r in w)
     again = negatives.two_hop(graph.Graph(g.edges.repartition(7), g.num_nodes), pos.repartition(3), 2, seed=1)
     assert rows(again) == sorted(tuple(r) for r in w)  # however the data lie
-    assert rows(negatives.sampling_stats(negatives.two_hop(g, pos, 2, seed=1), 2 * n)) == [(len(w), 2 * n - len(w))]
+    told = negatives.two_hop(g, pos, 2, seed=1, tell=True).collect()
+    assert sorted(tuple(r)[:4] for r in told) == sorted(tuple(r) for r in w)
+    s = negatives.sampling_stats(negatives.two_hop(g, pos, 2, seed=1, tell=True), 2 * n).first()
+    tries = [r.attempt for r in told]
+    assert (s.total, s.found, s.failed) == (2 * n, len(w), 2 * n - len(w)) and s.mean_attempts == pytest.approx(sum(tries) / len(tries))
+    assert s.first_share == pytest.approx(tries.count(1) / (2 * n)) and s.failed_share == pytest.approx(1 - len(w) / (2 * n)) and max(tries) > 1
 
 
 def test_walks(spark, customers):
@@ -177,8 +183,51 @@ def test_pools_and_sampling_stats(spark, customers):
     drawn = negatives.nonedge(customers, pos.withColumn("pair", F.monotonically_increasing_id()), 2, seed=3, tell=True)
     s = negatives.sampling_stats(drawn, 200).first()
     assert (s.found, s.failed) == (200, 0) and s.mean_attempts >= 1 and 0 < s.first_share <= 1
-    assert negatives.sampling_stats(drawn.drop("attempt"), 210).first().asDict() == {"found": 200, "failed": 10}
-
+    s = negatives.sampling_stats(drawn, 400).first()  # failures count in the shares
+    assert (s.total, s.found, s.failed, s.failed_share) == (400, 200, 200, 0.5) and s.first_share <= 0.5
+    none = negatives.sampling_stats(drawn.limit(0), 0).first()
+    assert tuple(none) == (0, 0, 0, 0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("first", [1, 16])
+def test_rounds_of_attempts_give_the_first_good_one(spark, monkeypatch, first):
+    """Nodes 0 to 3 are all linked with each other and 4 with none: an attempt is good if and only if 4 is drawn."""
+    g = make(spark, [(a, b) for a in range(4) for b in range(4) if a != b], 5)
+    pos = spark.createDataFrame([(i, i % 4, (i + 1) % 4) for i in range(40)], "pair long, src int, dst int")
+    monkeypatch.setattr(negatives, "FIRST_ATTEMPTS", first)
+    got = negatives.uniform(g, pos, 1, seed=5, reject_existing=True, attempts=6, tell=True).collect()
+    every = spark.createDataFrame([(i, side, 1, a) for i in range(40) for side in (0, 1) for a in range(1, 7)], "pair long, side int, slot int, attempt int")
+    drawn = {(r.pair, r.side, r.attempt): r.x for r in every.select("pair", "side", "attempt", hashing.draw(5, 5, "pair", "side", "slot", "attempt").alias("x")).collect()}
+    assert len(got) == 80 and any(r.attempt is None for r in got) and any((r.attempt or 0) > 3 for r in got)
+    for r in got:
+        good = [a for a in range(1, 7) if drawn[r.pair, r.side, a] == 4]
+        assert r.attempt == (good[0] if good else None)
+        assert (r.dst if r.side == 0 else r.src) == (4 if good else drawn[r.pair, r.side, 6])
+
+
+def test_steps_of_walks_and_attempts_shuffle_no_edges(spark, customers):
+    """Where nothing is broadcast, no exchange stands between a join and the bucketed edges."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        w = walks.uniform_walks(customers, 4, 2, seed=1)
+        assert walks.invalid_steps(w, customers).count() == 0
+        w.collect()
+        plan = w._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda x: len(re.match(r"[ :]*([+:]- )?", x)[0])
+    scans = [i for i, x in enumerate(plan) if "edgeloom_neighbours" in x and "dst" in x]
+    assert len(scans) >= 3
+    for i in scans:
+        at, above = depth(plan[i]), []
+        for x in reversed(plan[:i]):
+            if depth(x) < at:
+                at = depth(x)
+                above.append(x)
+                if "Join" in x:
+                    break
+        assert "Join" in above[-1] and not any("Exchange" in x for x in above), above
 
 def test_edge_lists_by_column_name(spark, tmp_path):
     (tmp_path / "e.csv").write_text("w,to,from\n0.5,2,1\n0.7,4,3\n")
