@@ -62,8 +62,8 @@ def induced_pairwise(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
     ends = once.join(n.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
     low = F.col("a") <= F.col("b")
     once = written(ends.select(F.when(low, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("dst")), "oriented")
-    e = _inside(pairs, nodes, once)
-    return e.unionByName(e.select("pair_id", F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("w", F.lit(1))
+    both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")
+    return _inside(pairs, nodes, once).select("pair_id", both).select("pair_id", "x.u", "x.v", F.lit(1).alias("w"))
 
 
 def induced_scan(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

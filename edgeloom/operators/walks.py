@@ -42,7 +42,7 @@ def uniform_walks(g: Graph, length: int, walks_per_node: int = 1, seed: int = 0)
 
 
 #: Neighbours that a step of a biased walk looks at one by one; of more it draws so many, the first few in a round of their own.
-LOOK = 32
+LOOK = 64
 DRAWS = 4
 
 
@@ -57,7 +57,9 @@ def biased_walks(g: Graph, length: int, p: float, q: float, walks_per_node: int
     accept none at all look at all neighbours after all. Edges are written in buckets by node and number, and once more by
     both ends, so that a step shuffles walkers and what they draw, and no edges.
     """
-    rows = bucketed(numbered_neighbours(g.edges.select("src", "dst").distinct()), ["src", "i"], "neighbours")
+    once = written(g.edges.select("src", "dst").distinct(), "once")
+    rows = bucketed(numbered_neighbours(once), ["src", "i"], "neighbours")
+    discard(once)
     edge = rows.select(F.col("src").alias("at"), "i", F.col("dst").alias("x"), F.col("dst_n").alias("xn"))
     known = bucketed(rows.select(F.col("src").alias("prev"), F.col("dst").alias("x")), ["prev", "x"], "known").withColumn("common", F.lit(True))
     n = rows.where("i = 0").select(F.col("src").alias("at"), "n")
