@@ -92,7 +92,8 @@ def end_distances(pairs: DataFrame, sub_edges: DataFrame, removed: bool, most: i
     once = written(sub_edges.where("u <> v").select("pair_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "ways")
     both = F.array(F.struct(F.col("u").alias("at"), F.col("v").alias("node_id")), F.struct(F.col("v").alias("at"), F.col("u").alias("node_id")))
     ways = once.select("pair_id", F.explode(both).alias("x")).select("pair_id", "x.*")
-    hubs = ways.groupBy("pair_id", "at").agg(F.count("*").alias("n")).where(F.col("n") > SLOT_LINKS)
+    large = broadcast_checked(written(once.groupBy("pair_id").agg(F.count("*").alias("n")).where(F.col("n") > SLOT_LINKS).select("pair_id"), "large"))
+    hubs = ways.join(large, "pair_id", "left_semi").groupBy("pair_id", "at").agg(F.count("*").alias("n")).where(F.col("n") > SLOT_LINKS)
     hubs = broadcast_checked(written(hubs.select("pair_id", "at", F.ceil(F.col("n") / SLOT_LINKS).cast("int").alias("slots")), "hubs"))
     dealt = ways.join(hubs, ["pair_id", "at"], "left").select("pair_id", "at", F.coalesce(F.pmod(F.xxhash64("node_id"), F.col("slots")).cast("int"), F.lit(0)).alias("slot"), "node_id")
     ways = bucketed(dealt, ["pair_id", "at", "slot"], "ways")
@@ -106,7 +107,7 @@ def end_distances(pairs: DataFrame, sub_edges: DataFrame, removed: bool, most: i
         at = frontier.select("pair_id", "end", F.col("node_id").alias("at"), "shut").join(hubs, ["pair_id", "at"], "left")
         at = at.select("pair_id", "end", "at", "shut", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1)).alias("slot"))
         near = at.join(ways, ["pair_id", "at", "slot"]).where("shut is null or node_id <> shut")
-        near = near.select("pair_id", "end", "node_id", "shut").distinct()
+        near = near.groupBy("pair_id", "end", "node_id").agg(F.first("shut").alias("shut"))  # lies as the anti-join wants it
         frontier = written(near.join(known, ["pair_id", "end", "node_id"], "left_anti").withColumn("d", F.lit(step)), "frontier")
         if frontier.isEmpty():
             break
