@@ -12,46 +12,61 @@ from edgeloom.functions.vectors import sigmoid
 EPS = 2.220446049250313e-16
 
 
-def _ranked(scored: DataFrame, tie: list[str]) -> DataFrame:
-    w = Window.partitionBy("src").orderBy(F.desc("score"), *tie)
-    return scored.withColumn("rn", F.row_number().over(w))
+def _key(tie: list[str]) -> Column:
+    """What rows of a source are ranked by: the score, largest first, then the columns of tie, those with a "-" before
+    their name largest first."""
+    return F.struct((-F.col("score")).alias("k"), *[(-F.col(c[1:]) if c.startswith("-") else F.col(c)).alias(f"k{i}") for i, c in enumerate(tie)])
 
 
-def ranking_metrics(scored: DataFrame, ks: list[int], tie: list[str | Column] | None = None) -> DataFrame:
+def source_values(ks: list[int]) -> dict[str, Column]:
+    """A source's metrics by name, from n_pos, first (the rank of its first positive) and for each k the positives
+    pos_k, the negatives neg_k, the gain dcg_k and the pairs in order wins_k of its first k rows; null without positives."""
+    some = lambda c: F.when(F.col("n_pos") > 0, c)
+    out = {"mrr": some(1 / F.col("first"))}
+    for k in ks:
+        pos, neg = F.coalesce(f"pos_{k}", F.lit(0)), F.coalesce(f"neg_{k}", F.lit(0))
+        ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("n_pos"), F.lit(k))).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+        values = {
+            "hits": (pos > 0).cast("double"), "recall": pos / F.col("n_pos"), "ndcg": F.coalesce(f"dcg_{k}", F.lit(0.0)) / ideal,
+            "mrr": F.when(F.col("first") <= k, 1 / F.col("first")).otherwise(0.0), "roc_auc": F.when(pos == 0, 0.0).when(neg == 0, 1.0).otherwise(F.col(f"wins_{k}") / (pos * neg)),
+        }
+        out |= {f"{name}_at_{k}": some(v) for name, v in values.items()}
+    return out
+
+
+def source_averages(sources: DataFrame, ks: list[int]) -> DataFrame:
+    """One row of averages over the sources (n_pos, and the metrics that source_values names) that have a positive, all 0
+    without such sources, with num_sources_with_positives and num_sources."""
+    counts = [F.count_if(F.col("n_pos") > 0).alias("num_sources_with_positives"), F.count("*").alias("num_sources")]
+    return sources.agg(*[F.coalesce(F.avg(name), F.lit(0.0)).alias(name) for name in source_values(ks)], *counts)
+
+
+def ranking_metrics(scored: DataFrame, ks: list[int], tie: list[str] | None = None) -> DataFrame:
     """One row of averages over sources with a positive, from scored (src, dst, label, score): mrr, and for each k
     hits, recall, ndcg, mrr and roc_auc within the top k; with num_sources and num_sources_with_positives. Equal scores
-    rank positives first, then the smaller dst, unless tie names another order. Without such sources all are 0.
+    rank positives first, then the smaller dst, unless tie names other columns. Without such sources all are 0.
 
-    One sort by source serves every k; the sources' figures are added up by the final aggregate alone.
+    No source is ranked whole. The rank of its first positive is one more than the rows before it: an aggregate finds
+    that positive, and a join with it counts what stands before, both partly before the shuffle. All else lies in the
+    first k rows, of which tasks pass on no more than the largest k of a source (for k up to 1000, where Spark limits
+    groups before the shuffle).
     """
-    tie = tie or [F.desc("label"), F.col("dst")]
-    r = _ranked(scored, tie)
-    # within a prefix, positives that beat a negative: for each negative, the positives above it; half for equal scores
-    by_score = Window.partitionBy("src", "score")
-    r = r.withColumn("pos_before", F.sum("label").over(Window.partitionBy("src").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    r = r.withColumn("first_rn", F.min("rn").over(by_score))
-    sums = [F.count("*").alias("n"), F.sum("label").alias("n_pos"), F.min(F.when(F.col("label") == 1, F.col("rn"))).alias("first")]
-    for k in ks:
-        top = F.col("rn") <= k
-        sums += [
-            F.sum(F.when(top, F.col("label")).otherwise(0)).alias(f"pos_{k}"), F.count_if(top & (F.col("label") == 0)).alias(f"neg_{k}"),
-            F.sum(F.when(top & (F.col("label") == 1), 1 / F.log2(F.col("rn") + 1.0)).otherwise(0.0)).alias(f"dcg_{k}"),
-        ]
-    each = r.groupBy("src").agg(*sums)
-    each = each.join(_prefix_wins(r, ks), "src", "left") if ks else each
-    each = each.where("n_pos > 0")
-    sources = scored.agg(F.count_distinct("src").alias("num_sources"))
-    out = [F.coalesce(F.avg(1 / F.col("first")), F.lit(0.0)).alias("mrr")]
-    for k in ks:
-        ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_pos"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
-        auc = F.when(F.col(f"pos_{k}") == 0, 0.0).when(F.col(f"neg_{k}") == 0, 1.0).otherwise(F.col(f"wins_{k}") / (F.col(f"pos_{k}") * F.col(f"neg_{k}")))
-        values = {
-            "hits": (F.col(f"pos_{k}") > 0).cast("double"), "recall": F.col(f"pos_{k}") / F.col("n_pos"), "ndcg": F.col(f"dcg_{k}") / ideal,
-            "mrr": F.when(F.col("first") <= k, 1 / F.col("first")).otherwise(0.0), "roc_auc": auc,
-        }
-        out += [F.coalesce(F.avg(v), F.lit(0.0)).alias(f"{name}_at_{k}") for name, v in values.items()]
-    row = each.agg(*out, F.count("*").alias("num_sources_with_positives"))
-    return row.withColumn("one", F.lit(1)).join(sources.withColumn("one", F.lit(1)), "one").drop("one")
+    key = _key(tie or ["-label", "dst"])
+    each = written(scored.groupBy("src").agg(F.sum("label").alias("n_pos"), F.min(F.when(F.col("label") == 1, key)).alias("best")), "sources")
+    before = scored.join(each.where("n_pos > 0").select("src", "best"), "src").where(key < F.col("best")).groupBy("src").agg(F.count("*").alias("before"))
+    rows = each.join(before, "src", "left").select("src", "n_pos", (F.coalesce("before", F.lit(0)) + 1).alias("first"))
+    if ks:
+        top = scored.select("src", "label", "score", F.row_number().over(Window.partitionBy("src").orderBy(key)).alias("rn")).where(F.col("rn") <= max(ks))
+        sums = []
+        for k in ks:
+            inside = F.col("rn") <= k
+            sums += [
+                F.sum(F.when(inside, F.col("label")).otherwise(0)).alias(f"pos_{k}"), F.count_if(inside & (F.col("label") == 0)).alias(f"neg_{k}"),
+                F.sum(F.when(inside & (F.col("label") == 1), 1 / F.log2(F.col("rn") + 1.0)).otherwise(0.0)).alias(f"dcg_{k}"),
+            ]
+        top = written(top, "top")
+        rows = rows.join(top.groupBy("src").agg(*sums), "src", "left").join(_prefix_wins(top, ks), "src", "left")
+    return source_averages(rows.select("src", "n_pos", *[v.alias(name) for name, v in source_values(ks).items()]), ks)
 
 
 def _prefix_wins(r: DataFrame, ks: list[int]) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import written
+from edgeloom.cluster import shared_dir, written
 from edgeloom.functions import hashing
 from edgeloom.functions.vectors import sigmoid
 from edgeloom.operators import features, graph, metrics, negatives, splits, subgraphs, walks
 from edgeloom.sources.tables import customer_graph, order_pairs, supplier_pairs, table, vector_graph
+from edgeloom.streaming import online, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -319,6 +321,24 @@ def ranking_metrics(spark, sf_dir):
     return m.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
 
 
+@query(_ranking_sql())
+def streamed_ranking_metrics(spark, sf_dir):
+    """The same from a stream: positives come first, then negatives in several batches, then the ends of all sources."""
+    rows = written(_scored(spark, sf_dir), "scored")
+    folder = f"{shared_dir(spark)}/edgeloom/stream-{uuid.uuid4().hex}"
+    ended = rows.select("src").distinct().select("src", F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("ended"))
+    parts = [rows.where("label = 1"), rows.where("label = 0 and dst % 2 = 0"), rows.where("label = 0 and dst % 2 = 1")]
+    for part in [*(p.select("src", "label", "score", F.lit(False).alias("ended")) for p in parts), ended]:
+        part.write.mode("append").parquet(f"{folder}/rows")
+    files = len(spark.read.parquet(f"{folder}/rows").inputFiles())
+    stream = spark.readStream.schema("src int, label int, score double, ended boolean").option("maxFilesPerTrigger", str(max(1, files // 4))).parquet(f"{folder}/rows")
+    found = online.online_source_metrics(stream, KS)
+    sinks.follow(found, f"{folder}/sources", f"{folder}/checkpoint").awaitTermination()
+    sources = sinks.written_batches(spark, f"{folder}/sources", ", ".join(f"{c} {t}" for c, t in found.dtypes))
+    m = metrics.source_averages(sources, KS)
+    return m.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes])
+
+
 @query(LABELLED_SQL + " SELECT round(sum(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0.0 END * p.c * q.c) / (sum(p.c * q.c)), 6) AS roc_auc FROM (SELECT score, count(*) AS c FROM scored WHERE label = 1 GROUP BY score) p, (SELECT score, count(*) AS c FROM scored WHERE label = 0 GROUP BY score) q")
 def global_roc_auc(spark, sf_dir):
     return metrics.roc_auc(_scored(spark, sf_dir)).select(F.round("roc_auc", 6).alias("roc_auc"))

@@ -1,14 +1,18 @@
-"""Structured Streaming forms of what is kept up batch by batch: summaries of values and per-source metrics."""
+"""Structured Streaming forms of what is kept up batch by batch: summaries of values and metrics by source."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from edgeloom.cluster import ship
+from edgeloom.operators.metrics import source_values
+
 
 def online_summary(stream: DataFrame, col: str, by: str) -> DataFrame:
     """(by, count, min, max, mean) of the finite values of col so far; for output modes complete and update."""
@@ -38,3 +42,79 @@ def online_hits(stream: DataFrame, k: int) -> DataFrame:
     rows = stream.where("score is not null and label is not null").select("src", F.col("score").cast("double").alias("score"), F.col("label").cast("int").alias("label"))
     kind = stream.schema["src"].dataType.simpleString()
     return rows.groupBy("src").applyInPandasWithState(keep, f"src {kind}, hit double", "scores array<double>, labels array<int>", "update", GroupStateTimeout.NoTimeout)
+
+
+class SourceState:
+    """What is kept of a source until its end: its best rows, its positives, and the negatives above the best of
+    these. Where positives come first, the latter are a number; else their scores wait, as a better positive may come."""
+
+    SCHEMA = "scores array<double>, labels array<int>, n_pos long, best double, negatives long, above long, wait array<double>, closed boolean"
+
+    def __init__(self, kept: tuple | None, most: int, positives_first: bool):
+        self.most, self.positives_first = most, positives_first
+        scores, labels, self.n_pos, self.best, self.negatives, self.above, wait, self.closed = kept or ([], [], 0, None, 0, 0, [], False)
+        self.scores, self.labels, self.wait = np.array(scores, float), np.array(labels, int), np.array(wait, float)
+
+    def add(self, scores: np.ndarray, labels: np.ndarray) -> None:
+        pos, neg = scores[labels == 1], scores[labels != 1]
+        if len(pos):
+            best = float(pos.max()) if self.best is None else max(self.best, float(pos.max()))
+            if self.positives_first and self.negatives and best != self.best:
+                raise ValueError("a better positive came after negatives of its source")
+            self.best, self.n_pos = best, self.n_pos + len(pos)
+        self.negatives += len(neg)
+        if self.positives_first:
+            self.above += int((neg > self.best).sum()) if self.best is not None else len(neg)
+        else:
+            wait = np.concatenate([self.wait, neg])
+            self.wait = wait if self.best is None else wait[wait > self.best]
+            self.above = len(self.wait)
+        scores, labels = np.concatenate([self.scores, scores]), np.concatenate([self.labels, labels])
+        order = np.lexsort((-labels, -scores))[: self.most]
+        self.scores, self.labels = scores[order], labels[order]
+
+    def kept(self) -> tuple:
+        return (self.scores.tolist(), self.labels.tolist(), int(self.n_pos), self.best, int(self.negatives), int(self.above), self.wait.tolist(), self.closed)
+
+    def close(self, ks: list[int]) -> dict[str, float]:
+        """The counts of a source, as source_values wants them; nothing but that it is closed stays."""
+        out: dict[str, float] = {"n_pos": int(self.n_pos), "first": int(self.above) + 1}
+        for k in ks:
+            s, y = self.scores[:k], self.labels[:k]
+            p, n = s[y == 1], s[y != 1]
+            gain = (1 / np.log2(np.flatnonzero(y == 1) + 2.0)).sum()
+            wins = sum((p > x).sum() + 0.5 * (p == x).sum() for x in n)
+            out |= {f"pos_{k}": len(p), f"neg_{k}": len(n), f"dcg_{k}": float(gain), f"wins_{k}": float(wins)}
+        self.__init__((*([], []), 0, None, 0, 0, [], True), self.most, self.positives_first)
+        return out
+
+
+def online_source_metrics(stream: DataFrame, ks: list[int], positives_first: bool = True) -> DataFrame:
+    """(src, n_pos, mrr, and for each k the metrics of source_values) of each source, once: when its end comes, a row
+    of the stream (src, label, score, ended boolean) with ended; other rows bring a label and a score, and a row may
+    bring both. Output mode append; metrics.source_averages over what was written gives the figures of ranking_metrics.
+
+    Rows of a source may come in any number of batches, in any order within a batch. Rows after a source's end are an
+    error. With positives_first a source's positives come in batches no later than its negatives, as the order of
+    evaluation has them; then its state is its best rows and a few numbers, and a better positive that comes late is an
+    error. Otherwise the scores of negatives above its best positive wait in the state. Rows without src, label or
+    score count as nothing, but their end does."""
+    ship(stream.sparkSession)
+    most = max(ks, default=1)
+
+    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = SourceState(state.get if state.exists else None, most, positives_first)
+        rows = pd.concat(list(frames))
+        if s.closed:
+            raise ValueError(f"source {key[0]} has rows after its end")
+        some = rows[rows["label"].notna() & rows["score"].notna()]
+        s.add(some["score"].to_numpy(float), some["label"].to_numpy(int))
+        if rows["ended"].fillna(False).astype(bool).any():
+            yield pd.DataFrame([{"src": key[0], **s.close(ks)}])
+        state.update(s.kept())
+
+    kind = stream.schema["src"].dataType.simpleString()
+    counts = "".join(f", pos_{k} long, neg_{k} long, dcg_{k} double, wins_{k} double" for k in ks)
+    rows = stream.where("src is not null").select("src", F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score"), F.col("ended").cast("boolean").alias("ended"))
+    closed = rows.groupBy("src").applyInPandasWithState(keep, f"src {kind}, n_pos long, first long{counts}", SourceState.SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return closed.select("src", "n_pos", *[v.alias(name) for name, v in source_values(ks).items()])

@@ -280,6 +280,53 @@ def test_ranking_golden(spark):
     assert metrics.ranking_metrics(tie, [1]).first().hits_at_1 == 1
 
 
+def slow_ranking(rows, ks):
+    """Source by source: (src, dst, label, score)."""
+    sums, n = {}, 0
+    for src in {r[0] for r in rows}:
+        ranked = sorted((r for r in rows if r[0] == src), key=lambda r: (-r[3], -r[2], r[1]))
+        y = [r[2] for r in ranked]
+        if not any(y):
+            continue
+        n += 1
+        first = y.index(1) + 1
+        one = {"mrr": 1 / first}
+        for k in ks:
+            top = ranked[:k]
+            pos, neg = [r[3] for r in top if r[2]], [r[3] for r in top if not r[2]]
+            auc = 0.0 if not pos else 1.0 if not neg else sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+            gain = sum(1 / math.log2(i + 2) for i, v in enumerate(y[:k]) if v) / sum(1 / math.log2(i + 2) for i in range(min(sum(y), k)))
+            one |= {f"hits_at_{k}": float(bool(pos)), f"recall_at_{k}": len(pos) / sum(y), f"ndcg_at_{k}": gain, f"mrr_at_{k}": 1 / first if first <= k else 0.0, f"roc_auc_at_{k}": auc}
+        sums = {m: sums.get(m, 0.0) + v for m, v in one.items()}
+    return {m: v / n for m, v in sums.items()} | {"num_sources_with_positives": n, "num_sources": len({r[0] for r in rows})}
+
+
+def test_ranking_with_half_of_all_rows_in_one_source(spark):
+    rng = random.Random(12)
+    rows = [(0 if i % 2 else rng.randint(1, 40), i, int(rng.random() < 0.08), rng.choice([rng.random(), 0.5, 0.25])) for i in range(3000)]
+    d = spark.createDataFrame(rows, "src long, dst long, label int, score double")
+    made = metrics.ranking_metrics(d, [1, 10, 50])
+    got, want = made.first().asDict(), slow_ranking(rows, [1, 10, 50])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    late = [(s, i, y, x if y else x + 2) for s, i, y, x in rows]  # no positive among the first k
+    assert metrics.ranking_metrics(spark.createDataFrame(late, d.schema), [5]).first().mrr == pytest.approx(slow_ranking(late, [5])["mrr"])
+    far = metrics.ranking_metrics(d, [5], tie=["dst"]).first().asDict()
+    assert far["mrr"] == pytest.approx(np.mean([1 / (1 + next(i for i, r in enumerate(sorted((r for r in rows if r[0] == s), key=lambda r: (-r[3], r[1]))) if r[2])) for s in {r[0] for r in rows if r[2]}]))
+
+
+def test_no_source_is_ranked_whole(spark):
+    """Every window by source stands above a limit of its groups or over what such a limit has left."""
+    made = []
+    before = metrics.written
+    try:
+        metrics.written = lambda df, tag: made.append((tag, df._jdf.queryExecution().executedPlan().toString())) or before(df, tag)
+        metrics.ranking_metrics(spark.createDataFrame([(1, 2, 1, 0.5)], "src long, dst long, label int, score double"), [3]).collect()
+    finally:
+        metrics.written = before
+    plans = dict(made)
+    assert "Window" not in plans["sources"] and plans["top"].count("WindowGroupLimit") == 2
+
+
 def test_global_metrics_match_brute_force(spark):
     rng = random.Random(6)
     data = [(rng.randint(0, 1), rng.choice([rng.random(), 0.5, 0.25])) for _ in range(300)]
