@@ -79,6 +79,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file on any file system that Spark knows: under another name first, so that path is either whole
+    or not there. A file that is there already stays, and is an error."""
+    at, fs = _place(spark, path)
+    draft, _ = _place(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if fs.exists(at) or not fs.rename(draft, at):
+        fs.delete(draft, False)
+        raise FileExistsError(path)
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    at, fs = _place(spark, path)
+    file = fs.open(at)
+    try:
+        return bytes(file.readAllBytes()).decode()
+    finally:
+        file.close()
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder, sorted; nothing if it isn't there."""
+    at, fs = _place(spark, folder)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _place(spark, path)
+    fs.delete(at, True)
+
+
 def _place(spark: SparkSession, path: str) -> tuple:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

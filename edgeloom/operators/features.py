@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,17 +44,6 @@ def classifier_scores(model: LogisticRegressionModel, pairs: DataFrame, vectors:
     return model.transform(x).select(*pairs.columns, vector_to_array("probability")[1].alias("score"))
 
 
-def fit_embeddings(walks: DataFrame, dim: int, context: int, seed: int = 0, epochs: int = 1) -> Word2VecModel:
-    """Skip-gram embeddings of walks' nodes by the library, which normalises by a hierarchical softmax, holds every node's
-    vector on the driver and trains in one task: for small graphs. See fit_skipgram for others."""
-    words = walks.select(F.transform("walk", lambda x: x.cast("string")).alias("words"))
-    return Word2Vec(vectorSize=dim, windowSize=max(1, context - 1), minCount=0, seed=seed, maxIter=epochs, inputCol="words", outputCol="v").fit(words)
-
-
-def embeddings_of(model: Word2VecModel) -> DataFrame:
-    return model.getVectors().select(F.col("word").cast("long").alias("id"), vector_to_array("vector", "float32").alias("embedding"))
-
-
 def fit_skipgram(contexts: DataFrame, num_nodes: int, vectors: DataFrame, negatives: int = 1, rounds: int = 8, rate: float = 2.0, seed: int = 0) -> DataFrame:
     """(id, embedding array<double>): vectors (id, embedding) after rounds of gradient descent on the skip-gram loss with
     negatives, over all pairs (anchor, context).
@@ -64,22 +52,32 @@ def fit_skipgram(contexts: DataFrame, num_nodes: int, vectors: DataFrame, negati
     hash of seed, round and pair, meets its vectors by two equi-joins; gradients are added up by node, partly before the
     shuffle, and a node moves by rate times its mean gradient. The table of a round replaces that of the one before.
     Nodes without pairs keep their vectors."""
-    dim = vectors.select(F.size("embedding")).first()[0]
-    pairs = written(contexts.groupBy("anchor", "context").agg(F.count("*").cast("double").alias("n")), "pairs")
-    table = written(vectors.select("id", F.col("embedding").cast("array<double>").alias("e")), "vectors")
+    pairs = counted_pairs(contexts)
+    table = written(vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")), "vectors")
     for step in range(rounds):
-        fake = pairs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(negatives)))).select("anchor", draw(num_nodes, seed, F.lit(step), "anchor", "context", "k").cast("int").alias("context"), (F.col("n") / negatives).alias("n"), F.lit(0.0).alias("y"))
-        both = pairs.withColumn("y", F.lit(1.0)).unionByName(fake)
-        a, b = table.select(F.col("id").alias("anchor"), F.col("e").alias("va")), table.select(F.col("id").alias("context"), F.col("e").alias("vb"))
-        met = both.join(a, "anchor").join(b, "context").withColumn("g", F.col("n") * (sigmoid(dot("va", "vb")) - F.col("y")))
-        sides = F.array(F.struct(F.col("anchor").alias("id"), F.col("vb").alias("v")), F.struct(F.col("context").alias("id"), F.col("va").alias("v")))
-        each = met.select("g", "n", F.explode(sides).alias("x")).select("x.id", "n", *[(F.col("g") * F.col("x.v")[i]).alias(f"g{i}") for i in range(dim)])
-        move = each.groupBy("id").agg(F.sum("n").alias("n"), *[F.sum(f"g{i}").alias(f"g{i}") for i in range(dim)])
-        move = move.select("id", F.array(*[rate * F.col(f"g{i}") / F.col("n") for i in range(dim)]).alias("d"))
-        new = written(table.join(move, "id", "left").select("id", F.when(F.col("d").isNull(), F.col("e")).otherwise(F.zip_with("e", "d", lambda x, y: x - y)).alias("e")), "vectors")
+        new = written(skipgram_round(pairs, table, num_nodes, step, negatives, rate, seed), "vectors")
         discard(table)
         table = new
-    return table.select("id", F.col("e").alias("embedding"))
+    return table
+
+
+def counted_pairs(contexts: DataFrame) -> DataFrame:
+    """(anchor, context, n double): the different pairs of contexts with their numbers, as a written table."""
+    return written(contexts.groupBy("anchor", "context").agg(F.count("*").cast("double").alias("n")), "pairs")
+
+
+def skipgram_round(pairs: DataFrame, table: DataFrame, num_nodes: int, step: int, negatives: int = 1, rate: float = 2.0, seed: int = 0) -> DataFrame:
+    """The vectors of table (id, embedding array<double>) after the round of fit_skipgram that has number step."""
+    dim = (table.select(F.size("embedding")).first() or [0])[0]
+    fake = pairs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(negatives)))).select("anchor", draw(num_nodes, seed, F.lit(step), "anchor", "context", "k").cast("int").alias("context"), (F.col("n") / negatives).alias("n"), F.lit(0.0).alias("y"))
+    both = pairs.withColumn("y", F.lit(1.0)).unionByName(fake)
+    a, b = table.select(F.col("id").alias("anchor"), F.col("embedding").alias("va")), table.select(F.col("id").alias("context"), F.col("embedding").alias("vb"))
+    met = both.join(a, "anchor").join(b, "context").withColumn("g", F.col("n") * (sigmoid(dot("va", "vb")) - F.col("y")))
+    sides = F.array(F.struct(F.col("anchor").alias("id"), F.col("vb").alias("v")), F.struct(F.col("context").alias("id"), F.col("va").alias("v")))
+    each = met.select("g", "n", F.explode(sides).alias("x")).select("x.id", "n", *[(F.col("g") * F.col("x.v")[i]).alias(f"g{i}") for i in range(dim)])
+    move = each.groupBy("id").agg(F.sum("n").alias("n"), *[F.sum(f"g{i}").alias(f"g{i}") for i in range(dim)])
+    move = move.select("id", F.array(*[rate * F.col(f"g{i}") / F.col("n") for i in range(dim)]).alias("d"))
+    return table.join(move, "id", "left").select("id", F.when(F.col("d").isNull(), F.col("embedding")).otherwise(F.zip_with("embedding", "d", lambda x, y: x - y)).alias("embedding"))
 
 
 def initial_embeddings(nodes: DataFrame, dim: int, how: str = "normal", scale: float | None = None, seed: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import broadcast_checked
+from edgeloom.cluster import broadcast_checked, written
 
 #: Neighbours of a node that one task numbers; a hub's are dealt into blocks of about so many.
 BLOCK_NEIGHBOURS = 1 << 16
@@ -113,6 +113,19 @@ def offsets(counts: DataFrame, id_col: str = "id", n_col: str = "degree") -> Dat
     return dealt.withColumn("inside", inside).join(before, "r").select("id", (F.col("base") + F.col("inside")).alias("start"))
 
 
+def in_order(rows: DataFrame, by: list[str], within: list[str] = (), name: str = "pos") -> DataFrame:
+    """rows with their place from 0 in the order of by, among all or among those of equal within. Rows are dealt by
+    ranges of both, numbered range by range, and get the number of rows before their range: one count for each range,
+    and for each of its groups where there are any, so that one large group is as good as many small ones."""
+    within = list(within)
+    ranged = written(rows.repartitionByRange(*within, *by).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__part", *within).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*within).orderBy("__part") if within else Window.orderBy("__part")
+    base = sizes.withColumn("__base", F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("__part", *within).orderBy(*by)) - 1
+    return ranged.withColumn("__i", inside).join(base, ["__part", *within]).select(*rows.columns, (F.col("__base") + F.col("__i")).alias(name))
+
+
 def edges_at(g: Graph, positions: DataFrame) -> DataFrame:
     """(pos, src, dst): the edges at global positions, counted through sorted neighbour rows; positions beyond are
     left out. The row of a position is found by an equi-join on blocks of positions, not by comparing all."""

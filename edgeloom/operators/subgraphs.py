@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.cluster import broadcast_checked, bucketed, discard, written
 from edgeloom.functions.hashing import draw, uniform
-from edgeloom.operators.graph import adjacency, swapped
+from edgeloom.operators.graph import adjacency, in_order, swapped
 
 
 def k_hop_nodes(pairs: DataFrame, edges: DataFrame, hops: int, max_per_hop: int | None = None, ratio: float = 1.0, oversample: float | None = None, seed: int = 0) -> DataFrame:
@@ -144,10 +146,45 @@ def labels(pairs: DataFrame, nodes: DataFrame, sub_edges: DataFrame, kind: str)
 
 
 def local_ids(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """nodes with local_id: 0 and 1 for the ends, then by hop and id."""
+    """(pair_id, node_id, dist, local_id): nodes with their number in the pair's subgraph: 0 and 1 for the ends, then by
+    hop and id."""
     first = F.when(F.col("node_id") == F.col("src"), 0).when(F.col("node_id") == F.col("dst"), 1).otherwise(2)
-    w = Window.partitionBy("pair_id").orderBy(first, "dist", "node_id")
-    return nodes.join(pairs.select("pair_id", "src", "dst"), "pair_id").select("pair_id", "node_id", "dist", (F.row_number().over(w) - 1).alias("local_id"))
+    placed = nodes.join(pairs.select("pair_id", "src", "dst"), "pair_id").select("pair_id", "node_id", "dist", first.alias("__first"))
+    return in_order(placed, ["__first", "dist", "node_id"], ["pair_id"], "local_id").select("pair_id", "node_id", "dist", F.col("local_id").cast("int").alias("local_id"))
+
+
+@dataclass(frozen=True)
+class Batches:
+    """Batches of subgraphs, each the disjoint union of its graphs. graphs: (batch, graph, pair_id, src, dst, num_nodes,
+    first_node, and what else pairs has); nodes: (batch, node, graph, node_id, dist, z); edges: (batch, graph, u, v, w),
+    u and v being nodes of the batch."""
+
+    graphs: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def batched(pairs: DataFrame, nodes: DataFrame, sub_edges: DataFrame, size: int, labels: DataFrame | None = None, order: str = "pair_id") -> Batches:
+    """The subgraphs of pairs (pair_id, src, dst, ...) as input for training: size pairs a batch, in the order of a
+    column, number graph of a batch from 0. A graph's nodes have its local ids after those of the graphs before it in
+    the batch: a prefix sum over the size graphs of a batch, and over no more. Edges are rewritten to these by two
+    joins. labels: (pair_id, node_id, z), null without. Pairs without any node have no graph's nodes, but a graph."""
+    numbered = written(in_order(pairs, [order]), "numbered")
+    local = written(local_ids(pairs, nodes), "local")
+    count = local.groupBy("pair_id").agg(F.count("*").alias("num_nodes"))
+    graphs = numbered.join(count, "pair_id", "left").withColumn("num_nodes", F.coalesce("num_nodes", F.lit(0)))
+    graphs = graphs.withColumn("batch", F.floor(F.col("pos") / size).cast("long")).withColumn("graph", F.pmod("pos", F.lit(size)).cast("int"))
+    before = Window.partitionBy("batch").orderBy("graph").rowsBetween(Window.unboundedPreceding, 0)
+    graphs = written(graphs.withColumn("first_node", F.sum("num_nodes").over(before) - F.col("num_nodes")).drop("pos"), "graphs")
+    at = local.join(graphs.select("pair_id", "batch", "graph", "first_node"), "pair_id").withColumn("node", F.col("first_node") + F.col("local_id"))
+    at = written(at.select("pair_id", "batch", "graph", "node", "node_id", "dist"), "placed")
+    known = at.join(labels.select("pair_id", "node_id", "z"), ["pair_id", "node_id"], "left") if labels is not None else at.withColumn("z", F.lit(None).cast("array<int>"))
+    u, v = (at.select("pair_id", F.col("node_id").alias(c), F.col("node").alias(f"{c}_node")) for c in ("u", "v"))
+    edges = sub_edges.join(u, ["pair_id", "u"]).join(v, ["pair_id", "v"]).join(graphs.select("pair_id", "batch", "graph"), "pair_id")
+    return Batches(
+        graphs.select("batch", "graph", *pairs.columns, "num_nodes", "first_node"), known.select("batch", "node", "graph", "node_id", "dist", "z"),
+        edges.select("batch", "graph", F.col("u_node").alias("u"), F.col("v_node").alias("v"), "w"),
+    )
 
 
 def sort_pool_size(sizes: DataFrame, k: float) -> DataFrame:
@@ -178,4 +215,4 @@ def sort_pool(nodes: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return rows.select("pair_id", F.concat("x", F.array_repeat(F.lit(0.0), F.lit(k * dim) - F.size("x"))).alias("pooled"))
 
 
-__all__ = ["induced_pairwise", "induced_scan", "k_hop_nodes", "labels", "local_ids", "mean_pool", "sort_pool", "sort_pool_size", "swapped"]
+__all__ = ["Batches", "batched", "end_distances", "induced_pairwise", "induced_scan", "k_hop_nodes", "labels", "local_ids", "mean_pool", "sort_pool", "sort_pool_size", "swapped"]

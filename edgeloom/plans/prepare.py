@@ -5,15 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import exists, written
+from edgeloom.cluster import exists, get_text, names, put_text, remove, written
 from edgeloom.functions.hashing import permutation, unsigned_order, with_mix64
 from edgeloom.operators import negatives, splits
-from edgeloom.operators.graph import Graph, canonical, checked_pairs, dedup, symmetrize, with_later_year
+from edgeloom.operators.graph import KINDS, Graph, canonical, checked_pairs, dedup, masked, symmetrize, with_later_year
 from edgeloom.sources.arrays import write_pairs
 
 SPLITS = ("valid", "test")
@@ -59,14 +58,28 @@ def prepare(g: Graph, layout: Layout, k_val: int, k_test: int = 0, ties: str = s
     g = Graph(written(g.edges, "edges"), g.num_nodes)
     s = splits.temporal_split_3way(g.edges, k_val, k_test, ties) if k_test else splits.temporal_split(g.edges, k_val, ties)
     train = Graph(s.train, g.num_nodes)
-    s.train.repartitionByRange("src").sortWithinPartitions("src", "dst").write.parquet(layout.train_edges)
-    canonical(s.train).select("src", "dst").write.parquet(layout.train_pairs)
+    counts = {"num_nodes": g.num_nodes}
+    counts["num_edges"] = _counted(s.train.repartitionByRange("src").sortWithinPartitions("src", "dst"), layout.train_edges)
+    counts["num_pairs"] = _counted(canonical(s.train).select("src", "dst"), layout.train_pairs)
     for name, pos, shift in (("valid", s.val, 10_000), ("test", s.test, 20_000)):
         if pos is not None:
             pos = written(pos, name)
-            pos.write.parquet(layout.split(name, 1))
-            negatives.two_hop_of_sources(train, pos, walks, seed + shift).write.parquet(layout.split(name, 0))
-    g.edges.sparkSession.range(1).select(F.lit(g.num_nodes).cast("long").alias("num_nodes")).coalesce(1).write.json(layout.meta)
+            counts[f"{name}_pos"] = _counted(pos, layout.split(name, 1))
+            counts[f"{name}_neg"] = _counted(negatives.two_hop_of_sources(train, pos, walks, seed + shift), layout.split(name, 0))
+    g.edges.sparkSession.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in counts.items()]).coalesce(1).write.json(layout.meta)
+
+
+def _counted(df: DataFrame, path: str) -> int:
+    """Writes df and gives back its rows, as the tasks that wrote it have counted them."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return seen.get["n"]
+
+
+def counts(spark: SparkSession, layout: Layout) -> dict[str, int]:
+    """Nodes, training edges and pairs and the rows of both splits, as prepare has noted them: nothing of the tables is read."""
+    row = spark.read.schema("num_nodes long, num_edges long, num_pairs long, valid_pos long, valid_neg long, test_pos long, test_neg long").json(layout.meta).first()
+    return {k: v for k, v in row.asDict().items() if v is not None}
 
 
 def write_given_split(split: DataFrame, layout: Layout, name: str, num_nodes: int) -> None:
@@ -100,6 +113,22 @@ def export_edges(spark: SparkSession, layout: Layout, path: str) -> int:
     return write_pairs(stored, path, edge_index=True)
 
 
+def export_dataset(spark: SparkSession, layout: Layout, folder: str, kind: str = KINDS[0]) -> dict:
+    """A whole prepared dataset for other programs: the training edges that a graph of that kind gives, as an edge
+    index, for each split its positives and negatives as pairs, and metadata.json, which is written last and given back:
+    the kind, the number of nodes and what each file holds."""
+    n = load_train(spark, layout).num_nodes
+    parts = {"train_edge_index": write_pairs(masked(spark.read.parquet(layout.train_edges), kind).select("src", "dst"), f"{folder}/train_edge_index.npy", edge_index=True)}
+    for name in SPLITS:
+        for label, word in ((1, "pos"), (0, "neg")):
+            if exists(spark, layout.split(name, label)):
+                parts[f"{name}_{word}"] = write_pairs(spark.read.parquet(layout.split(name, label)).select("src", "dst"), f"{folder}/{name}_{word}.npy")
+    about = {"kind": kind, "num_nodes": n, "files": parts}
+    remove(spark, f"{folder}/metadata.json")
+    put_text(spark, f"{folder}/metadata.json", json.dumps(about, indent=1))
+    return about
+
+
 def load_train(spark: SparkSession, layout: Layout) -> Graph:
     n = spark.read.schema("num_nodes long").json(layout.meta).first()[0]
     return Graph(spark.read.parquet(layout.train_edges), n)
@@ -133,28 +162,39 @@ def training_rows(g: Graph, sampler: str = "uniform_nonedge", per_positive: int
     return pos.select("seq", "src", "dst", F.lit(1).alias("label")).unionByName(neg.select("seq", "src", "dst", F.lit(0).alias("label")))
 
 
-def save_embeddings(vectors: DataFrame, root: str, version: str) -> None:
-    """An embedding table (id, embedding) as a version under root, with a pointer to the latest."""
-    vectors.write.parquet(f"{root}/embedding_table/version={version}")
-    vectors.sparkSession.range(1).select(F.lit(version).alias("latest")).coalesce(1).write.mode("overwrite").json(f"{root}/latest_version")
+def save_embeddings(vectors: DataFrame, root: str, version: str, **about) -> None:
+    """An embedding table (id, embedding) as a version under root, with what is known of it: its rows and the length of
+    its vectors, and about. The version is there once its metadata are, and becomes the latest then."""
+    spark, path = vectors.sparkSession, f"{root}/embedding_table/version={version}"
+    vectors.write.parquet(path)
+    n, dim = spark.read.parquet(path).agg(F.count("*"), F.max(F.size("embedding"))).first()
+    number = len(names(spark, f"{root}/versions"))
+    put_text(spark, f"{root}/versions/{number:08d}.json", json.dumps({"version": version, "num_embeddings": n, "embedding_dim": dim or 0, **about}))
+
+
+def embedding_versions(spark: SparkSession, root: str) -> list[dict]:
+    """The metadata of all versions, in the order in which they were saved."""
+    return [json.loads(get_text(spark, f"{root}/versions/{x}")) for x in names(spark, f"{root}/versions") if x.endswith(".json")]
 
 
 def load_embeddings(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
-    version = version or spark.read.schema("latest string").json(f"{root}/latest_version").first()[0]
-    return spark.read.parquet(f"{root}/embedding_table/version={version}")
+    known = [x["version"] for x in embedding_versions(spark, root)]
+    if not known or version is not None and version not in known:
+        raise ValueError(f"no such version: {version or 'the latest'}; there are {', '.join(known) or 'none'}")
+    return spark.read.parquet(f"{root}/embedding_table/version={version or known[-1]}")
 
 
 def run_stages(stages: list[tuple[str, Callable[[], None]]], markers: str, force: bool = False, dry_run: bool = False) -> list[str]:
     """Runs named stages in order, skips those whose marker is there, and gives back the names of those that ran (or,
-    in a dry run, would run). Markers are files on the driver."""
-    ran = []
+    in a dry run, would run). Markers are small files on any file system that Spark knows."""
+    spark, ran = SparkSession.builder.getOrCreate(), []
     for name, stage in stages:
-        done = Path(markers) / f"{name}.done"
-        if done.exists() and not force:
+        done = f"{markers}/{name}.done"
+        if exists(spark, done) and not force:
             continue
         ran.append(name)
         if not dry_run:
             stage()
-            done.parent.mkdir(parents=True, exist_ok=True)
-            done.write_text(json.dumps({"stage": name}))
+            remove(spark, done)
+            put_text(spark, done, json.dumps({"stage": name}))
     return ran

@@ -12,6 +12,7 @@ from edgeloom.cluster import shared_dir, written
 from edgeloom.functions import hashing
 from edgeloom.functions.vectors import sigmoid
 from edgeloom.operators import features, graph, metrics, negatives, splits, subgraphs, walks
+from edgeloom.plans import training
 from edgeloom.sources.tables import customer_graph, order_pairs, supplier_pairs, table, vector_graph
 from edgeloom.streaming import online, sinks
 
@@ -448,6 +449,44 @@ def sort_pool_size(spark, sf_dir):
     return subgraphs.sort_pool_size(_subgraphs(spark, sf_dir)[2].groupBy("pair_id").agg(F.count("*").alias("n")), 0.6)
 
 
+BATCH = 64
+BATCH_SQL = SUB_SQL + f""", placed AS (SELECT pair_id, src, dst, row_number() OVER (ORDER BY pair_id) - 1 AS pos FROM pairs),
+loc AS (SELECT s.pair_id, s.node_id, s.dist, p.pos // {BATCH} AS batch, CAST(p.pos % {BATCH} AS INT) AS graph, row_number() OVER (PARTITION BY s.pair_id ORDER BY CASE s.node_id WHEN src THEN 0 WHEN dst THEN 1 ELSE 2 END, s.dist, s.node_id) - 1 AS i FROM sub s JOIN placed p USING (pair_id)),
+firsts AS (SELECT pair_id, sum(n) OVER (PARTITION BY batch ORDER BY graph) - n AS f FROM (SELECT pair_id, batch, graph, count(*) AS n FROM loc GROUP BY ALL) q),
+node AS (SELECT l.*, CAST(f + i AS BIGINT) AS node FROM loc l JOIN firsts USING (pair_id))"""
+
+
+def _batched(spark, sf_dir) -> subgraphs.Batches:
+    g, pairs, nodes = _subgraphs(spark, sf_dir)
+    edges = written(subgraphs.induced_pairwise(pairs, nodes, g.edges), "sub_edges")
+    return subgraphs.batched(pairs, nodes, edges, BATCH, subgraphs.labels(pairs, nodes, edges, "degree"))
+
+
+@query(BATCH_SQL + " SELECT batch, node, graph, node_id, dist, [CAST(least((SELECT count(*) FROM (SELECT DISTINCT * FROM se) e WHERE e.pair_id = n.pair_id AND e.v = n.node_id), 100) AS INT)] AS z FROM node n")
+def batched_subgraph_nodes(spark, sf_dir):
+    """The nodes of batches of subgraphs, under their numbers in the batch, labelled by degree."""
+    return _batched(spark, sf_dir).nodes
+
+
+@query(BATCH_SQL + " SELECT DISTINCT a.batch, a.graph, a.node AS u, b.node AS v, 1 AS w FROM se JOIN node a ON a.pair_id = se.pair_id AND a.node_id = se.u JOIN node b ON b.pair_id = se.pair_id AND b.node_id = se.v WHERE se.u <> se.v")
+def batched_subgraph_edges(spark, sf_dir):
+    """The edges of batches of subgraphs, between nodes of the batch."""
+    return _batched(spark, sf_dir).edges
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
+def samples_written_once(spark, sf_dir):
+    """Events as a stream into a sink, twice from the start, so that every batch is replayed: each is there once."""
+    folder = f"{shared_dir(spark)}/edgeloom/samples-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    events.repartition(4).write.parquet(f"{folder}/in")
+    for run in range(2):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+        sinks.follow(stream, f"{folder}/out", f"{folder}/checkpoint-{run}").awaitTermination()
+    found = sinks.written_batches(spark, f"{folder}/out", "event_type string, value double")
+    return found.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
 LENGTH, CONTEXT = 6, 3
 WALK_SQL = BASE + f""", adj AS (SELECT src, list(dst ORDER BY dst) AS n FROM edges GROUP BY src),
 w AS (SELECT CAST(id AS BIGINT) AS walk_id, id AS cur, [id] AS walk, 1 AS step FROM nodes
@@ -589,6 +628,24 @@ def node2vec_training_check(spark, sf_dir):
     return row.crossJoin(losses).select(F.lit(g.num_nodes).cast("long").alias("nodes"), "embedded", "dim", "finite", (F.col("a") < F.col("b") - 0.05).alias("better"))
 
 
+@query("SELECT (SELECT count(*) FROM customer) AS nodes, CAST(4 AS BIGINT) AS rounds, true AS same, true AS better")
+def resumed_training_check(spark, sf_dir):
+    """Training that is cut off after two of four rounds and goes on ends with the vectors of one that is not."""
+    g = customer_graph(spark, sf_dir)
+    c = written(walks.contexts(walks.windows(walks.uniform_walks(g, 6, seed=42), 3)), "contexts")
+    fake = written(c.select("anchor", hashing.draw(g.num_nodes, 1, "anchor", "context").cast("int").alias("context")), "fake")
+    first = written(features.initial_embeddings(g.nodes(), 8, "uniform", seed=42), "first")
+    loss = lambda v: walks.skipgram_loss(c, fake, v, g.num_nodes).first().loss
+    folder = f"{shared_dir(spark)}/edgeloom/training-{uuid.uuid4().hex}"
+    for name, stops in (("whole", (4,)), ("cut", (2, 4))):
+        for stop in stops:
+            state = training.train_skipgram(c, g.num_nodes, first, f"{folder}/{name}", rounds=stop, seed=42, evaluate=loss, larger_is_better=False)
+    a, b = (training.vectors_of(spark, f"{folder}/{name}") for name in ("whole", "cut"))
+    off = F.aggregate(F.zip_with("embedding", "other", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: F.greatest(s, x))
+    both = a.join(b.withColumnRenamed("embedding", "other"), "id").agg(F.count("*").alias("nodes"), F.max(off).alias("off"))
+    return both.select("nodes", F.lit(state.round).cast("long").alias("rounds"), (F.col("off") < 1e-9).alias("same"), F.lit(state.history[-1] < state.history[0]).alias("better"))
+
+
 @query(BASE + """, p AS (SELECT count(*) AS n FROM edges WHERE src < dst)
 SELECT 'uniform' AS sampler, n AS positives, 4 * n AS wanted, 4 * n AS found, CAST(0 AS BIGINT) AS edges, CAST(0 AS BIGINT) AS loops FROM p
 UNION ALL SELECT 'uniform_nonedge', n, 2 * n, 2 * n, 0, 0 FROM p""")

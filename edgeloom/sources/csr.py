@@ -59,8 +59,8 @@ class CsrReader(DataSourceReader):
         starts = self._read(STARTS, "i8", first, last - first + (last < n)).astype(np.int64)
         if last == n:
             starts = np.append(starts, total)
-        if (np.diff(starts) < 0).any() or starts[-1] > total:
-            raise ValueError(f"{STARTS} must rise up to the number of edges")
+        if (np.diff(starts) < 0).any() or starts[-1] > total or first == 0 and starts[0] != 0:
+            raise ValueError(f"{STARTS} must rise from 0 up to the number of edges")
         timed = os.path.getsize(f"{self.path}/{TIMES}") > 0
         for i in range(0, len(starts) - 1, 1 << 16):
             part = starts[i : i + (1 << 16) + 1]
@@ -85,11 +85,27 @@ class CsrSource(DataSource):
         return CsrReader(dict(self.options))
 
 
+def counts(spark: SparkSession, path: str, endian: str) -> tuple[int, int]:
+    """(nodes, edges) of a folder, from the length of one file and the header of another, on any file system that Spark knows; that the
+    lengths of all files agree is checked."""
+    place = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    fs = place(ENDS).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = {name: fs.getFileStatus(place(name)).getLen() for name in (ENDS, STARTS, TIMES)}
+    file = fs.open(place(ENDS))
+    try:
+        edges = int.from_bytes(bytes(file.readNBytes(8)), endian)
+    finally:
+        file.close()
+    if size[STARTS] % 8 or size[ENDS] != 8 + 4 * edges or size[TIMES] not in (0, size[ENDS]):
+        raise ValueError(f"the files of {path} don't agree on {edges} edges")
+    return size[STARTS] // 8, edges
+
+
 def read_csr(spark: SparkSession, path: str, endian: str, nodes_per_task: int = 1 << 20) -> Graph:
     ship(spark)
     spark.dataSource.register(CsrSource)
     edges = spark.read.format("edgeloom_csr").option("endian", endian).option("nodespertask", str(nodes_per_task)).load(path)
-    return Graph(edges, os.path.getsize(f"{path}/{STARTS}") // 8)
+    return Graph(edges, counts(spark, path, endian)[0])
 
 
 def write_csr(g: Graph, path: str, endian: str) -> None:

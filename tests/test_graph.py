@@ -467,10 +467,21 @@ def test_csr_round_trip(spark, customers, tmp_path, endian):
     csr.write_csr(g, str(tmp_path / "g"), endian)
     back = csr.read_csr(spark, str(tmp_path / "g"), endian, nodes_per_task=40)
     assert back.num_nodes == g.num_nodes and rows(back.edges) == rows(g.edges) and back.edges.rdd.getNumPartitions() == 4
+    assert csr.counts(spark, str(tmp_path / "g"), endian) == (g.num_nodes, g.edges.count())
     bare = graph.Graph(g.edges.withColumn("ts", F.lit(None).cast("int")), g.num_nodes)
     csr.write_csr(bare, str(tmp_path / "b"), endian)
     assert rows(csr.read_csr(spark, str(tmp_path / "b"), endian).edges.select("src", "dst")) == rows(g.edges.select("src", "dst"))
     with pytest.raises(ValueError):
         csr.write_csr(graph.Graph(g.edges.limit(0), 3), str(tmp_path / "e"), endian)
+    assert csr.counts(spark, str(tmp_path / "b"), endian) == (g.num_nodes, g.edges.count())
+    with open(tmp_path / "b/edge_ends.bin", "ab") as f:
+        f.write(b"1234")
+    with pytest.raises(ValueError, match="agree"):
+        csr.counts(spark, str(tmp_path / "b"), endian)
+    starts = np.fromfile(tmp_path / "g/edge_starts.bin", {"big": ">", "little": "<"}[endian] + "i8")
+    starts[0] = 1
+    starts.tofile(tmp_path / "g/edge_starts.bin")
+    with pytest.raises(Exception, match="rise from 0"):
+        csr.read_csr(spark, str(tmp_path / "g"), endian).edges.collect()
     csr.to_tsv(g.edges, str(tmp_path / "t"))
     assert rows(csr.from_tsv(spark, str(tmp_path / "t"))) == rows(g.edges.select("src", "dst"))

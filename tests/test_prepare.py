@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +50,26 @@ def test_given_splits_missing_parts_and_exports(spark, tmp_path):
     assert prepare.export_edges(spark, layout, str(tmp_path / "f.npy")) == 1 and np.load(tmp_path / "f.npy").shape == (2, 1)
 
 
+def test_counts_and_whole_exports(spark, tmp_path):
+    g = customer_graph(spark, SF)
+    layout = prepare.Layout(str(tmp_path / "d"))
+    prepare.prepare(g, layout, 100, 60)
+    want = {"num_nodes": g.num_nodes, "num_edges": spark.read.parquet(layout.train_edges).count(), "num_pairs": spark.read.parquet(layout.train_pairs).count()}
+    want |= {f"{n}_{w}": spark.read.parquet(layout.split(n, y)).count() for n in prepare.SPLITS for y, w in ((1, "pos"), (0, "neg"))}
+    (tmp_path / "d/train_edges").rename(tmp_path / "d/elsewhere")  # counts need no table
+    assert prepare.counts(spark, layout) == want
+    (tmp_path / "d/elsewhere").rename(tmp_path / "d/train_edges")
+    (tmp_path / "e").mkdir()
+    about = prepare.export_dataset(spark, layout, str(tmp_path / "e"))
+    assert json.loads((tmp_path / "e/metadata.json").read_text()) == about and about["num_nodes"] == g.num_nodes and about["kind"] == "undirected-symmetric-csr"
+    index = np.load(tmp_path / "e/train_edge_index.npy")
+    assert {tuple(x) for x in index.T.tolist()} == {(r.src, r.dst) for r in spark.read.parquet(layout.train_pairs).collect()} and about["files"]["train_edge_index"] == want["num_pairs"]
+    for n in prepare.SPLITS:
+        for y, w in ((1, "pos"), (0, "neg")):
+            assert sorted(map(tuple, np.load(tmp_path / f"e/{n}_{w}.npy").tolist())) == sorted((r.src, r.dst) for r in spark.read.parquet(layout.split(n, y)).collect())
+    assert prepare.export_dataset(spark, layout, str(tmp_path / "e"), "directed")["files"]["train_edge_index"] == want["num_edges"]
+
+
 def test_raw_graphs_are_checked(spark):
     edges, years = spark.createDataFrame([(0, 1), (1, 2), (2, 2)], "src long, dst long"), spark.createDataFrame([(0, 1.0), (1, 5.0), (2, None)], "id int, year double")
     assert sorted(map(tuple, prepare.graph_from_years(edges, years, 3).edges.collect())) == [(0, 1, 5), (1, 0, 5), (1, 2, 5), (2, 1, 5)]
@@ -81,6 +103,13 @@ def test_embedding_versions(spark, tmp_path):
     v = spark.createDataFrame([(1, [1.0, 2.0])], "id int, embedding array<float>")
     prepare.save_embeddings(v, str(tmp_path), "a")
     prepare.save_embeddings(v.withColumn("id", F.lit(2)), str(tmp_path), "b")
+    prepare.save_embeddings(v.limit(0), str(tmp_path), "c", dtype="float32", seed=7)
+    assert prepare.embedding_versions(spark, str(tmp_path))[1:] == [{"version": "b", "num_embeddings": 1, "embedding_dim": 2}, {"version": "c", "num_embeddings": 0, "embedding_dim": 0, "dtype": "float32", "seed": 7}]
+    with pytest.raises(ValueError, match="no such version: x"):
+        prepare.load_embeddings(spark, str(tmp_path), "x")
+    with pytest.raises(Exception, match="exist"):
+        prepare.save_embeddings(v, str(tmp_path), "a")
+    (tmp_path / "versions/00000002.json").unlink()  # as if it had been cut off before its metadata
     assert prepare.load_embeddings(spark, str(tmp_path)).first().id == 2 and prepare.load_embeddings(spark, str(tmp_path), "a").first().id == 1
 
 
