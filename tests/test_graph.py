@@ -1,10 +1,12 @@
 """Graph operators on small graphs with known answers, and invariants of what is drawn at random."""
 
+import json
 import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -461,6 +463,70 @@ def test_early_stopping_and_summaries(spark):
     assert rows(metrics.over_runs(runs, "m", "v")) == [("a", 2.0, 1.0), ("b", 5.0, 0.0)]
 
 
+@pytest.mark.parametrize("endian", ["big", "little"])
+def test_csr_parts_are_the_files_byte_for_byte(request, spark, customers, tmp_path, endian):
+    code = {"big": ">", "little": "<"}[endian]
+    e = sorted(map(tuple, customers.edges.collect()))
+    want = {"edge_ends.bin": np.array([len(e)], code + "i8").tobytes() + np.array([b for _, b, _ in e], code + "i4").tobytes()}
+    want["timestamps.bin"] = np.array([len(e)], code + "i8").tobytes() + np.array([t for _, _, t in e], code + "i4").tobytes()
+    want["edge_starts.bin"] = np.searchsorted([a for a, _, _ in e], np.arange(customers.num_nodes)).astype(code + "i8").tobytes()
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # so that there are several tasks
+    request.addfinalizer(lambda: spark.conf.unset(setting))
+    csr.write_csr(customers, str(tmp_path / "plain"), endian)
+    assert {p.name: p.read_bytes() for p in (tmp_path / "plain").iterdir()} == want and [p.name for p in tmp_path.iterdir()] == ["plain"]
+    csr.write_parts(customers, f"file://{tmp_path}/parts", endian)
+    about = json.loads((tmp_path / "parts/manifest.json").read_text())
+    assert len(about["parts"]["edge_ends.bin"]) > 1
+    for name, data in want.items():
+        head = data[:8] if name != "edge_starts.bin" else b""
+        assert head + b"".join((tmp_path / "parts" / file).read_bytes() for _, _, file in about["parts"][name]) == data
+    back = csr.read_csr(spark, str(tmp_path / "parts"), endian, nodes_per_task=33)
+    assert rows(back.edges) == e and back.num_nodes == customers.num_nodes and csr.counts(spark, str(tmp_path / "parts"), endian) == (customers.num_nodes, len(e))
+    for again in (lambda: csr.write_csr(customers, str(tmp_path / "plain"), endian), lambda: csr.write_parts(customers, f"file://{tmp_path}/parts", endian)):
+        with pytest.raises(Exception, match="FileExistsError|plain"):
+            again()
+
+
+def test_a_task_that_dies_leaves_nothing(spark, customers, tmp_path):
+    broken = graph.Graph(customers.edges.withColumn("dst", F.when(F.col("src") > 100, F.raise_error(F.lit("killed"))).otherwise(F.col("dst")).cast("int")), customers.num_nodes)
+    with pytest.raises(Exception, match="killed"):
+        csr.write_parts(broken, str(tmp_path / "p"), "big")
+    with pytest.raises(Exception, match="killed"):
+        csr.write_csr(broken, str(tmp_path / "f"), "big")
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()] and not (tmp_path / "f").exists()
+    with pytest.raises(FileNotFoundError):
+        csr.counts(spark, str(tmp_path / "p"), "big")
+
+
+def test_a_commit_takes_winners_alone_and_wants_all(tmp_path):
+    """Tasks that were run twice, died halfway or didn't come back, by the writer alone."""
+    batch = lambda kind, first, values: pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(values), pa.int32()), "pos": list(range(first, first + len(values))), "value": values, "ts": pa.array([None] * len(values), pa.int32())})
+    make = lambda name: csr.CsrWriter({"path": str(tmp_path / name), "endian": "little", "nodes": "3", "edges": "5", "timed": "false"})
+    w = make("a")
+    one = w.write(iter([batch(0, 0, [1, 2]), batch(0, 2, [0])]))
+    w.write(iter([batch(0, 0, [1, 2]), batch(0, 2, [0])]))  # a rival of the first, too late
+    with pytest.raises(ValueError, match="gaps"):
+        w.write(iter([batch(0, 3, [0]), batch(0, 5, [1])]))
+    two = w.write(iter([batch(0, 3, [0, 1]), batch(1, 0, [0, 2, 3])]))
+    with pytest.raises(OSError, match="overlap or are missing"):
+        w.commit([two, None])
+    with pytest.raises(OSError, match="not all"):
+        w.commit([one])
+    assert not (tmp_path / "a/manifest.json").exists() and len(list((tmp_path / "a/parts").iterdir())) >= 4
+    w.commit([one, two, None])
+    assert len(list((tmp_path / "a/parts").iterdir())) == 3
+    f = csr.Folder(str(tmp_path / "a"), "little")
+    assert f.read("edge_ends.bin", "i4", 1, 4).tolist() == [2, 0, 0, 1] and f.read("edge_starts.bin", "i8", 0, 3).tolist() == [0, 2, 3]
+    with pytest.raises(ValueError, match="little-endian"):
+        csr.Folder(str(tmp_path / "a"), "big")
+    with pytest.raises(FileExistsError):
+        make("a")
+    b = make("b")
+    b.abort([b.write(iter([batch(0, 0, [1])])), None])
+    assert not list((tmp_path / "b").iterdir())
+
+
 @pytest.mark.parametrize("endian", ["big", "little"])
 def test_csr_round_trip(spark, customers, tmp_path, endian):
     g = graph.Graph(customers.edges, customers.num_nodes + 3)  # isolated nodes at the end
