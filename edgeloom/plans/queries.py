@@ -12,7 +12,8 @@ from edgeloom.cluster import shared_dir, written
 from edgeloom.functions import hashing
 from edgeloom.functions.vectors import sigmoid
 from edgeloom.operators import features, graph, metrics, negatives, splits, subgraphs, walks
-from edgeloom.plans import training
+from edgeloom.plans import prepare, training
+from edgeloom.sources import csr
 from edgeloom.sources.tables import customer_graph, order_pairs, supplier_pairs, table, vector_graph
 from edgeloom.streaming import online, sinks
 
@@ -837,16 +838,87 @@ def _vector_subgraphs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return subgraphs.k_hop_nodes(_pairs(g), g.edges, 1), v
 
 
-@query(POOL_SQL + ", x AS (SELECT pair_id, i, avg(e[i]) AS m FROM sub JOIN vec USING (id), (SELECT unnest([1, 2, 64]) AS i) q GROUP BY pair_id, i) SELECT pair_id, round(max(m) FILTER (i = 1), 6) + 0.0 AS first, round(max(m) FILTER (i = 2), 6) + 0.0 AS second, round(max(m) FILTER (i = 64), 6) + 0.0 AS last FROM x GROUP BY pair_id")
+@query(POOL_SQL + ", x AS (SELECT pair_id, i, avg(e[i]) AS m FROM sub JOIN vec USING (id), (SELECT unnest(range(1, 65)) AS i) q GROUP BY pair_id, i) SELECT pair_id, list(round(m, 6) + 0.0 ORDER BY i) AS pooled FROM x GROUP BY pair_id")
 def mean_pooled_subgraphs(spark, sf_dir):
-    p = F.col("pooled")
-    return subgraphs.mean_pool(*_vector_subgraphs(spark, sf_dir)).select("pair_id", F.round(p[0], 6).alias("first"), F.round(p[1], 6).alias("second"), F.round(p[63], 6).alias("last"))
+    return subgraphs.mean_pool(*_vector_subgraphs(spark, sf_dir)).select("pair_id", F.transform("pooled", lambda x: F.round(x, 6) + 0.0).alias("pooled"))
 
 
-@query(POOL_SQL + ", r AS (SELECT pair_id, e, row_number() OVER (PARTITION BY pair_id ORDER BY e[64] DESC, id) AS n FROM sub JOIN vec USING (id)) SELECT pair_id, round(max(e[1]) FILTER (n = 1), 6) + 0.0 AS top, round(coalesce(max(e[64]) FILTER (n = 10), 0), 6) + 0.0 AS tenth FROM r GROUP BY pair_id")
+@query(POOL_SQL + """, r AS (SELECT pair_id, e, row_number() OVER (PARTITION BY pair_id ORDER BY e[64] DESC, id) AS n FROM sub JOIN vec USING (id)),
+k AS (SELECT pair_id, flatten(list(e ORDER BY n)) AS x FROM r WHERE n <= 10 GROUP BY pair_id)
+SELECT pair_id, list_transform(list_concat(x, list_transform(range(640 - len(x)), lambda i: 0.0)), lambda y: round(y, 6) + 0.0) AS pooled FROM k""")
 def sort_pooled_subgraphs(spark, sf_dir):
-    p = F.col("pooled")
-    return subgraphs.sort_pool(*_vector_subgraphs(spark, sf_dir), 10).select("pair_id", F.round(p[0], 6).alias("top"), F.round(p[639], 6).alias("tenth"))
+    return subgraphs.sort_pool(*_vector_subgraphs(spark, sf_dir), 10).select("pair_id", F.transform("pooled", lambda x: F.round(x, 6) + 0.0).alias("pooled"))
+
+
+@query(BASE + " SELECT src, dst, ts FROM edges")
+def csr_round_trip(spark, sf_dir):
+    """The graph as its folder gives it back, after it was written in one transaction."""
+    folder = f"{shared_dir(spark)}/edgeloom/csr-{uuid.uuid4().hex}"
+    g = customer_graph(spark, sf_dir)
+    csr.write_parts(graph.Graph(written(g.edges, "edges"), g.num_nodes), folder, "big")
+    return csr.read_csr(spark, folder, "big").edges
+
+
+@query(BASE + f""", {T_SQL} SELECT CAST({N} AS BIGINT) AS num_nodes, count(*) FILTER (ts <= t) AS num_edges, count(*) FILTER (ts <= t AND src < dst) AS num_pairs, count(*) FILTER (ts > t) AS valid_pos, CAST({N} AS BIGINT) AS csr_nodes, count(*) AS csr_edges FROM edges, t""")
+def stored_counts(spark, sf_dir):
+    """What a prepared dataset and a graph's folder tell of themselves, without a look at their rows."""
+    folder = f"{shared_dir(spark)}/edgeloom/prepared-{uuid.uuid4().hex}"
+    g = customer_graph(spark, sf_dir)
+    g = graph.Graph(written(g.edges, "edges"), g.num_nodes)
+    layout = prepare.Layout(f"{folder}/dataset")
+    prepare.prepare(g, layout, latest(g.edges))
+    csr.write_parts(g, f"{folder}/graph", "little")
+    told = prepare.counts(spark, layout)
+    nodes, edges = csr.counts(spark, f"{folder}/graph", "little")
+    told = {c: told[c] for c in ("num_nodes", "num_edges", "num_pairs", "valid_pos")} | {"csr_nodes": nodes, "csr_edges": edges}
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in told.items()])
+
+
+@query(BASE + """, p AS (SELECT count(*) AS n FROM edges WHERE src < dst)
+SELECT n AS positives, 2 * n AS negatives, n AS places, n - 1 AS last, CAST(0 AS BIGINT) AS no_edges, CAST(0 AS BIGINT) AS edges FROM p""")
+def training_rows_check(spark, sf_dir):
+    """An epoch's examples: every edge at a place of its own, its two negatives beside it, none of them an edge."""
+    g = graph.Graph(_edges(spark, sf_dir), table(spark, sf_dir, "customer").count())
+    rows = graph.with_edge_flag(prepare.training_rows(g, per_positive=2, epoch=3), g.edges, both_ways=True)
+    pos, there = F.col("label") == 1, F.col("exists")
+    return rows.agg(
+        F.count_if(pos).alias("positives"), F.count_if(~pos).alias("negatives"), F.count_distinct(F.when(pos, F.col("seq"))).alias("places"), F.max("seq").alias("last"),
+        F.count_if(pos & ~there).alias("no_edges"), F.count_if(~pos & there).alias("edges"),
+    )
+
+
+SAMPLED_SQL = f""", sizes AS (SELECT pair_id, count(*) FILTER (dist = 1) AS n FROM sub GROUP BY pair_id)
+SELECT how, count(*) AS pairs, CAST(2 * count(*) + sum(CASE how WHEN 'most' THEN least(n, 5) WHEN 'share' THEN n // 2 ELSE 0 END) AS BIGINT) AS kept, CAST(0 AS BIGINT) AS strange, CAST(0 AS BIGINT) AS too_many
+FROM sizes, (VALUES ('most'), ('share'), ('by vertex')) v(how) GROUP BY how"""
+
+
+@query(SUB_SQL + SAMPLED_SQL)
+def sampled_subgraphs_check(spark, sf_dir):
+    """Subgraphs that keep five new nodes a hop at most, half of them, or five of a few drawn by vertex: as many as
+    they should be (by vertex: the ends, since draws may repeat), none that the whole subgraph hasn't, none too many."""
+    g, pairs, nodes = _subgraphs(spark, sf_dir)
+    out = None
+    for how, kept in (("most", {"max_per_hop": 5}), ("share", {"ratio": 0.5}), ("by vertex", {"max_per_hop": 5, "oversample": 1.5})):
+        some = written(subgraphs.k_hop_nodes(pairs, g.edges, 1, seed=7, **kept), "sampled")
+        n = F.count("*") if how != "by vertex" else F.count_if(F.col("dist") == 0)
+        many = some.where("dist = 1").groupBy("pair_id").agg(F.count("*").alias("n")).agg(F.count_if((F.col("n") > 5) & F.lit(how != "share")).alias("too_many"))
+        strange = some.join(nodes, ["pair_id", "node_id", "dist"], "left_anti").agg(F.count("*").alias("strange"))
+        row = some.agg(F.count_distinct("pair_id").alias("pairs"), n.alias("kept")).join(strange).join(many)  # a row each
+        row = row.select(F.lit(how).alias("how"), "pairs", "kept", "strange", "too_many")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(BASE + " SELECT 2 * 4 * count(*) AS windows, count(*) AS starts, CAST(0 AS BIGINT) AS odd, true AS spread FROM nodes")
+def negative_windows_check(spark, sf_dir):
+    """Windows of drawn nodes: two walks of six nodes for each walk, whose first is that walk's, and whose others are
+    nodes, of which nearly all (all but one of a hundred) are met."""
+    g = customer_graph(spark, sf_dir)
+    w = walks.negative_windows(walks.uniform_walks(g, 6, seed=42), g.num_nodes, 3, per_walk=2, seed=9)
+    first = w.where("window_idx = 0")
+    row = w.agg(F.count("*").alias("windows"), F.count_if(F.exists("window", lambda x: (x < 0) | (x >= g.num_nodes)) | (F.size("window") != 3)).alias("odd"))
+    met = w.select(F.explode(F.slice("window", 2, 2)).alias("id")).agg((F.count_distinct("id") > 0.99 * g.num_nodes).alias("spread"))
+    return row.join(first.agg(F.count_distinct(F.col("window")[0]).alias("starts"))).join(met).select("windows", "starts", "odd", "spread")  # a row each
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
