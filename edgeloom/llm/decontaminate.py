@@ -111,20 +111,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the contaminated ones, all columns kept. If one of several rows with an id is contaminated, all
-    of them go; rows without an id stay."""
-    bad = contamination(docs, benchmark, id_col, **how).where("contaminated").select(F.col(id_col).alias("__bad"))
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __key: what a row is known by, its id and the digest of its text, so that rows of one id are judged
+    each for itself."""
+    return docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.md5(F.col(text_col).cast("binary")).alias("t")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without the contaminated ones, all columns kept. Rows are judged each by its own text, those that share an
+    id too; repeated rows stay or go together, and rows without an id stay."""
+    keyed = _keyed(docs, id_col, text_col)
+    bad = contamination(keyed, benchmark, "__key", text_col=text_col, **how).where("contaminated").select(F.col("__key.id").alias("__bad"), F.col("__key.t").alias("__text")).distinct()
+    return keyed.join(bad, (F.col(id_col) == F.col("__bad")) & (F.col("__key.t") == F.col("__text")), "left_anti").select(docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with hit words, and what stands between them and the next word, cut from text_col; all columns and rows
-    stay. Ids must be unique; rows with a null id or no hit keep their text."""
-    hits = window_hits(docs, benchmark, id_col, text_col, **how).where("size(hits) > 0")
-    spans = hits.select(F.col("id").alias("__id"), F.transform("hits", lambda h: F.struct(h["at"].alias("a"), (h["at"] + h["len"]).alias("z"))).alias("__spans"))
+    stay, repeated ones too, and each text of an id is cut for itself. Rows with a null id or no hit keep their text."""
+    keyed = _keyed(docs, id_col, text_col)
+    hits = window_hits(keyed, benchmark, "__key", text_col, **how).where("size(hits) > 0")
+    spans = hits.select(F.col("id.id").alias("__id"), F.col("id.t").alias("__text"), F.transform("hits", lambda h: F.struct(h["at"].alias("a"), (h["at"] + h["len"]).alias("z"))).alias("__spans"))
+    spans = spans.dropDuplicates(["__id", "__text"])  # equal texts have the same
     lead = F.regexp_extract(text_col, "^(?s:.*?)(?=" + WORD_ANY_CASE + "|$)", 0)
     parts = F.regexp_extract_all(F.col(text_col), F.lit("(" + WORD_ANY_CASE + r")([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"), F.lit(0))
     left = F.filter(parts, lambda x, i: ~F.exists("__spans", lambda s: (i >= s["a"]) & (i < s["z"])))
-    cut = docs.join(spans, F.col(id_col) == F.col("__id"), "left")
+    cut = keyed.join(spans, (F.col(id_col) == F.col("__id")) & (F.col("__key.t") == F.col("__text")), "left")
     return cut.withColumn(text_col, F.when(F.col("__spans").isNotNull(), F.concat(lead, F.array_join(left, ""))).otherwise(F.col(text_col))).select(docs.columns)

@@ -111,19 +111,24 @@ def aligned_lines(pos: list[int], size: list[int], at: list[int], run: list[int]
     """The lines that a document loses to an earlier one, from the runs that both hold: the run with key run[k] starts
     at line pos[k] here, at line at[k] there, and has size[k] lines.
 
-    Both sides' runs are aligned by patience diff, and the lines of aligned runs go. What was moved or repeated can't
-    be in one rising alignment: its runs are aligned once more among themselves, and those that still cross others
-    each on its own."""
-    cut: set[int] = set()
-    left = sorted(range(len(pos)), key=lambda k: (pos[k], size[k]))
-    for _ in range(2):
-        there = sorted({(at[k], size[k], run[k]) for k in left})
-        met = {i for i, _ in align([run[k] for k in left], [x[2] for x in there])}
+    Both sides' runs are aligned by patience diff, and what lies in aligned runs goes, here wherever such a run stands;
+    nothing else does. What was moved can't be in one rising alignment: the runs that it leaves are aligned anew, with
+    the other side from back to front and from front to back in turn, until there are none. Each round takes the
+    longest rising or falling stretch of what is left, so that even n runs in any order need some square root of n
+    rounds."""
+    places: dict[int, list[int]] = {}
+    for k in sorted(range(len(pos)), key=lambda k: (pos[k], size[k])):
+        places.setdefault(run[k], []).append(k)
+    left, cut, back = [x[0] for x in places.values()], set(), False
+    while left:
+        there = [x[2] for x in sorted(((at[k], size[k], run[k]) for k in left), reverse=back)]
+        met = {i for i, _ in align([run[k] for k in left], there)}
+        if not met:
+            break
         for i in met:
-            cut.update(range(pos[left[i]], pos[left[i]] + size[left[i]]))
-        left = [k for i, k in enumerate(left) if i not in met]
-    for k in left:
-        cut.update(range(pos[k], pos[k] + size[k]))
+            for k in places[run[left[i]]]:
+                cut.update(range(pos[k], pos[k] + size[k]))
+        left, back = [k for i, k in enumerate(left) if i not in met], not back
     return sorted(cut)
 
 

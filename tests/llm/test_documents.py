@@ -169,6 +169,18 @@ def test_contamination_with_short_items_and_ties(spark, monkeypatch, broadcast):
     assert len(again) == len(texts) and not any(r.n_hit for r in again)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_texts_of_one_id_are_judged_each_for_itself(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    passage, clean = " ".join(f"w{i}" for i in range(20)), "plain words that nobody has ever asked for"
+    rows = [(7, passage, 1), (7, clean, 2), (7, f"x {passage} y", 3), (7, f"x {passage} y", 3), (8, None, 4), (None, passage, 5), (9, clean, 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    b = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert sorted((r.row, r.text) for r in decontaminate.drop_contaminated(d, b).collect()) == [(2, clean), (4, None), (5, passage), (6, clean)]
+    assert sorted(((r.row, r.text) for r in decontaminate.remove_spans(d, b).collect()), key=str) == [(1, ""), (2, clean), (3, "x y"), (3, "x y"), (4, None), (5, passage), (6, clean)]
+
+
 def test_contamination_by_shuffle_shuffles_no_words(spark, docs, monkeypatch):
     """The same as by broadcast on the whole table, and what windows are joined by is narrow."""
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
@@ -442,6 +454,28 @@ def test_aligned_lines_follow_moved_and_repeated_runs():
     assert line_dedup.aligned_lines([0, 1, 2, 7], [1, 1, 3, 1], [9, 5, 0, 9], [0, 1, 2, 0]) == [0, 1, 2, 3, 4, 7]
 
 
+def test_lines_go_by_alignment_alone(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(1, 40)
+        at = rng.sample(range(100), n)
+        run = [rng.choice([k, k, 0]) for k in range(n)]
+        first = {}
+        at = [first.setdefault(r, a) for r, a in zip(run, at, strict=True)]
+        assert line_dedup.aligned_lines(list(range(n)), [1] * n, at, run) == list(range(n))
+    calls, plain = [], line_dedup.align
+    monkeypatch.setattr(line_dedup, "align", lambda a, b: calls.append(len(a)) or plain(a, b))
+    n = 4000
+    for order in (range(n), range(n, 0, -1), rng.sample(range(n), n)):
+        calls.clear()
+        assert line_dedup.aligned_lines(list(range(n)), [1] * n, list(order), list(range(n))) == list(range(n)) and len(calls) < 150
+    assert line_dedup.aligned_lines(list(range(n)), [1] * n, [3] * n, [0] * n) == list(range(n))  # one line over and over
+    monkeypatch.setattr(line_dedup, "align", lambda a, b: [(i, j) for i, j in plain(a, b) if i % 2])
+    assert line_dedup.aligned_lines([0, 1], [1, 1], [0, 1], [0, 1]) == [1]  # what isn't aligned stays
+    monkeypatch.setattr(line_dedup, "align", lambda a, b: [])
+    assert line_dedup.aligned_lines([0, 1], [1, 1], [0, 1], [0, 1]) == []
+
+
 def test_runs_cover_every_long_stretch():
     rng = random.Random(4)
     for _ in range(300):
