@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.cluster import broadcast_checked, bucketed, discard, written
 from edgeloom.functions.hashing import draw, uniform
-from edgeloom.operators.graph import adjacency, in_order, swapped
+from edgeloom.operators.graph import in_order, numbered_neighbours, swapped
 
 
 def k_hop_nodes(pairs: DataFrame, edges: DataFrame, hops: int, max_per_hop: int | None = None, ratio: float = 1.0, oversample: float | None = None, seed: int = 0) -> DataFrame:
@@ -23,16 +23,16 @@ def k_hop_nodes(pairs: DataFrame, edges: DataFrame, hops: int, max_per_hop: int
     """
     ends = F.explode(F.array_distinct(F.array("src", "dst"))).alias("node_id")
     known = frontier = pairs.select("pair_id", ends).withColumn("dist", F.lit(0))
-    rows = adjacency(edges) if oversample and max_per_hop else None
+    rows = bucketed(numbered_neighbours(edges), ["src", "i"], "neighbours") if oversample and max_per_hop else None
     for hop in range(1, hops + 1):
         if rows is None:
             near = frontier.select("pair_id", F.col("node_id").alias("src")).join(edges.select("src", "dst"), "src").select("pair_id", F.col("dst").alias("node_id"))
         else:
             each = F.greatest(F.lit(1), F.ceil(F.lit(max_per_hop * oversample) / F.count("*").over(Window.partitionBy("pair_id")))).cast("int")
-            wide = frontier.select("pair_id", F.col("node_id").alias("src"), each.alias("k")).join(rows, "src").withColumn("n", F.size("neighbours"))
-            all_of = F.col("neighbours")
-            drawn = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.element_at("neighbours", (draw(F.col("n"), seed, "pair_id", "src", F.lit(hop), i) + 1).cast("int")))
-            near = wide.select("pair_id", F.explode(F.when(F.col("n") <= F.col("k"), all_of).otherwise(drawn)).alias("node_id"))
+            wide = frontier.select("pair_id", F.col("node_id").alias("src"), each.alias("k")).join(rows.where("i = 0").select("src", "n"), "src")
+            drawn = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: draw(F.col("n"), seed, "pair_id", "src", F.lit(hop), i))
+            asked = wide.select("pair_id", "src", F.explode(F.when(F.col("n") <= F.col("k"), F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).otherwise(drawn)).alias("i"))
+            near = asked.join(rows.select("src", F.col("i").cast("long").alias("i"), "dst"), ["src", "i"]).select("pair_id", F.col("dst").alias("node_id"))
         fresh = near.distinct().join(known.select("pair_id", "node_id"), ["pair_id", "node_id"], "left_anti")
         if ratio < 1 or max_per_hop is not None:
             w = Window.partitionBy("pair_id").orderBy(uniform(seed, "pair_id", "node_id", F.lit(hop)), "node_id")
@@ -47,30 +47,37 @@ def k_hop_nodes(pairs: DataFrame, edges: DataFrame, hops: int, max_per_hop: int
     return known
 
 
-def _inside(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges (pair_id, u, v) between a pair's nodes, without the link between its ends."""
-    first = nodes.select("pair_id", F.col("node_id").alias("u")).join(pairs.select("pair_id", "src", "dst"), "pair_id")
-    target = ((F.col("u") == F.col("src")) & (F.col("v") == F.col("dst"))) | ((F.col("u") == F.col("dst")) & (F.col("v") == F.col("src")))
-    out = first.join(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "u").where(~target).select("pair_id", "u", "v")
-    return out.join(nodes.select("pair_id", F.col("node_id").alias("v")), ["pair_id", "v"]).select("pair_id", "u", "v")
+def _low_end_first(edges: DataFrame) -> DataFrame:
+    """The different edges (src, dst), as (low, high, ahead, w) by the end of fewer neighbours, as a written table: ahead
+    says whether low is src, and w how often the edge is stored."""
+    stored = edges.groupBy("src", "dst").agg(F.count("*").cast("int").alias("w"))
+    n = stored.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    ends = stored.join(n.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
+    ahead = F.col("a") <= F.col("b")
+    return written(ends.select(F.when(ahead, F.col("src")).otherwise(F.col("dst")).alias("low"), F.when(ahead, F.col("dst")).otherwise(F.col("src")).alias("high"), ahead.alias("ahead"), "w"), "oriented")
+
+
+def _inside(pairs: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """Edges (pair_id, u, v, w) between a pair's nodes, as they are stored, without the link between its ends. An edge
+    is found from its end of fewer neighbours, so that a hub in many subgraphs isn't expanded for each."""
+    first = nodes.select("pair_id", F.col("node_id").alias("low")).join(pairs.select("pair_id", "src", "dst"), "pair_id")
+    target = ((F.col("low") == F.col("src")) & (F.col("high") == F.col("dst"))) | ((F.col("low") == F.col("dst")) & (F.col("high") == F.col("src")))
+    out = first.join(ends, "low").where(~target).select("pair_id", "low", "high", "ahead", "w")
+    both = out.join(nodes.select("pair_id", F.col("node_id").alias("high")), ["pair_id", "high"])
+    return both.select("pair_id", F.when(F.col("ahead"), F.col("low")).otherwise(F.col("high")).alias("u"), F.when(F.col("ahead"), F.col("high")).otherwise(F.col("low")).alias("v"), "w")
 
 
 def induced_pairwise(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(pair_id, u, v, w): edges between different nodes of each pair's subgraph, both ways, each once with w = 1,
-    whichever way and however often they are stored. An edge is found from its end of fewer neighbours, so that a hub
-    in many subgraphs isn't expanded for each."""
+    whichever way and however often they are stored."""
     once = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    n = once.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    ends = once.join(n.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst")
-    low = F.col("a") <= F.col("b")
-    once = written(ends.select(F.when(low, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("dst")), "oriented")
     both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")
-    return _inside(pairs, nodes, once).select("pair_id", both).select("pair_id", "x.u", "x.v", F.lit(1).alias("w"))
+    return _inside(pairs, nodes, _low_end_first(once)).select("pair_id", both).select("pair_id", "x.u", "x.v", F.lit(1).alias("w"))
 
 
 def induced_scan(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(pair_id, u, v, w): edges as they are stored, self-loops too; w counts parallel ones."""
-    return _inside(pairs, nodes, edges).groupBy("pair_id", "u", "v").agg(F.count("*").cast("int").alias("w"))
+    return _inside(pairs, nodes, _low_end_first(edges))
 
 
 #: Links of a node within a pair's subgraph that one bucket holds; those of a hub are dealt into slots of about so many.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from edgeloom.cluster import broadcast_checked, bucketed, discard, written
 from edgeloom.functions.hashing import draw, uniform
 from edgeloom.functions.vectors import dot, minus_log_sigmoid
-from edgeloom.operators.graph import Graph, adjacency, numbered_neighbours
+from edgeloom.operators.graph import Graph, in_order, numbered_neighbours
 
 #: Steps after which the walks so far are written down, so that the plan stays short.
 STEPS_PER_TABLE = 4
@@ -106,12 +106,15 @@ def biased_walks(g: Graph, length: int, p: float, q: float, walks_per_node: int
 
 
 def smallest_neighbour_walks(g: Graph, length: int) -> DataFrame:
-    """Walks that draw nothing: step number i goes to the (i modulo degree)-th smallest neighbour."""
-    rows = adjacency(g.edges).withColumnRenamed("src", "at")
+    """Walks that draw nothing: step number i goes to the (i modulo degree)-th smallest neighbour. Neighbours are
+    numbered in their order once, and a step is an equi-join by node and number, as that of uniform_walks."""
+    rows = bucketed(in_order(g.edges.select("src", "dst"), ["dst"], ["src"], "i"), ["src", "i"], "neighbours")
+    edge = rows.select(F.col("src").alias("at"), "i", F.col("dst").alias("to"))
+    n = written(rows.groupBy(F.col("src").alias("at")).agg(F.count("*").alias("n")), "degrees")
     w = _starts(g, 1)
     for step in range(1, length):
-        nxt = F.element_at("neighbours", (F.pmod(F.lit(step), F.size("neighbours")) + 1).cast("int"))
-        w = w.join(rows, "at", "left").select("walk_id", F.coalesce(nxt, "at").alias("at"), "walk").select("walk_id", "at", F.concat("walk", F.array("at")).alias("walk"))
+        w = w.join(n, "at", "left").withColumn("i", F.pmod(F.lit(step).cast("long"), F.coalesce("n", F.lit(1)).cast("long")))
+        w = w.join(edge, ["at", "i"], "left").select("walk_id", F.coalesce("to", "at").alias("at"), "walk").select("walk_id", "at", F.concat("walk", F.array("at")).alias("walk"))
         if step % STEPS_PER_TABLE == 0:
             w = written(w, "walks")
     return w.select("walk_id", "walk")

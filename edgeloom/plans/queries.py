@@ -12,7 +12,7 @@ from edgeloom.cluster import shared_dir, written
 from edgeloom.functions import hashing
 from edgeloom.functions.vectors import sigmoid
 from edgeloom.operators import features, graph, metrics, negatives, splits, subgraphs, walks
-from edgeloom.plans import prepare, training
+from edgeloom.plans import prepare, training, transforms
 from edgeloom.sources import csr
 from edgeloom.sources.tables import customer_graph, order_pairs, supplier_pairs, table, vector_graph
 from edgeloom.streaming import online, sinks
@@ -887,6 +887,18 @@ def training_rows_check(spark, sf_dir):
     )
 
 
+@query(BASE + f""", p AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS seq FROM edges WHERE src < dst),
+raw_rows AS (SELECT seq, src, dst, 1 AS label FROM p UNION ALL SELECT seq, src, CAST((dst + unnest([1, 2])) % {N} AS INT), 0 FROM p)
+SELECT seq // {BATCH} AS batch, row_number() OVER (PARTITION BY seq // {BATCH} ORDER BY label DESC, seq, src, dst) - 1 AS place, src, dst, label FROM raw_rows""")
+def edge_label_batches(spark, sf_dir):
+    """Batches of edges with two given negatives each, positives first."""
+    g = customer_graph(spark, sf_dir)
+    pos = written(graph.in_order(graph.canonical(g.edges).select("src", "dst"), ["src", "dst"], name="seq"), "positives")
+    neg = pos.select("seq", "src", F.explode(F.array(*[F.pmod(F.col("dst") + i, F.lit(g.num_nodes)).cast("int") for i in (1, 2)])).alias("dst"), F.lit(0).alias("label"))
+    rows = pos.select("seq", "src", "dst", F.lit(1).alias("label")).unionByName(neg)
+    return transforms.build("edge_label")(transforms.raw_batches(rows, BATCH))
+
+
 SAMPLED_SQL = f""", sizes AS (SELECT pair_id, count(*) FILTER (dist = 1) AS n FROM sub GROUP BY pair_id)
 SELECT how, count(*) AS pairs, CAST(2 * count(*) + sum(CASE how WHEN 'most' THEN least(n, 5) WHEN 'share' THEN n // 2 ELSE 0 END) AS BIGINT) AS kept, CAST(0 AS BIGINT) AS strange, CAST(0 AS BIGINT) AS too_many
 FROM sizes, (VALUES ('most'), ('share'), ('by vertex')) v(how) GROUP BY how"""

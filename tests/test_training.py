@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.cluster import get_text, names, put_text
-from edgeloom.operators import features, graph, subgraphs
-from edgeloom.plans import training
+from edgeloom.operators import features, graph, subgraphs, walks
+from edgeloom.plans import training, transforms
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +119,51 @@ def test_batches_of_pairs_without_nodes_or_labels(spark):
     b = subgraphs.batched(pairs, nodes, none, 2)
     assert [(r.graph, r.num_nodes, r.first_node) for r in b.graphs.orderBy("graph").collect()] == [(0, 0, 0), (1, 2, 0)]
     assert sorted((r.node, r.node_id, r.z) for r in b.nodes.collect()) == [(0, 2, None), (1, 3, None)] and b.edges.count() == 0
+
+
+def test_batch_transforms_by_name(spark):
+    rows = spark.createDataFrame([(i, i, i + 1, 1) for i in range(5)] + [(i, i, 9 - i, 0) for i in range(5) for _ in range(2)], "seq long, src int, dst int, label int")
+    raw = transforms.raw_batches(rows, 2)
+    assert transforms.build("identity")(raw) is raw
+    got = [tuple(r) for r in transforms.build("edge_label")(raw).orderBy("batch", "place").collect()]
+    assert got[:6] == [(0, 0, 0, 1, 1), (0, 1, 1, 2, 1), (0, 2, 0, 9, 0), (0, 3, 0, 9, 0), (0, 4, 1, 8, 0), (0, 5, 1, 8, 0)] and [r[:2] for r in got[12:]] == [(2, 0), (2, 1), (2, 2)]
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "id int, embedding array<float>")
+    x = transforms.build("edge_features", vectors=v, how="weighted_l1")(raw).where("batch = 0 and place = 2").first()
+    assert x.features == [9.0, 0.0]
+    e = spark.createDataFrame([(a, b, 0) for i in range(9) for a, b in ((i, i + 1), (i + 1, i))], "src int, dst int, ts int")
+    b = transforms.build("subgraphs", edges=e, size=4, hops=1, label="zo")(raw)
+    graphs = b.graphs.orderBy("batch", "graph").collect()
+    assert len(graphs) == 15 and [(r.src, r.dst, r.label) for r in graphs] == [r[2:] for r in got] and b.nodes.where("z[0] = 1").count() == 30
+    with pytest.raises(ValueError, match="identity, edge_label"):
+        transforms.build("other")
+
+
+def test_hubs_are_drawn_from_by_number(spark):
+    """Sampling by vertex at a hub, and walks to the smallest neighbours, however many blocks a hub has."""
+    e = spark.createDataFrame([(0, i, 0) for i in range(1, 200)] + [(i, 0, 0) for i in range(1, 200)], "src int, dst int, ts int")
+    pairs = spark.createDataFrame([(p, 0, p) for p in range(1, 40)], "pair_id long, src int, dst int")
+    for size in (1 << 16, 16):
+        before, graph.BLOCK_NEIGHBOURS = graph.BLOCK_NEIGHBOURS, size
+        try:
+            got = subgraphs.k_hop_nodes(pairs, e, 1, max_per_hop=8, oversample=1.5, seed=3).where("dist = 1").collect()
+        finally:
+            graph.BLOCK_NEIGHBOURS = before
+        assert {r.pair_id for r in got} == set(range(1, 40)) and len({r.node_id for r in got}) > 60 and all(1 <= r.node_id < 200 for r in got)
+    w = {r.walk[0]: r.walk for r in walks.smallest_neighbour_walks(graph.Graph(e, 201), 5).collect()}
+    assert w[0] == [0, 2, 0, 4, 0] and w[7] == [7, 0, 3, 0, 5] and w[200] == [200] * 5
+
+
+def test_scanned_edges_keep_their_direction_and_number(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(12), rng.randrange(12), 0) for _ in range(60)] + [(0, i, 0) for i in range(12)] + [(3, 3, 0)] * 2
+    e = spark.createDataFrame(edges, "src int, dst int, ts int")
+    pairs = spark.createDataFrame([(p, *rng.sample(range(12), 2)) for p in range(10)], "pair_id long, src int, dst int")
+    nodes = subgraphs.k_hop_nodes(pairs, e, 1)
+    of, want = defaultdict(set), defaultdict(int)
+    for r in nodes.collect():
+        of[r.pair_id].add(r.node_id)
+    for r in pairs.collect():
+        for u, v, _ in edges:
+            if {u, v} <= of[r.pair_id] and (u, v) not in ((r.src, r.dst), (r.dst, r.src)):
+                want[r.pair_id, u, v] += 1
+    assert {(r.pair_id, r.u, r.v): r.w for r in subgraphs.induced_scan(pairs, nodes, e).collect()} == want
