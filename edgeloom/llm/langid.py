@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +22,11 @@ LANDMARKS = 48
 ALL_LANDMARKS = 768
 #: Longest n-grams (characters) of the kernel.
 ORDER = 3
-#: Places of the feature space: every n-gram has one by hash, so that the whole spectrum of any text counts.
-PLACES = 1 << 15
+#: Characters of all landmarks together: one that would have more than its share stands for a stretch from the middle
+#: of its text. It bounds the model; training rows and the texts to be told apart count whole.
+LANDMARK_CHARS = 1 << 21
+#: N-grams that are multiplied at a time.
+GRAMS = 8192
 RIDGE = 1e-2
 #: Steepness of the softmax that turns margins into scores.
 SHARPNESS = 8.0
@@ -33,34 +36,71 @@ UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
 
-def presence(text: str, row: np.ndarray, order: int = ORDER) -> None:
-    """Sets row, of PLACES elements, to 1 at the places of all n-grams, 1 to order characters, of the lower-cased text."""
-    step = 1 << 18  # code points at a time, overlapping, so that memory stays small; all of the text counts
-    text = text.lower()
-    for i in range(0, max(1, len(text)), step):
+def spectrum(text: str, order: int = ORDER) -> np.ndarray:
+    """The different n-grams, 1 to order characters, of the lower-cased text, as numbers that say which they are, sorted."""
+    step = 1 << 18  # code points at a time, overlapping; all of the text counts
+    text, found = text.lower(), [np.zeros(0, np.uint64)]
+    for i in range(0, len(text), step):
         c = np.frombuffer(text[i : i + step + order - 1].encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
-        code = c
-        for n in range(order):
-            if n:
-                if len(c) <= n:
-                    break
-                code = (code[:-1] << np.uint64(21)) | c[n:]
-            x = code * np.uint64(0x9E3779B97F4A7C15)
-            row[(x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - 15)] = 1
+        code, parts = c, [c]
+        for n in range(1, min(order, len(c))):
+            code = (code[:-1] << np.uint64(21)) | c[n:]
+            parts.append(code)
+        found.append(np.unique(np.concatenate(parts)))
+    return found[1] if len(found) == 2 else np.unique(np.concatenate(found))
 
 
-def kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    """Presence kernel of rows of x with landmarks, over both norms; landmarks are over theirs already."""
-    return x @ landmarks.T / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+@dataclass
+class Landmarks:
+    """grams: all n-grams of the landmarks, sorted; held: for each of them a bit for each landmark that has it; sizes: how many
+    n-grams each landmark has."""
+
+    grams: np.ndarray
+    held: np.ndarray
+    sizes: np.ndarray
+
+    def kernel(self, spectra: Iterator[np.ndarray]) -> np.ndarray:
+        """Presence kernel of each spectrum with each landmark: what they share, over the root of both sizes. The shared
+        n-grams are counted by products of matrices, GRAMS columns at a time; n-grams that no landmark has count in the
+        size alone, so that nothing is merged and no text is too long."""
+        sizes, rows, places = [], [], []
+        for i, x in enumerate(spectra):
+            at = np.searchsorted(self.grams, x)
+            at[at == len(self.grams)] = 0
+            hit = at[self.grams[at] == x] if len(self.grams) else at[:0]
+            sizes.append(len(x))
+            rows.append(np.full(len(hit), i))
+            places.append(hit)
+        out = np.zeros((len(sizes), len(self.sizes)), np.float64)
+        if not len(self.grams) or not sizes:
+            return out
+        row, place = np.concatenate(rows), np.concatenate(places)
+        used, column = np.unique(place, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, len(used), GRAMS):
+            part = slice(*np.searchsorted(column, [at, at + GRAMS]))
+            x = np.zeros((len(sizes), min(GRAMS, len(used) - at)), np.float32)
+            x[row[part], column[part] - at] = 1
+            out += x @ np.unpackbits(self.held[used[at : at + GRAMS]], axis=1, count=len(self.sizes)).astype(np.float32)
+        return out / np.sqrt(np.maximum(np.array(sizes), 1))[:, None] / np.sqrt(self.sizes)[None, :]
+
+
+def landmarks(spectra: list[np.ndarray]) -> Landmarks:
+    grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *spectra]))
+    held = np.zeros((len(grams), (len(spectra) + 7) // 8), np.uint8)
+    for i, x in enumerate(spectra):
+        held[np.searchsorted(grams, x), i // 8] |= 128 >> i % 8
+    return Landmarks(grams, held, np.maximum(np.array([len(x) for x in spectra], np.float64), 1))
 
 
 @dataclass
 class Model:
-    """languages; landmarks: their presence vectors over their norm; weights: from kernel values with the landmarks, and
-    one, to a margin for each language."""
+    """languages; marks: the landmarks; weights: from kernel values with the landmarks, and one, to a margin for each
+    language."""
 
     languages: list[str]
-    landmarks: np.ndarray
+    marks: Landmarks
     weights: np.ndarray
     order: int = ORDER
 
@@ -73,10 +113,7 @@ class Model:
             some = [i for i in range(at, min(at + BLOCK, len(texts))) if texts[i] and LETTER.search(texts[i])]
             if not some:
                 continue
-            x = np.zeros((len(some), PLACES), np.float32)
-            for row, i in zip(x, some, strict=True):
-                presence(texts[i], row, self.order)
-            m = kernel(x, self.landmarks) @ self.weights[:-1] + self.weights[-1]
+            m = self.marks.kernel(spectrum(texts[i], self.order) for i in some) @ self.weights[:-1] + self.weights[-1]
             e = np.exp(SHARPNESS * (m - m.max(axis=1, keepdims=True)))
             best = m.argmax(axis=1)
             score[some] = (e / e.sum(axis=1, keepdims=True))[np.arange(len(some)), best]
@@ -107,61 +144,60 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> Model:
-    """The model of the languages in lang_col, from training_rows. Executors send a bit for each of PLACES in place of a
-    text, so LANGUAGES * TRAIN_ROWS * PLACES / 8 bytes at most, however long the texts. Without labelled rows the model
-    knows no language."""
-    ship(docs.sparkSession)
+    """The model of the languages in lang_col, from training_rows. The landmarks, LANDMARK_CHARS characters at most, come
+    to the driver; of every training row, however long, its kernel values with the landmarks do, LANGUAGES * TRAIN_ROWS
+    * ALL_LANDMARKS numbers at most. Without labelled rows the model knows no language."""
+    if not 1 <= order <= 3:
+        raise ValueError("n-grams have one to three characters")
+    spark = docs.sparkSession
+    ship(spark)
+    rows = written(training_rows(docs, id_col, text_col, lang_col).where("text <> ''"), "training")
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())  # LANGUAGES at most
+    if not languages:
+        return Model([], landmarks([]), np.zeros((1, 0)), order)
+    each = max(2, min(LANDMARKS, ALL_LANDMARKS // len(languages)))
+    chars = max(order, LANDMARK_CHARS // (each * len(languages)))
+    middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - chars) / 2).cast("int") + 1), F.lit(chars))
+    first = Window.partitionBy("lang").orderBy("n")
+    chosen = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).select("lang", "n", middle.alias("text")).orderBy("lang", "n").collect()
+    marks = landmarks([spectrum(r.text, order) for r in chosen])
+    send = spark.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = []
-            for text in b.column(2).to_pylist():
-                row = np.zeros(PLACES, np.uint8)
-                presence(text, row, order)
-                sets.append(np.packbits(row).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["lang", "n", "grams"])
-
-    some = training_rows(docs, id_col, text_col, lang_col)
-    rows = some.mapInArrow(run, T.StructType([some.schema["lang"], some.schema["n"], T.StructField("grams", T.BinaryType())])).collect()
-    return train([(r["lang"], r["n"], r["grams"]) for r in rows], order)
-
-
-def train(rows: list[tuple[str, int, bytes]], order: int = ORDER) -> Model:
-    """The model from (language, number within it, packed presence): kernel ridge regression on Nyström features, each
-    language against the rest, with the same weight for every language."""
-    rows = sorted((r for r in rows if any(r[2])), key=lambda r: (r[0], r[1]))
-    languages = sorted({r[0] for r in rows})
-    if not rows:
-        return Model([], np.zeros((0, PLACES), np.float32), np.zeros((1, 0), np.float32), order)
+        for b in slices(batches, BLOCK):
+            k = send.value.kernel(spectrum(x, order) for x in b.column(2).to_pylist()).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in k], pa.binary())], names=["lang", "n", "k"])
 
-    def unpacked(some: list[int]) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(b"".join(rows[i][2] for i in some), np.uint8).reshape(len(some), -1), axis=1).astype(np.float32)
+    found = rows.mapInArrow(run, T.StructType([rows.schema["lang"], rows.schema["n"], T.StructField("k", T.BinaryType())])).collect()
+    return train(sorted((r["lang"], r["n"], r["k"]) for r in found), marks, marks.kernel(spectrum(r.text, order) for r in chosen), order)
 
-    of = {x: [i for i, r in enumerate(rows) if r[0] == x] for x in languages}
-    each = max(2, min(LANDMARKS, ALL_LANDMARKS // len(languages)))
-    marks = [i for x in languages for i in of[x][:each]]
-    landmarks = unpacked(marks)
-    landmarks /= np.sqrt(landmarks.sum(axis=1, keepdims=True))
-    k_nm = np.concatenate([kernel(unpacked(list(range(i, min(i + BLOCK, len(rows))))), landmarks) for i in range(0, len(rows), BLOCK)]).astype(np.float64)
-    value, vector = np.linalg.eigh((k_nm[marks] + k_nm[marks].T) / 2)
+
+def train(rows: list[tuple[str, int, bytes]], marks: Landmarks, own: np.ndarray, order: int = ORDER) -> Model:
+    """The model from (language, number within it, kernel values with the landmarks) and the landmarks' own kernel
+    values: kernel ridge regression on Nyström features, each language against the rest, with the same weight for every
+    language."""
+    languages = sorted({r[0] for r in rows})
+    of = {x: sum(r[0] == x for r in rows) for x in languages}
+    k_nm = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(len(rows), -1).astype(np.float64)
+    value, vector = np.linalg.eigh((own + own.T) / 2)
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
     phi = np.hstack([k_nm @ root, np.ones((len(rows), 1))])
     y = np.array([[1.0 if r[0] == x else -1.0 for x in languages] for r in rows])
-    weight = np.array([len(rows) / len(languages) / len(of[r[0]]) for r in rows])[:, None]
+    weight = np.array([len(rows) / len(languages) / of[r[0]] for r in rows])[:, None]
     ridge = RIDGE * len(rows) * np.eye(phi.shape[1])
     ridge[-1, -1] = 1e-9
     beta = np.linalg.solve(phi.T @ (weight * phi) + ridge, phi.T @ (weight * y))
-    return Model(languages, landmarks, np.vstack([root @ beta[:-1], beta[-1:]]).astype(np.float32), order)
+    return Model(languages, marks, np.vstack([root @ beta[:-1], beta[-1:]]), order)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(id, lang_pred, score) for every row, or with keep all columns of docs and these two, from its whole text alone.
 
     Null texts and those without a letter are UNKNOWN with score 0, and so is everything if the model knows no
-    language. The model is a broadcast of bounded size (ALL_LANDMARKS x PLACES). Repeated rows stay repeated."""
+    language. The model is a broadcast whose size LANDMARK_CHARS and ALL_LANDMARKS bound. Repeated rows stay repeated."""
     ship(docs.sparkSession)
-    send = docs.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.weights, model.order))
+    send = docs.sparkSession.sparkContext.broadcast((model.languages, model.marks, model.weights, model.order))
     rows = docs if keep else docs.select(id_col, text_col)
     out = [x for x in rows.columns if keep or x == id_col]
     at = rows.columns.index(text_col)

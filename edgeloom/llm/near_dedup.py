@@ -29,6 +29,9 @@ AGREE = 0.68
 #: Documents meet that agree in all ROWS hashes of one of BANDS bands: at the similarity, all but one pair in 10,000.
 BANDS = 13
 ROWS = 3
+#: Sets of fewer shingles are compared by signatures alone: in small sets so many bits of a fingerprint hang on a tie that
+#: three deviations don't hold. That goes for what can be similar to them too.
+SMALL = 32
 #: Shingles of a tile of documents whose sets are compared, besides its TILE documents.
 TILE_SHINGLES = 1 << 19
 GOLDEN = 0x9E3779B97F4A7C15
@@ -86,7 +89,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
                 h = shingles(text or b"", shingle, seed)
                 node.append(xxhash.xxh3_128_digest(h.tobytes()))
                 least = signature(h)
-                bits.append(fingerprint(h).tobytes() + least.astype(np.uint8).tobytes())
+                bits.append(fingerprint(h).tobytes() + least.astype(np.uint8).tobytes() + bytes([min(len(h), 255)]))
                 key = names.copy()
                 for i in range(ROWS):
                     key = _mix(key ^ least[i * BANDS : (i + 1) * BANDS])
@@ -111,13 +114,25 @@ def shingle_sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
 
 
 def likely_pairs(sketch: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions in the same block whose fingerprints are within RADIUS and whose signatures agree; sketch has
-    a row of bytes for each member, fingerprint and signature."""
+    """Pairs of positions in the same block whose fingerprints are within RADIUS and whose signatures agree, or both of
+    which are small and whose signatures agree; sketch has a row of bytes for each member: fingerprint, signature and
+    the number of shingles, as far as a byte goes."""
+    least = np.ascontiguousarray(sketch[:, 8 * WIDTH : 8 * WIDTH + HASHES])
     i, j = near_pairs(np.ascontiguousarray(sketch[:, : 8 * WIDTH]).view(np.uint64), sizes, RADIUS)
-    least = sketch[:, 8 * WIDTH :]
     ok = [(least[i[k : k + 65536]] == least[j[k : k + 65536]]).mean(axis=1) >= AGREE for k in range(0, len(i), 65536)]
     ok = np.concatenate([*ok, np.zeros(0, bool)])
-    return i[ok], j[ok]
+    left, right = [i[ok]], [j[ok]]
+    small = np.flatnonzero(sketch[:, 8 * WIDTH + HASHES] < SMALL / SIMILARITY)
+    block = np.searchsorted(np.cumsum(sizes), small, "right")
+    ends = np.searchsorted(block, block, "right")  # where a member's block ends among the small ones
+    for k, x in enumerate(small.tolist()):
+        rest = small[k + 1 : ends[k]]
+        if len(rest):
+            near = rest[(least[rest] == least[x]).mean(axis=1) >= AGREE]
+            left.append(np.full(len(near), x))
+            right.append(near)
+    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1).astype(np.int64), axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def similar_pairs(h: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> list[tuple[int, int]]:

@@ -353,6 +353,33 @@ def test_language_id_matches_slow_kernel_ridge_regression(spark):
     assert np.abs(score - (e / e.sum(axis=1, keepdims=True)).max(axis=1)).max() < 0.1
 
 
+def test_languages_of_large_alphabets_at_any_length(spark):
+    """Two skewed languages of 3,000 characters each, of the same characters in other orders of frequency, far from and
+    near to each other, whose long texts have nearly every pair of frequent characters."""
+    rng = np.random.default_rng(4)
+    letters = np.array([chr(0x4E00 + i) for i in range(3000)])
+    weight = 1 / np.arange(1, 3001)
+    order = {x: rng.permutation(3000) for x in ("aa", "bb")}
+    draw = lambda x, n: "".join(letters[order[x]][rng.choice(3000, n, p=weight / weight.sum())])
+    rows = [(i, draw(x, int(rng.integers(50, 3000))), x) for i, x in enumerate(["aa", "bb"] * 60)] + [(1000 + i, draw(x, 200_000), x) for i, x in enumerate(["aa", "bb"])]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for n in (20, 400, 20_000, 200_000, 1_000_000):
+        said, score = model.predict([draw(x, n) for x in ("aa", "bb")])
+        assert said == ["aa", "bb"] and (n < 400 or score.min() > 0.6), (n, said, score)
+
+
+def test_spectra_and_kernels_are_exact(monkeypatch):
+    monkeypatch.setattr(langid, "GRAMS", 7)
+    texts = ["", "a", "ab", "Abc abc", "é🙂é🙂", "\U0010ffff\x00x", "abcabc" * 50]
+    sets = [{t.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t.lower()) - n + 1)} for t in texts]
+    spectra = [langid.spectrum(t) for t in texts]
+    assert [len(x) for x in spectra] == [len(x) for x in sets]
+    marks = langid.landmarks(spectra[1:])
+    got = marks.kernel(iter(spectra))
+    want = [[len(a & b) / max(1, len(a) * len(b)) ** 0.5 for b in sets[1:]] for a in sets]
+    assert np.abs(got - want).max() < 1e-6 and langid.landmarks([]).kernel(iter(spectra)).shape == (7, 0)
+
+
 def test_language_id_learns_from_few_rows_whatever_repeats(spark, monkeypatch):
     monkeypatch.setattr(langid, "TRAIN_ROWS", 20)
     monkeypatch.setattr(langid, "LANGUAGES", 3)

@@ -109,3 +109,17 @@ def test_planted_near_copies_in_the_table(spark):
     got = {r.doc_id for r in near_dedup.drop_near_duplicates(docs).select("doc_id").collect()}
     assert got == {i for i, g in groups.items() if g == i} and len(got) < len(texts)
     assert near_dedup.drop_near_duplicates(docs.withColumn("text", F.lit(None).cast("string"))).count() == 1
+
+
+def test_short_texts_at_the_similarity_are_found(spark):
+    """Pairs of a text and the same with words added at its end, as similar as they have to be and no more, by length."""
+    rng = random.Random(6)
+    rows, at = [], {}
+    for n in (4, 8, 12, 20, 28, 40, 80):  # shingles of the shorter one; the longer one has a quarter more
+        for _ in range(150):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4 + n // 4)]
+            at[len(rows)] = n
+            rows += [(len(rows), " ".join(words[: n + 4])), (len(rows) + 1, " ".join(words))]
+    out = {r.doc_id for r in near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = {n: sum(i + 1 in out for i, m in at.items() if m == n) for n in sorted(set(at.values()))}
+    assert all(i in out for i in at) and all(x <= 3 for x in lost.values()), lost
