@@ -152,14 +152,12 @@ def _met(rows: pa.Table, asked: pa.Table, k: int, same: bool) -> pa.Table:
     return pa.table([pa.array(ask), pa.array(win), pa.array(score), ids.take(pa.array(r))], schema=schema)
 
 
-def _join(rows: DataFrame, asked: DataFrame, k: int, same: bool) -> DataFrame:
+def _join(rows: DataFrame, asked: DataFrame, n: int, k: int, same: bool) -> DataFrame:
     """(ask, window, score, id): the first k rows of each window that reach its threshold. rows: (block, id, label, x); asked: (ask,
-    anchor, label, x, block, windows). A block of anchors meets a block of rows in one task; only blocks that are asked
-    for are sent."""
-    parts = max(1, -(-asked.select("ask").distinct().count() // BLOCK_ANCHORS))
+    anchor, label, x, block, windows), of n anchors at most. A block of anchors meets a block of rows in one task."""
+    parts = max(1, -(-n // BLOCK_ANCHORS))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("ask"), F.lit(parts)))
-    held = rows.join(broadcast_checked(asked.select("block").distinct()), "block", "left_semi")
-    held = held.select("block", "id", "label", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    held = rows.select("block", "id", "label", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
     kind = rows.schema["id"].dataType.simpleString()
     met = held.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(lambda a, b: _met(a, b, k, same), f"ask long, window long, score long, id {kind}")
     w = Window.partitionBy("ask", "window").orderBy(F.desc("score"), "id")
@@ -168,43 +166,49 @@ def _join(rows: DataFrame, asked: DataFrame, k: int, same: bool) -> DataFrame:
 
 def filled(rows: DataFrame, asks: DataFrame, windows: DataFrame, places: DataFrame, k: int, same: bool) -> DataFrame:
     """(ask, window, score, id): of each window (ask, window, low, high) the first k rows with scores from low to high,
-    of the same label as the anchor asks (ask, anchor, label, dim, x) has, or of any other, as a written table.
+    of the same label as the anchor asks (ask, anchor, label, dim, x) has, or of any other.
 
     rows: (id, label, dim, x, block, drawn); places: (dim, label, block, own), where labels of a length lie. Windows meet the
     drawn rows first. The best score there is the first threshold, the k-th best, where there are as many, the second,
     at which a window is sure to fill, and low the last. A window is closed by the first threshold at which it gets k
     rows; the others are asked again, in the blocks that they need."""
     key = ["ask", "window"]
+    anchors = asks.count()
 
     def asked(open_: DataFrame) -> DataFrame:
         each = open_.groupBy("ask").agg(F.collect_list(F.struct("window", "low", "high", "least")).alias("windows"))
         return each.join(asks, "ask")
 
     pilot = asked(windows.withColumn("least", F.col("low"))).withColumn("block", F.col("dim").cast("long"))
-    best = _join(rows.where("drawn").withColumn("block", F.col("dim").cast("long")), pilot, k, same)
+    best = _join(rows.where("drawn").withColumn("block", F.col("dim").cast("long")), pilot, anchors, k, same)
     best = best.groupBy(key).agg(F.max("score").alias("best"), F.min("score").alias("last"), F.count("*").alias("n"))
     steps = F.array_distinct(F.array(F.coalesce("best", "low"), F.when(F.col("n") >= k, F.col("last")).otherwise(F.col("low")), F.col("low")))
     open_ = written(windows.select(*key, "low", "high").join(best, key, "left").select(*key, "low", "high", steps.alias("steps")), "windows")
     if same:
         where = lambda a: a.join(places.select("dim", "label", "block"), ["dim", "label"])
     else:  # a block of one label has nothing for anchors of that label
-        blocks = places.select("dim", "block", F.when(F.col("own"), F.col("label")).alias("only")).distinct()
-        where = lambda a: a.join(broadcast_checked(blocks), "dim").where("only is null or only <> label").drop("only")
+        blocks = broadcast_checked(places.select("dim", "block", F.when(F.col("own"), F.col("label")).alias("only")).distinct())
+        where = lambda a: a.join(blocks, "dim").where("only is null or only <> label").drop("only")
     done: list[DataFrame] = []
+    left = anchors
     for step in range(3):
         now = open_.withColumn("least", F.element_at("steps", F.least(F.lit(step + 1), F.size("steps"))))
-        found = written(_join(rows, where(asked(now)), k, same), "found")
+        met = where(asked(now))
+        # few windows may need few blocks
+        some = rows.join(broadcast_checked(met.select("block").distinct()), "block", "left_semi") if step else rows
+        found = written(_join(some, met, left, k, same), "found")
         full = found.groupBy(key).agg(F.count("*").alias("n"))
         judged = now.join(full, key, "left").withColumn("closed", (F.coalesce("n", F.lit(0)) >= k) | (F.col("least") <= F.col("low")))
         judged = written(judged.select(*open_.columns, "closed"), "windows")
         done.append(found.join(judged.where("closed").select(key), key))
         open_ = judged.where("not closed").drop("closed")
-        if open_.isEmpty():
+        left = min(anchors, open_.count())
+        if not left:
             break
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return written(out, "filled")
+    return out
 
 
 def _energy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
