@@ -116,7 +116,9 @@ def test_url_rules(spark):
     assert url_rules.judge(rows.limit(0), none, queries.URL_RULES).count() == 0
 
 
-def test_mined_rules_match_brute_force(spark):
+@pytest.mark.parametrize("basket", [url_rules.BASKET, 6, 0])
+def test_mined_rules_match_brute_force(spark, monkeypatch, basket):
+    monkeypatch.setattr(url_rules, "BASKET", basket)
     rng = random.Random(4)
     urls = [f"{rng.choice(['http', 'https'])}://{rng.choice(['a', 'b', 'spam'])}.x{rng.randint(0, 2)}.com/{rng.choice(['en', 'de'])}/{rng.randint(1, 99)}{rng.choice(['', '?ref=1', '#top'])}" for _ in range(400)]
     bad = [("spam." in u and "/en/" in u) or rng.random() < 0.1 for u in urls]
@@ -157,6 +159,29 @@ def test_mining_long_and_repeated_urls(spark, monkeypatch, basket):
         assert sum(has) / len(has) == pytest.approx(r.confidence) and sum(has) / len(bad) == pytest.approx(r.support) and r.confidence >= url_rules.CONFIDENCE
 
 
+def test_no_rule_is_lost_among_many_tokens(spark):
+    """aa and zz together mark 60 pages, all unwanted, each alone is mostly wanted; other tokens of a page mark unwanted ones better."""
+    rng = random.Random(9)
+    noise = [f"n{chr(97 + i)}" for i in range(24)]
+    said = [(["aa", "zz"] + rng.sample(noise, 17), True) for _ in range(60)] + [([rng.choice(["aa", "zz"])], False) for _ in range(240)] + [(rng.sample(noise, 5), False) for _ in range(200)]
+    pages = spark.createDataFrame([(i, "http://h/" + "/".join(t), "x", "y") for i, (t, _) in enumerate(said)], "page_id long, url string, rule string, verdict string")
+    labels = spark.createDataFrame([(i, b, "z") for i, (_, b) in enumerate(said)], "page_id long, unwanted boolean, mined string")
+    rules = {tuple(r.tokens): r for r in url_rules.mine(pages, labels).collect()}
+    sets = [({f"path={x}" for x in t}, b) for t, b in said]
+    assert rules["path=aa", "path=zz"].confidence == 1.0 and rules["path=aa", "path=zz"].support == 0.12
+    for k, r in rules.items():
+        has = [b for t, b in sets if t.issuperset(set(k) - {"host=h", "scheme=http"})]
+        assert sum(has) / len(has) == pytest.approx(r.confidence) and r.support == pytest.approx(sum(has) / 500)
+    pairs = {tuple(sorted((f"path={a}", f"path={b}"))) for a, b in itertools.combinations(["aa", "zz", *noise], 2)}
+    for k in pairs:
+        has = [b for t, b in sets if t.issuperset(k)]
+        alone = [[b for t, b in sets if x in t] for x in k]
+        if sum(has) >= 5 and sum(has) >= 0.6 * len(has) and not any(sum(a) >= 0.6 * len(a) and sum(a) / len(a) >= sum(has) / len(has) for a in alone):
+            assert k in rules
+    got = {r.page_id: r for r in url_rules.judge(pages, labels, []).collect()}
+    assert len(got) == 500 and all(got[i].verdict == "block" for i in range(60)) and all(got[i].verdict == "allow" for i in range(60, 300))
+
+
 def slow_nearest(rows, k, want):
     out = {}
     for q, v in want:
