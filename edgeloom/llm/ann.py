@@ -18,10 +18,11 @@ QUERY_ROWS = 4096
 DEGREE = 28
 BUILD_BEAM = 64
 RELAX = 1.2
-#: Candidates that a query keeps, how many it expands at a time, and how many of the longest vectors it starts from besides the middle.
-BEAM = 160
+#: Candidates that a query keeps, how many it expands at a time, and the share of a shard's vectors, the longest, that it
+#: starts from besides the middle.
+BEAM = 96
 WIDTH = 4
-LONGEST = 512
+LONGEST = 1 / 16
 
 
 def usable(c: Column) -> Column:
@@ -142,8 +143,9 @@ def scaled(v: np.ndarray) -> np.ndarray:
 
 
 def start_nodes(x: np.ndarray, start: int) -> np.ndarray:
-    """Where searches start: the middle and the LONGEST longest vectors, among which unequal lengths put the largest products."""
-    return np.unique(np.concatenate([[start], np.argsort(-np.einsum("ij,ij->i", x, x), kind="stable")[:LONGEST]]))
+    """Where searches start: the middle and the longest vectors, a share LONGEST of all, among which unequal lengths put
+    the largest products."""
+    return np.unique(np.concatenate([[start], np.argsort(-np.einsum("ij,ij->i", x, x), kind="stable")[: int(LONGEST * len(x))]]))
 
 
 def _matrix(lists: pa.ListArray) -> np.ndarray:

@@ -243,6 +243,23 @@ def test_recall_of_a_full_shard(kind):
     assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(true, found[:, :21], strict=True)]) >= 0.95
 
 
+@pytest.mark.parametrize("n", [2000, 4000])
+@pytest.mark.parametrize("kind", ["own", "heavy"])
+def test_small_shards_are_searched_by_their_graph(kind, n):
+    """Recall of a small shard is that of a full one, and no search looks at all of it."""
+    rng = np.random.default_rng(8)
+    x = varied(kind, n, rng).astype(np.float32)
+    graph, start = ann.build(ann.unit(x))
+    starts = ann.start_nodes(x, start)
+    assert len(starts) <= n // 16 + 1
+    q = x[rng.choice(n, 100, replace=False)]
+    found, expanded = ann.beam_search(ann.scaled(x), graph, starts, ann.unit(q), ann.BEAM)
+    true = np.argsort(-(q @ x.T), axis=1)[:, :21]
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(true, found[:, :21], strict=True)]) >= 0.95
+    looked = [set(starts.tolist()) | {int(i) for at in row if at >= 0 for i in graph[at] if i >= 0} for row in np.hstack(expanded)]
+    assert max(map(len, looked)) < n
+
+
 @pytest.mark.parametrize("kind", ["unit", "own", "unequal", "heavy"])
 def test_recall_over_shards_of_doubles(spark, monkeypatch, kind):
     monkeypatch.setattr(ann, "SHARD_ROWS", 1000)
