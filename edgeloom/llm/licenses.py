@@ -88,6 +88,8 @@ CLASSES = [*TEMPLATES, UNKNOWN, NONE]
 #: A word is a run of these; punctuation parts words.
 WORD = r"[\p{L}\p{N}]+"
 ORDER = 3
+#: Characters of a line up to which its end may be a wrap.
+WRAP = 100
 #: Paragraphs of the corpus, without any of these stems, that stand for class none; rows of the smallest hashes.
 NEGATIVES = 2000
 STEMS = "licen[cs]|copyright|copyleft|redistribut|spdx|all rights reserved|public domain|warrant"
@@ -112,6 +114,22 @@ def _rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("x")).select("x.*")
 
 
+def paragraphs(text: Column) -> Column:
+    """The paragraphs of a text: its lines, with those joined that were wrapped. A line of up to WRAP characters is wrapped if
+    it ends no sentence and the next one's first word, comment marks aside, would have made it longer than both are.
+    Null and empty texts have one empty paragraph."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    n = F.size(lines)
+
+    def ended(x: Column, i: Column) -> Column:
+        after = F.coalesce(F.get(lines, i + 1), F.lit(""))
+        first = F.regexp_extract(after, r"^[\s/#*;>-]*(\S+)", 1)
+        wraps = F.length(x).between(1, WRAP) & (first != "") & (F.trim(x) != "") & (F.length(x) + 1 + F.length(first) > F.greatest(F.length(x), F.length(after))) & ~x.rlike(r"[.!?][\"')]*\s*$")
+        return F.concat(x, F.when(i + 1 == n, "").when(wraps, " ").otherwise("\n"))
+
+    return F.split(F.array_join(F.transform(lines, ended), ""), "\n")
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
@@ -146,7 +164,7 @@ def training_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     mixed = base.select("w", F.explode(F.sequence(F.lit(1), F.lit(SCRAMBLED))).alias("s")).select(
         F.lit(float(len(CLASSES) - 1)).alias("label"), F.lit(False).alias("corpus"), F.expr("slice(transform(array_sort(transform(w, x -> struct(xxhash64(x, s) as h, x as x))), y -> y.x), 1, 14)").alias("w")
     )
-    lines = docs.select(F.explode(F.split(text_col, "\n")).alias("t")).where(F.length("t") > 20).where(~F.lower("t").rlike(STEMS))
+    lines = docs.select(F.explode(paragraphs(F.col(text_col))).alias("t")).where(F.length("t") > 20).where(~F.lower("t").rlike(STEMS))
     negative = lines.orderBy(F.xxhash64("t"), "t").limit(NEGATIVES).select(F.lit(float(len(CLASSES) - 1)).alias("label"), F.lit(True).alias("corpus"), words(F.col("t")).alias("w"))
     return positive.unionByName(mixed).unionByName(negative).where("size(w) > 0")
 
@@ -197,7 +215,7 @@ def calibrate(label: np.ndarray, margins: np.ndarray) -> tuple[float, float]:
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, n_paragraphs, found array<struct<paragraph, family, probability, overlap>>): for every row of docs the
-    paragraphs (lines, from 0) that carry a licence: the family named with the threshold's confidence and confirmed by
+    paragraphs (from 0) that carry a licence: the family named with the threshold's confidence and confirmed by
     one of its templates, or UNKNOWN where a licence shows but no family is sure (the model says so, or templates of the
     family it names have a trace in common with the paragraph).
 
@@ -217,7 +235,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     itself = spark.range(1).select(F.lit(0).cast("long").alias("key"), F.lit("").alias("g"), F.array(*[F.lit(0.0)] * k).alias("w"), F.expr("cast(array() as array<int>)").alias("ts"))
     table = F.broadcast(written(table.where("g <> ''").unionByName(itself), "grams"))  # GRAMS and the templates' n-grams at most
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), paragraphs(F.col(text_col)).alias("lines"))
     lines = rows.select("row", "id", F.size("lines").alias("n_paragraphs"), F.posexplode_outer("lines").alias("at", "line")).select("row", "id", "n_paragraphs", "at", words(F.col("line")).alias("w"))
     spots = lines.select("row", "id", "n_paragraphs", "at", "w", F.size("w").alias("n"), F.explode_outer(F.sequence(F.when(F.col("at") == 0, 0).otherwise(1), F.greatest(F.size("w"), F.when(F.col("at") == 0, 0).otherwise(1)))).alias("i"))
     spots = spots.where("i <= n").select("row", "id", "n_paragraphs", "at", "w", "n", "i", F.explode_outer(F.when(F.col("i") == 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(1, ORDER + 1))))).alias("len")).where("i + len - 1 <= n or i = 0")

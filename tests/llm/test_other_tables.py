@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -295,6 +297,33 @@ def test_licenses(spark, model):
     assert licenses.licenses(d.limit(0), model).count() == 0
 
 
+def slow_paragraphs(text):
+    """Line after line: one that was wrapped takes the next one in."""
+    lines = (text or "").split("\n")
+    out = [lines[0]]
+    for line, after in itertools.pairwise(lines):
+        first = re.match(r"[\s/#*;>-]*(\S+)", after)
+        wraps = line.strip(" ") and len(line) <= licenses.WRAP and first and len(line) + 1 + len(first[1]) > max(len(line), len(after)) and not re.search(r"[.!?][\"')]*\s*\Z", line)
+        if wraps:
+            out[-1] += " " + after
+        else:
+            out.append(after)
+    return out
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_notices_are_one_paragraph(spark, model, mark):
+    """Wrapped and marked as comments, a notice gives the families that it gives on one line."""
+    said = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = [(f, t, t) for f, t in said] + [(f, t, "\n".join(mark + x for x in textwrap.wrap(t, w, break_long_words=False, break_on_hyphens=False))) for f, t in said for w in (16, 24, 40, 72)]
+    rows.append(("MIT", "Released under the MIT License.", "\n".join(mark + x for x in textwrap.wrap("Released under the MIT License.", 12))))
+    d = spark.createDataFrame([(i, t, "p") for i, (_, _, t) in enumerate(rows)], "doc_id long, text string, paragraphs string")
+    got = {r.doc_id: r.licenses for r in licenses.licenses(d, model).collect()}
+    whole = {t: got[i] for i, (_, t) in enumerate(said)}
+    assert [(f, t) for f, t in said if whole[t] != f] in ([], [("MPL-2.0", "SPDX-License-Identifier: MPL-2.0")])
+    assert not [(t, got[i]) for i, (_, of, t) in enumerate(rows) if got[i] != whole[of]]
+
+
 def slow_licenses(texts, model):
     """Paragraph by paragraph: margins, calibrated chances and template overlaps, without Spark."""
     import regex
@@ -306,7 +335,7 @@ def slow_licenses(texts, model):
     sketches = [(f, {g for g in grams(t)[1] if " " in g}) for f, ts in licenses.TEMPLATES.items() for t in ts]
     out = []
     for text in texts:
-        found, lines = [], (text or "").split("\n")
+        found, lines = [], slow_paragraphs(text)
         for at, line in enumerate(lines):
             n, have = grams(line)
             met = [g for g in have if g in model.weights]
