@@ -119,15 +119,14 @@ def paragraphs(text: Column) -> Column:
     it ends no sentence and the next one's first word, comment marks aside, would have made it longer than both are.
     Null and empty texts have one empty paragraph."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    n = F.size(lines)
 
-    def ended(x: Column, i: Column) -> Column:
-        after = F.coalesce(F.get(lines, i + 1), F.lit(""))
+    def ended(x: Column, after: Column) -> Column:
         first = F.regexp_extract(after, r"^[\s/#*;>-]*(\S+)", 1)
         wraps = F.length(x).between(1, WRAP) & (first != "") & (F.trim(x) != "") & (F.length(x) + 1 + F.length(first) > F.greatest(F.length(x), F.length(after))) & ~x.rlike(r"[.!?][\"')]*\s*$")
-        return F.concat(x, F.when(i + 1 == n, "").when(wraps, " ").otherwise("\n"))
+        return F.concat(x, F.when(after.isNull(), "").when(wraps, " ").otherwise("\n"))
 
-    return F.split(F.array_join(F.transform(lines, ended), ""), "\n")
+    # each line beside the next one, which the last doesn't have; a lambda that looked the next one up would split the text anew for every line
+    return F.split(F.array_join(F.zip_with(lines, F.slice(lines, 2, F.size(lines)), ended), ""), "\n")
 
 
 def words(c: Column) -> Column:
