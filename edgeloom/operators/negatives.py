@@ -20,20 +20,21 @@ def _by_rounds(slots: DataFrame, keys: list[str], attempts: int, tries: Callable
     """(filled, open): for each of slots, known by keys, its first attempt of which tries leaves a row, with that row and
     its attempt; and the slots for which all fail.
 
-    The state is what is still open: a round makes a few attempts for each open slot, writes down those that are filled
-    and goes on with the others, so that the usual slot costs one attempt, and only stubborn ones cost many."""
-    filled, left, first, many = None, slots, 1, FIRST_ATTEMPTS
+    The state is what is still open: a round makes a few attempts for each open slot, writes down every one with what
+    it got, and goes on with those that got nothing, so that the usual slot costs one attempt, and only stubborn ones cost
+    many. A round is one job. Repeated slots get the same row each."""
+    left, filled, first, many = written(slots, "slots"), None, 1, FIRST_ATTEMPTS
     while first <= attempts:
         last = min(attempts, first + many - 1)
         made = tries(left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last))) if last > first else F.lit(first)))
-        if last > first:
-            w = Window.partitionBy(*keys).orderBy("attempt")
-            made = made.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-        made = written(made, "filled")
-        filled = made if filled is None else filled.unionByName(made)
-        was, left = left, written(left.join(made.select(*keys), keys, "left_anti"), "open")
-        if first > 1:
-            discard(was)
+        got = F.struct(*[c for c in made.columns if c not in keys]).alias("got")
+        made_first = made.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("attempt"))).where("__n = 1").select(*keys, got)
+        done = written(left.join(made_first, keys, "left").withColumn("met", F.col("got").isNotNull()), "round")
+        part = done.where("met").select(*keys, "got.*").select(*made.columns)
+        filled = part if filled is None else filled.unionByName(part)
+        if first == 1:
+            discard(left)
+        left = done.where("not met").drop("got", "met")
         if left.isEmpty():
             break
         first, many = last + 1, 2 * many
@@ -86,8 +87,10 @@ def two_hop(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0
     """(pair, slot, src, dst): for each positive up to per_positive ends of two-step walks from its src that are
     neither src nor its neighbour; the first good one of attempts walks counts, and a slot without one is left out, as
     are those of sources without neighbours. With tell also attempt, from 1: the one that counted."""
-    rows = bucketed(numbered_neighbours(g.edges), ["src", "i"], "neighbours")
-    known = _known(g.edges, False)
+    once = written(g.edges.select("src", "dst"), "once")
+    rows = bucketed(numbered_neighbours(once), ["src", "i"], "neighbours")
+    known = _known(once, False)
+    discard(once)
     n = rows.where("i = 0").select("src", "n")
     slots = positives.select("pair", "src").join(n, "src").withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(per_positive))))
     keys = ("pair", "slot", "attempt")

@@ -207,6 +207,15 @@ def test_rounds_of_attempts_give_the_first_good_one(spark, monkeypatch, first):
         assert (r.dst if r.side == 0 else r.src) == (4 if good else drawn[r.pair, r.side, 6])
 
 
+@pytest.mark.parametrize("first", [1, 24])
+def test_repeated_slots_get_the_same_row(spark, monkeypatch, first):
+    g = make(spark, [(a, b) for a in range(4) for b in range(4) if a != b], 5)
+    pos = spark.createDataFrame([(i // 2, 0, 1) for i in range(40)], "pair long, src int, dst int")
+    monkeypatch.setattr(negatives, "FIRST_ATTEMPTS", first)
+    got = rows(negatives.nonedge(g, pos, 2, seed=5, tell=True))
+    assert len(got) == 80 and len(set(got)) == 40 and all(got.count(x) == 2 for x in got) and any(x[-1] > 1 for x in got)
+
+
 def test_steps_of_walks_and_attempts_shuffle_no_edges(spark, customers):
     """Where nothing is broadcast, no exchange stands between a join and the bucketed edges."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
