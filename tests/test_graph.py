@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from edgeloom import cluster
 from edgeloom.functions import hashing, vectors
 from edgeloom.operators import features, graph, metrics, negatives, splits, subgraphs, walks
 from edgeloom.sources import csr
@@ -560,3 +561,27 @@ def test_csr_round_trip(spark, customers, tmp_path, endian):
         csr.read_csr(spark, str(tmp_path / "g"), endian).edges.collect()
     csr.to_tsv(g.edges, str(tmp_path / "t"))
     assert rows(csr.from_tsv(spark, str(tmp_path / "t"))) == rows(g.edges.select("src", "dst"))
+
+
+def linked(spark, n, m, seed):
+    """A random symmetric graph of n nodes, stored once in each direction, and its edges as pairs."""
+    rng = random.Random(seed)
+    some = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)} | {(0, i) for i in range(1, n, 2)})
+    e = make(spark, some + [(b, a) for a, b in some], n).edges
+    return e, spark.createDataFrame([(1000 * a + b, a, b) for a, b in some], "pair_id long, src int, dst int")
+
+
+@pytest.mark.parametrize("parts", [1, 3, None])
+def test_near_pools_are_those_of_whole_subgraphs(spark, monkeypatch, parts):
+    """By one broadcast, by several, and by shuffles; some nodes have no vector."""
+    e, pairs = linked(spark, 40, 90, 5)
+    v = features.initial_embeddings(spark.range(36).select(F.col("id").cast("int").alias("id")), 4, seed=3)
+    if parts != 1:
+        monkeypatch.setattr(cluster, "BROADCAST_BYTES", 36 * 48 // 3 if parts else 1)
+    assert (cluster.lookups(v, "id", "embedding") is None) == (parts is None)
+    nodes = subgraphs.k_hop_nodes(pairs, e, 1)
+    tidy = lambda d: [(r.pair_id, [round(x, 9) + 0.0 for x in r.pooled]) for r in d.orderBy("pair_id").collect()]
+    assert tidy(subgraphs.near_mean_pool(pairs, e, v)) == tidy(subgraphs.mean_pool(nodes, v))
+    assert tidy(subgraphs.near_sort_pool(pairs, e, v, 3)) == tidy(subgraphs.sort_pool(nodes, v, 3))
+    odd = v.withColumn("embedding", F.when(F.col("id") == 0, F.array(*[F.lit(float("inf")).cast("float")] * 4)).otherwise(F.col("embedding")))
+    assert tidy(subgraphs.near_mean_pool(pairs, e, odd)) == tidy(subgraphs.mean_pool(nodes, odd))
