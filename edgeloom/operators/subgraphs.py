@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.cluster import broadcast_checked, bucketed, discard, looked_up, lookups, written
@@ -133,6 +133,19 @@ def end_distances(pairs: DataFrame, sub_edges: DataFrame, removed: bool, most: i
     return found.select("pair_id", "node_id", F.when(F.col("t") == 0, 0).otherwise(F.col("s")).alias("s"), F.when(F.col("s") == 0, 0).otherwise(F.col("t")).alias("t"))
 
 
+def _degree_label(d: Column) -> Column:
+    return F.array(F.least(F.coalesce(d, F.lit(0)), F.lit(100)).cast("int"))
+
+
+def _distance_label(cap: int | None) -> Column:
+    """The label of columns s and t: both, held to cap, or without cap DRNL's number."""
+    s, t = F.col("s"), F.col("t")
+    if cap is not None:
+        return F.array(*[F.coalesce(F.least(x, F.lit(cap)), F.lit(cap)) for x in (s, t)])
+    half, odd = F.floor((s + t) / 2).cast("int"), (s + t) % 2
+    return F.array(F.when((s == 0) | (t == 0), 1).when(s.isNull() | t.isNull(), 0).otherwise(1 + F.least(s, t) + half * (half + odd - 1)).cast("int"))
+
+
 def labels(pairs: DataFrame, nodes: DataFrame, sub_edges: DataFrame, kind: str) -> DataFrame:
     """(pair_id, node_id, z array<int>): the structural label of every node of each pair's subgraph. hop, zo and degree
     are plain expressions; drnl, de and de+ come from end_distances, where an end is a node at distance 0; others give 0."""
@@ -142,18 +155,12 @@ def labels(pairs: DataFrame, nodes: DataFrame, sub_edges: DataFrame, kind: str)
         return nodes.select("pair_id", "node_id", F.array((F.col("dist") == 0).cast("int")).alias("z"))
     if kind == "degree":
         n = sub_edges.groupBy("pair_id", F.col("v").alias("node_id")).agg(F.sum("w").alias("d"))
-        return nodes.join(n, ["pair_id", "node_id"], "left").select("pair_id", "node_id", F.array(F.least(F.coalesce("d", F.lit(0)), F.lit(100)).cast("int")).alias("z"))
+        return nodes.join(n, ["pair_id", "node_id"], "left").select("pair_id", "node_id", _degree_label(F.col("d")).alias("z"))
     if kind not in DISTANCE_LABELS:
         return nodes.select("pair_id", "node_id", F.array(F.lit(0)).alias("z"))
     removed, cap = DISTANCE_LABELS[kind]
     far = end_distances(pairs, sub_edges, removed, None if cap is None else cap - 1)
-    s, t = F.col("s"), F.col("t")
-    if cap is None:
-        half, odd = F.floor((s + t) / 2).cast("int"), (s + t) % 2
-        z = F.array(F.when((s == 0) | (t == 0), 1).when(s.isNull() | t.isNull(), 0).otherwise(1 + F.least(s, t) + half * (half + odd - 1)).cast("int"))
-    else:
-        z = F.array(*[F.coalesce(F.least(x, F.lit(cap)), F.lit(cap)) for x in (s, t)])
-    return nodes.join(far, ["pair_id", "node_id"], "left").select("pair_id", "node_id", z.alias("z"))
+    return nodes.join(far, ["pair_id", "node_id"], "left").select("pair_id", "node_id", _distance_label(cap).alias("z"))
 
 
 def local_ids(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -234,10 +241,10 @@ def triangles(edges: DataFrame) -> DataFrame:
     return written(wedges.join(ends.select(F.least("low", "high").alias("b"), F.greatest("low", "high").alias("c")), ["b", "c"]).select(F.col("low").alias("a"), "b", "c"), "triangles")
 
 
-def _common(edges: DataFrame) -> DataFrame:
-    """(src, dst, id): for each edge, as src < dst, the neighbours that its ends share."""
+def _sides(found: DataFrame) -> DataFrame:
+    """(src, dst, id): of triangles, for each edge, as src < dst, the neighbours that its ends share."""
     sides = F.array(*[F.struct(F.least(u, v).alias("src"), F.greatest(u, v).alias("dst"), F.col(w).alias("id")) for u, v, w in (("a", "b", "c"), ("a", "c", "b"), ("b", "c", "a"))])
-    return triangles(edges).select(F.explode(sides).alias("x")).select("x.*")
+    return found.select(F.explode(sides).alias("x")).select("x.*")
 
 
 def near_mean_pool(pairs: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -259,7 +266,7 @@ def near_mean_pool(pairs: DataFrame, edges: DataFrame, vectors: DataFrame) -> Da
         return each.select(*by, "n", F.array(*[f"s{i}" for i in range(dim)]).alias("s"))
 
     around = written(sums(edges.select("src", F.col("dst").alias("id")).repartition("src").distinct(), ["src"]), "around")
-    shared = sums(_common(edges), ["src", "dst"]).select("src", "dst", F.col("n").alias("cn"), F.col("s").alias("cs"))
+    shared = sums(_sides(triangles(edges)), ["src", "dst"]).select("src", "dst", F.col("n").alias("cn"), F.col("s").alias("cs"))
     at = lookups(around, "src", "s")
     out = pairs.select("pair_id", "src", "dst").join(shared, ["src", "dst"], "left")
     for end, x in (("src", "a"), ("dst", "b")):
@@ -299,4 +306,158 @@ def near_sort_pool(pairs: DataFrame, edges: DataFrame, vectors: DataFrame, k: in
     return rows.select("pair_id", F.concat(x, F.array_repeat(F.lit(0.0), F.lit(k * dim) - F.size("x"))).alias("pooled"))
 
 
-__all__ = ["Batches", "batched", "end_distances", "induced_pairwise", "induced_scan", "k_hop_nodes", "labels", "local_ids", "mean_pool", "near_mean_pool", "near_sort_pool", "sort_pool", "sort_pool_size", "swapped", "triangles"]
+def _squares(edges: DataFrame) -> DataFrame:
+    """(src, dst, by_src, by_dst): for each edge, as src < dst, and each way around it over three others, by_src being the
+    neighbour of src and by_dst that of dst. A ring of four is found from its node of the most neighbours, as two
+    nodes that both link that one with the one across, so that hubs aren't wedged through."""
+    once = _once(edges)
+    both = once.unionByName(swapped(once))
+    n = both.groupBy("src").agg(F.count("*").alias("n"))
+    both = both.join(n, "src").join(n.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst")
+    rank = F.struct(F.col("m").alias("n"), F.col("dst").alias("id"))
+    sides = both.select(F.col("src").alias("c"), F.col("dst").alias("x"), rank.alias("r"), (rank > F.struct("n", F.col("src").alias("id"))).alias("up"))
+    a, b = sides.where("up").select("c", F.col("x").alias("a"), F.col("r").alias("ar")), sides.select("c", F.col("x").alias("b"), F.col("r").alias("br"))
+    wedges = a.join(b, "c").where("br < ar").select("a", "b", "c")
+    rings = wedges.join(wedges.withColumnRenamed("c", "d"), ["a", "b"]).where("c < d")
+
+    def around(x: str, y: str, p: str, q: str) -> Column:  # y next to p, p to q, q to x
+        first = F.col(x) < F.col(y)
+        return F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"), F.when(first, F.col(q)).otherwise(F.col(p)).alias("by_src"), F.when(first, F.col(p)).otherwise(F.col(q)).alias("by_dst"))
+
+    sides = F.array(around("a", "c", "b", "d"), around("c", "b", "d", "a"), around("b", "d", "a", "c"), around("d", "a", "c", "b"))
+    return rings.select(F.explode(sides).alias("x")).select("x.*")
+
+
+@dataclass(frozen=True)
+class Near:
+    """The one-hop subgraphs of pairs (pair_id, src, dst), src < dst, that are edges of a symmetric graph without loops, in
+    parts that are no larger than what they say, none of them a row for every link. inner: (pair_id, u, v, us, ut, vs,
+    vt), links u < v that meet neither end, and whether u and v (1 or 0) are neighbours of src and of dst, a written
+    table; shared: (pair_id, n), pairs whose ends share neighbours, and how many, a written table. All other links are
+    those of the ends with their neighbours, which star gives from the edges themselves."""
+
+    pairs: DataFrame
+    edges: DataFrame
+    inner: DataFrame
+    shared: DataFrame
+
+    def star(self, *more: str) -> DataFrame:
+        """(pair_id, node_id, s, t, end): each end's neighbours but the other end, with s = 1 for src, t = 1 for dst,
+        null else, the end, and what else pairs has by more."""
+        e = self.edges.select(F.col("src").alias("end"), F.col("dst").alias("node_id"))
+        sides = []
+        for end, other, s, t in (("src", "dst", 1, None), ("dst", "src", None, 1)):
+            near = self.pairs.select("pair_id", F.col(end).alias("end"), F.col(other).alias("__other"), *more).join(e, "end").where("node_id <> __other")
+            sides.append(near.select("pair_id", "node_id", F.lit(s).cast("int").alias("s"), F.lit(t).cast("int").alias("t"), "end", *more))
+        return sides[0].unionByName(sides[1])
+
+
+def near(pairs: DataFrame, edges: DataFrame) -> Near:
+    """The one-hop subgraphs of pairs that are edges. Links that meet neither end come from the graph's triangles, each
+    once for the pairs of each of its nodes, and its rings of four, so that no two neighbours are tried for a link."""
+    pairs = pairs.select("pair_id", "src", "dst")
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    tri = triangles(edges)
+    corners = F.array(*[F.struct(F.col(x).alias("end"), F.least(u, v).alias("u"), F.greatest(u, v).alias("v")) for x, u, v in (("a", "b", "c"), ("b", "a", "c"), ("c", "a", "b"))])
+    across = tri.select(F.explode(corners).alias("x")).select("x.*")
+    by_end = pairs.select("pair_id", F.explode(F.array(F.struct(F.col("src").alias("end"), F.col("dst").alias("other"), F.lit(1).alias("s"), F.lit(0).alias("t")), F.struct(F.col("dst").alias("end"), F.col("src").alias("other"), F.lit(0).alias("s"), F.lit(1).alias("t")))).alias("x")).select("pair_id", "x.*")
+    one = across.join(by_end, "end").where("u <> other and v <> other").select("pair_id", "u", "v", F.col("s").alias("us"), F.col("t").alias("ut"), F.col("s").alias("vs"), F.col("t").alias("vt"))
+    two = _squares(edges).join(pairs, ["src", "dst"])
+    first = (F.col("by_src") < F.col("by_dst")).cast("int")
+    two = two.select("pair_id", F.least("by_src", "by_dst").alias("u"), F.greatest("by_src", "by_dst").alias("v"), first.alias("us"), (1 - first).alias("ut"), (1 - first).alias("vs"), first.alias("vt"))
+    flags = ["us", "ut", "vs", "vt"]
+    inner = written(one.unionByName(two).groupBy("pair_id", "u", "v").agg(*[F.max(c).alias(c) for c in flags]), "inner")
+    shared = written(_sides(tri).groupBy("src", "dst").agg(F.count("*").alias("n")).join(pairs, ["src", "dst"]).select("pair_id", "n"), "shared")
+    discard(tri)
+    return Near(pairs, edges, inner, shared)
+
+
+def near_induced(at: Near) -> DataFrame:
+    """induced_pairwise of one-hop subgraphs: (pair_id, u, v, w)."""
+    links = at.star().select("pair_id", F.col("end").alias("u"), F.col("node_id").alias("v")).unionByName(at.inner.select("pair_id", "u", "v"))
+    both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")
+    return links.select("pair_id", both).select("pair_id", "x.u", "x.v", F.lit(1).alias("w"))
+
+
+def _inner_distances(at: Near, most: int | None) -> DataFrame:
+    """(pair_id, node_id, s, t): how far nodes with links that meet neither end are from src and dst without the other
+    one, up to most steps: a breadth-first search over these links alone, from the ends' neighbours among them."""
+    sides = F.array(*[F.struct(F.col(x).alias("node_id"), F.col(y).alias("to"), F.col(f"{x}s").alias("s"), F.col(f"{x}t").alias("t")) for x, y in (("u", "v"), ("v", "u"))])
+    ways = written(at.inner.select("pair_id", F.explode(sides).alias("x")).select("pair_id", "x.*"), "ways")
+    flagged = F.filter(F.array(F.when(F.col("s") == 1, 0), F.when(F.col("t") == 1, 1)), lambda x: x.isNotNull())
+    frontier = written(ways.select("pair_id", F.explode(flagged).alias("end"), "node_id").distinct().withColumn("d", F.lit(1)), "frontier")
+    known, step, steps = frontier, 1, ways.select("pair_id", "node_id", "to")
+    while most is None or step < most:
+        step += 1
+        there = frontier.select("pair_id", "end", "node_id").join(steps, ["pair_id", "node_id"]).select("pair_id", "end", F.col("to").alias("node_id")).distinct()
+        frontier = written(there.join(known, ["pair_id", "end", "node_id"], "left_anti").withColumn("d", F.lit(step)), "frontier")
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+    of = lambda end: F.when(F.col("end") == end, F.col("d"))
+    return known.select("pair_id", "node_id", of(0).alias("s"), of(1).alias("t"))
+
+
+def near_labels(at: Near, kind: str) -> DataFrame:
+    """labels of one-hop subgraphs: (pair_id, node_id, z), for degree, drnl, de and de+. A node's row is shuffled once, for
+    each end that it is a neighbour of. Distances beyond one come from links that meet neither end; de's, which may lead
+    over the other end, are held to three, and three are what such a way has at least, except that the ends are two
+    apart if they share a neighbour."""
+    if kind == "degree":
+        return _near_nodes(at).select("pair_id", "node_id", _degree_label(F.col("d")).alias("z"))
+    removed, cap = DISTANCE_LABELS[kind]
+    if not removed and (cap is None or cap > 3):
+        raise ValueError("ways over the other end are looked at up to three steps")
+    inner = _inner_distances(at, None if cap is None else cap - 1)
+    apart = F.lit(0) if removed else F.when(F.col("n").isNotNull(), 2)
+    joined = at.pairs if removed else at.pairs.join(at.shared, "pair_id", "left")
+    ends = joined.select("pair_id", F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit(0).alias("s"), apart.alias("t")), F.struct(F.col("dst").alias("node_id"), apart.alias("s"), F.lit(0).alias("t")))).alias("x")).select("pair_id", "x.*")
+    rows = at.star().select("pair_id", "node_id", "s", "t").unionByName(inner).unionByName(ends)
+    return rows.groupBy("pair_id", "node_id").agg(F.min("s").alias("s"), F.min("t").alias("t")).select("pair_id", "node_id", _distance_label(cap).alias("z"))
+
+
+def _near_nodes(at: Near, *more: str) -> DataFrame:
+    """(pair_id, node_id, first, s, t, d, and what else pairs has by more): all nodes of the subgraphs; first is 0 and 1
+    for the ends and 2 for others, s and t are 1 for neighbours of src and dst, d is the node's links, inner 1 if any of them meets neither end. Rows lie by pair_id,
+    as each pair's are numbered next."""
+    n = at.edges.groupBy("src").agg((F.count("*") - 1).alias("n"))
+    sides = at.pairs.join(n.withColumnRenamed("n", "a"), "src").join(n.select(F.col("src").alias("dst"), F.col("n").alias("b")), "dst")
+    ends = F.array(F.struct(F.col("src").alias("node_id"), F.lit(0).alias("first"), F.col("a").alias("d")), F.struct(F.col("dst").alias("node_id"), F.lit(1).alias("first"), F.col("b").alias("d")))
+    ends = sides.select("pair_id", *more, F.explode(ends).alias("x")).select("pair_id", "x.*", F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("t"), F.lit(0).alias("inner"), *more)
+    star = at.star(*more).select("pair_id", "node_id", F.lit(2).alias("first"), F.lit(1).cast("long").alias("d"), "s", "t", F.lit(0).alias("inner"), *more)
+    inner = at.inner.select("pair_id", F.explode(F.array("u", "v")).alias("node_id")).groupBy("pair_id", "node_id").agg(F.count("*").alias("d"))
+    none = [F.lit(None).cast(dict(at.pairs.dtypes)[c]).alias(c) for c in more]
+    inner = inner.select("pair_id", "node_id", F.lit(2).alias("first"), "d", F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("t"), F.lit(1).alias("inner"), *none)
+    rows = ends.unionByName(star).unionByName(inner).repartition("pair_id")
+    return rows.groupBy("pair_id", "node_id").agg(F.sum("d").alias("d"), *[F.max(c).alias(c) for c in ("first", "s", "t", "inner", *more)])
+
+
+def near_batched(pairs: DataFrame, edges: DataFrame, size: int) -> Batches:
+    """batched of one-hop subgraphs in the order of pair_id, labelled by degree. How many nodes a pair has, and so where
+    its nodes begin in the batch, is known from degrees and shared neighbours before any node is looked at; links of
+    the ends take their numbers from the nodes' rows, and only links that meet neither end are looked up."""
+    at = near(pairs, edges)
+    n = at.edges.groupBy("src").agg(F.count("*").alias("n"))
+    graphs = in_order(at.pairs, ["pair_id"]).join(n.withColumnRenamed("n", "a"), "src").join(n.select(F.col("src").alias("dst"), F.col("n").alias("b")), "dst")
+    graphs = graphs.join(at.shared, "pair_id", "left").withColumn("num_nodes", F.col("a") + F.col("b") - F.coalesce("n", F.lit(0)))
+    graphs = graphs.withColumn("batch", F.floor(F.col("pos") / size).cast("long")).withColumn("graph", F.pmod("pos", F.lit(size)).cast("int"))
+    before = Window.partitionBy("batch").orderBy("graph").rowsBetween(Window.unboundedPreceding, 0)
+    graphs = written(graphs.select("pair_id", "src", "dst", "batch", "graph", "num_nodes", (F.sum("num_nodes").over(before) - F.col("num_nodes")).alias("first_node")), "graphs")
+    more = ["batch", "graph", "first_node"]
+    found = _near_nodes(Near(graphs, at.edges, at.inner, at.shared), *more)
+    # the ends' rows have all of more, and so has every other row with a neighbour
+    local = F.row_number().over(Window.partitionBy("pair_id").orderBy("first", "node_id")) - 1
+    placed = found.select("pair_id", *more, "node_id", F.when(F.col("first") < 2, 0).otherwise(1).alias("dist"), "s", "t", "d", "inner", (F.col("first_node") + local).alias("node"))
+    placed = written(placed, "placed")
+    nodes = placed.select("batch", "node", "graph", "node_id", "dist", _degree_label(F.col("d")).alias("z"))
+    ends = F.filter(F.array(F.when(F.col("s") == 1, F.col("first_node")), F.when(F.col("t") == 1, F.col("first_node") + 1)), lambda x: x.isNotNull())
+    star = placed.where("dist = 1").select("batch", "graph", F.col("node").alias("v"), F.explode(ends).alias("u"))
+    held = placed.where("inner = 1")
+    u, v = (held.select("pair_id", F.col("node_id").alias(c), F.col("node").alias(f"{c}_node")) for c in ("u", "v"))
+    inner = at.inner.select("pair_id", "u", "v").join(u, ["pair_id", "u"]).join(v, ["pair_id", "v"]).join(graphs.select("pair_id", "batch", "graph"), "pair_id")
+    links = star.select("batch", "graph", "u", "v").unionByName(inner.select("batch", "graph", F.col("u_node").alias("u"), F.col("v_node").alias("v")))
+    both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")
+    return Batches(graphs.select("batch", "graph", "pair_id", "src", "dst", "num_nodes", "first_node"), nodes, links.select("batch", "graph", both).select("batch", "graph", "x.u", "x.v", F.lit(1).alias("w")))
+
+
+__all__ = ["Batches", "batched", "end_distances", "induced_pairwise", "induced_scan", "k_hop_nodes", "labels", "local_ids", "mean_pool", "near", "near_batched", "near_induced", "near_labels", "near_mean_pool", "near_sort_pool", "sort_pool", "sort_pool_size", "swapped", "triangles"]

@@ -585,3 +585,31 @@ def test_near_pools_are_those_of_whole_subgraphs(spark, monkeypatch, parts):
     assert tidy(subgraphs.near_sort_pool(pairs, e, v, 3)) == tidy(subgraphs.sort_pool(nodes, v, 3))
     odd = v.withColumn("embedding", F.when(F.col("id") == 0, F.array(*[F.lit(float("inf")).cast("float")] * 4)).otherwise(F.col("embedding")))
     assert tidy(subgraphs.near_mean_pool(pairs, e, odd)) == tidy(subgraphs.mean_pool(nodes, odd))
+
+
+@pytest.mark.parametrize("nodes, links", [(60, 40), (30, 120), (9, 30)])
+def test_near_subgraphs_are_those_of_any_hops(spark, nodes, links):
+    """Sparse, with a hub, and nearly complete: the same links, labels and batches as from subgraphs that are spread out."""
+    e, pairs = linked(spark, nodes, links, nodes)
+    whole = subgraphs.k_hop_nodes(pairs, e, 1)
+    inside = subgraphs.induced_pairwise(pairs, whole, e).localCheckpoint()
+    at = subgraphs.near(pairs, e)
+    assert rows(subgraphs.near_induced(at)) == rows(inside)
+    for kind in ("degree", "drnl", "de", "de+"):
+        assert rows(subgraphs.near_labels(at, kind)) == rows(subgraphs.labels(pairs, whole, inside, kind)), kind
+    old = subgraphs.batched(pairs, whole, inside, 7, subgraphs.labels(pairs, whole, inside, "degree"))
+    new = subgraphs.near_batched(pairs, e, 7)
+    tidy = lambda d: sorted(map(repr, (r.asDict() for r in d.select(*sorted(d.columns)).collect())))
+    for part in ("graphs", "nodes", "edges"):
+        assert tidy(getattr(new, part)) == tidy(getattr(old, part)), part
+
+
+def test_near_subgraphs_try_no_two_neighbours(spark):
+    """A ring of 400 with a hub in its middle, which would make 80,000 wedges for each of its pairs: the inner links are
+    those that there are, and triangles as many as the ring's links."""
+    n = 400
+    some = sorted({(0, i) for i in range(1, n + 1)} | {tuple(sorted((i, i % n + 1))) for i in range(1, n + 1)})
+    e = make(spark, some + [(b, a) for a, b in some], n + 1).edges
+    at = subgraphs.near(spark.createDataFrame([(1000 * a + b, a, b) for a, b in some], "pair_id long, src int, dst int"), e)
+    assert at.inner.count() == n * n  # n - 2 for each pair of the hub, two for each of the ring
+    assert subgraphs.triangles(e).count() == n
