@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import discard, written
+from edgeloom.cluster import discard, looked_up, lookups, written
 from edgeloom.functions.hashing import draw, uniform
 from edgeloom.functions.vectors import EDGE_FEATURES, dot, sigmoid
 
@@ -15,9 +15,12 @@ from edgeloom.functions.vectors import EDGE_FEATURES, dot, sigmoid
 def with_ends(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """pairs (src, dst, ...) with the embeddings of the smaller and the larger id, so that a pair and its reverse look
     the same; src stays for grouping. Pairs without an embedding at either end are left out."""
-    ends = pairs.withColumn("__lo", F.least("src", "dst")).withColumn("__hi", F.greatest("src", "dst"))
-    lo, hi = (vectors.select(F.col("id").alias(k), F.col("embedding").alias(v)) for k, v in (("__lo", "lo_vec"), ("__hi", "hi_vec")))
-    return ends.join(lo, "__lo").join(hi, "__hi").select(*pairs.columns, "lo_vec", "hi_vec")
+    out = pairs.withColumn("__lo", F.least("src", "dst")).withColumn("__hi", F.greatest("src", "dst"))
+    parts = lookups(vectors, "id", "embedding")
+    for key, name in (("__lo", "lo_vec"), ("__hi", "hi_vec")):
+        of = lambda t: t.select(F.col("id").alias(key), F.col("embedding").alias(name))  # noqa: B023, E731
+        out = looked_up(out, of(vectors), key, name, None if parts is None else [of(t) for t in parts])
+    return out.select(*pairs.columns, "lo_vec", "hi_vec")
 
 
 def edge_features(pairs: DataFrame, vectors: DataFrame, how: str) -> DataFrame:

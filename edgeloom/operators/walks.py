@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import broadcast_checked, bucketed, discard, written
+from edgeloom.cluster import broadcast_checked, bucketed, discard, looked_up, lookups, written
 from edgeloom.functions.hashing import draw, uniform
 from edgeloom.functions.vectors import dot, minus_log_sigmoid
 from edgeloom.operators.graph import Graph, in_order, numbered_neighbours
@@ -156,8 +156,12 @@ def epoch_order(g: Graph, seed: int, epoch: int) -> DataFrame:
 
 
 def _with_vectors(pairs: DataFrame, vectors: DataFrame, a: str, b: str) -> DataFrame:
-    va, vb = vectors.select(F.col("id").alias(a), F.col("embedding").alias("va")), vectors.select(F.col("id").alias(b), F.col("embedding").alias("vb"))
-    return pairs.join(va, a).join(vb, b)
+    """pairs with the vectors va and vb of their columns a and b, looked up by broadcast where that is allowed."""
+    parts, out = lookups(vectors, "id", "embedding"), pairs
+    for key, name in ((a, "va"), (b, "vb")):
+        of = lambda t: t.select(F.col("id").alias(key), F.col("embedding").alias(name))  # noqa: B023, E731
+        out = looked_up(out, of(vectors), key, name, None if parts is None else [of(t) for t in parts])
+    return out
 
 
 def skipgram_loss(positive: DataFrame, negative: DataFrame, vectors: DataFrame, num_nodes: int, nce_bias: bool = False) -> DataFrame:

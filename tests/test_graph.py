@@ -613,3 +613,23 @@ def test_near_subgraphs_try_no_two_neighbours(spark):
     at = subgraphs.near(spark.createDataFrame([(1000 * a + b, a, b) for a, b in some], "pair_id long, src int, dst int"), e)
     assert at.inner.count() == n * n  # n - 2 for each pair of the hub, two for each of the ring
     assert subgraphs.triangles(e).count() == n
+
+
+def test_vectors_of_pairs_are_looked_up_where_pairs_lie(request, spark, monkeypatch):
+    """By one broadcast, by several and by shuffles, with the same scores; only the latter shuffle vectors."""
+    e, _ = linked(spark, 40, 90, 5)
+    v = features.initial_embeddings(spark.range(36).select(F.col("id").cast("int").alias("id")), 4, seed=3)
+    fake = e.select(F.col("src").alias("anchor"), F.pmod(F.col("dst") + 1, F.lit(36)).cast("int").alias("context"))
+    want, least = None, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(least)
+    spark.conf.set(least, "-1")
+    request.addfinalizer(lambda: spark.conf.set(least, before))
+    for size in (cluster.BROADCAST_BYTES, 36 * 48 // 3, 1):
+        monkeypatch.setattr(cluster, "BROADCAST_BYTES", size)
+        scored = features.dot_scores(e.select("src", "dst"), v)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange hashpartitioning" in plan) == (size == 1)
+        loss = walks.skipgram_loss(e.select(F.col("src").alias("anchor"), F.col("dst").alias("context")), fake, v, 40).first().loss
+        got = (rows(scored), round(loss, 12))
+        assert want in (None, got)
+        want = got
