@@ -33,13 +33,17 @@ def k_hop_nodes(pairs: DataFrame, edges: DataFrame, hops: int, max_per_hop: int
             drawn = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: draw(F.col("n"), seed, "pair_id", "src", F.lit(hop), i))
             asked = wide.select("pair_id", "src", F.explode(F.when(F.col("n") <= F.col("k"), F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).otherwise(drawn)).alias("i"))
             near = asked.join(rows.select("src", F.col("i").cast("long").alias("i"), "dst"), ["src", "i"]).select("pair_id", F.col("dst").alias("node_id"))
-        fresh = near.distinct().join(known.select("pair_id", "node_id"), ["pair_id", "node_id"], "left_anti")
         if ratio < 1 or max_per_hop is not None:
+            # rows lie by pair, so that neither repeats nor known nodes nor the windows shuffle them again
+            met = near.withColumn("dist", F.lit(hop)).unionByName(known.select("pair_id", "node_id", "dist")).repartition("pair_id")
+            fresh = met.groupBy("pair_id", "node_id").agg(F.min("dist").alias("dist")).where(F.col("dist") == hop).select("pair_id", "node_id")
             w = Window.partitionBy("pair_id").orderBy(uniform(seed, "pair_id", "node_id", F.lit(hop)), "node_id")
             n = F.count("*").over(Window.partitionBy("pair_id"))
             most = F.floor(n * ratio) if ratio < 1 else n
             most = F.least(most, F.lit(max_per_hop)) if max_per_hop is not None else most
             fresh = fresh.select("*", F.row_number().over(w).alias("__n"), most.alias("__most")).where("__n <= __most").select("pair_id", "node_id")
+        else:
+            fresh = near.distinct().join(known.select("pair_id", "node_id"), ["pair_id", "node_id"], "left_anti")
         frontier = written(fresh.withColumn("dist", F.lit(hop)), "frontier")
         known = known.unionByName(frontier)
         if hop < hops and frontier.isEmpty():

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from edgeloom import cluster
 from edgeloom.functions import hashing, vectors
 from edgeloom.operators import features, graph, metrics, negatives, splits, subgraphs, walks
+from edgeloom.plans import queries
 from edgeloom.sources import csr
 from edgeloom.sources.tables import customer_graph
 from tests.conftest import SF
@@ -633,3 +634,13 @@ def test_vectors_of_pairs_are_looked_up_where_pairs_lie(request, spark, monkeypa
         got = (rows(scored), round(loss, 12))
         assert want in (None, got)
         want = got
+
+
+def test_strange_rows_of_sampled_subgraphs_are_told(spark):
+    """What an anti-join with whole subgraphs leaves; rows that are made up are among it, drawn ones aren't."""
+    e, pairs = linked(spark, 30, 40, 2)
+    whole = subgraphs.k_hop_nodes(pairs, e, 1)
+    for kept in ({"max_per_hop": 3}, {"ratio": 0.5}, {"max_per_hop": 3, "oversample": 1.5}):
+        assert queries._strange(subgraphs.k_hop_nodes(pairs, e, 1, seed=7, **kept), pairs, e).count() == 0
+    made = pairs.select("pair_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("node_id")).withColumn("dist", F.explode(F.array(F.lit(0), F.lit(1))))
+    assert rows(queries._strange(made, pairs, e)) == rows(made.join(whole, ["pair_id", "node_id", "dist"], "left_anti").select("pair_id", "node_id"))
