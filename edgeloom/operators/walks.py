@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.cluster import broadcast_checked, bucketed, discard, looked_up, lookups, written
@@ -19,89 +19,131 @@ def _starts(g: Graph, walks_per_node: int) -> DataFrame:
     return w.select((F.col("r").cast("long") * g.num_nodes + F.col("id")).alias("walk_id"), F.col("id").alias("at"), F.array("id").alias("walk"))
 
 
+#: Neighbours that a node may have to be listed in one row; those of others are numbered edges.
+LOOK = 64
+#: Neighbours that a step of a biased walk draws at once at a node of more than LOOK; if none is accepted it draws up to LOOK.
+DRAWS = 4
+
+
+def _neighbours(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(near, far): near (at, dsts array<int>, hub) has a row for each node with neighbours, which lists up to LOOK of them
+    in their order, in buckets by node; at hubs, which have more, the list is null, and far (src, i, dst, n) has their
+    edges by number, in buckets by both. Without hubs far is none.
+
+    Lists are cut after LOOK + 1 before the shuffle, so a hub sends few rows to its list, and only hubs are numbered."""
+    cut = edges.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy("dst")).alias("k")).where(F.col("k") <= LOOK + 1)
+    lists = cut.groupBy(F.col("src").alias("at")).agg(F.sort_array(F.collect_list("dst")).alias("dsts"))
+    hub = F.size("dsts") > LOOK
+    near = bucketed(lists.select("at", F.when(~hub, F.col("dsts")).alias("dsts"), hub.alias("hub")), ["at"], "neighbours")
+    hubs = near.where("hub").select(F.col("at").alias("src"))
+    if hubs.isEmpty():
+        return near, None
+    some = edges.select("src", "dst").join(broadcast_checked(hubs), "src", "left_semi")
+    return near, bucketed(numbered_neighbours(some).select("src", "i", "dst", "n"), ["src", "i"], "far")
+
+
 def uniform_walks(g: Graph, length: int, walks_per_node: int = 1, seed: int = 0) -> DataFrame:
     """(walk_id, walk array<int> of length nodes): from every node walks_per_node walks, each step to a neighbour drawn
     by a hash of seed, walk and step; a node without neighbours stays where it is.
 
-    A step joins the number drawn with the one edge of that number, so walks at a hub spread over its edges. Edges are
-    written once in buckets by node and number, and a step shuffles the walkers alone."""
-    rows = bucketed(numbered_neighbours(g.edges), ["src", "i"], "neighbours")
-    edge = rows.select(F.col("src").alias("at"), "i", "dst", "dst_n")
-    n = rows.where("i = 0").select(F.col("src").alias("at"), "n")
-    w = _starts(g, walks_per_node).join(n, "at", "left").select("walk_id", "at", "n", "walk")
+    A step takes the number drawn from the node's list or, at a hub, joins it with the one edge of that number, so walks
+    at a hub spread over its edges. Lists and edges are written once in buckets, and a step shuffles the walkers alone."""
+    near, far = _neighbours(g.edges)
+    w = _starts(g, walks_per_node)
     last = None
     for step in range(1, length):
-        drawn = w.withColumn("i", draw(F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)), seed, "walk_id", F.lit(step)))
-        w = drawn.join(edge, ["at", "i"], "left").select("walk_id", F.coalesce("dst", "at").alias("at"), F.coalesce("dst_n", F.lit(0)).alias("n"), "walk")
-        w = w.select("walk_id", "at", "n", F.concat("walk", F.array("at")).alias("walk"))
-        if step % STEPS_PER_TABLE == 0:
+        number = lambda n: draw(n, seed, "walk_id", F.lit(step))  # noqa: B023, E731
+        met = w.join(near, "at", "left").withColumn("to", F.get("dsts", number(F.greatest(F.size("dsts"), F.lit(1)).cast("long")).cast("int")))
+        if far is not None:
+            met = written(met.select("walk_id", "at", "walk", "to", F.coalesce("hub", F.lit(False)).alias("hub")), "steps")
+            n = far.where("i = 0").select(F.col("src").alias("at"), F.col("n").cast("long").alias("n"))
+            drawn = met.where("hub").drop("to").join(n, "at").withColumn("i", number(F.col("n")))
+            drawn = drawn.join(far.select(F.col("src").alias("at"), "i", F.col("dst").alias("to")), ["at", "i"])
+            discard(*([last] if last is not None else []))
+            last, met = met, met.where("not hub").select("walk_id", "at", "walk", "to").unionByName(drawn.select("walk_id", "at", "walk", "to"))
+        w = met.select("walk_id", F.coalesce("to", "at").alias("at"), "walk").select("walk_id", "at", F.concat("walk", F.array("at")).alias("walk"))
+        if far is None and step % STEPS_PER_TABLE == 0:
             w = written(w, "walks")
             discard(*([last] if last is not None else []))
             last = w
     return w.select("walk_id", "walk")
 
 
-#: Neighbours that a step of a biased walk looks at one by one; of more it draws so many, the first few in a round of their own.
-LOOK = 64
-DRAWS = 4
-
-
 def biased_walks(g: Graph, length: int, p: float, q: float, walks_per_node: int = 1, seed: int = 0) -> DataFrame:
     """As uniform_walks, by second-order weights: 1/p back to where the walk came from, 1 to its neighbours, 1/q to all
     others; the first step is uniform.
 
     At a node of up to LOOK neighbours a step looks at all of them and takes the first arrival of exponential races
-    (the least of -log(u) / weight), which min_by keeps as one row for each walk before the shuffle. At others it draws
+    (the least of -log(u) / weight). The node's list comes to the walker, which brings along the list of the node before, so
+    that both are compared in one row, and a step shuffles each walker once. At hubs it draws
     neighbours by number and takes the first that is accepted, with the chance of its weight over the largest: the same
     chances, at the cost of DRAWS rows for most and LOOK rows for those that accept none of these. The few walks that
-    accept none at all look at all neighbours after all. Edges are written in buckets by node and number, and once more by
-    both ends, so that a step shuffles walkers and what they draw, and no edges.
+    accept none at all look at all neighbours after all. What comes from a hub, whose list no walker brings along, is
+    looked up in the hubs' edges. These are written in buckets by node and number, and once more by both ends, so that a
+    step shuffles walkers and what they draw, and no edges.
     """
     once = written(g.edges.select("src", "dst").distinct(), "once")
-    rows = bucketed(numbered_neighbours(once), ["src", "i"], "neighbours")
+    near, far = _neighbours(once)
     discard(once)
-    edge = rows.select(F.col("src").alias("at"), "i", F.col("dst").alias("x"), F.col("dst_n").alias("xn"))
-    known = bucketed(rows.select(F.col("src").alias("prev"), F.col("dst").alias("x")), ["prev", "x"], "known").withColumn("common", F.lit(True))
-    n = rows.where("i = 0").select(F.col("src").alias("at"), "n")
+    if far is not None:
+        edge = far.select(F.col("src").alias("at"), "i", F.col("dst").alias("x"))
+        n = far.where("i = 0").select(F.col("src").alias("at"), F.col("n").cast("long").alias("n"))
+        known = bucketed(far.select(F.col("src").alias("prev"), F.col("dst").alias("x")), ["prev", "x"], "known").withColumn("common", F.lit(True))
     most = max(1 / p, 1.0, 1 / q)
 
-    def weighed(near: DataFrame, first: bool) -> DataFrame:
+    def arrival(step: int, x: Column, weight: Column) -> Column:
+        return -F.log(1 - uniform(seed, "walk_id", F.lit(step), x)) / weight
+
+    def weighed(rows: DataFrame, first: bool) -> DataFrame:
         if first:
-            return near.withColumn("weight", F.lit(1.0))
-        weight = F.when(F.col("x") == F.col("prev"), 1 / p).when(F.col("common"), 1.0).otherwise(1 / q)
-        return near.join(known, ["prev", "x"], "left").withColumn("weight", weight)
+            return rows.withColumn("weight", F.lit(1.0))
+        weight = F.when(F.col("x") == F.col("prev"), 1 / p).when(F.col("common") | F.array_contains("brought", F.col("x")), 1.0).otherwise(1 / q)
+        return rows.join(known, ["prev", "x"], "left").withColumn("weight", weight)
 
     def race(walkers: DataFrame, step: int) -> DataFrame:
-        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("i")
-        wide = weighed(walkers.where("n > 0").select("walk_id", "at", "prev", each).join(edge, ["at", "i"]), step == 1)
-        arrival = -F.log(1 - uniform(seed, "walk_id", F.lit(step), "x")) / F.col("weight")
-        return wide.groupBy("walk_id").agg(F.min_by(F.struct("x", "xn"), F.struct(arrival, "x")).alias("to"))
+        wide = weighed(walkers, step == 1)
+        return wide.groupBy("walk_id").agg(F.min_by("x", F.struct(arrival(step, F.col("x"), F.col("weight")), "x")).alias("x"))
 
     def drawn(walkers: DataFrame, step: int, first: int, last: int) -> DataFrame:
-        tries = walkers.select("walk_id", "at", "prev", "n", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("t")).withColumn("i", draw(F.col("n"), seed, "walk_id", F.lit(step), "t"))
+        tries = walkers.select("walk_id", "at", "prev", "brought", "n", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("t")).withColumn("i", draw(F.col("n"), seed, "walk_id", F.lit(step), "t"))
         met = weighed(tries.join(edge, ["at", "i"]), step == 1).where(uniform(seed, "walk_id", F.lit(step), "t", F.lit("accept")) * most < F.col("weight"))
-        return met.groupBy("walk_id").agg(F.min_by(F.struct("x", "xn"), "t").alias("to"))
-
-    w = _starts(g, walks_per_node).join(n, "at", "left").select("walk_id", F.lit(None).cast("int").alias("prev"), "at", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "walk")
+        return met.groupBy("walk_id").agg(F.min_by("x", "t").alias("x"))
+
+    def looked(step: int) -> Column:
+        """The next node from the list of neighbours, with the list that the walker has brought; null without a list."""
+        if step == 1:
+            weight = lambda x: F.lit(1.0)
+        else:
+            weight = lambda x: F.when(x == F.col("prev"), 1 / p).when(F.array_contains("shared", x), 1.0).otherwise(1 / q)
+        return F.array_min(F.transform("dsts", lambda x: F.struct(arrival(step, x, weight(x)).alias("a"), x.alias("x"))))["x"]
+
+    # brought: the neighbours of prev; null at the start, and where prev is a hub, as from_hub tells
+    w = _starts(g, walks_per_node).select("walk_id", F.lit(None).cast("int").alias("prev"), F.lit(None).cast("array<int>").alias("brought"), F.lit(False).alias("from_hub"), "at", "walk")
     last: list[DataFrame] = []
-    hubs = not n.where(F.col("n") > LOOK).isEmpty()
     for step in range(1, length):
-        rest, parts = w.where(F.col("n") <= LOOK).select("walk_id", "at", "prev", "n"), []
-        if hubs:
-            many = w.where(F.col("n") > LOOK).select("walk_id", "at", "prev", "n")
-            parts.append(written(drawn(many, step, 1, min(DRAWS, LOOK)), "drawn"))
-            if LOOK > DRAWS:
-                parts.append(written(drawn(many.join(parts[0].select("walk_id"), "walk_id", "left_anti"), step, DRAWS + 1, LOOK), "drawn"))
+        met = w.join(near, "at", "left").withColumn("hub", F.coalesce("hub", F.lit(False)))
+        met = met.withColumn("other", F.col("hub") | F.col("from_hub") & F.col("dsts").isNotNull()).withColumn("shared", F.array_intersect("dsts", F.coalesce("brought", F.array().cast("array<int>"))))
+        there = F.when(~F.col("other"), looked(step))
+        kept = F.when(F.col("other"), F.col("brought"))  # what only the others still need
+        met = written(met.select("walk_id", "prev", "at", "walk", "dsts", "hub", "other", kept.alias("brought"), there.alias("x")), "walks")
+        done = met.where("not other")
+        if far is not None:
+            rest = met.where("other").drop("x")
+            many, parts = rest.where("hub").select("walk_id", "at", "prev", "brought").join(n, "at"), []
+            for first, end in ((1, min(DRAWS, LOOK)), (DRAWS + 1, LOOK)):
+                if first <= end:
+                    parts.append(written(drawn(many, step, first, end), "drawn"))
+                    many = many.join(parts[-1].select("walk_id"), "walk_id", "left_anti")
+            each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")
+            wide = many.select("walk_id", "at", "prev", "brought", each).join(edge, ["at", "i"]).select("walk_id", "prev", "brought", "x")
+            taken = race(wide.unionByName(rest.where("not hub").select("walk_id", "prev", "brought", F.explode("dsts").alias("x"))), step)
             for part in parts:
-                many = many.join(part.select("walk_id"), "walk_id", "left_anti")
-            rest = rest.unionByName(many)
-        taken = race(rest, step)
-        for part in parts:
-            taken = taken.unionByName(part)
-        w = w.join(taken, "walk_id", "left").select("walk_id", F.col("at").alias("prev"), F.coalesce("to.x", "at").alias("at"), F.coalesce("to.xn", F.lit(0)).cast("long").alias("n"), "walk")
-        w = written(w.select("walk_id", "prev", "at", "n", F.concat("walk", F.array("at")).alias("walk")), "walks")
-        discard(*last, *parts)
-        last = [w]
+                taken = taken.unionByName(part)
+            done = done.unionByName(rest.join(taken, "walk_id").select(*done.columns))
+        w = done.select("walk_id", F.col("at").alias("prev"), F.col("dsts").alias("brought"), F.col("hub").alias("from_hub"), F.coalesce("x", "at").alias("at"), "walk")
+        w = w.select("walk_id", "prev", "brought", "from_hub", "at", F.concat("walk", F.array("at")).alias("walk"))
+        discard(*last)
+        last = [met, *(parts if far is not None else [])]
     return w.select("walk_id", "walk")
 
 
@@ -146,7 +188,7 @@ def invalid_steps(walks: DataFrame, g: Graph) -> DataFrame:
     """Steps (walk_id, src, dst) along no edge, except that nodes without edges may stay."""
     steps = walks.select("walk_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("walk") - 1), lambda i: F.struct(F.element_at("walk", i).alias("src"), F.element_at("walk", i + 1).alias("dst")))).alias("s")).select("walk_id", "s.*")
     e = g.edges.select("src", "dst").distinct()
-    off = steps.join(e, ["src", "dst"], "left_anti")
+    off = written(steps.join(e, ["src", "dst"], "left_anti"), "off")
     return off.where("src <> dst").unionByName(off.where("src = dst").join(e, "src", "left_semi").select("walk_id", "src", "dst"))
 
 

@@ -180,6 +180,35 @@ def test_biased_walks_draw_at_hubs_as_their_weights_say(spark, monkeypatch):
     assert walks.invalid_steps(w, hub_graph(spark)).count() == 0
 
 
+def test_biased_steps_spread_no_neighbours_where_lists_are_short(spark, monkeypatch):
+    """A step is one row for each walk: no list is exploded, and each table of a step comes of one shuffle of walkers."""
+    plans, before = [], walks.written
+    monkeypatch.setattr(walks, "written", lambda df, tag: plans.append((tag, df._jdf.queryExecution().executedPlan().toString())) or before(df, tag))
+    ring = make(spark, [x for i in range(40) for x in ((i, (i + 1) % 40), ((i + 1) % 40, i))], 41)
+    w = walks.biased_walks(ring, 5, 0.5, 2.0, 2, seed=3)
+    steps = [p for tag, p in plans if tag == "walks"]
+    assert len(steps) == 4 and w.count() == 82 and walks.invalid_steps(w, ring).count() == 0
+    assert all("Aggregate" not in p and "exchange" not in p.lower().replace("broadcastexchange", "").replace("exchange hashpartitioning(at", "") for p in steps)
+    assert not any("Generate" in p for p in steps[1:])  # the first has the walks of a node
+
+
+def test_lists_and_numbered_edges_give_the_same_uniform_walks(spark, customers, monkeypatch):
+    want = sorted(map(tuple, rows(walks.uniform_walks(customers, 6, 2, seed=4).select("walk_id", F.concat_ws(",", "walk")))))
+    for look in (1, 8):
+        monkeypatch.setattr(walks, "LOOK", look)
+        assert sorted(map(tuple, rows(walks.uniform_walks(customers, 6, 2, seed=4).select("walk_id", F.concat_ws(",", "walk"))))) == want
+
+
+@pytest.mark.parametrize("look", [2, 64])
+def test_biased_walks_from_and_at_hubs_follow_their_weights(spark, monkeypatch, look):
+    """From the hub 0 to 1, there: back to 0, to 2, which the hub knows, or to 9, which it doesn't."""
+    monkeypatch.setattr(walks, "LOOK", look)
+    edges = [(0, i) for i in range(1, 6)] + [(1, 0), (1, 2), (1, 9)] + [(i, 0) for i in range(2, 6)] + [(9, 1)]
+    w = walks.biased_walks(make(spark, edges, 10), 3, p=0.5, q=4.0, walks_per_node=3000, seed=5).where("walk[0] = 0 and walk[1] = 1")
+    n = {r.x: r["count"] for r in w.groupBy(F.col("walk")[2].alias("x")).count().collect()}
+    assert all(abs(n[x] / sum(n.values()) - v / 3.25) < 0.06 for x, v in {0: 2, 2: 1, 9: 0.25}.items())
+
+
 def test_pools_and_sampling_stats(spark, customers):
     p = rows(negatives.pools(spark, 50, 3, 40, seed=1))
     assert len(p) == 120 and {r[0] for r in p} == {0, 1, 2} and all(0 <= r[2] < 50 for r in p) and len({r[2] for r in p}) > 30
