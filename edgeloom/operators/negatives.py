@@ -16,21 +16,26 @@ from edgeloom.operators.graph import Graph, numbered_neighbours, swapped, two_ho
 FIRST_ATTEMPTS = 1
 
 
-def _by_rounds(slots: DataFrame, keys: list[str], attempts: int, tries: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(filled, open): for each of slots, known by keys, its first attempt of which tries leaves a row, with that row and
-    its attempt; and the slots for which all fail.
+def _by_rounds(slots: DataFrame, keys: list[str], attempts: int, tries: Callable[[DataFrame], DataFrame], also: tuple[str, ...] | list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(filled, open): for each of slots, known by keys, its first good attempt, as keys, its columns also, and what that attempt got; and
+    the slots for which all fail. tries gives every row back, a slot with an attempt, with got: a struct, attempt included, or
+    null where the attempt fails.
 
     The state is what is still open: a round makes a few attempts for each open slot, writes down every one with what
     it got, and goes on with those that got nothing, so that the usual slot costs one attempt, and only stubborn ones cost
-    many. A round is one job. Repeated slots get the same row each."""
-    left, filled, first, many = written(slots, "slots"), None, 1, FIRST_ATTEMPTS
+    many. A round is one job, and one of a single attempt joins and sorts nothing by slot. Repeated slots get the same row each."""
+    left, filled, first, many = slots, None, 1, FIRST_ATTEMPTS
     while first <= attempts:
         last = min(attempts, first + many - 1)
-        made = tries(left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last))) if last > first else F.lit(first)))
-        got = F.struct(*[c for c in made.columns if c not in keys]).alias("got")
-        made_first = made.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("attempt"))).where("__n = 1").select(*keys, got)
-        done = written(left.join(made_first, keys, "left").withColumn("met", F.col("got").isNotNull()), "round")
-        part = done.where("met").select(*keys, "got.*").select(*made.columns)
+        if last == first:
+            done = tries(left.withColumn("attempt", F.lit(first))).select(*left.columns, "got")
+        else:
+            left = written(left, "slots") if first == 1 else left
+            made = tries(left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last))))).where("got is not null")
+            made_first = made.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("got.attempt"))).where("__n = 1").select(*keys, "got")
+            done = left.join(made_first, keys, "left").select(*left.columns, "got")
+        done = written(done.withColumn("met", F.col("got").isNotNull()), "round")
+        part = done.where("met").select(*keys, *also, "got.*")
         filled = part if filled is None else filled.unionByName(part)
         if first == 1:
             discard(left)
@@ -47,6 +52,11 @@ def _known(edges: DataFrame, both_ways: bool) -> DataFrame:
     return bucketed((e.unionByName(swapped(e)) if both_ways else e).distinct(), ["src", "dst"], "known")
 
 
+def _met(rows: DataFrame, known: DataFrame, a: str, b: str) -> DataFrame:
+    """rows, all of them, with edge: true where their columns a and b are one of known, else null."""
+    return rows.join(known.select(F.col("src").alias(a), F.col("dst").alias(b), F.lit(True).alias("edge")), [a, b], "left")
+
+
 def uniform(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, reject_existing: bool = False, reject_loops: bool = True, attempts: int = 16, tell: bool = False) -> DataFrame:
     """(pair, side, slot, src, dst): for each positive (pair, src, dst) per_positive pairs with another dst, side 0, and
     as many with another src, side 1, drawn from all nodes. Of attempts draws the first that passes counts; if none
@@ -56,17 +66,20 @@ def uniform(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0
     keys, out = ["pair", "side", "slot"], ["pair", "side", "slot", "src", "dst", "attempt"]
     known = _known(g.edges, True) if reject_existing else None
 
-    def drawn(rows: DataFrame) -> DataFrame:
+    def ends(rows: DataFrame) -> DataFrame:
         x = draw(g.num_nodes, seed, "pair", "side", "slot", "attempt").cast("int")
-        return rows.select(*keys, "attempt", F.when(F.col("side") == 0, F.col("src")).otherwise(x).alias("src"), F.when(F.col("side") == 0, x).otherwise(F.col("dst")).alias("dst"))
+        return rows.withColumn("a", F.when(F.col("side") == 0, F.col("src")).otherwise(x)).withColumn("b", F.when(F.col("side") == 0, x).otherwise(F.col("dst")))
 
     def tries(rows: DataFrame) -> DataFrame:
-        made = drawn(rows).where("src <> dst") if reject_loops else drawn(rows)
-        return (made.join(known, ["src", "dst"], "left_anti") if reject_existing else made).select(*out)
+        made = ends(rows)
+        bad = F.col("a") == F.col("b") if reject_loops else F.lit(False)
+        if reject_existing:
+            made, bad = _met(made, known, "a", "b"), bad | F.coalesce("edge", F.lit(False))
+        return made.withColumn("got", F.when(~bad, F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "attempt")))
 
     filled, left = _by_rounds(slots, keys, attempts if reject_existing or reject_loops else 1, tries)
-    last = drawn(left.withColumn("attempt", F.lit(attempts))).withColumn("attempt", F.lit(None).cast("int"))
-    return filled.unionByName(last.select(*out)).select(*(out if tell else out[:-1]))
+    last = ends(left.withColumn("attempt", F.lit(attempts))).select(*keys, F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(None).cast("int").alias("attempt"))
+    return filled.select(*out).unionByName(last).select(*(out if tell else out[:-1]))
 
 
 def nonedge(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, attempts: int = 24, tell: bool = False) -> DataFrame:
@@ -78,15 +91,17 @@ def nonedge(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0
     end = lambda name: draw(g.num_nodes, seed, "pair", "slot", "attempt", F.lit(name)).cast("int").alias(name)
 
     def tries(rows: DataFrame) -> DataFrame:
-        return rows.select("pair", "slot", "attempt", end("src"), end("dst")).where("src <> dst").join(known, ["src", "dst"], "left_anti")
+        met = _met(rows.select("*", end("src"), end("dst")), known, "src", "dst")
+        return met.withColumn("got", F.when((F.col("src") != F.col("dst")) & F.col("edge").isNull(), F.struct("src", "dst", "attempt")))
 
     return _by_rounds(slots, ["pair", "slot"], attempts, tries)[0].select("pair", "slot", "src", "dst", *(["attempt"] if tell else []))
 
 
-def two_hop(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, attempts: int = 16, tell: bool = False) -> DataFrame:
+def two_hop(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0, attempts: int = 16, tell: bool = False, by_way: bool = False) -> DataFrame:
     """(pair, slot, src, dst): for each positive up to per_positive ends of two-step walks from its src that are
     neither src nor its neighbour; the first good one of attempts walks counts, and a slot without one is left out, as
-    are those of sources without neighbours. With tell also attempt, from 1: the one that counted."""
+    are those of sources without neighbours. With tell also attempt, from 1: the one that counted; with by_way also mid, the
+    node between."""
     once = written(g.edges.select("src", "dst"), "once")
     rows = bucketed(numbered_neighbours(once), ["src", "i"], "neighbours")
     known = _known(once, False)
@@ -96,12 +111,14 @@ def two_hop(g: Graph, positives: DataFrame, per_positive: int = 1, seed: int = 0
     keys = ("pair", "slot", "attempt")
 
     def tries(open_: DataFrame) -> DataFrame:
-        first = open_.withColumn("i", draw(F.col("n"), seed, *keys, F.lit("mid"))).join(rows.select("src", "i", F.col("dst").alias("mid"), "dst_n"), ["src", "i"]).where("dst_n > 0").drop("i")
-        second = first.withColumn("i", draw(F.col("dst_n"), seed, *keys, F.lit("dst")))
-        walked = second.join(rows.select(F.col("src").alias("mid"), "i", "dst"), ["mid", "i"]).select(*keys, "src", "dst")
-        return walked.where("dst <> src").join(known, ["src", "dst"], "left_anti").select(*keys, "src", "dst")
-
-    return _by_rounds(slots, ["pair", "slot"], attempts, tries)[0].select("pair", "slot", "src", "dst", *(["attempt"] if tell else []))
+        first = open_.withColumn("i", draw(F.col("n"), seed, *keys, F.lit("mid"))).join(rows.select("src", "i", F.col("dst").alias("mid"), "dst_n"), ["src", "i"]).drop("i")
+        second = first.withColumn("i", draw(F.when(F.col("dst_n") > 0, F.col("dst_n")), seed, *keys, F.lit("dst"))).drop("dst_n")
+        walked = second.join(rows.select(F.col("src").alias("mid"), "i", "dst"), ["mid", "i"], "left").drop("i", *([] if by_way else ["mid"]))
+        good = F.col("dst").isNotNull() & (F.col("dst") != F.col("src")) & F.col("edge").isNull()
+        return _met(walked, known, "src", "dst").withColumn("got", F.when(good, F.struct("dst", "attempt", *(["mid"] if by_way else []))))
+
+    filled = _by_rounds(slots, ["pair", "slot"], attempts, tries, also=["src"])[0]
+    return filled.select("pair", "slot", "src", "dst", *(["attempt"] if tell else []), *(["mid"] if by_way else []))
 
 
 def two_hop_of_sources(g: Graph, sources: DataFrame, walks: int, seed: int = 0) -> DataFrame:

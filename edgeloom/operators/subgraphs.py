@@ -251,6 +251,11 @@ def _sides(found: DataFrame) -> DataFrame:
     return found.select(F.explode(sides).alias("x")).select("x.*")
 
 
+def shared_neighbours(edges: DataFrame) -> DataFrame:
+    """(src, dst, id): for each edge, as src < dst, the neighbours that its ends share, however edges are stored."""
+    return _sides(triangles(edges))
+
+
 def near_mean_pool(pairs: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:
     """mean_pool of the one-hop subgraphs of pairs (pair_id, src, dst), src < dst, that are edges of a symmetric graph without
     loops. Such a subgraph is what the ends' neighbours are together, so its sum is that of either end's neighbours,
@@ -464,4 +469,4 @@ def near_batched(pairs: DataFrame, edges: DataFrame, size: int) -> Batches:
     return Batches(graphs.select("batch", "graph", "pair_id", "src", "dst", "num_nodes", "first_node"), nodes, links.select("batch", "graph", both).select("batch", "graph", "x.u", "x.v", F.lit(1).alias("w")))
 
 
-__all__ = ["Batches", "batched", "end_distances", "induced_pairwise", "induced_scan", "k_hop_nodes", "labels", "local_ids", "mean_pool", "near", "near_batched", "near_induced", "near_labels", "near_mean_pool", "near_sort_pool", "sort_pool", "sort_pool_size", "swapped", "triangles"]
+__all__ = ["Batches", "batched", "end_distances", "induced_pairwise", "induced_scan", "k_hop_nodes", "labels", "local_ids", "mean_pool", "near", "near_batched", "near_induced", "near_labels", "near_mean_pool", "near_sort_pool", "shared_neighbours", "sort_pool", "sort_pool_size", "swapped", "triangles"]

@@ -209,6 +209,33 @@ def test_biased_walks_from_and_at_hubs_follow_their_weights(spark, monkeypatch,
     assert all(abs(n[x] / sum(n.values()) - v / 3.25) < 0.06 for x, v in {0: 2, 2: 1, 9: 0.25}.items())
 
 
+def test_two_step_chances_match_all_walks_and_spread_none(spark, monkeypatch):
+    rng = random.Random(8)
+    near = {i: set() for i in range(30)}
+    for a, b in [tuple(rng.sample(range(24), 2)) for _ in range(70)] + [(24, 25), (25, 26), (24, 26), (27, 28)]:
+        near[a].add(b)
+        near[b].add(a)
+    g = make(spark, [(a, b) for a, bs in near.items() for b in bs], 30)
+    want = {a: sum(1 / len(bs) / len(near[m]) for m in bs for d in near[m] if d != a and d not in bs) for a, bs in near.items() if bs}
+    got = {r.src: r.p for r in queries._two_steps(g).collect()}
+    assert got.keys() == want.keys() and all(got[a] == pytest.approx(want[a], abs=1e-12) for a in want)
+    assert got[27] == got[25] == 0  # exactly, as attempts are divided by it
+
+
+def test_a_round_of_one_attempt_neither_joins_nor_sorts_slots(spark, monkeypatch):
+    plans, before = [], negatives.written
+    monkeypatch.setattr(negatives, "written", lambda df, tag: plans.append((tag, df._jdf.queryExecution().executedPlan().toString())) or before(df, tag))
+    g = make(spark, [(a, b) for a in range(6) for b in range(6) if a != b and a + b != 9] + [(6, 0), (0, 6)], 8)
+    pos = graph.canonical(g.edges).select((F.col("src").cast("long") * 8 + F.col("dst")).alias("pair"), "src", "dst")
+    edges = {(a, b) for a, b, *_ in rows(g.edges.select("src", "dst"))}
+    for name, how in (("uniform", {"reject_existing": True}), ("uniform_nonedge", {}), ("two_hop", {"by_way": True})):
+        plans.clear()
+        made = negatives.SAMPLERS[name](g, pos, 2, 3, **how)
+        assert "Window" not in next(p for tag, p in plans if tag == "round") and made.count() > 0
+    for r in made.collect():
+        assert (r.src, r.mid) in edges and (r.mid, r.dst) in edges and (r.src, r.dst) not in edges and r.src != r.dst
+
+
 def test_pools_and_sampling_stats(spark, customers):
     p = rows(negatives.pools(spark, 50, 3, 40, seed=1))
     assert len(p) == 120 and {r[0] for r in p} == {0, 1, 2} and all(0 <= r[2] < 50 for r in p) and len({r[2] for r in p}) > 30
