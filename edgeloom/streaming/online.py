@@ -70,7 +70,7 @@ class SourceState:
             self.wait = wait if self.best is None else wait[wait > self.best]
             self.above = len(self.wait)
         scores, labels = np.concatenate([self.scores, scores]), np.concatenate([self.labels, labels])
-        order = np.lexsort((-labels, -scores))[: self.most]
+        order = np.lexsort((-labels, -scores))[: self.most] if len(scores) > 1 else slice(None)
         self.scores, self.labels = scores[order], labels[order]
 
     def kept(self) -> tuple:
@@ -83,7 +83,7 @@ class SourceState:
             s, y = self.scores[:k], self.labels[:k]
             p, n = s[y == 1], s[y != 1]
             gain = (1 / np.log2(np.flatnonzero(y == 1) + 2.0)).sum()
-            wins = sum((p > x).sum() + 0.5 * (p == x).sum() for x in n)
+            wins = (p[:, None] > n).sum() + 0.5 * (p[:, None] == n).sum()
             out |= {f"pos_{k}": len(p), f"neg_{k}": len(n), f"dcg_{k}": float(gain), f"wins_{k}": float(wins)}
         self.__init__((*([], []), 0, None, 0, 0, [], True), self.most, self.positives_first)
         return out
@@ -104,13 +104,20 @@ def online_source_metrics(stream: DataFrame, ks: list[int], positives_first: boo
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = SourceState(state.get if state.exists else None, most, positives_first)
-        rows = pd.concat(list(frames))
+        scores, labels, ended = [], [], False  # sources are many and small: plain arrays, a frame only for what is given out
+        for f in frames:
+            scores.append(f["score"].to_numpy(float, na_value=np.nan))
+            labels.append(f["label"].to_numpy(float, na_value=np.nan))
+            end = f["ended"].to_numpy()  # objects where some are null
+            ended = ended or bool(end.any() if end.dtype == bool else any(x is True for x in end.tolist()))
         if s.closed:
             raise ValueError(f"source {key[0]} has rows after its end")
-        some = rows[rows["label"].notna() & rows["score"].notna()]
-        s.add(some["score"].to_numpy(float), some["label"].to_numpy(int))
-        if rows["ended"].fillna(False).astype(bool).any():
-            yield pd.DataFrame([{"src": key[0], **s.close(ks)}])
+        score, label = np.concatenate(scores), np.concatenate(labels)
+        some = ~(np.isnan(score) | np.isnan(label))
+        if some.any():
+            s.add(score[some], label[some].astype(int))
+        if ended:
+            yield pd.DataFrame({"src": key[0], **s.close(ks)}, index=[0])
         state.update(s.kept())
 
     kind = stream.schema["src"].dataType.simpleString()
