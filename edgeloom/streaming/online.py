@@ -44,6 +44,10 @@ def online_hits(stream: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("src").applyInPandasWithState(keep, f"src {kind}, hit double", "scores array<double>, labels array<int>", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Sources, by successive ids, whose states lie in one group, as a call for a group costs more than a few rows do.
+SOURCES = 32
+
+
 class SourceState:
     """What is kept of a source until its end: its best rows, its positives, and the negatives above the best of
     these. Where positives come first, the latter are a number; else their scores wait, as a better positive may come."""
@@ -103,25 +107,32 @@ def online_source_metrics(stream: DataFrame, ks: list[int], positives_first: boo
     most = max(ks, default=1)
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = SourceState(state.get if state.exists else None, most, positives_first)
-        scores, labels, ended = [], [], False  # sources are many and small: plain arrays, a frame only for what is given out
-        for f in frames:
-            scores.append(f["score"].to_numpy(float, na_value=np.nan))
-            labels.append(f["label"].to_numpy(float, na_value=np.nan))
+        held = {x: SourceState(tuple(kept), most, positives_first) for x, kept in zip(*state.get, strict=True)} if state.exists else {}
+        parts, out = [], []
+        for f in frames:  # sources are many and small: plain arrays, a frame only for what is given out
             end = f["ended"].to_numpy()  # objects where some are null
-            ended = ended or bool(end.any() if end.dtype == bool else any(x is True for x in end.tolist()))
-        if s.closed:
-            raise ValueError(f"source {key[0]} has rows after its end")
-        score, label = np.concatenate(scores), np.concatenate(labels)
+            end = end if end.dtype == bool else np.array([x is True for x in end.tolist()], bool)
+            parts.append((f["src"].to_numpy(), f["score"].to_numpy(float, na_value=np.nan), f["label"].to_numpy(float, na_value=np.nan), end))
+        src, score, label, ended = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, which = np.unique(src, return_inverse=True)
         some = ~(np.isnan(score) | np.isnan(label))
-        if some.any():
-            s.add(score[some], label[some].astype(int))
-        if ended:
-            yield pd.DataFrame({"src": key[0], **s.close(ks)}, index=[0])
-        state.update(s.kept())
+        for j, x in enumerate(ids.tolist()):
+            s = held.setdefault(x, SourceState(None, most, positives_first))
+            if s.closed:
+                raise ValueError(f"source {x} has rows after its end")
+            mine = which == j
+            if (good := mine & some).any():
+                s.add(score[good], label[good].astype(int))
+            if ended[mine].any():
+                out.append({"src": x, **s.close(ks)})
+        if out:
+            yield pd.DataFrame(out)
+        state.update((list(held), [s.kept() for s in held.values()]))
 
     kind = stream.schema["src"].dataType.simpleString()
     counts = "".join(f", pos_{k} long, neg_{k} long, dcg_{k} double, wins_{k} double" for k in ks)
     rows = stream.where("src is not null").select("src", F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score"), F.col("ended").cast("boolean").alias("ended"))
-    closed = rows.groupBy("src").applyInPandasWithState(keep, f"src {kind}, n_pos long, first long{counts}", SourceState.SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    group = F.floor(F.col("src") / SOURCES) if kind in ("int", "bigint") else F.col("src")
+    kept = ", ".join(f"{name}: {t}" for name, t in (c.split(" ") for c in SourceState.SCHEMA.split(", ")))
+    closed = rows.withColumn("group", group).groupBy("group").applyInPandasWithState(keep, f"src {kind}, n_pos long, first long{counts}", f"src array<{kind}>, kept array<struct<{kept}>>", "append", GroupStateTimeout.NoTimeout)
     return closed.select("src", "n_pos", *[v.alias(name) for name, v in source_values(ks).items()])

@@ -100,26 +100,15 @@ def test_a_stream_that_forgot_its_last_batch_writes_it_once(spark, tmp_path):
     assert sorted(r.id for r in sinks.written_batches(spark, str(tmp_path / "out"), "id long").collect()) == list(range(30))
 
 
-def test_a_batch_of_a_source_makes_no_frame_but_its_result(monkeypatch):
-    """Sources are many and small: what a call costs is pandas, not the rows."""
-    from types import SimpleNamespace
-
-    held = {}
-    stream = SimpleNamespace(sparkSession=None, schema={"src": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "int"))})
-    stream.where = stream.select = lambda *a: stream
-    closed = SimpleNamespace(select=lambda *a: None)
-    stream.groupBy = lambda *a: SimpleNamespace(applyInPandasWithState=lambda f, *a: held.update(f=f) or closed)
-    monkeypatch.setattr(online, "ship", lambda s: None)
-    monkeypatch.setattr(online, "F", SimpleNamespace(col=lambda c: SimpleNamespace(cast=lambda t: SimpleNamespace(alias=lambda n: None))))
-    monkeypatch.setattr(online, "source_values", lambda ks: {})
-    online.online_source_metrics(stream, [1, 5])
-    state = SimpleNamespace(exists=False, get=None)
-    state.update = lambda x: state.__dict__.update(exists=True, get=x)
-    frame = online.pd.DataFrame
-    batches = [[(1, 2.0, False), (None, 9.0, None)], [(0, 3.0, False), (0, 2.0, None), (0, None, False)], [(None, None, True)]]
-    frames = [frame([(7, *r) for r in b], columns=["src", "label", "score", "ended"]) for b in batches]
-    monkeypatch.setattr(online.pd, "concat", lambda *a, **b: pytest.fail("rows are put together"))
-    out = [x for f in frames for x in held["f"]((7,), iter([f]), state)]
-    assert len(out) == 1 and out[0].to_dict("records") == [{"src": 7, "n_pos": 1, "first": 2, "pos_1": 0, "neg_1": 1, "dcg_1": 0.0, "wins_1": 0.0, "pos_5": 1, "neg_5": 2, "dcg_5": pytest.approx(1 / online.np.log2(3)), "wins_5": 0.5}]
-    with pytest.raises(ValueError, match="after its end"):
-        list(held["f"]((7,), iter(frames[:1]), state))
+def test_sources_share_groups(spark, tmp_path):
+    """A call for a group costs more than a few rows do: successive ids lie in one group, and each is closed for itself."""
+    batches = [[(i, 1, 2.0, False) for i in range(100)], [(i, 0, float(i % 4), False) for i in range(100)], [(i, None, None, True) for i in range(0, 100, 2)], [(i, None, None, True) for i in range(1, 100, 2)]]
+    for n, b in enumerate(batches):
+        spark.createDataFrame(b, "src long, label int, score double, ended boolean").coalesce(1).write.parquet(str(tmp_path / f"s/{n}"))
+    stream = spark.readStream.schema("src long, label int, score double, ended boolean").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "s"))
+    q = online.online_source_metrics(stream, [1]).writeStream.outputMode("append").format("memory").queryName("shared").start()
+    q.processAllAvailable()
+    held = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    q.stop()
+    got = {r.src: (r.n_pos, r.mrr) for r in spark.table("shared").collect()}
+    assert got == {i: (1, 0.5 if i % 4 == 3 else 1.0) for i in range(100)} and max(held) == 4
