@@ -9,7 +9,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.cluster import get_text, names, put_text, remove
+from edgeloom.cluster import discard, get_text, names, put_text, remove
+from edgeloom.operators import blocks
 from edgeloom.operators.features import counted_pairs, skipgram_round
 from edgeloom.operators.metrics import early_stopping
 
@@ -41,12 +42,14 @@ def vectors_of(spark: SparkSession, root: str, best: bool = False) -> DataFrame:
     state = latest(spark, root)
     if state is None or best and state.best is None:
         raise ValueError(f"{root} has no such round")
-    return spark.read.parquet(_table(root, state.best if best else state.round))
+    path, n = _table(root, state.best if best else state.round), state.what.get("blocks")
+    return blocks.at(spark, path, n) if n else spark.read.parquet(path)
 
 
 def resumable(
     spark: SparkSession, root: str, first: DataFrame, step: Callable[[DataFrame, int], DataFrame], rounds: int, what: dict,
     evaluate: Callable[[DataFrame], float | None] | None = None, patience: int | None = None, min_delta: float = 0.0, larger_is_better: bool = True,
+    read: Callable[[str], DataFrame] | None = None, by: str | None = None,
 ) -> State:
     """Runs step (table, number) on the table first, rounds times, or goes on where a run below root was cut off, and gives
     back where it stands.
@@ -54,18 +57,24 @@ def resumable(
     A round writes its table, judges it by evaluate, and only then puts down the pointer, a small file that is whole or
     not there; tables that are neither the last nor the best go afterwards. With patience the run stops once so many
     rounds in a row have brought nothing better, as early_stopping says. A run that was about something else is an error, and one
-    that has stopped or had all its rounds is left as it is."""
+    that has stopped or had all its rounds is left as it is. read makes a table of its path, if not as plain Parquet; by a
+    column, tables have a folder for each of its values."""
+    read = read or spark.read.parquet
+
+    def write(table: DataFrame, number: int) -> None:
+        (table.write.partitionBy(by) if by else table.write).mode("overwrite").parquet(_table(root, number))
+
     state = latest(spark, root)
     if state is None:
-        first.write.mode("overwrite").parquet(_table(root, 0))
+        write(first, 0)
         state = State(0, what)
         put_text(spark, f"{root}/state/{0:08d}.json", json.dumps(asdict(state)))
     if state.what != what:
         raise ValueError(f"the run below {root} is about {state.what}, not {what}")
     while state.round < rounds and not state.stopped:
         number = state.round + 1
-        step(spark.read.parquet(_table(root, state.round)), state.round).write.mode("overwrite").parquet(_table(root, number))
-        value = evaluate(spark.read.parquet(_table(root, number))) if evaluate else None
+        write(step(read(_table(root, state.round)), state.round), number)
+        value = evaluate(read(_table(root, number))) if evaluate else None
         new = State(number, what, [*state.history, value], state.best)
         rows = spark.createDataFrame([(i, v) for i, v in enumerate(new.history)], "step long, value double")
         trace = early_stopping(rows, patience or rounds + 1, min_delta, larger_is_better).orderBy("step").collect()  # a row for each round
@@ -88,7 +97,13 @@ def train_skipgram(
     for what it leaves. The number of nodes, the length of vectors and what the gradient depends on must be the same."""
     spark = contexts.sparkSession
     dim = (vectors.select(F.size("embedding")).first() or [0])[0]
-    what = {"num_nodes": num_nodes, "dim": dim, "negatives": negatives, "rate": rate, "seed": seed}
     pairs = counted_pairs(contexts)
-    first = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return resumable(spark, root, first, lambda table, step: skipgram_round(pairs, table, num_nodes, step, negatives, rate, seed), rounds, what, **how)
+    n = blocks.blocks_for(num_nodes, pairs.count()) if blocks.reachable(spark, root) else None
+    what = {"num_nodes": num_nodes, "dim": dim, "negatives": negatives, "rate": rate, "seed": seed, "blocks": n}
+    links = blocks.links(pairs, n) if n else None
+    first = blocks.with_block(vectors, n) if n else vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    layout = {"read": lambda path: blocks.at(spark, path, n), "by": "block"} if n else {}
+    try:
+        return resumable(spark, root, first, lambda table, step: skipgram_round(pairs, links, table, num_nodes, step, negatives, rate, seed), rounds, what, **layout, **how)
+    finally:
+        discard(pairs, *([links] if n else []))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.cluster import get_text, names, put_text
-from edgeloom.operators import features, graph, subgraphs, walks
+from edgeloom.operators import blocks, features, graph, subgraphs, walks
 from edgeloom.plans import training, transforms
 
 
@@ -65,6 +65,58 @@ def test_the_best_round_stays_and_patience_stops(spark, contexts, first, tmp_pat
         training.vectors_of(spark, str(tmp_path / "none"))
 
 
+def test_rounds_by_blocks_and_by_joins_are_the_same(spark, monkeypatch):
+    """Several blocks, some of them empty; ends without a vector, pairs of a node with itself, nodes without pairs, ids as long."""
+    monkeypatch.setattr(blocks, "FEW_NODES", 9)
+    monkeypatch.setattr(blocks, "PACKED", 50)
+    monkeypatch.setattr(blocks, "SIDE_BY_SIDE", 7)
+    rng = random.Random(5)
+    rows = [(rng.choice((0, rng.randrange(50))), rng.randrange(50)) for _ in range(700)] + [(3, 3), (None, 4), (70, 1), (2, 70)]
+    for kind in ("int", "long"):
+        contexts = spark.createDataFrame(rows, f"anchor {kind}, context {kind}").repartition(5)
+        first = features.initial_embeddings(spark.range(60).where("id % 5 > 0 and id % 11 <> 2").select(F.col("id").cast(kind).alias("id")), 3, "uniform", seed=3)
+        got = features.fit_skipgram(contexts, 50, first, negatives=2, rounds=3, seed=4)
+        assert blocks.place_of(got).blocks == 6 and got.columns == ["id", "embedding"] and dict(got.dtypes)["id"] == {"int": "int", "long": "bigint"}[kind]
+        with monkeypatch.context() as m:
+            m.setattr(blocks, "reachable", lambda *_: False)
+            want = features.fit_skipgram(contexts, 50, first, negatives=2, rounds=3, seed=4)
+        assert blocks.place_of(want) is None and close(vectors(got), vectors(want)) and len(vectors(got)) == first.count()
+        fake = contexts.withColumn("context", F.pmod(F.col("context") + 7, F.lit(50)).cast(kind))
+        for bias in (False, True):
+            a, b = (walks.skipgram_loss(contexts, fake, v, 50, bias).first().loss for v in (got, want))
+            assert abs(a - b) < 1e-12
+
+
+def test_a_round_and_a_loss_shuffle_no_vectors(spark, contexts, first):
+    def shuffled(df):
+        found, open_ = [], [df._jdf.queryExecution().executedPlan()]
+        while open_:
+            p = open_.pop()
+            p = p.initialPlan() if p.nodeName() == "AdaptiveSparkPlan" else p
+            if p.nodeName() == "Exchange":
+                found.append(p.schema().simpleString())
+            open_ += [p.children().apply(i) for i in range(p.children().size())]
+        return found
+
+    pairs = features.counted_pairs(contexts)
+    table, links = blocks.laid(first, 2), blocks.links(pairs, 2)
+    one = shuffled(features.skipgram_round(pairs, links, table, 8, 0))
+    assert len(one) == 1 and "ids:array<int>" in one[0] and "embedding" not in one[0]
+    assert not any("embedding" in x for x in shuffled(walks.skipgram_loss(contexts, contexts, table, 8)))
+
+
+def test_vectors_in_blocks_are_whole(spark, monkeypatch):
+    for rows in ([(0, [1.0]), (1, None)], [(0, [1.0]), (1, [1.0, 2.0])], [(0, [1.0]), (1, [None])]):
+        table = blocks.laid(spark.createDataFrame(rows, "id int, embedding array<double>"), 1)
+        with pytest.raises(ValueError, match="one length"):
+            blocks.place_of(table).read(0)
+    assert [len(x) for x in blocks.place_of(table).read(5)] == [0, 0]
+    assert blocks.blocks_for(1) == 1 and blocks.blocks_for(15_000) == 2 and blocks.blocks_for(1 << 22) == 64 and blocks.blocks_for(1 << 25) == 128 and blocks.blocks_for(1, 1 << 24) == 2
+    assert blocks.reachable(spark, "/tmp")
+    monkeypatch.setattr(blocks, "qualified", lambda *_: "viewfs://store/in")
+    assert not blocks.reachable(spark, "/in")
+
+
 def test_small_files_are_whole_or_not_there(spark, tmp_path):
     put_text(spark, f"{tmp_path}/a/b.json", "é{}")
     assert get_text(spark, f"{tmp_path}/a/b.json") == "é{}" and names(spark, f"{tmp_path}/a") == ["b.json"] and names(spark, f"{tmp_path}/c") == []
