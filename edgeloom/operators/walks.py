@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.cluster import broadcast_checked, bucketed, discard, looked_up, lookups, written
 from edgeloom.functions.hashing import draw, uniform
 from edgeloom.functions.vectors import dot, minus_log_sigmoid
+from edgeloom.operators import blocks
 from edgeloom.operators.graph import Graph, in_order, numbered_neighbours
 
 #: Steps after which the walks so far are written down, so that the plan stays short.
@@ -209,7 +212,12 @@ def _with_vectors(pairs: DataFrame, vectors: DataFrame, a: str, b: str) -> DataF
 def skipgram_loss(positive: DataFrame, negative: DataFrame, vectors: DataFrame, num_nodes: int, nce_bias: bool = False) -> DataFrame:
     """(loss): the mean of -log sigmoid of the dot products of (anchor, context) pairs, plus that of the negated ones of
     negative pairs; with nce_bias after log(num_nodes) is taken off. Pairs are counted first, so that each different
-    one is looked up once."""
+    one is looked up once; vectors that lie in blocks are met there, by pairs as they come."""
+    if blocks.place_of(vectors):
+        bias = math.log(num_nodes) if nce_bias else 0.0
+        signed = positive.select("anchor", "context", F.lit(1.0).alias("n")).unionByName(negative.select("anchor", "context", F.lit(-1.0).alias("n")))
+        sums = blocks.summed(signed, vectors, lambda x, sign: blocks.minus_log_sigmoid(sign * (x - bias)))
+        return sums.groupBy("sign").agg((F.sum("l") / F.sum("n")).alias("l")).agg(F.sum("l").alias("loss"))
     shift = F.log(F.lit(float(num_nodes))) if nce_bias else F.lit(0.0)
     both = positive.groupBy("anchor", "context").agg(F.count("*").alias("n")).withColumn("sign", F.lit(1.0)).unionByName(negative.groupBy("anchor", "context").agg(F.count("*").alias("n")).withColumn("sign", F.lit(-1.0)))
     scored = _with_vectors(both, vectors, "anchor", "context").select("sign", "n", minus_log_sigmoid(F.col("sign") * (dot("va", "vb") - shift)).alias("l"))
