@@ -111,7 +111,7 @@ def test_vectors_in_blocks_are_whole(spark, monkeypatch):
         with pytest.raises(ValueError, match="one length"):
             blocks.place_of(table).read(0)
     assert [len(x) for x in blocks.place_of(table).read(5)] == [0, 0]
-    assert blocks.blocks_for(1) == 1 and blocks.blocks_for(15_000) == 2 and blocks.blocks_for(1 << 22) == 64 and blocks.blocks_for(1 << 25) == 128 and blocks.blocks_for(1, 1 << 24) == 2
+    assert blocks.blocks_for(1) == 1 and blocks.blocks_for(15_000) == 2 and blocks.blocks_for(1 << 22) == 64 and blocks.blocks_for(1 << 25) == 128 and blocks.blocks_for(1, 1 << 24) == 8
     assert blocks.reachable(spark, "/tmp")
     monkeypatch.setattr(blocks, "qualified", lambda *_: "viewfs://store/in")
     assert not blocks.reachable(spark, "/in")
