@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from edgeloom import cluster
 from edgeloom.functions import hashing, vectors
-from edgeloom.operators import features, graph, metrics, negatives, splits, subgraphs, walks
+from edgeloom.operators import blocks, features, graph, metrics, negatives, splits, subgraphs, walks
 from edgeloom.plans import queries
 from edgeloom.sources import csr
 from edgeloom.sources.tables import customer_graph
@@ -644,6 +644,29 @@ def test_near_pools_are_those_of_whole_subgraphs(spark, monkeypatch, parts):
     assert tidy(subgraphs.near_mean_pool(pairs, e, odd)) == tidy(subgraphs.mean_pool(nodes, odd))
 
 
+@pytest.mark.parametrize("few, kept", [(1 << 13, 64 << 20), (7, 64 << 20), (7, 300)])
+def test_sort_pools_shuffle_and_broadcast_no_vectors(request, spark, monkeypatch, few, kept):
+    """In one block, in several, and with few vectors in memory: the same pools, ties and missing vectors too, and pairs are shuffled as ids alone."""
+    e, pairs = linked(spark, 40, 90, 5)
+    v = features.initial_embeddings(spark.range(36).select(F.col("id").cast("int").alias("id")), 4, seed=3)
+    v = v.withColumn("embedding", F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(2.0), F.col("id"), F.lit(0.5)).cast("array<float>")).otherwise(F.col("embedding")))
+    monkeypatch.setattr(blocks, "FEW_NODES", few)
+    monkeypatch.setattr(blocks, "KEPT_BYTES", kept)
+    got = subgraphs.near_sort_pool(pairs, e, v, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange") == 1 and "embedding" not in plan
+    tidy = lambda d: [(r.pair_id, r.pooled) for r in d.orderBy("pair_id").collect()]
+    want = tidy(subgraphs.sort_pool(subgraphs.k_hop_nodes(pairs, e, 1), v, 3))
+    assert tidy(got) == want and len(want) == pairs.count()
+    far = spark.createDataFrame([(1, 37, 38), (2, 39, 0), (3, 100, 101)], "pair_id long, src int, dst int")  # ends without vectors or neighbours
+    some = e.where("src not in (37, 38) and dst not in (37, 38)")
+    assert tidy(subgraphs.near_sort_pool(far, some, v, 3)) == tidy(subgraphs.sort_pool(subgraphs.k_hop_nodes(far, some, 1), v, 3))
+    keyed = v.withColumn("key", F.element_at("embedding", -1)).withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 2)))
+    assert [[round(x, 2) for x in p] for _, p in tidy(subgraphs.near_sort_pool(pairs, e, keyed, 3))] == [[round(x, 2) for x in p] for _, p in want]
+    odd = v.withColumn("embedding", F.when(F.col("id") == 1, F.array(F.lit(None).cast("float"), F.lit(1.0), F.lit(1.0), F.lit(9.0)).cast("array<float>")).otherwise(F.col("embedding")))
+    assert tidy(subgraphs.near_sort_pool(pairs, e, odd, 3)) == tidy(subgraphs.sort_pool(subgraphs.k_hop_nodes(pairs, e, 1), odd, 3))
+
+
 @pytest.mark.parametrize("nodes, links", [(60, 40), (30, 120), (9, 30)])
 def test_near_subgraphs_are_those_of_any_hops(spark, nodes, links):
     """Sparse, with a hub, and nearly complete: the same links, labels and batches as from subgraphs that are spread out."""
