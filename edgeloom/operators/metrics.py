@@ -69,6 +69,28 @@ def ranking_metrics(scored: DataFrame, ks: list[int], tie: list[str] | None = No
     return source_averages(rows.select("src", "n_pos", *[v.alias(name) for name, v in source_values(ks).items()]), ks)
 
 
+#: Metrics that ranks of positives alone give.
+RANK_METRICS = ("mrr", "hits@k", "recall@k", "ndcg@k", "mrr@k")
+
+
+def rank_metrics(found: DataFrame, names: list[str], ks: list[int]) -> DataFrame:
+    """(metric, value), as compute_metrics has them for scores as they are, from positives (src, dst, score, above) alone, above being
+    the number of negatives of src that score higher. Names are of RANK_METRICS."""
+    if unknown := [n for n in names if n not in RANK_METRICS]:
+        raise ValueError(f"not from ranks alone: {', '.join(unknown)}")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst")) + F.col("above")
+    sums = [F.count("*").alias("n_pos"), F.min("rank").alias("first")]
+    for k in ks:
+        inside = F.col("rank") <= k
+        sums += [F.count_if(inside).alias(f"pos_{k}"), F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"dcg_{k}")]
+    wanted = [(n.replace("@k", f"@{k}"), n.replace("@k", f"_at_{k}")) for n in dict.fromkeys(names) for k in (ks if n.endswith("@k") else [0])]
+    sources = found.select("src", rank.alias("rank")).groupBy("src").agg(*sums)
+    value = source_values(ks)
+    means = sources.agg(*[F.coalesce(F.avg(value[c]), F.lit(0.0)).alias(c) for _, c in wanted])
+    named = [F.struct(F.lit(i).alias("i"), F.lit(name).alias("metric"), F.col(c).alias("value")) for i, (name, c) in enumerate(wanted)]
+    return means.select(F.explode(F.array(*named)).alias("x")).orderBy("x.i").select("x.metric", "x.value")
+
+
 def _prefix_wins(r: DataFrame, ks: list[int]) -> DataFrame:
     """(src, wins_k...): pairs of a positive and a negative of the top k in the right order, equal scores as a half."""
     groups = r.groupBy("src", "score").agg(*[F.sum(F.when(F.col("rn") <= k, F.col("label")).otherwise(0)).alias(f"p{k}") for k in ks], *[F.count_if((F.col("rn") <= k) & (F.col("label") == 0)).alias(f"n{k}") for k in ks])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from edgeloom import cluster
 from edgeloom.functions import hashing, vectors
-from edgeloom.operators import blocks, features, graph, metrics, negatives, splits, subgraphs, walks
+from edgeloom.operators import blocks, features, graph, metrics, negatives, ranks, splits, subgraphs, walks
 from edgeloom.plans import queries
 from edgeloom.sources import csr
 from edgeloom.sources.tables import customer_graph
@@ -667,6 +667,38 @@ def test_sort_pools_shuffle_and_broadcast_no_vectors(request, spark, monkeypatch
     assert tidy(subgraphs.near_sort_pool(pairs, e, odd, 3)) == tidy(subgraphs.sort_pool(subgraphs.k_hop_nodes(pairs, e, 1), odd, 3))
 
 
+@pytest.mark.parametrize("few, sources, dense, at_once", [(1 << 13, 1 << 11, 0.1, 1 << 21), (7, 5, 0.0, 9), (7, 3, 2.0, 1 << 21)])
+def test_ranks_in_the_closure_are_those_of_scored_rows(spark, monkeypatch, few, sources, dense, at_once):
+    """In one block and task and in several, multiplied whole and by rows: as many score higher as among all rows of the closure; with a hub, equal
+    scores, pairs that are repeated or lack a vector, and sources without a way."""
+    e, _ = linked(spark, 60, 90, 5)
+    v = features.initial_embeddings(spark.range(56).select(F.col("id").cast("int").alias("id")), 4, seed=3)
+    v = v.withColumn("embedding", F.when(F.col("id") % 3 == 0, F.array(F.lit(0.25), F.lit(0.5), F.lit(-1.0), F.lit(0.125)).cast("array<float>")).otherwise(F.col("embedding")))
+    asked = [(s, d) for s in range(0, 60, 2) for d in random.Random(s).sample(range(60), 4)] + [(0, 3), (0, 6), (70, 1), (55, 3), (55, 3)]
+    pairs = spark.createDataFrame(asked, "src int, dst int")
+    some = e.where("src <> 4 and dst <> 4")
+    for module, name, value in ((blocks, "FEW_NODES", few), (ranks, "SOURCES", sources), (ranks, "DENSE", dense), (ranks, "AT_ONCE", at_once), (blocks, "SIDE_BY_SIDE", 11)):
+        monkeypatch.setattr(module, name, value)
+    got = ranks.above_in_closure(pairs, some, v, 60)
+    closure = features.dot_scores(graph.two_hop_closure(pairs, some), v).collect()
+    want = sorted((r.src, r.dst, r.score, sum(c.src == r.src and c.score > r.score for c in closure)) for r in features.dot_scores(pairs, v).collect())
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 90
+    if few == 7:
+        part, own = blocks.Place("file:///nowhere", few), np.arange(1, 60, 7)  # nodes of other blocks are no nodes of this one
+        flat = ranks._reached(np.array([0]), np.array([0, 0]), np.array([8, 9]), np.array([8, 9]), np.array([0, 1]), pa.table({"src": [8, 9, 9], "dst": [1, 8, 15]}), own, part.blocks)
+        assert flat.tolist() == [0, 2]
+    odd = v.withColumn("embedding", F.when(F.col("id") == 1, F.array(F.lit(float("inf")), F.lit(0.0), F.lit(0.0), F.lit(0.0)).cast("array<float>")).otherwise(F.col("embedding")))
+    endless = features.dot_scores(graph.two_hop_closure(pairs, some), odd).collect()
+    want = sorted((r.src, r.dst, r.score, sum(c.src == r.src and c.score > r.score for c in endless)) for r in features.dot_scores(pairs, odd).collect())
+    assert sorted(map(tuple, ranks.above_in_closure(pairs, some, odd, 60).collect())) == want
+    labelled = features.dot_scores(pairs.distinct(), v).withColumn("label", F.lit(1)).unionByName(features.dot_scores(graph.two_hop_closure(pairs, some), v).withColumn("label", F.lit(0)))
+    names, tidy = ["recall@k", "mrr", "hits@k", "ndcg@k", "mrr@k"], lambda d: [(r.metric, round(r.value, 12)) for r in d.collect()]
+    single = ranks.above_in_closure(pairs.distinct(), some, v, 60)
+    assert tidy(metrics.rank_metrics(single, names, [2, 5])) == tidy(metrics.compute_metrics(labelled, names, [2, 5], apply_sigmoid=False))
+    with pytest.raises(ValueError):
+        metrics.rank_metrics(single, ["roc_auc@k"], [2])
+
+
 @pytest.mark.parametrize("nodes, links", [(60, 40), (30, 120), (9, 30)])
 def test_near_subgraphs_are_those_of_any_hops(spark, nodes, links):
     """Sparse, with a hub, and nearly complete: the same links, labels and batches as from subgraphs that are spread out."""
