@@ -699,6 +699,41 @@ def test_ranks_in_the_closure_are_those_of_scored_rows(spark, monkeypatch, few,
         metrics.rank_metrics(single, ["roc_auc@k"], [2])
 
 
+def test_a_classifier_keeps_and_broadcasts_no_features(spark, monkeypatch):
+    """Blocks of nodes give the model that Spark's estimator finds, by whatever features, and the scores that joins give; vectors are neither
+    broadcast nor shuffled."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    monkeypatch.setattr(blocks, "FEW_NODES", 7)
+    monkeypatch.setattr(blocks, "SIDE_BY_SIDE", 11)
+    e, _ = linked(spark, 40, 150, 5)
+    v = features.initial_embeddings(spark.range(36).select(F.col("id").cast("int").alias("id")), 3, scale=1.0, seed=3)
+    labelled = e.select("src", "dst", F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")), F.lit(3)).cast("boolean").cast("int").alias("label"))
+    tests = labelled.select("src", "dst", "label", F.concat("src", F.lit("x")).alias("name"))
+    for how, decay in (("hadamard", 0.0), ("concat", 0.3), ("weighted_l1", 0.0)):
+        x = features.edge_features(labelled, v, how).select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"))
+        want = LogisticRegression(maxIter=200, regParam=decay, tol=1e-12).fit(x)
+        model = features.fit_classifier(labelled, v, how, weight_decay=decay)
+        assert np.allclose(model.coefficients, want.coefficients.toArray(), atol=1e-5) and abs(model.intercept - want.intercept) < 1e-5
+        got = features.classifier_scores(model, tests, v, how)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and plan.count("Exchange") == 1 and "embedding" not in plan
+        tidy = lambda d: sorted((r.src, r.dst, r.label, r.name, round(r.score, 4)) for r in d.collect())
+        with monkeypatch.context() as m:
+            m.setattr(blocks, "reachable", lambda *_: False)
+            other = features.fit_classifier(labelled, v, how, weight_decay=decay)
+            assert np.allclose(model.coefficients, other.coefficients, atol=1e-3)
+            assert tidy(features.classifier_scores(model, tests, v, how)) == tidy(got) and got.count() == tests.where("src < 36 and dst < 36").count()
+    assert features.fit_classifier(labelled.withColumn("label", F.lit(1)), v) == features.Classifier((0.0, 0.0, 0.0), math.inf)
+    split = labelled.join(v.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.least("src", "dst") < 9).cast("int").alias("label"))
+    apart = v.withColumn("embedding", F.array(F.when(F.col("id") < 9, -1.0).otherwise(1.0), F.lit(1.0)).cast("array<float>"))
+    model = features.fit_classifier(split, apart, "concat", max_iter=8)  # classes that a plane parts, and constant features
+    assert {(r.label, r.score > 0.5) for r in features.classifier_scores(model, split, apart, "concat").collect()} == {(0, False), (1, True)}
+    with pytest.raises(ValueError, match="no labelled pair"):
+        features.fit_classifier(labelled.where("src = 39"), v)
+
+
 @pytest.mark.parametrize("nodes, links", [(60, 40), (30, 120), (9, 30)])
 def test_near_subgraphs_are_those_of_any_hops(spark, nodes, links):
     """Sparse, with a hub, and nearly complete: the same links, labels and batches as from subgraphs that are spread out."""
